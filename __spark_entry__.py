@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qtrail.operators import catalogue as C
+from qtrail.operators import graph as G
 from qtrail.operators import pairs as X
+from qtrail.operators import structure as S
+from qtrail.operators import traces as TR
+from qtrail.sources import auditlog as A
 from qtrail.sources import rendered as R
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -116,6 +120,99 @@ def q_order_priority_pairs(spark, sf_dir):
                                  F.date_trunc("month", "o_orderdate"))
 
 
+def q_entity_traces(spark, sf_dir):
+    return (TR.entity_traces(_log(spark, sf_dir), R.RENDERED_PLATE_PATTERN)
+            .select("entity", "query_count", "pos", "ts", F.col("seq").alias("event_id"), "normalized_line"))
+
+
+def q_record_groups(spark, sf_dir):
+    return (TR.record_groups(_log(spark, sf_dir), R.RENDERED_RECORD_ID_PATTERN)
+            .select("record_id", "pos", F.col("seq").alias("event_id"), "line"))
+
+
+def _trace_events(spark, sf_dir):
+    return TR.trace_events(TR.entity_traces(_log(spark, sf_dir), R.RENDERED_PLATE_PATTERN))
+
+
+def q_trace_nodes(spark, sf_dir):
+    return TR.trace_nodes(_trace_events(spark, sf_dir))
+
+
+def q_trace_graph(spark, sf_dir):
+    ev = _trace_events(spark, sf_dir)
+    return TR.trace_graph(ev, TR.trace_nodes(ev))
+
+
+def _graph_inputs(spark, sf_dir):
+    conf = X.pair_confidence(_log(spark, sf_dir), None, PAIR_THRESHOLD)
+    leg = G.legend(conf)
+    return conf, leg, G.edges(conf, leg)
+
+
+def q_legend(spark, sf_dir):
+    _, leg, _ = _graph_inputs(spark, sf_dir)
+    return leg
+
+
+def q_statement_kind(spark, sf_dir):
+    _, leg, _ = _graph_inputs(spark, sf_dir)
+    return G.vertices(leg)
+
+
+def q_edges(spark, sf_dir):
+    _, _, e = _graph_inputs(spark, sf_dir)
+    return e
+
+
+def _chains_out(ch):
+    return ch.select(F.array_join("path", " -> ").alias("chain"), F.col("length").cast("bigint").alias("length"),
+                     "confidence")
+
+
+def q_chains_simple(spark, sf_dir):
+    _, _, e = _graph_inputs(spark, sf_dir)
+    return _chains_out(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, allow_revisit=False))
+
+
+def q_chains_revisit(spark, sf_dir):
+    _, _, e = _graph_inputs(spark, sf_dir)
+    return _chains_out(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, allow_revisit=True))
+
+
+def q_chain_graph(spark, sf_dir):
+    _, _, e = _graph_inputs(spark, sf_dir)
+    return G.chain_graph(G.chains(e, CHAIN_MIN, CHAIN_LENGTH), e).drop("label")
+
+
+def q_components(spark, sf_dir):
+    _, leg, e = _graph_inputs(spark, sf_dir)
+    graph = G.chain_graph(G.chains(e, CHAIN_MIN, CHAIN_LENGTH), e)
+    return G.query_components(graph, leg)
+
+
+def q_supply_components(spark, sf_dir):
+    """G6 at data scale: components of the part–supplier graph of lineitem
+    (part p → vertex 2p, supplier s → vertex 2s+1)."""
+    li = R.load_table(spark, sf_dir, "lineitem")
+    edges = li.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
+    return G.connected_components(edges, "src", "dst")
+
+
+def q_statement_catalogue(spark, sf_dir):
+    stmts = A.statement_lines(R.rendered_raw(spark, sf_dir), role=R.ROLE)
+    cat = S.statement_catalogue(stmts)
+    return cat.select(
+        "type",
+        F.array_join("tables", ",").alias("tables"),
+        F.array_join("columns", ",").alias("columns"),
+        F.array_join(F.transform("functions", lambda f: F.concat(f["function"], F.lit("("), f["column"], F.lit(")"))),
+                     ",").alias("functions"),
+        F.array_join(F.transform("where", lambda w: w["condition"]), " | ").alias("conditions"),
+        F.array_join(F.transform("where", lambda w: w["operator"]), ",").alias("operators"),
+        F.array_join(F.transform("from_tokens", lambda t: F.concat(t["kind"], F.lit(":"), t["value"])), " | ")
+        .alias("from_tokens"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_events": q_scan_events,
     "template_counts": q_template_counts,
@@ -133,6 +230,19 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "case_pairs": q_case_pairs,
     "event_type_pairs": q_event_type_pairs,
     "order_priority_pairs": q_order_priority_pairs,
+    "entity_traces": q_entity_traces,
+    "record_groups": q_record_groups,
+    "trace_nodes": q_trace_nodes,
+    "trace_graph": q_trace_graph,
+    "legend": q_legend,
+    "statement_kind": q_statement_kind,
+    "edges": q_edges,
+    "chains_simple": q_chains_simple,
+    "chains_revisit": q_chains_revisit,
+    "chain_graph": q_chain_graph,
+    "components": q_components,
+    "supply_components": q_supply_components,
+    "statement_catalogue": q_statement_catalogue,
 }
 
 
@@ -233,6 +343,90 @@ pairs AS (SELECT normalized_query, next_query, count(*) AS count FROM nx WHERE n
 {_conf_select(threshold)}"""
 
 
+_TRACES = f"""
+el AS (
+  SELECT seq, ts, line, regexp_extract(line, '([A-Z]{{3}}\\d{{4}})', 1) AS entity,
+         string_split(line, ' WHERE ')[1] AS normalized_line
+  FROM log WHERE {_NOT_ECHO} AND contains(line, ' QUERY ')
+),
+tr AS (
+  SELECT entity, ts, normalized_line, min(seq) AS seq FROM el WHERE entity <> ''
+  GROUP BY entity, ts, line, normalized_line
+),
+te AS (
+  SELECT entity, ts, seq, string_split(normalized_line, 'QUERY      : ')[2] AS query_text FROM tr
+  WHERE contains(normalized_line, 'QUERY      : ')
+),
+nodes AS (
+  SELECT row_number() OVER (ORDER BY entity, ts, seq) - 1 AS node_id, entity, query_text FROM (
+    SELECT entity, query_text, ts, seq,
+           row_number() OVER (PARTITION BY entity, query_text ORDER BY ts, seq) AS k FROM te
+  ) WHERE k = 1
+)"""
+
+_GRAPH = _pairs_sql(False, True, False) + f""",
+conf AS ({_conf_select(PAIR_THRESHOLD)}),
+leg AS (
+  SELECT query, 'Q' || CAST(ordinal AS VARCHAR) AS id, ordinal FROM (
+    SELECT query, row_number() OVER (ORDER BY query) AS ordinal FROM (
+      SELECT normalized_query AS query FROM conf UNION SELECT next_query FROM conf))
+),
+edg AS (
+  SELECT s.id AS start_id, e.id AS end_id, s.ordinal AS start_ordinal, e.ordinal AS end_ordinal,
+         c.confidence, c.count, c.total_count
+  FROM conf c JOIN leg s ON c.normalized_query = s.query JOIN leg e ON c.next_query = e.query
+)"""
+
+
+def _paths_cte(revisit: bool) -> str:
+    loop = "" if revisit else "AND start_id <> end_id"
+    seen = "" if revisit else "AND NOT list_contains(p.path, e.end_id)"
+    return f"""
+paths AS (
+  SELECT [start_id, end_id] AS path, end_id AS last, confidence, 1 AS length FROM edg
+  WHERE confidence >= {CHAIN_MIN} {loop}
+  UNION ALL
+  SELECT list_append(p.path, e.end_id), e.end_id, p.confidence * e.confidence, p.length + 1
+  FROM paths p JOIN edg e ON p.last = e.start_id
+  WHERE p.length < {CHAIN_LENGTH} AND p.confidence * e.confidence >= {CHAIN_MIN} {seen}
+)"""
+
+
+_CHAIN_GRAPH = """
+steps AS (
+  SELECT DISTINCT path[i] AS start_id, path[i + 1] AS end_id
+  FROM (SELECT path, unnest(range(1, len(path))) AS i FROM paths)
+),
+cg AS (SELECT * FROM edg WHERE (start_id, end_id) IN (SELECT (start_id, end_id) FROM steps))"""
+
+_COMPONENTS = """
+und AS (SELECT start_ordinal AS a, end_ordinal AS b FROM cg UNION SELECT end_ordinal, start_ordinal FROM cg),
+reach(v, w) AS (
+  SELECT a, a FROM und
+  UNION
+  SELECT r.v, u.b FROM reach r JOIN und u ON r.w = u.a
+),
+comp AS (SELECT v, min(w) AS root FROM reach GROUP BY v)"""
+
+_SUPPLY = """WITH RECURSIVE
+und AS (
+  SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem
+  WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL
+  UNION SELECT DISTINCT l_suppkey * 2 + 1, l_partkey * 2 FROM lineitem
+  WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL
+),
+reach(v, w) AS (
+  SELECT a, a FROM und
+  UNION
+  SELECT r.v, u.b FROM reach r JOIN und u ON r.w = u.a
+)
+SELECT v AS vertex, min(w) AS component FROM reach GROUP BY v"""
+
+
+def _with_rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",".join([_LOG_CTE, *ctes]) + "\n"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "scan_events": _with() + "SELECT seq AS event_id, ts, line FROM log",
@@ -275,4 +469,37 @@ SELECT seq AS event_id, normalized_query, row_number() OVER (ORDER BY seq) - 1 A
         "case_pairs": _with(_pairs_sql(False, True, True)) + _conf_select(0),
         "event_type_pairs": _seq_conf_sql("events", None, "event_type", "event_id", 0),
         "order_priority_pairs": _seq_conf_sql("orders", "o_custkey", "o_orderpriority", "o_orderdate, o_orderkey", 0),
+        "entity_traces": _with(_TRACES) + """
+SELECT entity, count(*) OVER (PARTITION BY entity) AS query_count,
+       row_number() OVER (PARTITION BY entity ORDER BY ts, seq) - 1 AS pos, ts, seq AS event_id, normalized_line
+FROM tr""",
+        "record_groups": _with() + f"""
+SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY seq) - 1 AS pos, seq AS event_id, line FROM (
+  SELECT seq, line, regexp_extract(line, 'WHERE. *?\\bORDERS\\.ID\\s*=\\s*(\\d+)', 1) AS record_id
+  FROM log WHERE {_NOT_ECHO}
+) WHERE record_id <> ''""",
+        "trace_nodes": _with(_TRACES) + "SELECT node_id, entity, query_text FROM nodes",
+        "trace_graph": _with(_TRACES) + """
+, ev AS (SELECT te.entity, te.ts, te.seq, n.node_id FROM te JOIN nodes n USING (entity, query_text)),
+nx AS (
+  SELECT node_id AS start_node, lead(node_id) OVER w AS end_node, lead(ts) OVER w AS nts, lead(seq) OVER w AS nseq
+  FROM ev WINDOW w AS (PARTITION BY entity ORDER BY ts, seq)
+)
+SELECT start_node, end_node, strftime(nts, '%H:%M:%S') AS label, count(*) OVER (PARTITION BY start_node, end_node) AS count
+FROM nx WHERE end_node IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY start_node, end_node ORDER BY nts DESC, nseq DESC) = 1""",
+        "legend": _with(_GRAPH) + "SELECT query, id, ordinal FROM leg",
+        "statement_kind": _with(_GRAPH) + """
+SELECT query, id, ordinal,
+       CASE WHEN contains(query, 'SELECT') THEN 'read' WHEN contains(query, 'INSERT') THEN 'insert' ELSE 'write' END AS kind
+FROM leg""",
+        "edges": _with(_GRAPH) + "SELECT * FROM edg",
+        "chains_simple": _with_rec(_GRAPH, _paths_cte(False))
+        + "SELECT array_to_string(path, ' -> ') AS chain, CAST(length AS BIGINT) AS length, confidence FROM paths",
+        "chains_revisit": _with_rec(_GRAPH, _paths_cte(True))
+        + "SELECT array_to_string(path, ' -> ') AS chain, CAST(length AS BIGINT) AS length, confidence FROM paths",
+        "chain_graph": _with_rec(_GRAPH, _paths_cte(False), _CHAIN_GRAPH) + "SELECT * FROM cg",
+        "components": _with_rec(_GRAPH, _paths_cte(False), _CHAIN_GRAPH, _COMPONENTS) + """
+SELECT dense_rank() OVER (ORDER BY c.root) AS component_id, l.query FROM comp c JOIN leg l ON l.ordinal = c.v""",
+        "supply_components": _SUPPLY,
     }

@@ -155,8 +155,9 @@ def before_where(line) -> Column:
 
 
 def query_text(line) -> Column:
-    """Text after the ``QUERY      : `` marker; null when the marker is absent."""
-    return F.get(F.split(col_of(line), _regex_literal(QUERY_MARKER), 2), F.lit(1))
+    """Text after the ``QUERY      : `` marker, up to a second marker if any
+    (``split(marker)[1]``); null when the marker is absent (P9)."""
+    return _after(col_of(line), QUERY_MARKER, truncate_repeat=True)
 
 
 # ---------------------------------------------------------------------------
