@@ -210,7 +210,7 @@ def q_statement_catalogue(spark, sf_dir):
         F.array_join(F.transform("where", lambda w: w["condition"]), " | ").alias("conditions"),
         F.array_join(F.transform("where", lambda w: w["operator"]), ",").alias("operators"),
         F.array_join(F.transform("from_tokens", lambda t: F.concat(t["kind"], F.lit(":"), t["value"])), " | ")
-        .alias("from_tokens"))
+        .alias("from_tokens")).distinct()
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -427,6 +427,102 @@ def _with_rec(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",".join([_LOG_CTE, *ctes]) + "\n"
 
 
+_DML = "'SELECT','INSERT','UPDATE','DELETE'"
+_CLAUSES = "'FROM','WHERE','SET','VALUES','INTO'"
+_TAILS = "'GROUP','ORDER','HAVING','LIMIT','UNION','EXCEPT','INTERSECT','OFFSET','FETCH','RETURNING','FOR'"
+_JOINS = "'JOIN','INNER','LEFT','RIGHT','FULL','OUTER','CROSS','NATURAL'"
+_W = "PARTITION BY statement ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+_STRUCTURE = f"""
+stmts AS (
+  SELECT DISTINCT replace({_body('value', False)}, chr(10), ' ') AS statement FROM raw
+  WHERE contains(value, 'user') AND starts_with(value, '[') AND {_STMT_UNSPACED.replace('line', 'value')}
+),
+tok AS (
+  SELECT statement, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM (
+    SELECT statement, regexp_extract_all(statement, '\\s*(?:[(),?]|\\w+(?:\\.\\w+)*|[^\\s\\w(),?]+)') AS ts FROM stmts)
+),
+t1 AS (
+  SELECT statement, i, t, upper(trim(t)) AS u,
+    coalesce(sum(CASE upper(trim(t)) WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER ({_W}), 0) AS d
+  FROM tok
+),
+t2 AS (
+  SELECT *, d = 0 AND (u IN ({_DML}) OR u IN ({_CLAUSES}) OR u IN ({_TAILS})) AS is_b,
+    CASE WHEN u IN ({_TAILS}) THEN 'TAIL' ELSE u END AS bmap FROM t1
+),
+t3 AS (
+  SELECT *, coalesce(last_value(CASE WHEN is_b THEN bmap END IGNORE NULLS) OVER ({_W}), '') AS base,
+    coalesce(sum(CASE WHEN is_b THEN 1 ELSE 0 END) OVER ({_W}), 0) AS seg FROM t2
+),
+t4 AS (
+  SELECT *, CASE WHEN base = 'FROM' THEN coalesce(last_value(
+      CASE WHEN d = 0 AND u IN ('ON','USING') THEN 'ON' WHEN d = 0 AND u IN ({_JOINS}) THEN 'FROM' END IGNORE NULLS)
+      OVER (PARTITION BY statement, seg ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'FROM')
+      ELSE base END AS state
+  FROM t3
+),
+t5 AS (
+  SELECT *, coalesce(last_value(CASE WHEN d = 0 AND ((u = 'BETWEEN' AND state = 'WHERE') OR u = 'AND') THEN u END IGNORE NULLS)
+      OVER ({_W}), '') = 'BETWEEN' AS btw,
+    d = 0 AND state IN ('FROM','ON') AND u IN ({_JOINS}) AS is_join,
+    d = 0 AND state = 'FROM' AND u IN ('ON','USING') AS is_on,
+    d = 0 AND state IN ('SELECT','SET','FROM') AND u = ',' AS is_list
+  FROM t4
+),
+t6 AS (
+  SELECT *, d = 0 AND state = 'WHERE' AND u IN ('AND','OR') AND NOT (u = 'AND' AND btw) AS is_bool FROM t5
+),
+t7 AS (
+  SELECT *, is_b OR is_list OR is_bool OR is_join OR is_on AS is_cut FROM t6
+),
+t8 AS (
+  SELECT *, coalesce(sum(CASE WHEN is_cut THEN 1 ELSE 0 END) OVER ({_W}), 0) AS k,
+    CASE WHEN is_join THEN i - row_number() OVER (PARTITION BY statement, is_join ORDER BY i) END AS run
+  FROM t7
+),
+cuts AS (SELECT statement, k - 0 AS k, i AS epos, CASE WHEN is_list OR is_bool THEN u ELSE '' END AS sep,
+           row_number() OVER (PARTITION BY statement ORDER BY i) - 1 AS kk FROM t8 WHERE is_cut),
+members AS (
+  SELECT statement, k, min(state) AS clause, trim(string_agg(t, '' ORDER BY i)) AS text FROM t8
+  WHERE NOT is_cut GROUP BY statement, k
+),
+cur_items AS (
+  SELECT m.statement, coalesce(c.epos, 1000000000) AS epos, 0 AS sub, m.clause, m.text, coalesce(c.sep, '') AS sep
+  FROM members m LEFT JOIN cuts c ON c.statement = m.statement AND c.kk = m.k WHERE m.text <> ''
+),
+runs AS (SELECT statement, run, max(i) AS last_i, string_agg(u, ' ' ORDER BY i) AS kw FROM t8 WHERE is_join GROUP BY ALL),
+kw_items AS (
+  SELECT r.statement, coalesce(min(n.i), 1000000000) AS epos, 1 AS sub, 'KW' AS clause, r.kw AS text, '' AS sep
+  FROM runs r LEFT JOIN t8 n ON n.statement = r.statement AND n.i = r.last_i + 1 GROUP BY r.statement, r.run, r.kw
+),
+on_items AS (SELECT statement, i AS epos, 2 AS sub, 'KW' AS clause, u AS text, '' AS sep FROM t8 WHERE is_on),
+items AS (SELECT * FROM cur_items UNION ALL SELECT * FROM kw_items UNION ALL SELECT * FROM on_items),
+kinds AS (SELECT statement, coalesce(min_by(u, i) FILTER (WHERE d = 0 AND u IN ({_DML})), '') AS type FROM t8 GROUP BY statement),
+refs AS (
+  SELECT statement, epos, sub, regexp_extract(text, '^(\\(.*\\)|\\S+)(?:\\s+(?:AS\\s+)?(\\w+))?$', 1) AS tbl,
+    regexp_extract(text, '^(\\(.*\\)|\\S+)(?:\\s+(?:AS\\s+)?(\\w+))?$', 2) AS alias
+  FROM items WHERE clause = 'FROM'
+),
+agg AS (
+  SELECT s.statement, k.type,
+    coalesce((SELECT string_agg(CASE WHEN alias <> '' THEN alias ELSE tbl END, ',' ORDER BY epos, sub) FROM refs r
+              WHERE r.statement = s.statement), '') AS tables,
+    coalesce((SELECT string_agg(text, ',' ORDER BY epos, sub) FROM items x WHERE x.statement = s.statement AND clause = 'SELECT'), '') AS columns,
+    coalesce((SELECT string_agg(regexp_extract(text, '^(\\w+)\\s*\\((.*)\\)$', 1) || '(' ||
+                                regexp_extract(text, '^(\\w+)\\s*\\((.*)\\)$', 2) || ')', ',' ORDER BY epos, sub)
+              FROM items x WHERE x.statement = s.statement AND clause = 'SELECT'
+                AND regexp_extract(text, '^(\\w+)\\s*\\((.*)\\)$', 1) <> ''), '') AS functions,
+    (SELECT string_agg(trim(regexp_replace(regexp_replace(text, '\\b\\d+(\\.\\d+)?\\b', '?', 'g'), '\\s+', ' ', 'g')),
+                       ' | ' ORDER BY epos, sub) FROM items x WHERE x.statement = s.statement AND clause = 'WHERE') AS conditions,
+    (SELECT string_agg(sep, ',' ORDER BY epos, sub) FROM items x WHERE x.statement = s.statement AND clause = 'WHERE') AS operators,
+    coalesce((SELECT string_agg(CASE WHEN clause = 'KW' THEN 'keyword' WHEN starts_with(trim(text), '(') THEN 'subquery'
+                                ELSE 'table' END || ':' || text, ' | ' ORDER BY epos, sub)
+              FROM items x WHERE x.statement = s.statement AND clause IN ('FROM', 'KW')), '') AS from_tokens
+  FROM stmts s JOIN kinds k USING (statement)
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "scan_events": _with() + "SELECT seq AS event_id, ts, line FROM log",
@@ -502,4 +598,6 @@ FROM leg""",
         "components": _with_rec(_GRAPH, _paths_cte(False), _CHAIN_GRAPH, _COMPONENTS) + """
 SELECT dense_rank() OVER (ORDER BY c.root) AS component_id, l.query FROM comp c JOIN leg l ON l.ordinal = c.v""",
         "supply_components": _SUPPLY,
+        "statement_catalogue": _with(_STRUCTURE) + """
+SELECT DISTINCT type, tables, columns, functions, conditions, operators, from_tokens FROM agg WHERE type = 'SELECT'""",
     }

@@ -63,8 +63,8 @@ def _zero() -> Column:
         F.array().cast(f"array<{ITEM_TYPE}>").alias("items"))
 
 
-def _step(acc: Column, t: Column) -> Column:
-    u = F.upper(F.trim(t))
+def _step(acc: Column, tok: Column) -> Column:
+    t, u = tok["t"], tok["u"]
     d, clause, cur, kw = acc["d"], acc["clause"], acc["cur"], acc["kw"]
     top = d == 0
     in_from = clause.isin("FROM", "ON")
@@ -72,7 +72,7 @@ def _step(acc: Column, t: Column) -> Column:
     is_clause = top & (u.isin(*CLAUSE_WORDS) | u.isin(*TAIL_WORDS))
     boundary = is_dml | is_clause
     new_clause = F.when(is_dml, u).when(u.isin(*TAIL_WORDS), F.lit("TAIL")).otherwise(u)
-    between_and = acc["btw"] & (u == "AND")
+    between_and = acc["btw"] & top & (u == "AND")
     sep_list = top & (((clause == "SELECT") | (clause == "SET") | (clause == "FROM")) & (u == ","))
     sep_bool = top & (clause == "WHERE") & u.isin(*BOOL_WORDS) & ~between_and
     join_word = top & in_from & u.isin(*JOIN_WORDS)
@@ -80,12 +80,14 @@ def _step(acc: Column, t: Column) -> Column:
     cut = boundary | sep_list | sep_bool | join_word | on_word
     has_cur = F.trim(cur) != ""
     flush_kw = (kw != "") & ~join_word
-    items = _append(
+    emit_cur = cut & has_cur
+    emit_kw = flush_kw & (cut | in_from)
+    items = F.when(emit_cur | emit_kw | on_word, _append(
         acc["items"],
-        _item(cut & has_cur, clause, F.trim(cur), F.when(sep_list | sep_bool, u).otherwise(F.lit(""))),
-        _item(flush_kw & (cut | in_from), "KW", kw, ""),
+        _item(emit_cur, clause, F.trim(cur), F.when(sep_list | sep_bool, u).otherwise(F.lit(""))),
+        _item(emit_kw, "KW", kw, ""),
         _item(on_word, "KW", u, ""),
-    )
+    )).otherwise(acc["items"])
     return F.struct(
         (d + F.when(u == "(", 1).when(u == ")", -1).otherwise(0)).alias("d"),
         F.when(boundary, new_clause).when(on_word, F.lit("ON")).when(join_word, F.lit("FROM"))
@@ -110,7 +112,8 @@ def _finish(acc: Column) -> Column:
 def clause_items(statement) -> Column:
     """``struct(kind, items ARRAY<struct(clause, text, sep)>)`` of a statement."""
     tokens = F.regexp_extract_all(T.col_of(statement), F.lit(TOKEN_PATTERN), 0)
-    return F.aggregate(tokens, _zero(), _step, _finish)
+    tagged = F.transform(tokens, lambda t: F.struct(t.alias("t"), F.upper(F.trim(t)).alias("u")))
+    return F.aggregate(tagged, _zero(), _step, _finish)
 
 
 def _texts(items: Column, clause: str) -> Column:
@@ -162,7 +165,11 @@ def statement_catalogue(statements: DataFrame, col: str = "line", kind: str | No
 
     Distinct texts first (statements repeat), then the type test on the cheap
     leading keyword, then the full structure, then distinct structures."""
-    texts = statements.select(F.col(col).alias("statement")).distinct()
+    spark = statements.sparkSession
+    # The walk is CPU-bound per statement: spread the distinct texts over the
+    # cluster instead of letting AQE coalesce a small shuffle into one task.
+    texts = (statements.select(F.col(col).alias("statement")).distinct()
+             .repartition(spark.sparkContext.defaultParallelism, "statement"))
     s = texts.select(statement_structure("statement").alias("s")).select("s.*")     # P16
     if kind is not None:
         s = s.filter(F.col("type") == kind)                                           # F13
