@@ -18,6 +18,7 @@ from qtrail.operators import pairs as X
 from qtrail.operators import structure as S
 from qtrail.operators import traces as TR
 from qtrail.sources import auditlog as A
+from qtrail.session import materialize
 from qtrail.sources import rendered as R
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -131,7 +132,8 @@ def q_record_groups(spark, sf_dir):
 
 
 def _trace_events(spark, sf_dir):
-    return TR.trace_events(TR.entity_traces(_log(spark, sf_dir), R.RENDERED_PLATE_PATTERN))
+    # used twice (node numbering, then edges): computed once
+    return materialize(TR.trace_events(TR.entity_traces(_log(spark, sf_dir), R.RENDERED_PLATE_PATTERN)))
 
 
 def q_trace_nodes(spark, sf_dir):
@@ -144,9 +146,11 @@ def q_trace_graph(spark, sf_dir):
 
 
 def _graph_inputs(spark, sf_dir):
-    conf = X.pair_confidence(_log(spark, sf_dir), None, PAIR_THRESHOLD)
+    # the edge table feeds legend, edges, chains, chain graph and components:
+    # mined once from the log, then every graph step reads the materialised copy
+    conf = materialize(X.pair_confidence(_log(spark, sf_dir), None, PAIR_THRESHOLD))
     leg = G.legend(conf)
-    return conf, leg, G.edges(conf, leg)
+    return conf, leg, materialize(G.edges(conf, leg))
 
 
 def q_legend(spark, sf_dir):

@@ -33,12 +33,13 @@ TABLE_PATTERN = r"(INSERT INTO|UPDATE)\s+([a-zA-Z0-9_]+)"
 # Role of the statements picked by the structure job ("inspector").
 INSPECTOR_ROLE = "Ελεγκτης"
 # Day-first timestamp text, same grammar as strptime("%d/%m/%Y %H:%M:%S").
-TS_PATTERN = (r"^(3[01]|[12][0-9]|0?[1-9]| [1-9])/(1[0-2]|0?[1-9])/([0-9]{4})"
-              r"\s+(2[0-3]|[01]?[0-9]):([0-5]?[0-9]):([0-5]?[0-9])$")
+TS_PATTERN = (r"^(?:3[01]|[12][0-9]|0?[1-9]| [1-9])/(?:1[0-2]|0?[1-9])/[0-9]{4}"
+              r"BLANK+(?:2[0-3]|[01]?[0-9]):[0-5]?[0-9]:[0-5]?[0-9]$")
 
-# Python's str.isspace() set = Unicode White_Space plus the four separators
-# U+001C..U+001F; Java's (?U)\s lacks the latter, so they are added.
-_BLANK = r"[\s\x{1c}-\x{1f}]"
+# Python's str.isspace() set, written out (Unicode White_Space plus the four
+# separators U+001C..U+001F), so no Unicode-mode regex is needed for blanks.
+_BLANK = (r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+          r"\x{202f}\x{205f}\x{3000}]")
 _NUMBER = r"(?U)\b\d+(\.\d+)?\b"
 _QUOTED = r"'[^\n]*?'"             # Python's '.*?' (dot stops only at \n)
 
@@ -57,7 +58,7 @@ def col_of(c) -> Column:
 # ---------------------------------------------------------------------------
 def py_strip(c) -> Column:
     """``str.strip()``: remove leading/trailing Unicode blanks."""
-    return F.regexp_replace(col_of(c), rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.regexp_replace(col_of(c), rf"^{_BLANK}+|{_BLANK}+$", "")
 
 
 def ts_text(line) -> Column:
@@ -66,13 +67,15 @@ def ts_text(line) -> Column:
 
 
 def parse_day_first(text) -> Column:
-    """``dd/mm/yyyy HH:MM:SS`` (unpadded accepted) → TIMESTAMP_NTZ, invalid → null."""
-    t = col_of(text)
-    parts = [F.regexp_extract(t, "(?U)" + TS_PATTERN, i) for i in range(1, 7)]
-    matched = t.rlike("(?U)" + TS_PATTERN)
-    day, month, year, hour, minute, second = (F.trim(p).cast("int") for p in parts)
-    ts = F.try_make_timestamp_ntz(year, month, day, hour, minute, second)
-    return F.when(matched & (year > 0), ts)
+    """``dd/mm/yyyy HH:MM:SS`` (unpadded accepted) → TIMESTAMP_NTZ, invalid → null.
+
+    One anchored match checks the whole grammar; the six numbers are then
+    split out of the match and ``try_make_timestamp_ntz`` rejects impossible
+    dates such as 31/02."""
+    m = F.regexp_extract(col_of(text), TS_PATTERN.replace("BLANK", _BLANK), 0)
+    n = F.split(F.trim(m), r"[^0-9]+")
+    day, month, year, hour, minute, second = (F.get(n, F.lit(i)).cast("int") for i in range(6))
+    return F.when((m != "") & (year > 0), F.try_make_timestamp_ntz(year, month, day, hour, minute, second))
 
 
 def token(line, index: int, sep: str = " ") -> Column:
@@ -107,7 +110,7 @@ def replace_numbers(c) -> Column:
 
 def squeeze_blanks(c) -> Column:
     """Runs of Unicode blanks → one blank, then strip (P4 step 4, P20)."""
-    return F.trim(F.regexp_replace(col_of(c), f"(?U){_BLANK}+", " "))
+    return F.trim(F.regexp_replace(col_of(c), f"{_BLANK}+", " "))
 
 
 def statement_body(line, spaced: bool = True, truncate_repeat: bool = True) -> Column:

@@ -120,9 +120,10 @@ def _texts(items: Column, clause: str) -> Column:
     return F.transform(F.filter(items, lambda x: x["clause"] == clause), lambda x: x["text"])
 
 
-def statement_structure(statement) -> Column:
-    """Q1: ``struct(type, tables, table_refs, from_tokens, where, columns, functions)``."""
-    parsed = clause_items(F.translate(T.col_of(statement), "\n", " "))      # P17
+def structure_of(parsed) -> Column:
+    """Q1 fields from a parsed statement (``clause_items``): ``struct(type,
+    tables, table_refs, from_tokens, where, columns, functions)``."""
+    parsed = T.col_of(parsed)
     items = parsed["items"]
     kind = parsed["kind"]
     ref = lambda x: F.struct(
@@ -160,20 +161,41 @@ def statement_structure(statement) -> Column:
                     functions.alias("functions"))
 
 
+def statement_structure(statement) -> Column:
+    """Q1 as one column expression (convenient for small inputs; at scale use
+    ``with_structure``, which walks each statement only once)."""
+    return structure_of(clause_items(F.translate(T.col_of(statement), "\n", " ")))
+
+
+def with_structure(df: DataFrame, col: str = "statement", kind: str | None = None) -> DataFrame:
+    """Structure fields of ``col`` as columns, walking every statement once.
+
+    The walk is projected on its own: Catalyst keeps a non-cheap expression
+    that is read several times in a separate projection, so the derived fields
+    read its result instead of repeating the walk.  The optional type filter
+    (F13) is applied by ``inline`` of a zero-or-one element array, so it is not
+    pushed below the walk and evaluated twice."""
+    walked = df.select(clause_items(F.translate(F.col(col), "\n", " ")).alias("_p"))      # P17
+    shaped = walked.select(structure_of("_p").alias("_s"))
+    if kind is None:
+        return shaped.select("_s.*")                                                      # P16
+    return shaped.select(F.inline(F.filter(F.array("_s"), lambda r: r["type"] == kind)))
+
+
 def statement_catalogue(statements: DataFrame, col: str = "line", kind: str | None = "SELECT") -> DataFrame:
     """Q8: distinct structures of the distinct statements of one type.
 
-    Distinct texts first (statements repeat), then the type test on the cheap
-    leading keyword, then the full structure, then distinct structures."""
+    Distinct texts first (statements repeat), a cheap necessary-condition test
+    for the type keyword, then one walk per statement, then distinct
+    structures."""
     spark = statements.sparkSession
     # The walk is CPU-bound per statement: spread the distinct texts over the
     # cluster instead of letting AQE coalesce a small shuffle into one task.
     texts = (statements.select(F.col(col).alias("statement")).distinct()
              .repartition(spark.sparkContext.defaultParallelism, "statement"))
-    s = texts.select(statement_structure("statement").alias("s")).select("s.*")     # P16
     if kind is not None:
-        s = s.filter(F.col("type") == kind)                                           # F13
-    return s.distinct()
+        texts = texts.filter(F.upper("statement").contains(kind))
+    return with_structure(texts, "statement", kind).distinct()
 
 
 def catalogue_strings(catalogue: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ from ..operators import graph as G
 from ..operators import pairs as X
 from ..operators import structure as S
 from ..operators import traces as TR
+from ..session import materialize
 from ..sinks import files as K
 from ..sources import auditlog as A
 from ..sources import tables as TB
@@ -83,8 +84,9 @@ def query_graph(spark: SparkSession, confidence: DataFrame, out_dir: str, min_co
                 max_length: int = 5, allow_revisit: bool = False) -> dict[str, str]:
     """Legend, chains, chain graph and components of a confidence edge table."""
     out = out_dir.rstrip("/")
+    confidence = materialize(confidence)
     leg = G.legend(confidence)
-    edges = G.edges(confidence, leg)
+    edges = materialize(G.edges(confidence, leg))
     chains = G.chains(edges, min_confidence, max_length, allow_revisit, sort=True)
     graph = G.chain_graph(chains, edges)
     comps = G.query_components(graph, leg)
@@ -100,7 +102,7 @@ def query_graph(spark: SparkSession, confidence: DataFrame, out_dir: str, min_co
 def trace_graph_job(spark: SparkSession, nested_traces: DataFrame, out_dir: str) -> dict[str, str]:
     """Nodes and directly-follows edges of nested entity traces."""
     out = out_dir.rstrip("/")
-    events = TR.trace_events(TB.flatten_traces(nested_traces))
+    events = materialize(TR.trace_events(TB.flatten_traces(nested_traces)))
     nodes = TR.trace_nodes(events)
     K.write_json(nodes, f"{out}/trace_nodes")
     K.write_json(TR.trace_graph(events, nodes), f"{out}/trace_edges")

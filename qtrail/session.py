@@ -39,6 +39,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
+    shared checkpoint folder (survives executor loss; never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Give CPU-bound per-row work at least one partition per core.
+
+    A small input (one file, one row group) arrives as a single partition and
+    would run every per-line regex in one task.  Large inputs already have at
+    least ``defaultParallelism`` splits and are returned unchanged (no shuffle)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "qtrail") -> SparkSession:
     """Session used by tests and the bench (the library itself never builds one)."""
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName(app)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
+from ..session import spread
 
 DEFAULT_CODEPAGE = "windows-1253"
 LOG_COLUMNS = ["seq", "block", "ts", "line"]
@@ -58,14 +59,18 @@ def parse_audit_lines(raw: DataFrame, value: str = "value") -> DataFrame:
     """Raw lines (seq, block, value) → ordered event table (seq, block, ts, line).
 
     Keeps record lines (first char '['), parses the day-first timestamp
-    between '[' and the first ']' (invalid → row dropped), strips Unicode
-    blanks and drops empty lines (F1, F2, P1, P2)."""
+    between '[' and the first ']' (invalid → row dropped) and strips Unicode
+    blanks (F1, F2, P1, P2).  A record line is never blank after stripping
+    (it starts with '['), so F2's empty-line test is implied.
+
+    The timestamp test is applied by exploding a zero-or-one element array
+    rather than by a Filter: a Filter would be pushed below the projection
+    and evaluate the parse (and the expression producing ``value``) again."""
     v = F.col(value)
+    parsed = F.struct(T.parse_day_first(T.ts_text(v)).alias("ts"), T.py_strip(v).alias("line"))
+    kept = F.filter(F.array(parsed), lambda r: r["ts"].isNotNull())
     return (raw.filter(P.is_record(v))
-            .select("seq", "block",
-                    T.parse_day_first(T.ts_text(v)).alias("ts"),
-                    T.py_strip(v).alias("line"))
-            .filter(F.col("ts").isNotNull() & F.col("line").isNotNull() & (F.col("line") != "")))
+            .select("seq", "block", F.inline(kept)))
 
 
 def read_raw_lines(spark: SparkSession, paths, codepage: str | None = DEFAULT_CODEPAGE) -> DataFrame:
@@ -75,11 +80,13 @@ def read_raw_lines(spark: SparkSession, paths, codepage: str | None = DEFAULT_CO
     df = spark.read.text(list(paths))
     f = F.col("_metadata.file_path")
     b = F.col("_metadata.file_block_start")
-    return df.select(
+    lines = df.select(
         F.struct(f.alias("file"), b.alias("start"), F.monotonically_increasing_id().alias("row")).alias("seq"),
         F.struct(f.alias("file"), b.alias("start")).alias("block"),
-        decode_codepage(F.col("value"), codepage).alias("value"),
+        F.col("value"),
     )
+    # seq is fixed above, in file order; only then may rows move between tasks
+    return spread(lines).withColumn("value", decode_codepage(F.col("value"), codepage))
 
 
 def read_audit_log(spark: SparkSession, paths, codepage: str | None = DEFAULT_CODEPAGE) -> DataFrame:

@@ -51,7 +51,9 @@ def render_events(events: DataFrame) -> DataFrame:
                 else body.when(F.col("event_type") == kind, text))
     value = F.concat(F.lit("["), F.date_format("ts", LINE_PREFIX_TS), F.lit("] "),
                      F.col("user_id").cast("string"), F.lit(f" {ROLE} "), body)
-    return events.select(
+    from ..session import spread
+    src = spread(events.select("event_id", "ts", "user_id", "event_type"))
+    return src.select(
         F.col("event_id").alias("seq"),
         F.shiftright(F.col("event_id"), BLOCK_BITS).alias("block"),
         value.alias("value"),
