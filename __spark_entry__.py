@@ -111,7 +111,7 @@ def q_case_pairs(spark, sf_dir):
 def q_event_type_pairs(spark, sf_dir):
     """X2 on the raw events table: activity = event_type, one global sequence."""
     ev = R.load_table(spark, sf_dir, "events")
-    return X.sequence_confidence(ev, None, "event_type", ["event_id"], F.shiftright("event_id", 16))
+    return X.sequence_confidence(ev, None, "event_type", ["event_id"], F.shiftright("event_id", 14))
 
 
 def q_order_priority_pairs(spark, sf_dir):

@@ -3,10 +3,12 @@ dense index over an arbitrary order (G1, W5, G6 numbering).
 
 A global ``Window.orderBy`` puts every row in one partition.  Instead each row
 belongs to a *block*: a key that is monotone in the order and bounded in size
-(an input block of the log file, or 2**16 consecutive ids).  Work is done per
+(an input block of the log file, or 2**14 consecutive ids).  Work is done per
 ``(partition_by, block)`` with ordinary partitioned windows, and blocks are
 stitched through a per-block summary table that holds one row per block, not
-per event.  A hot case or a hot hour therefore never lands in one task.
+per event.  That summary is itself stitched per coarse block (file, day,
+2**10 blocks), so the only window without a partition key sees one row per
+coarse block.  A hot case or a hot hour therefore never lands in one task.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from ..session import ensure_checkpoint_dir
 
 _BLK = "_blk"
+COARSE_BITS = 10
 
 
 def _as_col(c) -> Column:
@@ -33,8 +37,36 @@ def _rename_keys(df: DataFrame, keys) -> DataFrame:
     return df.select(*[F.col(c).alias("_r" + c) if c in keys else F.col(c) for c in df.columns])
 
 
+def coarser(block: Column, dtype: Ty.DataType):
+    """A key one level above ``block`` (also monotone): the file of an input
+    block, 2**10 consecutive numeric blocks, or the day of a time block."""
+    if isinstance(dtype, (Ty.LongType, Ty.IntegerType, Ty.ShortType)):
+        return F.shiftright(block, COARSE_BITS)
+    if isinstance(dtype, Ty.StructType) and "file" in dtype.fieldNames():
+        return block["file"]
+    if isinstance(dtype, (Ty.TimestampType, Ty.TimestampNTZType)):
+        return F.date_trunc("day", block)
+    return None
+
+
+def _next_heads(heads: DataFrame, pb, levels: int) -> DataFrame:
+    """For each ``(pb, _blk)`` the head of the next non-empty block.
+
+    This is the successor problem again, on a table with one row per block:
+    solved per coarse block and stitched one level up, so the only window
+    without a partition key runs over coarse keys (files, days, 2**26 ids)."""
+    dtype = heads.schema[_BLK].dataType
+    up = coarser(F.col("_b"), dtype) if levels > 0 else None
+    if up is None:
+        return heads.select(*pb, _BLK, F.lead("_head").over(Window.partitionBy(*pb).orderBy(_BLK))
+                            .alias("_next_head"))
+    renamed = heads.select(*pb, F.col(_BLK).alias("_b"), F.col("_head").alias("_h"))
+    nxt = with_successor(renamed, ["_h"], order=["_b"], block=up, partition_by=pb, prefix="_n", _levels=levels - 1)
+    return nxt.select(*pb, F.col("_b").alias(_BLK), F.col("_n_h").alias("_next_head"))
+
+
 def with_successor(df: DataFrame, values, order=("seq",), block="block", partition_by=(),
-                   prefix: str = "next_") -> DataFrame:
+                   prefix: str = "next_", _levels: int = 1) -> DataFrame:
     """Add ``<prefix><v>`` = value of the next row in ``order`` (per ``partition_by``).
 
     The last row of a group gets nulls.  ``order`` must be a total order and
@@ -49,8 +81,7 @@ def with_successor(df: DataFrame, values, order=("seq",), block="block", partiti
         "_next", F.lead(payload).over(Window.partitionBy(*pb, _BLK).orderBy(*order)))
     heads = (base.groupBy(*pb, _BLK)
              .agg(F.min_by(payload, F.struct(*[F.col(o) for o in order])).alias("_head")))
-    next_heads = heads.select(
-        *pb, _BLK, F.lead("_head").over(Window.partitionBy(*pb).orderBy(_BLK)).alias("_next_head"))
+    next_heads = _next_heads(heads, pb, _levels)
     keys = [*pb, _BLK]
     right = _rename_keys(next_heads, keys)
     joined = inner.join(right, _null_safe_on(inner, right, keys), "left")
@@ -58,6 +89,26 @@ def with_successor(df: DataFrame, values, order=("seq",), block="block", partiti
     return joined.select(*df.columns, *[nxt[v].alias(prefix + v) for v in values])
 
 
+def _block_offsets(counts: DataFrame, pb, levels: int) -> DataFrame:
+    """Rows before each ``(pb, _blk)``: running sum over blocks, solved per
+    coarse block plus coarse offsets (same two-level shape as ``_next_heads``)."""
+    before = Window.partitionBy(*pb).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    up = coarser(F.col(_BLK), counts.schema[_BLK].dataType) if levels > 0 else None
+    if up is None:
+        return counts.select(*pb, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    c = counts.withColumn("_cb", up)
+    inner_before = Window.partitionBy(*pb, "_cb").orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    local = c.select(*pb, "_cb", _BLK, F.coalesce(F.sum("_n").over(inner_before), F.lit(0)).alias("_loc"))
+    coarse = (c.groupBy(*pb, "_cb").agg(F.sum("_n").alias("_n"))
+              .withColumnRenamed("_cb", _BLK))
+    coarse_off = _block_offsets(coarse, pb, levels - 1).withColumnRenamed(_BLK, "_cb") \
+        .withColumnRenamed("_off", "_coff")
+    keys = [*pb, "_cb"]
+    right = _rename_keys(coarse_off, keys)
+    joined = local.join(right, _null_safe_on(local, right, keys), "left")
+    return joined.select(*pb, _BLK, (F.col("_coff") + F.col("_loc")).alias("_off"))
+
+
 def with_position(df: DataFrame, order=("seq",), block="block", partition_by=(), name: str = "pos",
                   start: int = 0) -> DataFrame:
     """Add a dense position (``start``, ``start+1``, …) in ``order`` per ``partition_by``."""
@@ -66,8 +117,7 @@ def with_position(df: DataFrame, order=("seq",), block="block", partition_by=(),
     base = df.withColumn(_BLK, _as_col(block))
     ranked = base.withColumn("_rn", F.row_number().over(Window.partitionBy(*pb, _BLK).orderBy(*order)))
     counts = base.groupBy(*pb, _BLK).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*pb).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*pb, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = _block_offsets(counts, pb, 1)
     keys = [*pb, _BLK]
     right = _rename_keys(offsets, keys)
     joined = ranked.join(right, _null_safe_on(ranked, right, keys), "left")

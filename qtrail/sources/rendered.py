@@ -3,7 +3,7 @@
 The reference's input log is not public, so the engine is exercised on a log
 that Spark derives line by line from ``events`` (one line per event, same
 format as the audit log).  File order is ``event_id`` order; ``block`` groups
-``2**16`` consecutive ids, so blocks are bounded in size whatever the skew of
+``2**14`` consecutive ids, so blocks are bounded in size whatever the skew of
 users or time.
 """
 
@@ -31,7 +31,7 @@ BODY_ARGS = {
     "purchase": ("event_id",),
     "error": ("event_id",),
 }
-BLOCK_BITS = 16
+BLOCK_BITS = 14
 # Patterns that fit the rendered log (ASCII plates, ORDERS ids).
 RENDERED_PLATE_PATTERN = r"([A-Z]{3}\d{4})"
 RENDERED_RECORD_ID_PATTERN = r"WHERE. *?\bORDERS\.ID\s*=\s*(\d+)"

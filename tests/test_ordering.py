@@ -40,3 +40,15 @@ def test_dense_index(spark):
     df = spark.createDataFrame([(f"k{i:04d}",) for i in range(500)], "k string").repartition(7)
     got = sorted((r.idx, r.k) for r in dense_index(df, ["k"], name="idx", start=1).collect())
     assert got == [(i + 1, f"k{i:04d}") for i in range(500)]
+
+
+def test_two_level_stitch_across_coarse_blocks(spark):
+    # one row per block, block ids spread over many coarse (2**10) groups, some groups empty
+    df = _events(spark).filter(F.col("seq") % 4 != 2).withColumn("block", F.col("seq") * 300)
+    got = {r.seq: r.next_q for r in with_successor(df, ["q"], block="block", partition_by=["case_id"]).collect()}
+    w = Window.partitionBy("case_id").orderBy("seq")
+    ref = {r.seq: r.nq for r in df.select("seq", F.lead("q").over(w).alias("nq")).collect()}
+    assert got == ref
+    got = {r.seq: r.pos for r in with_position(df, block="block").collect()}
+    ref = {r.seq: r.p for r in df.select("seq", (F.row_number().over(Window.orderBy("seq")) - 1).alias("p")).collect()}
+    assert got == ref
