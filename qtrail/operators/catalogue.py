@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
+from ..session import materialize
 from .ordering import with_position
 
+# Table catalogues up to this many names are broadcast to the mention join.
+BROADCAST_TABLE_ROWS = 100_000
+
 
 def _sorted(df: DataFrame, sort: bool, *keys) -> DataFrame:
     return df.orderBy(*keys) if sort else df
@@ -92,15 +96,31 @@ def table_names(log: DataFrame, pattern: str = T.TABLE_PATTERN) -> DataFrame:
             .filter(P.found("table_name")).distinct())
 
 
-def lines_by_table(log: DataFrame, tables: DataFrame, table_col: str = "table_name") -> DataFrame:
-    """Every line paired with each known table it mentions.
-
-    The table catalogue is distinct write-table names (bounded by the schema of
-    the audited database, not by the log), so it is broadcast and the theta
-    join runs map-side next to the scan."""
-    t = tables.select(F.col(table_col).alias("table_name"))
-    return (log.join(F.broadcast(t), F.col("line").contains(F.col("table_name")))
-            .select("seq", "ts", "table_name", "line"))
+def lines_by_table(log: DataFrame, tables: DataFrame, table_col: str = "table_name",
+                   broadcast_rows: int = BROADCAST_TABLE_ROWS) -> DataFrame:
+    """Every line paired with each known table whose name it contains
+    (substring test, as the reference intends).
+
+    The catalogue is materialised and counted first.  Up to ``broadcast_rows``
+    names it is broadcast and the theta join runs map-side next to the scan.
+    Beyond that an exact equi-join is used instead: a line contains name ``t``
+    iff one of its substrings of length ``len(t)`` equals ``t``, so each line
+    emits its substrings of the (few) distinct name lengths and is joined on
+    them; duplicates from repeated occurrences are removed per line."""
+    t = materialize(tables.select(F.col(table_col).alias("table_name")).filter(F.col("table_name") != "")
+                    .distinct())
+    if t.count() <= broadcast_rows:
+        return (log.join(F.broadcast(t), F.col("line").contains(F.col("table_name")))
+                .select("seq", "ts", "table_name", "line"))
+    lengths = [r[0] for r in t.select(F.length("table_name")).distinct().collect()]
+    def windows(n: int):
+        starts = F.when(F.length("line") >= n, F.sequence(F.lit(1), F.length("line") - n + 1)) \
+            .otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(F.col("line"), i, n))
+
+    subs = F.flatten(F.array(*[windows(n) for n in lengths]))
+    exploded = log.select("seq", "ts", "line", F.explode(F.array_distinct(subs)).alias("table_name"))
+    return exploded.join(t, "table_name").select("seq", "ts", "table_name", "line")
 
 
 def entity_lines(log: DataFrame, pattern: str = T.PLATE_PATTERN) -> DataFrame:

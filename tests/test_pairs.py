@@ -52,3 +52,12 @@ def test_threshold_is_strict(spark):
 def test_first_query_per_case_counts_one(spark):
     out = C.first_query_per_case(_log(spark)).collect()
     assert out and all(r["count"] == 1 for r in out)
+
+
+def test_lines_by_table_fallback_equals_broadcast(spark):
+    log = _log(spark)
+    tables = C.table_names(log, R.RENDERED_TABLE_PATTERN).union(
+        spark.createDataFrame([("ITEMS",), ("I",), ("NOPE",)], "table_name string"))
+    a = sorted(tuple(r) for r in C.lines_by_table(log, tables).select("seq", "table_name").collect())
+    b = sorted(tuple(r) for r in C.lines_by_table(log, tables, broadcast_rows=0).select("seq", "table_name").collect())
+    assert a == b and len(a) > 0
