@@ -76,11 +76,12 @@ def with_successor(df: DataFrame, values, order=("seq",), block="block", partiti
     pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     base = df.withColumn(_BLK, _as_col(block))
     payload = F.struct(*[F.col(v) for v in values])
-
-    inner = base.withColumn(
-        "_next", F.lead(payload).over(Window.partitionBy(*pb, _BLK).orderBy(*order)))
-    heads = (base.groupBy(*pb, _BLK)
-             .agg(F.min_by(payload, F.struct(*[F.col(o) for o in order])).alias("_head")))
+    w = Window.partitionBy(*pb, _BLK).orderBy(*order)
+    # one window pass gives each row's successor inside its block and marks
+    # the first row of every block; the block heads are read from that pass
+    inner = (base.withColumn("_next", F.lead(payload).over(w))
+             .withColumn("_first", F.lag(F.lit(1)).over(w).isNull()))
+    heads = inner.filter("_first").select(*pb, _BLK, payload.alias("_head"))
     next_heads = _next_heads(heads, pb, _levels)
     keys = [*pb, _BLK]
     right = _rename_keys(next_heads, keys)
@@ -115,8 +116,10 @@ def with_position(df: DataFrame, order=("seq",), block="block", partition_by=(),
     order = [order] if isinstance(order, str) else list(order)
     pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     base = df.withColumn(_BLK, _as_col(block))
-    ranked = base.withColumn("_rn", F.row_number().over(Window.partitionBy(*pb, _BLK).orderBy(*order)))
-    counts = base.groupBy(*pb, _BLK).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*pb, _BLK)
+    ranked = (base.withColumn("_rn", F.row_number().over(w.orderBy(*order)))
+              .withColumn("_size", F.count(F.lit(1)).over(w)))
+    counts = ranked.filter(F.col("_rn") == 1).select(*pb, _BLK, F.col("_size").alias("_n"))
     offsets = _block_offsets(counts, pb, 1)
     keys = [*pb, _BLK]
     right = _rename_keys(offsets, keys)

@@ -1,12 +1,9 @@
-"""End-to-end jobs over an audit log (the reference's three scripts as Spark jobs).
-
-* ``mine_log``        – catalogues, pairs, confidence, traces, record groups
-                        (parse_log);
-* ``query_graph``     – legend, chains, chain graph, components (graph and
-                        dynamic_graph);
-* ``trace_graph_job`` – nodes and directly-follows edges of entity traces
-                        (dynamic_grouped);
-* ``structure_job``   – distinct SELECT structure catalogue (extract_sql).
+"""End-to-end jobs over an audit log.
+
+* ``mine_log``        – catalogues, pairs, confidence, traces, record groups;
+* ``query_graph``     – legend, chains, chain graph, components of an edge table;
+* ``trace_graph_job`` – nodes and directly-follows edges of entity traces;
+* ``structure_job``   – distinct SELECT structure catalogue.
 
 The parsed log is written once as Parquet next to the outputs and every
 output reads that table, so the raw text is scanned and decoded once and the
