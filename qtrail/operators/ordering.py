@@ -54,7 +54,7 @@ def _next_heads(heads: DataFrame, pb, levels: int) -> DataFrame:
 
     This is the successor problem again, on a table with one row per block:
     solved per coarse block and stitched one level up, so the only window
-    without a partition key runs over coarse keys (files, days, 2**26 ids)."""
+    without a partition key runs over coarse keys (files, days, 2**24 ids)."""
     dtype = heads.schema[_BLK].dataType
     up = coarser(F.col("_b"), dtype) if levels > 0 else None
     if up is None:
@@ -65,6 +65,18 @@ def _next_heads(heads: DataFrame, pb, levels: int) -> DataFrame:
     return nxt.select(*pb, F.col("_b").alias(_BLK), F.col("_n_h").alias("_next_head"))
 
 
+def _packed(df: DataFrame, keys, block) -> tuple[DataFrame, list]:
+    """``df`` as ``(keys…, _payload struct of the other columns, _blk)``.
+
+    Every branch that is cut from the windowed table then needs exactly the
+    same columns at the window's exchange, so Spark reuses that exchange and
+    the (often expensive) expressions below it run once per row."""
+    others = [c for c in df.columns if c not in keys]
+    base = df.select(*keys, F.struct(*[F.col(c) for c in others]).alias("_payload"),
+                     _as_col(block).alias(_BLK))
+    return base, others
+
+
 def with_successor(df: DataFrame, values, order=("seq",), block="block", partition_by=(),
                    prefix: str = "next_", _levels: int = 1) -> DataFrame:
     """Add ``<prefix><v>`` = value of the next row in ``order`` (per ``partition_by``).
@@ -74,20 +86,21 @@ def with_successor(df: DataFrame, values, order=("seq",), block="block", partiti
     values = [values] if isinstance(values, str) else list(values)
     order = [order] if isinstance(order, str) else list(order)
     pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-    base = df.withColumn(_BLK, _as_col(block))
-    payload = F.struct(*[F.col(v) for v in values])
+    keys = list(dict.fromkeys([*pb, *order]))
+    base, others = _packed(df.select(*df.columns, *[F.col(v).alias("_v_" + v) for v in values]), keys, block)
     w = Window.partitionBy(*pb, _BLK).orderBy(*order)
     # one window pass gives each row's successor inside its block and marks
     # the first row of every block; the block heads are read from that pass
-    inner = (base.withColumn("_next", F.lead(payload).over(w))
-             .withColumn("_first", F.lag(F.lit(1)).over(w).isNull()))
-    heads = inner.filter("_first").select(*pb, _BLK, payload.alias("_head"))
+    inner = base.select("*", F.lead("_payload").over(w).alias("_next"),
+                        F.lag(F.lit(1)).over(w).isNull().alias("_first"))
+    heads = inner.filter("_first").select(*pb, _BLK, F.col("_payload").alias("_head"))
     next_heads = _next_heads(heads, pb, _levels)
-    keys = [*pb, _BLK]
-    right = _rename_keys(next_heads, keys)
-    joined = inner.join(right, _null_safe_on(inner, right, keys), "left")
+    jkeys = [*pb, _BLK]
+    right = _rename_keys(next_heads, jkeys)
+    joined = inner.join(right, _null_safe_on(inner, right, jkeys), "left")
     nxt = F.coalesce(F.col("_next"), F.col("_next_head"))
-    return joined.select(*df.columns, *[nxt[v].alias(prefix + v) for v in values])
+    cols = [F.col(c) if c in keys else F.col("_payload")[c].alias(c) for c in df.columns]
+    return joined.select(*cols, *[nxt["_v_" + v].alias(prefix + v) for v in values])
 
 
 def _block_offsets(counts: DataFrame, pb, levels: int) -> DataFrame:
@@ -110,21 +123,46 @@ def _block_offsets(counts: DataFrame, pb, levels: int) -> DataFrame:
     return joined.select(*pb, _BLK, (F.col("_coff") + F.col("_loc")).alias("_off"))
 
 
+def _orderable(dtype: Ty.DataType) -> bool:
+    if isinstance(dtype, Ty.MapType):
+        return False
+    if isinstance(dtype, Ty.StructType):
+        return all(_orderable(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, Ty.ArrayType):
+        return _orderable(dtype.elementType)
+    return True
+
+
 def with_position(df: DataFrame, order=("seq",), block="block", partition_by=(), name: str = "pos",
-                  start: int = 0) -> DataFrame:
-    """Add a dense position (``start``, ``start+1``, …) in ``order`` per ``partition_by``."""
+                  start: int = 0, total: str | None = None) -> DataFrame:
+    """Add a dense position (``start``, ``start+1``, …) in ``order`` per ``partition_by``;
+    with ``total``, also the number of rows of the group (from the same block counts).
+
+    The rows are also ordered by the packed payload after ``order``; ``order``
+    is total, so this never changes a position, but it makes the block-count
+    branch read the same columns as the main branch (one shared exchange)."""
     order = [order] if isinstance(order, str) else list(order)
     pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-    base = df.withColumn(_BLK, _as_col(block))
+    keys = list(dict.fromkeys([*pb, *order]))
+    base, _ = _packed(df, keys, block)
+    tie = ["_payload"] if _orderable(base.schema["_payload"].dataType) else []
     w = Window.partitionBy(*pb, _BLK)
-    ranked = (base.withColumn("_rn", F.row_number().over(w.orderBy(*order)))
-              .withColumn("_size", F.count(F.lit(1)).over(w)))
+    ranked = base.select("*", F.row_number().over(w.orderBy(*order, *tie)).alias("_rn"),
+                         F.count(F.lit(1)).over(w).alias("_size"))
     counts = ranked.filter(F.col("_rn") == 1).select(*pb, _BLK, F.col("_size").alias("_n"))
     offsets = _block_offsets(counts, pb, 1)
-    keys = [*pb, _BLK]
-    right = _rename_keys(offsets, keys)
-    joined = ranked.join(right, _null_safe_on(ranked, right, keys), "left")
-    return joined.select(*df.columns, (F.col("_off") + F.col("_rn") - 1 + start).cast("bigint").alias(name))
+    extra = []
+    if total is not None:
+        totals = counts.groupBy(*pb).agg(F.sum("_n").alias("_tot"))
+        rt = _rename_keys(totals, pb)
+        offsets = offsets.join(rt, _null_safe_on(offsets, rt, pb), "left").drop(*["_r" + k for k in pb]) \
+            if pb else offsets.crossJoin(totals)
+        extra = [F.col("_tot").cast("bigint").alias(total)]
+    jkeys = [*pb, _BLK]
+    right = _rename_keys(offsets, jkeys)
+    joined = ranked.join(right, _null_safe_on(ranked, right, jkeys), "left")
+    cols = [F.col(c) if c in keys else F.col("_payload")[c].alias(c) for c in df.columns]
+    return joined.select(*cols, (F.col("_off") + F.col("_rn") - 1 + start).cast("bigint").alias(name), *extra)
 
 
 def dense_index(df: DataFrame, order, name: str = "idx", start: int = 0) -> DataFrame:

@@ -5,13 +5,12 @@ across blocks, see ``ordering.with_successor``), then a single hash
 aggregation on ``(normalized_query, next_query)`` that also keeps the
 ``next_query IS NULL`` group.  Pair counts are the non-null groups; the total
 per template (A9, which counts the last event too) is the sum over all its
-groups.  The big table is scanned once, and only template-sized tables are
-joined afterwards.
+groups, taken on the small pair-count table.  The events are scanned once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalogue import statements
@@ -30,16 +29,26 @@ def template_events(log: DataFrame, valid: DataFrame | None = None, exclude_echo
 def successor_counts(events: DataFrame, query: str = "normalized_query", order=("seq",), block="block",
                      partition_by=()) -> DataFrame:
     """``(normalized_query, next_query, count)`` including the null successor group."""
-    nxt = with_successor(events, [query], order=order, block=block, partition_by=partition_by,
-                         prefix="_next_")
+    order = [order] if isinstance(order, str) else list(order)
+    pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    # only the columns the stitch needs: every branch of the plan then shares
+    # one exchange of the events instead of re-reading the source per branch
+    blk = F.col(block) if isinstance(block, str) else block
+    narrow = events.select(*pb, *order, query, blk.alias("_block"))
+    nxt = with_successor(narrow, [query], order=order, block="_block", partition_by=pb, prefix="_next_")
     return (nxt.groupBy(F.col(query).alias("normalized_query"), F.col("_next_" + query).alias("next_query"))
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def _pairs_and_totals(counts: DataFrame):
-    pairs = counts.filter(F.col("next_query").isNotNull())
-    totals = counts.groupBy("normalized_query").agg(F.sum("count").alias("total_count"))
-    return pairs, totals
+def _with_totals(counts: DataFrame) -> DataFrame:
+    """Pair counts with ``total_count`` of the first template (A9 + J2).
+
+    The total is the sum over all successor groups of the template, the null
+    (last event) group included; taken with a window over the small pair-count
+    table it equals the reference's join with per-template counts, and the
+    events are aggregated once instead of twice."""
+    total = F.sum("count").over(Window.partitionBy("normalized_query"))
+    return counts.withColumn("total_count", total).filter(F.col("next_query").isNotNull())
 
 
 def consecutive_pairs(log: DataFrame, valid: DataFrame | None = None, threshold: int = 300,
@@ -51,8 +60,8 @@ def consecutive_pairs(log: DataFrame, valid: DataFrame | None = None, threshold:
     global order; ``partition_by`` (e.g. ``"case_id"``) restricts pairs to one case."""
     ev = template_events(log, valid, exclude_echo)
     ev = _with_case(ev, partition_by)
-    pairs, _ = _pairs_and_totals(successor_counts(ev, partition_by=partition_by))
-    out = pairs.filter(F.col("count") > threshold)
+    counts = successor_counts(ev, partition_by=partition_by)
+    out = counts.filter(F.col("next_query").isNotNull() & (F.col("count") > threshold))
     return out.orderBy(F.desc("count"), "normalized_query", "next_query") if sort else out
 
 
@@ -69,9 +78,7 @@ def pair_confidence(log: DataFrame, valid: DataFrame | None = None, threshold: i
 
 
 def confidence_from_counts(counts: DataFrame, threshold: int, sort: bool = False) -> DataFrame:
-    pairs, totals = _pairs_and_totals(counts)
-    out = (pairs.filter(F.col("count") > threshold)
-           .join(totals, "normalized_query")
+    out = (_with_totals(counts).filter(F.col("count") > threshold)
            .select("normalized_query", "next_query", "count", "total_count",
                    (F.col("count") / F.col("total_count")).alias("confidence")))
     return out.orderBy(F.desc("confidence"), "normalized_query", "next_query") if sort else out

@@ -36,11 +36,10 @@ def entity_traces(log: DataFrame, pattern: str = T.PLATE_PATTERN, block_unit: st
              .withColumn("normalized_line", T.before_where("line"))
              .groupBy("ts", "line", "entity", "normalized_line")
              .agg(F.min("seq").alias("seq")))
-    counts = lines.groupBy("entity").agg(F.count(F.lit(1)).cast("bigint").alias("query_count"))
     placed = with_position(lines.select("entity", "ts", "seq", "normalized_line"), order=TRACE_ORDER,
-                           block=time_block(block_unit), partition_by=["entity"], name="pos")
-    return (placed.join(counts, "entity")
-            .select("entity", "query_count", "pos", "ts", "seq", "normalized_line"))
+                           block=time_block(block_unit), partition_by=["entity"], name="pos",
+                           total="query_count")
+    return placed.select("entity", "query_count", "pos", "ts", "seq", "normalized_line")
 
 
 def nest_traces(flat: DataFrame, key: str = "entity", chunk_size: int = 10_000,
@@ -64,12 +63,12 @@ def record_groups(log: DataFrame, pattern: str = T.RECORD_ID_PATTERN, block_unit
     id is found (P7), duplicates kept, with its position in file order.
 
     Columns ``record_id, pos, seq, line``."""
+    block = F.col("block") if block_unit is None else F.date_trunc(block_unit, F.col("ts"))
     lines = (log.filter(P.not_echo("line"))
              .withColumn("record_id", T.record_id("line", pattern))
              .filter(P.found("record_id"))
-             .select("record_id", "seq", "block", "line"))
-    block = "block" if block_unit is None else F.date_trunc(block_unit, F.col("ts"))
-    return with_position(lines, order=["seq"], block=block, partition_by=["record_id"], name="pos") \
+             .select("record_id", "seq", block.alias("_block"), "line"))
+    return with_position(lines, order=["seq"], block="_block", partition_by=["record_id"], name="pos") \
         .select("record_id", "pos", "seq", "line")
 
 
@@ -99,9 +98,9 @@ def trace_graph(events: DataFrame, nodes: DataFrame, block_unit: str = "minute")
     Edge label = time of day of the successor event; a repeated edge keeps the
     label of its last occurrence (A12).  Columns ``start_node, end_node, label, count``."""
     ev = (events.join(nodes, ["entity", "query_text"])
-          .select("entity", "ts", "seq", "node_id"))
-    nxt = with_successor(ev.withColumn("_nts", F.col("ts")).withColumn("_nseq", F.col("seq")),
-                         ["node_id", "_nts", "_nseq"], order=TRACE_ORDER, block=time_block(block_unit),
+          .select("entity", "ts", "seq", "node_id", time_block(block_unit).alias("_tb"),
+                  F.col("ts").alias("_nts"), F.col("seq").alias("_nseq")))
+    nxt = with_successor(ev, ["node_id", "_nts", "_nseq"], order=TRACE_ORDER, block="_tb",
                          partition_by=["entity"], prefix="next")
     edges = nxt.filter(F.col("nextnode_id").isNotNull())
     return (edges.groupBy(F.col("node_id").alias("start_node"), F.col("nextnode_id").alias("end_node"))
