@@ -32,20 +32,25 @@ RECORD_ID_PATTERN_LOOSE = r"WHERE.*?\bARXEISOD\.ID\s*=\s*(\d+)"
 TABLE_PATTERN = r"(INSERT INTO|UPDATE)\s+([a-zA-Z0-9_]+)"
 # Role of the statements picked by the structure job ("inspector").
 INSPECTOR_ROLE = "Ελεγκτης"
-# Day-first timestamp text, same grammar as strptime("%d/%m/%Y %H:%M:%S").
-TS_PATTERN = (r"^(?:3[01]|[12][0-9]|0?[1-9]| [1-9])/(?:1[0-2]|0?[1-9])/[0-9]{4}"
-              r"BLANK+(?:2[0-3]|[01]?[0-9]):[0-5]?[0-9]:[0-5]?[0-9]$")
-
-# Python's str.isspace() set, written out (Unicode White_Space plus the four
-# separators U+001C..U+001F), so no Unicode-mode regex is needed for blanks.
-_BLANK = (r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-          r"\x{202f}\x{205f}\x{3000}]")
+# Day-first timestamp text, same grammar as strptime("%d/%m/%Y %H:%M:%S"):
+# day, month, hour, minute, second with one or two digits (a single-digit day
+# may have a leading blank), a four-digit year other than 0000, blanks
+# between date and time.
+TS_PATTERN = (r"^(?: (?=[1-9]/))?(3[01]|[12][0-9]|0?[1-9])/(1[0-2]|0?[1-9])/((?!0000)[0-9]{4})"
+              r"(?U)\s+(2[0-3]|[01]?[0-9]):([0-5]?[0-9]):([0-5]?[0-9])$")
+
+# Python's str.isspace() set: Unicode White_Space (Java's (?U)\s) plus the
+# four separators U+001C..U+001F.
+_BLANK = r"[\s\x{1c}-\x{1f}]"
 _NUMBER = r"(?U)\b\d+(\.\d+)?\b"
 _QUOTED = r"'[^\n]*?'"             # Python's '.*?' (dot stops only at \n)
 
 
 def _regex_literal(text: str) -> str:
-    """Quote ``text`` for use as a Java regular expression."""
+    """Quote ``text`` for use as a Java regular expression (a single plain
+    character stays as it is, which keeps Java's no-regex split path)."""
+    if len(text) == 1 and text not in ".$|()[]{}^?*+\\":
+        return text
     return r"\Q" + text + r"\E"
 
 
@@ -57,8 +62,13 @@ def col_of(c) -> Column:
 # Record fields
 # ---------------------------------------------------------------------------
 def py_strip(c) -> Column:
-    """``str.strip()``: remove leading/trailing Unicode blanks."""
-    return F.regexp_replace(col_of(c), rf"^{_BLANK}+|{_BLANK}+$", "")
+    """``str.strip()``: remove leading/trailing Unicode blanks.
+
+    The regex only runs on values whose first or last character is a blank."""
+    v = col_of(c)
+    ends = F.concat(F.substring(v, 1, 1), F.substring(v, -1, 1))
+    return F.when(ends.rlike("(?U)" + _BLANK), F.regexp_replace(v, f"(?U)^{_BLANK}+|{_BLANK}+$", "")) \
+        .otherwise(v)
 
 
 def ts_text(line) -> Column:
@@ -69,13 +79,13 @@ def ts_text(line) -> Column:
 def parse_day_first(text) -> Column:
     """``dd/mm/yyyy HH:MM:SS`` (unpadded accepted) → TIMESTAMP_NTZ, invalid → null.
 
-    One anchored match checks the whole grammar; the six numbers are then
-    split out of the match and ``try_make_timestamp_ntz`` rejects impossible
-    dates such as 31/02."""
-    m = F.regexp_extract(col_of(text), TS_PATTERN.replace("BLANK", _BLANK), 0)
-    n = F.split(F.trim(m), r"[^0-9]+")
-    day, month, year, hour, minute, second = (F.get(n, F.lit(i)).cast("int") for i in range(6))
-    return F.when((m != "") & (year > 0), F.try_make_timestamp_ntz(year, month, day, hour, minute, second))
+    One anchored match checks the grammar, the match is rewritten to
+    ``yyyy-m-d h:m:s`` and Spark's own string-to-timestamp cast parses it
+    (``try_cast`` gives null for impossible dates such as 31/02)."""
+    t = col_of(text)
+    m = F.regexp_extract(t, TS_PATTERN, 0)
+    iso = F.regexp_replace(m, TS_PATTERN, "$3-$2-$1 $4:$5:$6")
+    return F.when(m != "", iso.try_cast("timestamp_ntz"))
 
 
 def token(line, index: int, sep: str = " ") -> Column:
@@ -93,14 +103,17 @@ def case_id(line) -> Column:
 # ---------------------------------------------------------------------------
 def _after(line: Column, keyword: str, truncate_repeat: bool) -> Column:
     """``line.split(keyword)[1]``: text between the first and the second
-    occurrence (faithful) or the whole remainder (``truncate_repeat=False``)."""
-    limit = 3 if truncate_repeat else 2
-    return F.get(F.split(line, _regex_literal(keyword), limit), F.lit(1))
+    occurrence (faithful) or the whole remainder (``truncate_repeat=False``);
+    null when ``keyword`` does not occur.  Plain string functions, no regex."""
+    at = F.instr(line, keyword)
+    rest = F.substring(line, at + len(keyword), 1 << 30)
+    body = F.substring_index(rest, keyword, 1) if truncate_repeat else rest
+    return F.when(at > 0, body)
 
 
 def strip_literals(body) -> Column:
     """Delete every ':' then replace each quoted literal by '?'."""
-    return F.regexp_replace(F.translate(col_of(body), ":", ""), _QUOTED, "?")
+    return F.regexp_replace(F.replace(col_of(body), F.lit(":"), F.lit("")), _QUOTED, "?")
 
 
 def replace_numbers(c) -> Column:
@@ -110,7 +123,7 @@ def replace_numbers(c) -> Column:
 
 def squeeze_blanks(c) -> Column:
     """Runs of Unicode blanks → one blank, then strip (P4 step 4, P20)."""
-    return F.trim(F.regexp_replace(col_of(c), f"{_BLANK}+", " "))
+    return F.trim(F.regexp_replace(col_of(c), f"(?U){_BLANK}+", " "))
 
 
 def statement_body(line, spaced: bool = True, truncate_repeat: bool = True) -> Column:

@@ -7,10 +7,10 @@ and networkx.  Here:
   distributed dense index;
 * chains (G3/G4): breadth-first expansion, one join per level between the
   frontier and the edge table, pruned by the minimum confidence at every
-  level, frontier checkpointed; the edge table is broadcast only after its
-  row count is checked;
-* components (G6): large-star / small-star rounds (Kiveris et al., 2014)
-  with a reliable checkpoint per round, O(log n) rounds.
+  level, each frontier written to the shared checkpoint folder; the edge
+  table is broadcast only after its row count is checked;
+* components (G6): large-star / small-star rounds (Kiveris et al., 2014),
+  each round written to the shared checkpoint folder, O(log n) rounds.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .ordering import dense_index
 
 # Edge tables at or below this many rows are broadcast to the chain joins.
@@ -59,8 +59,7 @@ def edges(confidence: DataFrame, legend_df: DataFrame, start: str = "normalized_
 
 def _sized_edges(edge_df: DataFrame):
     """Materialise the edge table once and broadcast it only if its size is checked small."""
-    ensure_checkpoint_dir(edge_df.sparkSession)
-    fixed = edge_df.checkpoint(eager=True)
+    fixed = materialize(edge_df, "chain-edges")
     n = fixed.count()
     return (F.broadcast(fixed) if n <= BROADCAST_EDGE_ROWS else fixed), n
 
@@ -82,17 +81,16 @@ def chains(edge_df: DataFrame, min_confidence: float = 0.01, max_length: int = 5
     first = step.filter(F.col("_c") >= min_confidence)
     if not allow_revisit:
         first = first.filter(F.col("_from") != F.col("_to"))
-    frontier = first.select(F.array("_from", "_to").alias("path"),
-                            (F.lit(1.0) * F.col("_c")).alias("confidence")).checkpoint(eager=True)
+    frontier = materialize(first.select(F.array("_from", "_to").alias("path"),
+                                        (F.lit(1.0) * F.col("_c")).alias("confidence")), "chains")
     levels = [frontier]
     for _ in range(1, max_length):
         grown = (frontier.join(step, F.element_at("path", -1) == F.col("_from"))
                  .select("path", "_to", (F.col("confidence") * F.col("_c")).alias("confidence")))
         if not allow_revisit:
             grown = grown.filter(~F.array_contains("path", F.col("_to")))
-        frontier = (grown.filter(F.col("confidence") >= min_confidence)
-                    .select(F.concat("path", F.array("_to")).alias("path"), "confidence")
-                    .checkpoint(eager=True))
+        frontier = materialize(grown.filter(F.col("confidence") >= min_confidence)
+                               .select(F.concat("path", F.array("_to")).alias("path"), "confidence"), "chains")
         if frontier.isEmpty():
             break
         levels.append(frontier)
@@ -121,17 +119,16 @@ def connected_components(edge_df: DataFrame, src: str = "src", dst: str = "dst",
 
     Returns ``(vertex, component)`` where ``component`` is the smallest vertex
     id of the component; every endpoint (also of self-loops) is a vertex."""
-    ensure_checkpoint_dir(edge_df.sparkSession)
     e = (edge_df.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v"))
          .filter(F.col("u").isNotNull() & F.col("v").isNotNull()))
     verts = e.select(F.col("u").alias("vertex")).union(e.select(F.col("v").alias("vertex"))).distinct()
     # canonical undirected edges stored as (hi, lo), hi > lo
-    cur = (e.filter(F.col("u") != F.col("v"))
-           .select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo"))
-           .distinct().checkpoint(eager=True))
+    cur = materialize(e.filter(F.col("u") != F.col("v"))
+                      .select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo"))
+                      .distinct(), "components")
     fp = _fingerprint(cur)
     for _ in range(max_rounds):
-        nxt = _small_star(_large_star(cur)).checkpoint(eager=True)
+        nxt = materialize(_small_star(_large_star(cur)), "components")
         nfp = _fingerprint(nxt)
         cur = nxt
         if nfp == fp:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 _BLK = "_blk"
 COARSE_BITS = 10
@@ -168,16 +168,14 @@ def with_position(df: DataFrame, order=("seq",), block="block", partition_by=(),
 def dense_index(df: DataFrame, order, name: str = "idx", start: int = 0) -> DataFrame:
     """Add ``name`` = 0-based (+``start``) rank of each row in ``order`` (a total order).
 
-    Range-partitions on the order, numbers rows inside each partition, cuts the
-    lineage with a reliable checkpoint so the numbering is fixed, then adds the
-    per-partition offsets (a table with one row per partition, broadcast)."""
+    Range-partitions on the order, numbers rows inside each partition, writes
+    that to the shared checkpoint folder so the numbering is fixed, then adds
+    the per-partition offsets (a table with one row per partition, broadcast)."""
     order = [order] if isinstance(order, str) else list(order)
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.repartitionByRange(*[_as_col(o) for o in order])
-              .sortWithinPartitions(*order)
-              .select("*", F.spark_partition_id().alias("_pid"),
-                      F.monotonically_increasing_id().alias("_mid"))
-              .checkpoint(eager=True))
+    tagged = materialize(df.repartitionByRange(*[_as_col(o) for o in order])
+                         .sortWithinPartitions(*order)
+                         .select("*", F.spark_partition_id().alias("_pid"),
+                                 F.monotonically_increasing_id().alias("_mid")), "dense-index")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -39,11 +39,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df):
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
-    shared checkpoint folder (survives executor loss; never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "table"):
+    """Compute ``df`` once and cut its lineage: write it as Parquet to a fresh
+    folder under the shared checkpoint folder and read it back.
+
+    One job (an eager ``checkpoint()`` runs the plan twice unless cached), the
+    copy is columnar so later reads prune columns, and it survives executor
+    loss (never a local checkpoint)."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df):

@@ -67,10 +67,11 @@ def parse_audit_lines(raw: DataFrame, value: str = "value") -> DataFrame:
     rather than by a Filter: a Filter would be pushed below the projection
     and evaluate the parse (and the expression producing ``value``) again."""
     v = F.col(value)
-    parsed = F.struct(T.parse_day_first(T.ts_text(v)).alias("ts"), T.py_strip(v).alias("line"))
-    kept = F.filter(F.array(parsed), lambda r: r["ts"].isNotNull())
-    return (raw.filter(P.is_record(v))
-            .select("seq", "block", F.inline(kept)))
+    parsed = (raw.filter(P.is_record(v))
+              .select("seq", "block", F.struct(T.parse_day_first(T.ts_text(v)).alias("ts"),
+                                               T.py_strip(v).alias("line")).alias("_r")))
+    kept = F.explode(F.when(F.col("_r.ts").isNotNull(), F.array("_r"))).alias("_k")
+    return parsed.select("seq", "block", kept).select("seq", "block", "_k.ts", "_k.line")
 
 
 def read_raw_lines(spark: SparkSession, paths, codepage: str | None = DEFAULT_CODEPAGE) -> DataFrame:
