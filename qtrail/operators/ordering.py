@@ -13,8 +13,6 @@ coarse block.  A hot case or a hot hour therefore never lands in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -29,12 +27,40 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right["_r" + k]) for k in keys])
-
-
-def _rename_keys(df: DataFrame, keys) -> DataFrame:
-    return df.select(*[F.col(c).alias("_r" + c) if c in keys else F.col(c) for c in df.columns])
+def _zero_of(dtype: Ty.DataType) -> Column:
+    """Some non-null value of ``dtype`` (used only next to an isnull flag)."""
+    if isinstance(dtype, Ty.StringType):
+        return F.lit("")
+    if isinstance(dtype, Ty.BooleanType):
+        return F.lit(False)
+    if isinstance(dtype, (Ty.TimestampType, Ty.TimestampNTZType, Ty.DateType)):
+        return F.lit(0).cast("timestamp").cast(dtype)
+    if isinstance(dtype, Ty.StructType):
+        return F.struct(*[_zero_of(f.dataType).alias(f.name) for f in dtype.fields])
+    if isinstance(dtype, Ty.ArrayType):
+        return F.array().cast(dtype)
+    if isinstance(dtype, Ty.BinaryType):
+        return F.lit(bytearray())
+    return F.lit(0).cast(dtype)
+
+
+def _keyed(df: DataFrame, cols, split=None) -> tuple[DataFrame, list]:
+    """Window-partition and join keys for ``cols``.
+
+    A nullable column becomes the pair ``(coalesce(c, zero), isnull(c))``, so
+    nulls still group and match together while windows and equi-joins use the
+    very same hash partitioning (a null-safe join condition would make Spark
+    shuffle the windowed table again)."""
+    names = []
+    for c in cols:
+        field = df.schema[c]
+        if (field.nullable if split is None else c in split):
+            df = (df.withColumn("_k" + c, F.coalesce(F.col(c), _zero_of(field.dataType)))
+                  .withColumn("_n" + c, F.col(c).isNull()))
+            names += ["_k" + c, "_n" + c]
+        else:
+            names.append(c)
+    return df, names
 
 
 def coarser(block: Column, dtype: Ty.DataType):
@@ -77,6 +103,14 @@ def _packed(df: DataFrame, keys, block) -> tuple[DataFrame, list]:
     return base, others
 
 
+def _attach(big: DataFrame, small: DataFrame, pb, kcols, cols) -> DataFrame:
+    """Left-join per-block values ``cols`` of ``small`` (keyed by pb, _blk) onto
+    ``big`` on the same key columns that partition ``big``."""
+    split = {k[2:] for k in kcols if k.startswith("_k")}
+    small, _ = _keyed(small, [*pb, _BLK], split)
+    return big.join(small.select(*kcols, *cols), kcols, "left")
+
+
 def with_successor(df: DataFrame, values, order=("seq",), block="block", partition_by=(),
                    prefix: str = "next_", _levels: int = 1) -> DataFrame:
     """Add ``<prefix><v>`` = value of the next row in ``order`` (per ``partition_by``).
@@ -87,17 +121,15 @@ def with_successor(df: DataFrame, values, order=("seq",), block="block", partiti
     order = [order] if isinstance(order, str) else list(order)
     pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     keys = list(dict.fromkeys([*pb, *order]))
-    base, others = _packed(df.select(*df.columns, *[F.col(v).alias("_v_" + v) for v in values]), keys, block)
-    w = Window.partitionBy(*pb, _BLK).orderBy(*order)
+    base, _ = _packed(df.select(*df.columns, *[F.col(v).alias("_v_" + v) for v in values]), keys, block)
+    base, kcols = _keyed(base, [*pb, _BLK])
+    w = Window.partitionBy(*kcols).orderBy(*order)
     # one window pass gives each row's successor inside its block and marks
     # the first row of every block; the block heads are read from that pass
     inner = base.select("*", F.lead("_payload").over(w).alias("_next"),
                         F.lag(F.lit(1)).over(w).isNull().alias("_first"))
     heads = inner.filter("_first").select(*pb, _BLK, F.col("_payload").alias("_head"))
-    next_heads = _next_heads(heads, pb, _levels)
-    jkeys = [*pb, _BLK]
-    right = _rename_keys(next_heads, jkeys)
-    joined = inner.join(right, _null_safe_on(inner, right, jkeys), "left")
+    joined = _attach(inner, _next_heads(heads, pb, _levels), pb, kcols, ["_next_head"])
     nxt = F.coalesce(F.col("_next"), F.col("_next_head"))
     cols = [F.col(c) if c in keys else F.col("_payload")[c].alias(c) for c in df.columns]
     return joined.select(*cols, *[nxt["_v_" + v].alias(prefix + v) for v in values])
@@ -115,12 +147,10 @@ def _block_offsets(counts: DataFrame, pb, levels: int) -> DataFrame:
     local = c.select(*pb, "_cb", _BLK, F.coalesce(F.sum("_n").over(inner_before), F.lit(0)).alias("_loc"))
     coarse = (c.groupBy(*pb, "_cb").agg(F.sum("_n").alias("_n"))
               .withColumnRenamed("_cb", _BLK))
-    coarse_off = _block_offsets(coarse, pb, levels - 1).withColumnRenamed(_BLK, "_cb") \
-        .withColumnRenamed("_off", "_coff")
-    keys = [*pb, "_cb"]
-    right = _rename_keys(coarse_off, keys)
-    joined = local.join(right, _null_safe_on(local, right, keys), "left")
-    return joined.select(*pb, _BLK, (F.col("_coff") + F.col("_loc")).alias("_off"))
+    coarse_off = (_block_offsets(coarse, pb, levels - 1).withColumnRenamed(_BLK, "_cb")
+                  .withColumnRenamed("_off", "_coff"))
+    joined = local.join(coarse_off, [local[k].eqNullSafe(coarse_off[k]) for k in [*pb, "_cb"]], "left")
+    return joined.select(*[local[k] for k in pb], _BLK, (F.col("_coff") + F.col("_loc")).alias("_off"))
 
 
 def _orderable(dtype: Ty.DataType) -> bool:
@@ -145,24 +175,23 @@ def with_position(df: DataFrame, order=("seq",), block="block", partition_by=(),
     pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     keys = list(dict.fromkeys([*pb, *order]))
     base, _ = _packed(df, keys, block)
+    base, kcols = _keyed(base, [*pb, _BLK])
     tie = ["_payload"] if _orderable(base.schema["_payload"].dataType) else []
-    w = Window.partitionBy(*pb, _BLK)
+    w = Window.partitionBy(*kcols)
     ranked = base.select("*", F.row_number().over(w.orderBy(*order, *tie)).alias("_rn"),
                          F.count(F.lit(1)).over(w).alias("_size"))
     counts = ranked.filter(F.col("_rn") == 1).select(*pb, _BLK, F.col("_size").alias("_n"))
     offsets = _block_offsets(counts, pb, 1)
-    extra = []
+    cols = ["_off"]
     if total is not None:
         totals = counts.groupBy(*pb).agg(F.sum("_n").alias("_tot"))
-        rt = _rename_keys(totals, pb)
-        offsets = offsets.join(rt, _null_safe_on(offsets, rt, pb), "left").drop(*["_r" + k for k in pb]) \
-            if pb else offsets.crossJoin(totals)
-        extra = [F.col("_tot").cast("bigint").alias(total)]
-    jkeys = [*pb, _BLK]
-    right = _rename_keys(offsets, jkeys)
-    joined = ranked.join(right, _null_safe_on(ranked, right, jkeys), "left")
-    cols = [F.col(c) if c in keys else F.col("_payload")[c].alias(c) for c in df.columns]
-    return joined.select(*cols, (F.col("_off") + F.col("_rn") - 1 + start).cast("bigint").alias(name), *extra)
+        offsets = (offsets.join(totals, [offsets[k].eqNullSafe(totals[k]) for k in pb], "left")
+                   .select(*[offsets[k] for k in pb], _BLK, "_off", "_tot")) if pb else offsets.crossJoin(totals)
+        cols.append("_tot")
+    joined = _attach(ranked, offsets, pb, kcols, cols)
+    out = [F.col(c) if c in keys else F.col("_payload")[c].alias(c) for c in df.columns]
+    extra = [F.col("_tot").cast("bigint").alias(total)] if total is not None else []
+    return joined.select(*out, (F.col("_off") + F.col("_rn") - 1 + start).cast("bigint").alias(name), *extra)
 
 
 def dense_index(df: DataFrame, order, name: str = "idx", start: int = 0) -> DataFrame:
