@@ -192,8 +192,9 @@ def statement_catalogue(statements: DataFrame, col: str = "line", kind: str | No
     # The walk is CPU-bound per statement: spread the distinct texts over the
     # cluster instead of letting AQE coalesce a small shuffle into one task.
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = (statements.select(F.col(col).alias("statement")).distinct()
-             .repartition(parts, "statement"))
+    # (by number, round robin: a repartition on the distinct's own key would
+    # be dropped as redundant and the small shuffle coalesced again)
+    texts = statements.select(F.col(col).alias("statement")).distinct().repartition(parts)
     if kind is not None:
         texts = texts.filter(F.upper("statement").contains(kind))
     return with_structure(texts, "statement", kind).distinct()
