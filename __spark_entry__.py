@@ -145,6 +145,17 @@ def q_trace_graph(spark, sf_dir):
     return TR.trace_graph(ev, TR.trace_nodes(ev))
 
 
+def q_order_trace_graph(spark, sf_dir):
+    """G7/G8 on orders: per-customer traces of order priorities, ordered by
+    (date, order key); several node kinds per entity, so real edges."""
+    o = R.load_table(spark, sf_dir, "orders")
+    ev = materialize(o.select(F.col("o_custkey").cast("string").alias("entity"),
+                              F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"),
+                              F.col("o_orderpriority").alias("query_text"))
+                     .dropna(subset=["entity", "ts", "seq", "query_text"]))
+    return TR.trace_graph(ev, TR.trace_nodes(ev))
+
+
 def _graph_inputs(spark, sf_dir):
     # the edge table feeds legend, edges, chains, chain graph and components:
     # mined once from the log, then every graph step reads the materialised copy
@@ -238,6 +249,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_groups": q_record_groups,
     "trace_nodes": q_trace_nodes,
     "trace_graph": q_trace_graph,
+    "order_trace_graph": q_order_trace_graph,
     "legend": q_legend,
     "statement_kind": q_statement_kind,
     "edges": q_edges,
@@ -587,6 +599,25 @@ nx AS (
 )
 SELECT start_node, end_node, strftime(nts, '%H:%M:%S') AS label, count(*) OVER (PARTITION BY start_node, end_node) AS count
 FROM nx WHERE end_node IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY start_node, end_node ORDER BY nts DESC, nseq DESC) = 1""",
+        "order_trace_graph": """WITH te AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS entity, o_orderdate AS ts, o_orderkey AS seq, o_orderpriority AS query_text
+  FROM orders
+  WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL AND o_orderkey IS NOT NULL AND o_orderpriority IS NOT NULL
+),
+nodes AS (
+  SELECT row_number() OVER (ORDER BY entity, ts, seq) - 1 AS node_id, entity, query_text FROM (
+    SELECT entity, query_text, ts, seq,
+           row_number() OVER (PARTITION BY entity, query_text ORDER BY ts, seq) AS k FROM te
+  ) WHERE k = 1
+),
+ev AS (SELECT te.entity, te.ts, te.seq, n.node_id FROM te JOIN nodes n USING (entity, query_text)),
+nx AS (
+  SELECT node_id AS start_node, lead(node_id) OVER w AS end_node, lead(ts) OVER w AS nts, lead(seq) OVER w AS nseq
+  FROM ev WINDOW w AS (PARTITION BY entity ORDER BY ts, seq)
+)
+SELECT start_node, end_node, strftime(nts, '%H:%M:%S') AS label, count(*) OVER (PARTITION BY start_node, end_node) AS count
+FROM nx WHERE end_node IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY start_node, end_node ORDER BY nts DESC, nseq DESC) = 1""",
         "legend": _with(_GRAPH) + "SELECT query, id, ordinal FROM leg",
         "statement_kind": _with(_GRAPH) + """
