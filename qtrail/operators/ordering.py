@@ -63,6 +63,22 @@ def _keyed(df: DataFrame, cols, split=None) -> tuple[DataFrame, list]:
     return df, names
 
 
+def _only_keys(base: DataFrame, kcols, cols) -> tuple[DataFrame, dict]:
+    """Drop each column of ``cols`` that is represented by its (value, isnull)
+    key pair and return expressions that rebuild them from the pairs.  Every
+    branch cut from the windowed table then reads the same columns at the
+    window's exchange (so Spark reuses it)."""
+    rebuilt = {}
+    for c in cols:
+        if "_k" + c in kcols:
+            dtype = base.schema[c].dataType
+            rebuilt[c] = F.when(F.col("_n" + c), F.lit(None).cast(dtype)).otherwise(F.col("_k" + c))
+            base = base.drop(c)
+        else:
+            rebuilt[c] = F.col(c)
+    return base, rebuilt
+
+
 def coarser(block: Column, dtype: Ty.DataType):
     """A key one level above ``block`` (also monotone): the file of an input
     block, 2**10 consecutive numeric blocks, or the day of a time block."""
@@ -123,15 +139,18 @@ def with_successor(df: DataFrame, values, order=("seq",), block="block", partiti
     keys = list(dict.fromkeys([*pb, *order]))
     base, _ = _packed(df.select(*df.columns, *[F.col(v).alias("_v_" + v) for v in values]), keys, block)
     base, kcols = _keyed(base, [*pb, _BLK])
+    base, orig = _only_keys(base, kcols, [*pb, _BLK])
     w = Window.partitionBy(*kcols).orderBy(*order)
     # one window pass gives each row's successor inside its block and marks
     # the first row of every block; the block heads are read from that pass
     inner = base.select("*", F.lead("_payload").over(w).alias("_next"),
                         F.lag(F.lit(1)).over(w).isNull().alias("_first"))
-    heads = inner.filter("_first").select(*pb, _BLK, F.col("_payload").alias("_head"))
+    heads = inner.filter("_first").select(*[orig[c].alias(c) for c in [*pb, _BLK]],
+                                          F.col("_payload").alias("_head"))
     joined = _attach(inner, _next_heads(heads, pb, _levels), pb, kcols, ["_next_head"])
     nxt = F.coalesce(F.col("_next"), F.col("_next_head"))
-    cols = [F.col(c) if c in keys else F.col("_payload")[c].alias(c) for c in df.columns]
+    cols = [(orig[c] if c in orig else F.col(c)).alias(c) if c in keys else F.col("_payload")[c].alias(c)
+            for c in df.columns]
     return joined.select(*cols, *[nxt["_v_" + v].alias(prefix + v) for v in values])
 
 
@@ -173,23 +192,28 @@ def with_position(df: DataFrame, order=("seq",), block="block", partition_by=(),
     branch read the same columns as the main branch (one shared exchange)."""
     order = [order] if isinstance(order, str) else list(order)
     pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    if total is not None and not pb:
+        raise ValueError("total needs partition_by (the total of the whole table is df.count())")
     keys = list(dict.fromkeys([*pb, *order]))
     base, _ = _packed(df, keys, block)
     base, kcols = _keyed(base, [*pb, _BLK])
+    base, orig = _only_keys(base, kcols, [*pb, _BLK])
     tie = ["_payload"] if _orderable(base.schema["_payload"].dataType) else []
     w = Window.partitionBy(*kcols)
     ranked = base.select("*", F.row_number().over(w.orderBy(*order, *tie)).alias("_rn"),
                          F.count(F.lit(1)).over(w).alias("_size"))
-    counts = ranked.filter(F.col("_rn") == 1).select(*pb, _BLK, F.col("_size").alias("_n"))
+    counts = ranked.filter(F.col("_rn") == 1).select(*[orig[c].alias(c) for c in [*pb, _BLK]],
+                                                      F.col("_size").alias("_n"))
     offsets = _block_offsets(counts, pb, 1)
     cols = ["_off"]
     if total is not None:
         totals = counts.groupBy(*pb).agg(F.sum("_n").alias("_tot"))
         offsets = (offsets.join(totals, [offsets[k].eqNullSafe(totals[k]) for k in pb], "left")
-                   .select(*[offsets[k] for k in pb], _BLK, "_off", "_tot")) if pb else offsets.crossJoin(totals)
+                   .select(*[offsets[k] for k in pb], _BLK, "_off", "_tot"))
         cols.append("_tot")
     joined = _attach(ranked, offsets, pb, kcols, cols)
-    out = [F.col(c) if c in keys else F.col("_payload")[c].alias(c) for c in df.columns]
+    out = [(orig[c] if c in orig else F.col(c)).alias(c) if c in keys else F.col("_payload")[c].alias(c)
+           for c in df.columns]
     extra = [F.col("_tot").cast("bigint").alias(total)] if total is not None else []
     return joined.select(*out, (F.col("_off") + F.col("_rn") - 1 + start).cast("bigint").alias(name), *extra)
 
