@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from .text import ECHO_WORD, INSPECTOR_ROLE, KEYWORD_INSERT, KEYWORD_QUERY, KEYWORD_UPDATE, RECORD_START, col_of
 
