@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import parallelism
 
 # Fixed keyword sets of the clause walker.
 DML_WORDS = ["SELECT", "INSERT", "UPDATE", "DELETE"]
@@ -191,7 +192,7 @@ def statement_catalogue(statements: DataFrame, col: str = "line", kind: str | No
     spark = statements.sparkSession
     # The walk is CPU-bound per statement: spread the distinct texts over the
     # cluster instead of letting AQE coalesce a small shuffle into one task.
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # (by number, round robin: a repartition on the distinct's own key would
     # be dropped as redundant and the small shuffle coalesced again)
     texts = statements.select(F.col(col).alias("statement")).distinct().repartition(parts)

@@ -7,22 +7,37 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None on a session without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``), if any."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or \
-        spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the session's checkpoint folder; create a private one only in local mode."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = checkpoint_dir(spark)
+    sc = _context(spark)
+    if sc is None:
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        return configured
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
@@ -32,6 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores of the cluster (default parallelism), from the context or the conf."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.default.parallelism", spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for intermediate tables."""
     import uuid
@@ -58,8 +81,12 @@ def spread(df):
     A small input (one file, one row group) arrives as a single partition and
     would run every per-line regex in one task.  Large inputs already have at
     least ``defaultParallelism`` splits and are returned unchanged (no shuffle)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    target = parallelism(df.sparkSession)
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave as is
+        return df
+    return df.repartition(target) if parts < target else df
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "qtrail") -> SparkSession:
