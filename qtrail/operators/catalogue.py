@@ -8,7 +8,7 @@ optional presentation sorts of ``sort=True``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -106,19 +106,28 @@ def lines_by_table(log: DataFrame, tables: DataFrame, table_col: str = "table_na
     Beyond that an exact equi-join is used instead: a line contains name ``t``
     iff one of its substrings of length ``len(t)`` equals ``t``, so each line
     emits its substrings of the (few) distinct name lengths and is joined on
-    them; duplicates from repeated occurrences are removed per line."""
+    them; duplicates from repeated occurrences are removed per line.  When all
+    names are identifiers only substrings of the line's identifier runs are
+    candidates."""
     t = materialize(tables.select(F.col(table_col).alias("table_name")).filter(F.col("table_name") != "")
                     .distinct())
     if t.count() <= broadcast_rows:
         return (log.join(F.broadcast(t), F.col("line").contains(F.col("table_name")))
                 .select("seq", "ts", "table_name", "line"))
     lengths = [r[0] for r in t.select(F.length("table_name")).distinct().collect()]
-    def windows(n: int):
-        starts = F.when(F.length("line") >= n, F.sequence(F.lit(1), F.length("line") - n + 1)) \
-            .otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(F.col("line"), i, n))
 
-    subs = F.flatten(F.array(*[windows(n) for n in lengths]))
+    def windows(text: Column, n: int) -> Column:
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)) \
+            .otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(text, i, n))
+
+    if t.filter(~F.col("table_name").rlike(r"^[A-Za-z0-9_]+$")).isEmpty():
+        # identifier-only names can only occur inside one identifier run of the
+        # line, so candidates come from the line's words, not from every window
+        words = F.regexp_extract_all(F.col("line"), F.lit(r"[A-Za-z0-9_]+"), 0)
+        subs = F.flatten(F.transform(words, lambda w: F.flatten(F.array(*[windows(w, n) for n in lengths]))))
+    else:
+        subs = F.flatten(F.array(*[windows(F.col("line"), n) for n in lengths]))
     exploded = log.select("seq", "ts", "line", F.explode(F.array_distinct(subs)).alias("table_name"))
     return exploded.join(t, "table_name").select("seq", "ts", "table_name", "line")
 

@@ -61,3 +61,7 @@ def test_lines_by_table_fallback_equals_broadcast(spark):
     a = sorted(tuple(r) for r in C.lines_by_table(log, tables).select("seq", "table_name").collect())
     b = sorted(tuple(r) for r in C.lines_by_table(log, tables, broadcast_rows=0).select("seq", "table_name").collect())
     assert a == b and len(a) > 0
+    odd = tables.union(spark.createDataFrame([("ITEMS WHERE",), ("C.USER_ID",)], "table_name string"))
+    a = sorted(tuple(r) for r in C.lines_by_table(log, odd).select("seq", "table_name").collect())
+    b = sorted(tuple(r) for r in C.lines_by_table(log, odd, broadcast_rows=0).select("seq", "table_name").collect())
+    assert a == b and any(r[1] == "C.USER_ID" for r in a)
