@@ -65,3 +65,24 @@ def test_lines_by_table_fallback_equals_broadcast(spark):
     a = sorted(tuple(r) for r in C.lines_by_table(log, odd).select("seq", "table_name").collect())
     b = sorted(tuple(r) for r in C.lines_by_table(log, odd, broadcast_rows=0).select("seq", "table_name").collect())
     assert a == b and any(r[1] == "C.USER_ID" for r in a)
+
+
+def test_extra_markers_and_sorts(spark):
+    from conftest import lines_df
+    from qtrail.sources.auditlog import parse_audit_lines
+    lines = [
+        "[10/12/2024 08:00:00] 7 r TRANSACTION: DELETE FROM T WHERE ID = 1",
+        "[10/12/2024 08:00:01] 7 r TRANSACTION: UPDATE T SET A = 2",
+        "[10/12/2024 08:00:02] 8 r TRANSACTION: UPDATE T SET A = 3",
+        "[10/12/2024 08:00:03] 8 r TRANSACTION: INSERT INTO T VALUES (4)",
+    ]
+    log = parse_audit_lines(lines_df(spark, lines))
+    plain = {r.case_id: r.normalized_query for r in C.first_query_per_case(log).collect()}
+    assert plain == {"7": "UPDATE T SET A = ?", "8": "UPDATE T SET A = ?"}
+    # TRANSACTION lines count as writes too; the DELETE has no INSERT/UPDATE -> template ""
+    extra = {r.case_id: r.normalized_query for r in C.first_query_per_case(log, extra_markers=("TRANSACTION",)).collect()}
+    assert extra == {"7": "", "8": "UPDATE T SET A = ?"}
+    counts = [r["count"] for r in C.template_counts(_log(spark), sort=True).collect()]
+    assert counts == sorted(counts, reverse=True)
+    conf = [r.confidence for r in X.pair_confidence(_log(spark), None, 0, sort=True).collect()]
+    assert conf == sorted(conf, reverse=True)
