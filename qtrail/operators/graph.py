@@ -10,7 +10,8 @@ and networkx.  Here:
   level, each frontier written to the shared checkpoint folder; the edge
   table is broadcast only after its row count is checked;
 * components (G6): large-star / small-star rounds (Kiveris et al., 2014),
-  each round written to the shared checkpoint folder, O(log n) rounds.
+  each round written to the shared checkpoint folder, O(log n) rounds,
+  stopping as soon as the edges form a star forest.
 """
 
 from __future__ import annotations
@@ -126,25 +127,24 @@ def connected_components(edge_df: DataFrame, src: str = "src", dst: str = "dst",
     cur = materialize(e.filter(F.col("u") != F.col("v"))
                       .select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo"))
                       .distinct(), "components")
-    fp = _fingerprint(cur)
     for _ in range(max_rounds):
-        nxt = materialize(_small_star(_large_star(cur)), "components")
-        nfp = _fingerprint(nxt)
-        cur = nxt
-        if nfp == fp:
+        if _is_star_forest(cur):
             break
-        fp = nfp
+        cur = materialize(_small_star(_large_star(cur)), "components")
     else:
         raise RuntimeError("connected components did not converge")
     return (verts.join(cur.select(F.col("hi").alias("vertex"), F.col("lo").alias("root")), "vertex", "left")
             .select("vertex", F.coalesce("root", "vertex").alias("component")))
 
 
-def _fingerprint(edges_hl: DataFrame):
-    h = F.xxhash64("hi", "lo")
-    row = edges_hl.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"),
-                       F.sum(F.pmod(h, F.lit(1_000_003))).alias("s")).collect()[0]
-    return (row["n"], row["x"], row["s"])
+def _is_star_forest(edges_hl: DataFrame) -> bool:
+    """True when every vertex points to exactly one smaller vertex and no
+    target points anywhere: each component is then a star around its minimum
+    (edges keep connectivity), which is where large/small-star rounds end."""
+    multi = edges_hl.groupBy("hi").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select(F.lit(1).alias("x"))
+    chained = (edges_hl.join(edges_hl.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi")
+               .select(F.lit(1).alias("x")))
+    return multi.union(chained).isEmpty()
 
 
 def _large_star(edges_hl: DataFrame) -> DataFrame:
