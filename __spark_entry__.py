@@ -186,22 +186,22 @@ def _chains_out(ch):
 
 def q_chains_simple(spark, sf_dir):
     _, _, e = _graph_inputs(spark, sf_dir)
-    return _chains_out(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, allow_revisit=False))
+    return _chains_out(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, allow_revisit=False, materialized=True))
 
 
 def q_chains_revisit(spark, sf_dir):
     _, _, e = _graph_inputs(spark, sf_dir)
-    return _chains_out(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, allow_revisit=True))
+    return _chains_out(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, allow_revisit=True, materialized=True))
 
 
 def q_chain_graph(spark, sf_dir):
     _, _, e = _graph_inputs(spark, sf_dir)
-    return G.chain_graph(G.chains(e, CHAIN_MIN, CHAIN_LENGTH), e).drop("label")
+    return G.chain_graph(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, materialized=True), e).drop("label")
 
 
 def q_components(spark, sf_dir):
     _, leg, e = _graph_inputs(spark, sf_dir)
-    graph = G.chain_graph(G.chains(e, CHAIN_MIN, CHAIN_LENGTH), e)
+    graph = G.chain_graph(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, materialized=True), e)
     return G.query_components(graph, leg)
 
 

@@ -58,25 +58,27 @@ def edges(confidence: DataFrame, legend_df: DataFrame, start: str = "normalized_
                     F.col("total_count").cast("bigint").alias("total_count")))
 
 
-def _sized_edges(edge_df: DataFrame):
-    """Materialise the edge table once and broadcast it only if its size is checked small."""
-    fixed = materialize(edge_df, "chain-edges")
+def _sized_edges(edge_df: DataFrame, materialized: bool = False):
+    """Materialise the edge table once (unless the caller did) and broadcast it
+    only if its row count is checked small."""
+    fixed = edge_df if materialized else materialize(edge_df, "chain-edges")
     n = fixed.count()
     return (F.broadcast(fixed) if n <= BROADCAST_EDGE_ROWS else fixed), n
 
 
 def chains(edge_df: DataFrame, min_confidence: float = 0.01, max_length: int = 5,
-           allow_revisit: bool = False, sort: bool = False) -> DataFrame:
+           allow_revisit: bool = False, sort: bool = False, materialized: bool = False) -> DataFrame:
     """G3 ``build_query_chains`` (``allow_revisit=False``) and G4 (``True``).
 
     Every path of 1..``max_length`` edges starting at a node with out-edges whose
     left-to-right confidence product is ``>= min_confidence`` (inclusive, F15);
     extension stops at paths below the minimum.  Without revisits a node never
     repeats in a path (self-loops are skipped).  Columns
-    ``path ARRAY<STRING>, length INT, confidence DOUBLE``."""
+    ``path ARRAY<STRING>, length INT, confidence DOUBLE``.  ``materialized=True``
+    says the edge table is already a written table (it is then only counted)."""
     if max_length < 1:
         raise ValueError("max_length counts edges and must be >= 1")
-    step_df, _ = _sized_edges(edge_df.select("start_id", "end_id", "confidence"))
+    step_df, _ = _sized_edges(edge_df.select("start_id", "end_id", "confidence"), materialized)
     step = step_df.select(F.col("start_id").alias("_from"), F.col("end_id").alias("_to"),
                           F.col("confidence").alias("_c"))
     first = step.filter(F.col("_c") >= min_confidence)

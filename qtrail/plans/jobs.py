@@ -84,7 +84,7 @@ def query_graph(spark: SparkSession, confidence: DataFrame, out_dir: str, min_co
     confidence = materialize(confidence)
     leg = G.legend(confidence)
     edges = materialize(G.edges(confidence, leg))
-    chains = G.chains(edges, min_confidence, max_length, allow_revisit, sort=True)
+    chains = G.chains(edges, min_confidence, max_length, allow_revisit, sort=True, materialized=True)
     graph = G.chain_graph(chains, edges)
     comps = G.query_components(graph, leg)
     K.write_legend(leg, f"{out}/query_legend")
