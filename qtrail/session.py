@@ -100,6 +100,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "8g")
              .config("spark.sql.session.timeZone", "UTC")
+             # many short jobs: let the context cleaner drop finished shuffles and
+             # broadcasts every minute instead of every 30 minutes
+             .config("spark.cleaner.periodicGC.interval", "1min")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
