@@ -21,6 +21,14 @@ from qtrail.sources import auditlog as A
 from qtrail.session import materialize
 from qtrail.sources import rendered as R
 
+try:  # the training-data operators and their pipeline are an optional part
+    import corpus_pipeline as _pipeline
+    from qtrail.llm import queries as _llm
+except ImportError as missing:
+    if (missing.name or "").split(".")[0] not in ("corpus_pipeline", "qtrail"):
+        raise
+    _pipeline = _llm = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 # Parameters (FIXTURES.md): valid-query ceiling and pair threshold for the
@@ -263,7 +271,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    extra = {} if _llm is None else {**_llm.queries(), "pipeline": _pipeline.run}
+    return {**_QUERIES, **extra}
 
 
 # ---------------------------------------------------------------------------
@@ -540,6 +549,13 @@ agg AS (
 
 
 def oracle_sql() -> dict[str, str]:
+    extra = {} if _llm is None else dict(_llm.oracle_sql())
+    if _llm is not None and _pipeline.ORACLE_SQL:
+        extra["pipeline"] = _pipeline.ORACLE_SQL
+    return {**_core_sql(), **extra}
+
+
+def _core_sql() -> dict[str, str]:
     return {
         "scan_events": _with() + "SELECT seq AS event_id, ts, line FROM log",
         "template_counts": _with(_TEMPLATE_COUNTS) + "SELECT normalized_query, count FROM counts",
