@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialize
+from ..session import drop_stored, materialize, stored
 from .ordering import dense_index
 
 # Edge tables at or below this many rows are broadcast to the chain joins.
@@ -116,25 +116,28 @@ def chain_graph(chain_df: DataFrame, edge_df: DataFrame) -> DataFrame:
             .withColumn("label", T.confidence_label("confidence")))
 
 
-def connected_components(edge_df: DataFrame, src: str = "src", dst: str = "dst",
-                         max_rounds: int = 64) -> DataFrame:
+def connected_components(edge_df: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Undirected connected components of a graph with BIGINT vertex ids.
 
     Returns ``(vertex, component)`` where ``component`` is the smallest vertex
-    id of the component; every endpoint (also of self-loops) is a vertex."""
+    id of the component; every endpoint (also of self-loops) is a vertex.
+    Large-star / small-star rounds run while this is built.  Each vertex's
+    minimum is written before it is joined to the edges: both join sides are
+    then plain scans, so the skew rule can split the edges of a hub; a round's
+    tables are deleted as soon as the next round stands."""
+    spark = edge_df.sparkSession
     e = (edge_df.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v"))
          .filter(F.col("u").isNotNull() & F.col("v").isNotNull()))
-    verts = e.select(F.col("u").alias("vertex")).union(e.select(F.col("v").alias("vertex"))).distinct()
-    # canonical undirected edges stored as (hi, lo), hi > lo
-    cur = materialize(e.filter(F.col("u") != F.col("v"))
-                      .select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo"))
-                      .distinct(), "components")
-    for _ in range(max_rounds):
-        if _is_star_forest(cur):
-            break
-        cur = materialize(_small_star(_large_star(cur)), "components")
-    else:
-        raise RuntimeError("connected components did not converge")
+    # canonical undirected edges stored as (hi, lo), hi >= lo; self-loops only name a vertex
+    start, _ = stored(e.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct(), "component-edges")
+    cur, path = start.filter(F.col("hi") != F.col("lo")), None
+    while not _is_star_forest(cur):
+        large, scratch = _to_minimum(_large_star_sides(cur))
+        cur, more = _to_minimum(_small_star_sides(large))
+        done, scratch = scratch + more[:-1], more[-1]
+        drop_stored(spark, *done, *([path] if path else []))
+        path = scratch
+    verts = (start.select(F.explode(F.array("hi", "lo")).alias("vertex"))).distinct()
     return (verts.join(cur.select(F.col("hi").alias("vertex"), F.col("lo").alias("root")), "vertex", "left")
             .select("vertex", F.coalesce("root", "vertex").alias("component")))
 
@@ -149,22 +152,28 @@ def _is_star_forest(edges_hl: DataFrame) -> bool:
     return multi.union(chained).isEmpty()
 
 
-def _large_star(edges_hl: DataFrame) -> DataFrame:
-    """Connect every larger neighbour of x to the minimum of x's closed neighbourhood."""
+def _large_star_sides(edges_hl: DataFrame):
+    """(minima of closed neighbourhoods, larger neighbours to be joined to them, no extra rows)."""
     both = (edges_hl.select(F.col("hi").alias("x"), F.col("lo").alias("y"))
             .union(edges_hl.select(F.col("lo").alias("x"), F.col("hi").alias("y"))))
-    mins = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-    return (both.filter(F.col("y") > F.col("x")).join(mins, "x")
-            .select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct())
-
-
-def _small_star(edges_hl: DataFrame) -> DataFrame:
-    """Connect every node and its smaller neighbours to the minimum of those neighbours."""
-    m = edges_hl.groupBy("hi").agg(F.min("lo").alias("m"))
-    spokes = edges_hl.join(m, "hi").select(F.col("lo").alias("p"), "m")
-    centre = m.select(F.col("hi").alias("p"), "m")
-    return (spokes.union(centre).filter(F.col("p") != F.col("m"))
-            .select(F.col("p").alias("hi"), F.col("m").alias("lo")).distinct())
+    return both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), both.filter(F.col("y") > F.col("x")), False
+
+
+def _small_star_sides(edges_hl: DataFrame):
+    """(minima of smaller neighbours, the smaller neighbours, and every centre itself)."""
+    both = edges_hl.select(F.col("hi").alias("x"), F.col("lo").alias("y"))
+    return both.groupBy("x").agg(F.min("y").alias("m")), both, True
+
+
+def _to_minimum(sides):
+    """Join every ``y`` to the minimum of its ``x``; the edges and the paths written, theirs last."""
+    minima, spokes, centres = sides
+    minima, minima_path = stored(minima, "component-minima")
+    out = spokes.join(minima, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo"))
+    if centres:
+        out = out.union(minima.select(F.col("x").alias("hi"), F.col("m").alias("lo")))
+    edges, path = stored(out.filter(F.col("hi") != F.col("lo")).distinct(), "component-edges")
+    return edges, [minima_path, path]
 
 
 def query_components(graph_edges: DataFrame, legend_df: DataFrame) -> DataFrame:

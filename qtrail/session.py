@@ -62,17 +62,33 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str = "table"):
+def stored(df, name: str = "table"):
     """Compute ``df`` once and cut its lineage: write it as Parquet to a fresh
-    folder under the shared checkpoint folder and read it back.
+    folder under the shared checkpoint folder; the table read back, and its path
+    for ``drop_stored`` once no later plan reads it.
 
     One job (an eager ``checkpoint()`` runs the plan twice unless cached), the
-    copy is columnar so later reads prune columns, and it survives executor
-    loss (never a local checkpoint)."""
+    copy is columnar so later reads prune columns, its file size is known to
+    the planner, and it survives executor loss (never a local checkpoint)."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_stored(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that no later plan reads."""
+    sc = _context(spark)
+    if sc is None:
+        return  # no file system handle (Spark Connect): the folder's owner cleans it
+    for path in paths:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df, name: str = "table"):
+    """``stored`` without the path, for tables that the result itself reads."""
+    return stored(df, name)[0]
 
 
 def spread(df):
