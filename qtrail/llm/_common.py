@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_dir  # noqa: F401  (re-exported)
+from ..session import drop_stored, stored  # noqa: F401  (re-exported)
 
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -26,19 +26,6 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later plan reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet under the shared checkpoint folder, and its path."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 (public domain): spreads all 64 bits."""
     h = (h ^ (h >> U64(30))) * _MIX1

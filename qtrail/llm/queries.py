@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import packing
+from . import minhash_dedup, packing
 from ._common import fold, load, small_batches  # noqa: F401
 
 
@@ -15,8 +15,14 @@ def op7_retrieval_packing(spark, sf_dir):
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_minhash_bayes(spark, sf_dir):
+    """Near-duplicate component of every document."""
+    small_batches(spark)
+    return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op7_retrieval_packing,)}
+    return {f.__name__: f for f in (op7_retrieval_packing, op8_minhash_bayes)}
 
 
 def oracle_sql():
