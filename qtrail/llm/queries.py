@@ -5,24 +5,33 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, packing
-from ._common import fold, load, small_batches  # noqa: F401
+from . import minhash_dedup, packing, quality_rules
+from ._common import fold, load, prepare  # noqa: F401
+
+
+def op2_quality_ratio(spark, sf_dir):
+    """Base figures, log-likelihood ratio and verdict of every document."""
+    prepare(spark)
+    return quality_rules.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def op7_retrieval_packing(spark, sf_dir):
     """Pieces of all documents in windows of 4096 ids."""
-    small_batches(spark)
+    prepare(spark)
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_minhash_bayes(spark, sf_dir):
     """Near-duplicate component of every document."""
-    small_batches(spark)
+    prepare(spark)
     return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+_ALL = (op2_quality_ratio, op7_retrieval_packing, op8_minhash_bayes)
+
+
 def queries():
-    return {f.__name__: f for f in (op7_retrieval_packing, op8_minhash_bayes)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql():
