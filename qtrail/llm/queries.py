@@ -5,8 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, packing, quality_rules
-from ._common import fold, load, prepare  # noqa: F401
+from . import minhash_dedup, packing, quality_rules, sentencepiece_codec, token_counts
+from ._common import load, prepare
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_quality_ratio(spark, sf_dir):
@@ -15,10 +18,22 @@ def op2_quality_ratio(spark, sf_dir):
     return quality_rules.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_unigram_counts(spark, sf_dir):
+    """Token count of every document."""
+    prepare(spark)
+    return token_counts.token_counts(load(spark, sf_dir, "documents"), PIECES)
+
+
+def op6_sentencepiece(spark, sf_dir):
+    """Digests of every document's ids and of the text they decode to."""
+    prepare(spark)
+    return sentencepiece_codec.digests(load(spark, sf_dir, "documents"), PIECES)
+
+
 def op7_retrieval_packing(spark, sf_dir):
     """Pieces of all documents in windows of 4096 ids."""
     prepare(spark)
-    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(load(spark, sf_dir, "documents"), WORDS)
 
 
 def op8_minhash_bayes(spark, sf_dir):
@@ -27,7 +42,7 @@ def op8_minhash_bayes(spark, sf_dir):
     return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
-_ALL = (op2_quality_ratio, op7_retrieval_packing, op8_minhash_bayes)
+_ALL = (op2_quality_ratio, op3_unigram_counts, op6_sentencepiece, op7_retrieval_packing, op8_minhash_bayes)
 
 
 def queries():
