@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, packing, quality_rules, sentencepiece_codec, token_counts
-from ._common import load, prepare
+from . import language_id, minhash_dedup, packing, quality_rules, sentencepiece_codec, token_counts
+from ._common import fold, load, prepare
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,15 @@ def op3_unigram_counts(spark, sf_dir):
     return token_counts.token_counts(load(spark, sf_dir, "documents"), PIECES)
 
 
+def op4_kneser_ney_language(spark, sf_dir):
+    """Language of every document; the fold of remainder 1 is held out of learning."""
+    prepare(spark)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    model = language_id.fit(docs.filter(~held_out))
+    return language_id.identify(docs, model).withColumn("held_out", held_out)
+
+
 def op6_sentencepiece(spark, sf_dir):
     """Digests of every document's ids and of the text they decode to."""
     prepare(spark)
@@ -42,7 +51,7 @@ def op8_minhash_bayes(spark, sf_dir):
     return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
-_ALL = (op2_quality_ratio, op3_unigram_counts, op6_sentencepiece, op7_retrieval_packing, op8_minhash_bayes)
+_ALL = (op2_quality_ratio, op3_unigram_counts, op4_kneser_ney_language, op6_sentencepiece, op7_retrieval_packing, op8_minhash_bayes)
 
 
 def queries():
