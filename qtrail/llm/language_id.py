@@ -5,8 +5,9 @@ One character model of order ``ORDER`` per language over lower-case words
 first blank).  All languages' n-grams lie in one sorted array of 64-bit hashes
 with a column of log probabilities and one of back-off weights per language, so
 a look-up is a binary search.  A text's language has the lowest cross-entropy
-per character; a text is *rejected* when even that exceeds the language's
-calibrated limit.
+per character.  A text is *rejected* when its fit (the cross-entropy with every
+word charged to its best language, so a text in two languages fits) exceeds the
+language's calibrated limit.
 
 Fitting uses at most about ``FIT_DOCS`` and ``CALIBRATE_DOCS`` rows of each
 language (smallest hash of the id below a share that the language's row count
@@ -204,8 +205,8 @@ class Scorer:
             self.known.update(zip(part, range(self.size, self.size + len(part))))
             self.size += len(part)
 
-    def cross_entropies(self, texts: list[str]) -> list[tuple[np.ndarray | None, int]]:
-        """(cross-entropy per language, or None without a letter; characters) of each text."""
+    def cross_entropies(self, texts: list[str]) -> list[tuple]:
+        """(cross-entropy per language, or None without a letter; fit; characters) of each text."""
         split = [words_of(t) for t in texts]
         new = set().union(*split).difference(self.known)
         if new:
@@ -213,24 +214,25 @@ class Scorer:
         out = []
         for words in split:
             if not words:
-                out.append((None, 0))
+                out.append((None, 0.0, 0))
                 continue
             places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
             n = sum(map(len, words)) + len(words)
-            out.append((-self.table[places].sum(axis=0, dtype=np.float64) / n, n))
+            scores = self.table[places]
+            out.append((-scores.sum(axis=0, dtype=np.float64) / n, -float(scores.max(axis=1).sum(dtype=np.float64)) / n, n))
         if self.size > REMEMBERED:
             self.known, self.table, self.size = {}, None, 0
         return out
 
 
-def verdict(model: Model, entropy, n: int) -> tuple[str, float, bool]:
+def verdict(model: Model, entropy, fit_: float, n: int) -> tuple[str, float, bool]:
     """(language, score, rejected): the score is the winner's share of
-    exp(-cross-entropy * min(characters, 50)), less by how far it exceeds the limit."""
+    exp(-cross-entropy * min(characters, 50)), less by how far the fit exceeds the limit."""
     if entropy is None:
         return UNDETERMINED, 0.0, True
     best = int(np.argmin(entropy))
     share = np.exp(-(entropy - entropy[best]) * min(n, 50))
-    over = entropy[best] - model.limits[best] - SHORT_MARGIN / math.sqrt(n) if np.isfinite(model.limits[best]) else -1.0
+    over = fit_ - model.limits[best] - SHORT_MARGIN / math.sqrt(n) if np.isfinite(model.limits[best]) else -1.0
     score = float(1.0 / share.sum()) * (math.exp(-over) if over > 0 else 1.0)
     return model.langs[best], min(max(score, 0.0), 1.0), bool(over > 0)
 
@@ -249,15 +251,15 @@ def _scorer(model: Model) -> Scorer:
 def _scored(batches, model):
     scorer = _scorer(model.value)
     for batch in batches:
-        found = [verdict(scorer.model, e, n) + (float(e.min()) if e is not None else None, n)
-                 for e, n in scorer.cross_entropies([t or "" for t in batch.column("text").to_pylist()])]
+        found = [verdict(scorer.model, e, f, n) + (f if e is not None else None, n)
+                 for e, f, n in scorer.cross_entropies([t or "" for t in batch.column("text").to_pylist()])]
         columns = list(zip(*found)) or [[]] * 5
         kinds = (pa.string(), pa.float64(), pa.bool_(), pa.float64(), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                                         names=["doc_id", "lang_pred", "score", "rejected", "cross_entropy", "n_letters"])
+                                         names=["doc_id", "lang_pred", "score", "rejected", "fit", "n_letters"])
 
 
-_SCORED = "doc_id bigint, lang_pred string, score double, rejected boolean, cross_entropy double, n_letters bigint"
+_SCORED = "doc_id bigint, lang_pred string, score double, rejected boolean, fit double, n_letters bigint"
 
 
 def fit(training: DataFrame):
@@ -288,18 +290,18 @@ def fit(training: DataFrame):
     shared = spark.sparkContext.broadcast(model)
     held = sample.filter(F.col("place") >= F.col("fit_below")).select("doc_id", "text")
     found = (held.mapInArrow(lambda b: _scored(b, shared), _SCORED).filter("n_letters >= 40")
-             .groupBy("lang_pred").agg(F.expr(f"percentile_approx(cross_entropy, {QUANTILE}, 10000)").alias("q")).toPandas())
+             .groupBy("lang_pred").agg(F.expr(f"percentile_approx(fit, {QUANTILE}, 10000)").alias("q")).toPandas())
     limits = dict(zip(found["lang_pred"], found["q"]))
     model.limits = np.array([limits.get(lang, np.inf) + MARGIN for lang in model.langs])
     return spark.sparkContext.broadcast(model)
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, rejected, cross_entropy, n_letters: one row per row of ``docs``."""
+    """doc_id, lang_pred, score, rejected, fit, n_letters: one row per row of ``docs``."""
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         return src.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"),
-                          F.lit(None).cast("double").alias("cross_entropy"), F.lit(0).cast("bigint").alias("n_letters"))
+                          F.lit(None).cast("double").alias("fit"), F.lit(0).cast("bigint").alias("n_letters"))
     return src.mapInArrow(lambda b: _scored(b, model), _SCORED)
 
 
@@ -308,5 +310,5 @@ def accepted(model):
     @F.pandas_udf("boolean")
     def accept(texts: pd.Series) -> pd.Series:
         scorer = _scorer(model.value)
-        return pd.Series([not verdict(scorer.model, e, n)[2] for e, n in scorer.cross_entropies([t or "" for t in texts])], dtype=bool)
+        return pd.Series([not verdict(scorer.model, e, f, n)[2] for e, f, n in scorer.cross_entropies([t or "" for t in texts])], dtype=bool)
     return accept

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, minhash_dedup, packing, quality_rules, sentencepiece_codec, token_counts
+from . import language_id, minhash_dedup, packing, quality_rules, sentencepiece_codec, token_counts, toxicity
 from ._common import fold, load, prepare
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +33,15 @@ def op4_kneser_ney_language(spark, sf_dir):
     return language_id.identify(docs, model).withColumn("held_out", held_out)
 
 
+def op5_subsequence_toxicity(spark, sf_dir):
+    """Toxicity score of every document; the fold of remainder 0 is held out of learning."""
+    prepare(spark)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.fit(toxicity.training_rows(docs, load(spark, sf_dir, "labels"), ~held_out))
+    return toxicity.toxicity(docs, model).withColumn("held_out", held_out)
+
+
 def op6_sentencepiece(spark, sf_dir):
     """Digests of every document's ids and of the text they decode to."""
     prepare(spark)
@@ -51,7 +60,8 @@ def op8_minhash_bayes(spark, sf_dir):
     return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
-_ALL = (op2_quality_ratio, op3_unigram_counts, op4_kneser_ney_language, op6_sentencepiece, op7_retrieval_packing, op8_minhash_bayes)
+_ALL = (op2_quality_ratio, op3_unigram_counts, op4_kneser_ney_language, op5_subsequence_toxicity,
+        op6_sentencepiece, op7_retrieval_packing, op8_minhash_bayes)
 
 
 def queries():
