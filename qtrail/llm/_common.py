@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 from pathlib import Path
 
@@ -64,5 +63,7 @@ def sample_by_hash(df: DataFrame, key, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(k, F.lit(seed)), k).limit(n)
 
 
-def log1p_exp(x: float) -> float:
-    return math.log1p(math.exp(-abs(x))) + max(x, 0.0)
+def pin(df: DataFrame, **columns) -> DataFrame:
+    """Add columns that are computed once per row: neither a filter, a projection nor
+    a lambda that refers to them evaluates their expressions again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, minhash_dedup, packing, quality_rules, sentencepiece_codec, token_counts, toxicity
+from . import language_id, license_scan, line_dedup, minhash_dedup, packing, quality_rules, sentencepiece_codec, token_counts, toxicity
 from ._common import fold, load, prepare
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,8 +60,21 @@ def op8_minhash_bayes(spark, sf_dir):
     return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op9_line_windows(spark, sf_dir):
+    """Digest of every document after line dedup."""
+    done = line_dedup.dedup_lines(load(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars_left"),
+                       F.md5("text").alias("text_md5"))
+
+
+def op10_license_scan(spark, sf_dir):
+    """License notices of every document."""
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
 _ALL = (op2_quality_ratio, op3_unigram_counts, op4_kneser_ney_language, op5_subsequence_toxicity,
-        op6_sentencepiece, op7_retrieval_packing, op8_minhash_bayes)
+        op6_sentencepiece, op7_retrieval_packing, op8_minhash_bayes,
+        op9_line_windows, op10_license_scan)
 
 
 def queries():
@@ -69,4 +82,5 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """DuckDB SQL of the operators that SQL expresses."""
+    return {"op9_line_windows": line_dedup.SQL, "op10_license_scan": license_scan.sql()}
