@@ -5,13 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, line_dedup, minhash_dedup, packing, quality_rules, sentencepiece_codec, token_counts, toxicity
+from . import embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_rules, sentencepiece_codec, token_counts, toxicity
 from ._common import fold, load, prepare
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_embedding_metric_join(spark, sf_dir):
+    """Links, component and verdict of every vector."""
+    prepare(spark, 4096)
+    return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_ratio(spark, sf_dir):
     """Base figures, log-likelihood ratio and verdict of every document."""
     prepare(spark)
@@ -72,7 +78,7 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(load(spark, sf_dir, "documents"))
 
 
-_ALL = (op2_quality_ratio, op3_unigram_counts, op4_kneser_ney_language, op5_subsequence_toxicity,
+_ALL = (op1_embedding_metric_join, op2_quality_ratio, op3_unigram_counts, op4_kneser_ney_language, op5_subsequence_toxicity,
         op6_sentencepiece, op7_retrieval_packing, op8_minhash_bayes,
         op9_line_windows, op10_license_scan)
 
