@@ -137,19 +137,19 @@ def connected_components(edge_df: DataFrame, src: str = "src", dst: str = "dst")
         done, scratch = scratch + more[:-1], more[-1]
         drop_stored(spark, *done, *([path] if path else []))
         path = scratch
-    verts = (start.select(F.explode(F.array("hi", "lo")).alias("vertex"))).distinct()
-    return (verts.join(cur.select(F.col("hi").alias("vertex"), F.col("lo").alias("root")), "vertex", "left")
-            .select("vertex", F.coalesce("root", "vertex").alias("component")))
+    itself = start.select(F.explode(F.array("hi", "lo")).alias("vertex")).withColumn("root", F.col("vertex"))
+    return (itself.unionByName(cur.select(F.col("hi").alias("vertex"), F.col("lo").alias("root")))
+            .groupBy("vertex").agg(F.min("root").alias("component")))
 
 
 def _is_star_forest(edges_hl: DataFrame) -> bool:
     """True when every vertex points to exactly one smaller vertex and no
     target points anywhere: each component is then a star around its minimum
     (edges keep connectivity), which is where large/small-star rounds end."""
-    multi = edges_hl.groupBy("hi").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select(F.lit(1).alias("x"))
-    chained = (edges_hl.join(edges_hl.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi")
-               .select(F.lit(1).alias("x")))
-    return multi.union(chained).isEmpty()
+    sides = edges_hl.select(F.col("hi").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges_hl.select(F.col("lo").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return (sides.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            .filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty())
 
 
 def _large_star_sides(edges_hl: DataFrame):
@@ -170,9 +170,10 @@ def _to_minimum(sides):
     minima, spokes, centres = sides
     minima, minima_path = stored(minima, "component-minima")
     out = spokes.join(minima, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo"))
+    out = out.filter(F.col("hi") != F.col("lo"))
     if centres:
-        out = out.union(minima.select(F.col("x").alias("hi"), F.col("m").alias("lo")))
-    edges, path = stored(out.filter(F.col("hi") != F.col("lo")).distinct(), "component-edges")
+        out = out.union(minima.select(F.col("x").alias("hi"), F.col("m").alias("lo"))).distinct()
+    edges, path = stored(out, "component-edges")
     return edges, [minima_path, path]
 
 
