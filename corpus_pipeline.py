@@ -51,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate group, the smallest id (operator 8)."""
     prepare(spark)
     gone, _ = stored(minhash_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "near-duplicates")
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # grows with the data: one plan at every size
     twice, _ = stored(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
                       .filter("k > 1").select("doc_id"), "repeated-ids")
     again = left.join(twice, "doc_id", "left_semi").dropDuplicates()
