@@ -7,7 +7,7 @@ marked lines are merged and removed.  Lines are split at line feeds and
 compared as they are.
 
 Windows travel as hashes: the texts are shuffled once, for the join with their
-own marked lines.  A window that a third of all rows share is one row per task
+own marked lines (a merge join at every size: the marked lines grow with the data).  A window that a third of all rows share is one row per task
 after partial aggregation; its first place is written before it is joined back,
 so the skew rule can split its occurrences.
 
@@ -29,10 +29,10 @@ WINDOW = 3
 
 
 def _windows(lines: DataFrame) -> DataFrame:
-    """(_id, _k1, _k2, line, h1, h2) of every window of ``_lines`` that is not blank."""
-    each = pin(lines, first=F.transform("_lines", lambda x: F.xxhash64(x)),
-               second=F.transform("_lines", lambda x: F.xxhash64(F.lit(9), x)),
-               blank=F.transform("_lines", lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) == "")).drop("_lines")
+    """(_ld_id, _ld_k1, _ld_k2, line, h1, h2) of every window of ``_ld_lines`` that is not blank."""
+    each = pin(lines, first=F.transform("_ld_lines", lambda x: F.xxhash64(x)),
+               second=F.transform("_ld_lines", lambda x: F.xxhash64(F.lit(9), x)),
+               blank=F.transform("_ld_lines", lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) == "")).drop("_ld_lines")
 
     def at(i):
         empty = F.lit(True)
@@ -42,34 +42,35 @@ def _windows(lines: DataFrame) -> DataFrame:
                         F.xxhash64(*[F.get("second", i + k) for k in range(WINDOW)]).alias("h2"), empty.alias("blank"))
 
     found = F.transform(F.sequence(F.lit(0), F.size("first") - WINDOW), at)
-    return each.select("_id", "_k1", "_k2", F.inline(F.filter(found, lambda w: ~w["blank"]))).drop("blank")
+    return each.select("_ld_id", "_ld_k1", "_ld_k2", F.inline(F.filter(found, lambda w: ~w["blank"]))).drop("blank")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` cleaned and the columns ``n_lines``, ``n_removed`` added.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", figures: bool = True) -> DataFrame:
+    """``docs`` with ``text_col`` cleaned and, with ``figures``, the columns ``n_lines``
+    and ``n_removed`` added (in place of columns of these names).
 
     Runs jobs while it is built."""
-    key = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k1"), F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("_k2")]
-    lines = docs.filter(F.col(text_col).contains("\n")).select(F.col(id_col).alias("_id"), *key, F.split(text_col, "\n").alias("_lines"))
-    windows, scratch = stored(_windows(lines.filter(F.size("_lines") >= WINDOW)), "windows")
-    place = F.struct("_id", "_k1", "_k2", "line")
+    key = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("_ld_k1"), F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("_ld_k2")]
+    lines = docs.filter(F.col(text_col).contains("\n")).select(F.col(id_col).alias("_ld_id"), *key, F.split(text_col, "\n").alias("_ld_lines"))
+    windows, scratch = stored(_windows(lines.filter(F.size("_ld_lines") >= WINDOW)), "windows")
+    place = F.struct("_ld_id", "_ld_k1", "_ld_k2", "line")
     repeated = (windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                 .filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"))
     repeated, more = stored(repeated, "repeated-windows")
     later = windows.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-    covered = later.groupBy("_k1", "_k2").agg(F.collect_set("line").alias("_starts"))  # a text's own lines at most
+    covered = later.groupBy("_ld_k1", "_ld_k2").agg(F.collect_set("line").alias("_ld_starts"))  # a text's own lines at most
     covered, _ = stored(covered, "covered-lines")
     drop_stored(docs.sparkSession, scratch, more)
-    out = docs.withColumns({"_k1": key[0], "_k2": key[1]}).join(covered, ["_k1", "_k2"], "left")
-    out = pin(out, _lines=F.split(text_col, "\n"),
-              _marked=F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + WINDOW - 1)))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_marked"))
-    return (out.withColumns({
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("bigint"),
-        "n_removed": F.coalesce(F.size("_marked"), F.lit(0)).cast("bigint"),
-        text_col: F.when(F.col("_starts").isNull(), F.col(text_col))
-        .otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))})
-        .drop("_k1", "_k2", "_starts", "_lines", "_marked"))
+    out = docs.withColumns({"_ld_k1": key[0], "_ld_k2": key[1]}).join(covered.hint("merge"), ["_ld_k1", "_ld_k2"], "left")
+    out = pin(out, _ld_lines=F.split(text_col, "\n"),
+              _ld_marked=F.array_distinct(F.flatten(F.transform("_ld_starts", lambda s: F.sequence(s, s + WINDOW - 1)))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), F.col("_ld_marked"))
+    if figures:
+        out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_ld_lines")).cast("bigint"),
+                               "n_removed": F.coalesce(F.size("_ld_marked"), F.lit(0)).cast("bigint")})
+    cleaned = F.array_join(F.transform(left, lambda i: F.get("_ld_lines", i)), "\n")
+    return (out.withColumn(text_col, F.when(F.col("_ld_starts").isNull(), F.col(text_col)).otherwise(cleaned))
+            .drop("_ld_k1", "_ld_k2", "_ld_starts", "_ld_lines", "_ld_marked"))
 
 
 #: the result of the thin query, for DuckDB
