@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     model = toxicity.fit(toxicity.training_rows(docs, load(spark, sf_dir, "labels"), ~held_out))
-    return docs.withColumn("_score", toxicity.score_column(model)("text")).filter("_score < 0.5").drop("_score")
+    return docs.filter(toxicity.score_column(model)("text") < 0.5)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +35,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = language_id.fit(docs.filter(~held_out).select("doc_id", "text", "lang"))
     if model is None:
         return docs.limit(0)
-    return docs.withColumn("_known", language_id.accepted(model)("text")).filter("_known").drop("_known")
+    return docs.filter(language_id.accepted(model)("text"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of three-line passages (operator 9)."""
     prepare(spark)
-    cleaned = line_dedup.dedup_lines(docs)
+    cleaned = line_dedup.dedup_lines(docs, figures=False)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(docs.columns)
