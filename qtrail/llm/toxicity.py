@@ -21,7 +21,8 @@ word costs one look-up per triple.
 
 A sentence is as toxic as its worst word, a text as its worst sentence.  The
 decision's zero is calibrated on whole labelled texts (a second pass over a
-bounded sample): the cut with the fewest errors, the middle of the best range.
+bounded sample): the cut with the fewest errors, a quarter up the best range, as
+altered insults score between clean words and the insults themselves.
 Score = logistic of the distance to the cut.
 
 Defined results: a null, empty or letterless text gets the lowest score of all,
@@ -54,7 +55,7 @@ GRAM, GRAMS, EVIDENCE = 5, 5000, 2.0
 COST, ROUNDS = 10.0, 12
 LONGEST = 40  # a longer word is read in overlapping parts of this length
 REMEMBERED = 400_000
-STEEPNESS = 6.0
+STEEPNESS, CUT = 6.0, 0.25
 LOWEST = -4.0
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -278,7 +279,7 @@ def fit(labelled: DataFrame):
     errors = found["1"].cumsum().shift(fill_value=0).to_numpy() + found["0"].to_numpy()[::-1].cumsum()[::-1]
     best = np.flatnonzero(errors == errors.min())
     low = found["bin"].iloc[best[0]] if best[0] == 0 else found["bin"].iloc[best[0] - 1] + 1
-    model.cut = float(low + found["bin"].iloc[best[-1]]) / 200
+    model.cut = float(low + (found["bin"].iloc[best[-1]] - low) * CUT) / 100
     return spark.sparkContext.broadcast(model)
 
 
