@@ -44,13 +44,14 @@ END_ID = 2
 SHARD_UNITS = 4096
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-#: a text is cut here only to look words up; a word longer than this is not kept in the cache
-CACHED_CHARS, CACHE_WORDS = 40, 200_000
+#: words that a worker remembers
+CACHE_WORDS = 600_000
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 # Python's split() also parts words at these; the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]*)")
 _SPACES = re.compile("[^\\S\x1c-\x1f]+")
 
 
@@ -62,28 +63,64 @@ def _tokenizer(path: str):
 
 class WordIds:
     """Ids of whole texts by a tokenizer whose pieces never span white space:
-    the ids of a text are those of its words in order, and words repeat."""
+    the ids of a text are those of its words in order, and words repeat.
+
+    A worker remembers words over all its tasks.  Words of plain letters (and
+    full stops or commas behind) are looked up in lower case without them, as
+    the tokenizer lower-cases and parts them so; many are encoded in one call
+    and parted again where an id ends a word."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn_plain(self, words: list[str]) -> None:
+        for a in range(0, len(words), 2000):
+            part = words[a:a + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer parts plain words")
+            self.plain.update((w, raw[i:j]) for w, i, j in zip(part, [0, *stops], stops))
+
+    def _learn(self, words: set[str]) -> None:
+        parts = {w: m.groups() for w in words if (m := _PLAIN.fullmatch(w))}
+        parts = {w: (core.lower(), stops) for w, (core, stops) in parts.items()}
+        odd = [w for w in words if w not in parts]
+        self.known.update(zip(odd, self._encode(odd)))
+        self._learn_plain(list({core for core, _ in parts.values()}.difference(self.plain)))
+        stops = {s for _, s in parts.values()}
+        marks = dict(zip(stops, self._encode(list(stops))))
+        self.known.update((w, self.plain[core] + marks[stop]) for w, (core, stop) in parts.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [_SPACES.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        known = self.known
-        new = list(set().union(*split).difference(known))
+        new = set().union(*split).difference(self.known)
         if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > CACHE_WORDS:
-            self.known = {}
+            self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.plain = {}, {}
         return out
 
 
+@functools.cache
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
 def _units(batches, path: str, end_id: int, window: int):
-    ids_of = WordIds(path)
+    ids_of = _word_ids(path)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         ids = [i + end for i in ids_of.encode([t or "" for t in batch.column("text").to_pylist()])]
