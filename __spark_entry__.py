@@ -31,11 +31,12 @@ except ImportError as missing:
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
-# Parameters (FIXTURES.md): valid-query ceiling and pair threshold for the
-# rendered log, low chain minimum so that two-edge chains exist.
-MAX_COUNT = 2000
-PAIR_THRESHOLD = 50
-CHAIN_MIN = 0.05
+# Parameters (FIXTURES.md): shares of the log, so that they mean the same at every
+# size - templates rarer than 5 %, pairs above 0.1 % of the events - and a low chain
+# minimum so that two-edge chains exist.
+MAX_SHARE = 0.05
+PAIR_SHARE = 0.001
+CHAIN_MIN = 0.005
 CHAIN_LENGTH = 3
 
 
@@ -73,12 +74,12 @@ def q_unique_cases(spark, sf_dir):
 
 
 def q_table_names(spark, sf_dir):
-    return C.table_names(_log(spark, sf_dir), R.RENDERED_TABLE_PATTERN)
+    return C.table_names(_log(spark, sf_dir))
 
 
 def q_lines_by_table(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return (C.lines_by_table(log, C.table_names(log, R.RENDERED_TABLE_PATTERN))
+    return (C.lines_by_table(log, C.table_names(log))
             .select(F.col("seq").alias("event_id"), "table_name"))
 
 
@@ -86,29 +87,33 @@ def q_entity_counts(spark, sf_dir):
     return C.entity_counts(_log(spark, sf_dir), R.RENDERED_PLATE_PATTERN)
 
 
+def _valid(log):
+    return C.valid_templates(log, None, MAX_SHARE)
+
+
 def q_valid_templates(spark, sf_dir):
-    return C.valid_templates(_log(spark, sf_dir), MAX_COUNT)
+    return _valid(_log(spark, sf_dir))
 
 
 def q_positioned_templates(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return (C.positioned_templates(log, C.valid_templates(log, MAX_COUNT))
+    return (C.positioned_templates(log, _valid(log))
             .select(F.col("seq").alias("event_id"), "normalized_query", "row_id"))
 
 
 def q_consecutive_pairs(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return X.consecutive_pairs(log, C.valid_templates(log, MAX_COUNT), PAIR_THRESHOLD)
+    return X.consecutive_pairs(log, _valid(log), 0, min_share=PAIR_SHARE)
 
 
 def q_pair_confidence(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return X.pair_confidence(log, C.valid_templates(log, MAX_COUNT), PAIR_THRESHOLD)
+    return X.pair_confidence(log, _valid(log), 0, min_share=PAIR_SHARE)
 
 
 def q_template_confidence(spark, sf_dir):
     """X2 over every template (no ceiling): the edge table of the query graph."""
-    return X.pair_confidence(_log(spark, sf_dir), None, PAIR_THRESHOLD)
+    return X.pair_confidence(_log(spark, sf_dir), None, 0, min_share=PAIR_SHARE)
 
 
 def q_case_pairs(spark, sf_dir):
@@ -160,31 +165,33 @@ def q_order_trace_graph(spark, sf_dir):
     ev = materialize(o.select(F.col("o_custkey").cast("string").alias("entity"),
                               F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"),
                               F.col("o_orderpriority").alias("query_text"))
-                     .dropna(subset=["entity", "ts", "seq", "query_text"]))
+                     .dropna(subset=["ts", "seq", "query_text"])  # no place or no text: no event
+                     .withColumn("entity", F.coalesce("entity", F.lit("(none)"))))
     return TR.trace_graph(ev, TR.trace_nodes(ev))
 
 
 def _graph_inputs(spark, sf_dir):
     # the edge table feeds legend, edges, chains, chain graph and components:
     # mined once from the log, then every graph step reads the materialised copy
-    conf = materialize(X.pair_confidence(_log(spark, sf_dir), None, PAIR_THRESHOLD))
+    conf = _confidence(spark, sf_dir)
     leg = G.legend(conf)
-    return conf, leg, materialize(G.edges(conf, leg))
+    return leg, materialize(G.edges(conf, leg))
+
+
+def _confidence(spark, sf_dir):
+    return materialize(X.pair_confidence(_log(spark, sf_dir), None, 0, min_share=PAIR_SHARE))
 
 
 def q_legend(spark, sf_dir):
-    _, leg, _ = _graph_inputs(spark, sf_dir)
-    return leg
+    return G.legend(_confidence(spark, sf_dir))
 
 
 def q_statement_kind(spark, sf_dir):
-    _, leg, _ = _graph_inputs(spark, sf_dir)
-    return G.vertices(leg)
+    return G.vertices(q_legend(spark, sf_dir))
 
 
 def q_edges(spark, sf_dir):
-    _, _, e = _graph_inputs(spark, sf_dir)
-    return e
+    return _graph_inputs(spark, sf_dir)[1]
 
 
 def _chains_out(ch):
@@ -193,24 +200,23 @@ def _chains_out(ch):
 
 
 def q_chains_simple(spark, sf_dir):
-    _, _, e = _graph_inputs(spark, sf_dir)
+    _, e = _graph_inputs(spark, sf_dir)
     return _chains_out(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, allow_revisit=False, materialized=True))
 
 
 def q_chains_revisit(spark, sf_dir):
-    _, _, e = _graph_inputs(spark, sf_dir)
+    _, e = _graph_inputs(spark, sf_dir)
     return _chains_out(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, allow_revisit=True, materialized=True))
 
 
 def q_chain_graph(spark, sf_dir):
-    _, _, e = _graph_inputs(spark, sf_dir)
-    return G.chain_graph(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, materialized=True), e).drop("label")
+    _, e = _graph_inputs(spark, sf_dir)
+    return G.chain_graph(e, CHAIN_MIN).drop("label")  # ties of the rounding differ between engines
 
 
 def q_components(spark, sf_dir):
-    _, leg, e = _graph_inputs(spark, sf_dir)
-    graph = G.chain_graph(G.chains(e, CHAIN_MIN, CHAIN_LENGTH, materialized=True), e)
-    return G.query_components(graph, leg)
+    leg, e = _graph_inputs(spark, sf_dir)
+    return G.query_components(G.chain_graph(e, CHAIN_MIN), leg)
 
 
 def q_supply_components(spark, sf_dir):
@@ -221,6 +227,67 @@ def q_supply_components(spark, sf_dir):
     return G.connected_components(edges, "src", "dst")
 
 
+# Literal statements and their structure; each event picks one by its id, so the
+# expected values of ``structure_shapes`` are written out, not computed.
+SHAPES = [
+    # (statement, tables, columns, functions, conditions)
+    ("SELECT MAX(A)-MIN(B) FROM T1 WHERE A = ?", "T1", "MAX(A)-MIN(B)", "", "A = ?"),
+    ("SELECT UPPER(A) || LOWER(B), COUNT(C) FROM T2", "T2", "UPPER(A) || LOWER(B),COUNT(C)", "COUNT(C)", None),
+    ("SELECT NVL(MAX(A),MIN(B)) FROM T3 X", "X", "NVL(MAX(A),MIN(B))", "NVL(MAX(A),MIN(B))", None),
+    ("SELECT A FROM T as V WHERE V.A = ?", "V", "A", "", "V.A = ?"),
+    ('SELECT A FROM "My Table" X, "Other One" WHERE A = ?', "X,Other One", "A", "", "A = ?"),
+    ("SELECT A FROM DB.T, S.U W", "T,W", "A", "", None),
+    ("SELECT DISTINCT A, B FROM T6", "T6", "A,B", "", None),
+    ("select all A from T7 where A = ? or B = ?", "T7", "A", "", "A = ? | B = ?"),
+    ("SELECT * FROM T8 WHERE A = ?", "T8", "", "", "A = ?"),
+    ("SELECT A FROM T9 WHERE CASE WHEN A = ? AND B = ? THEN ? ELSE ? END = ? AND C = ?", "T9", "A", "",
+     "CASE WHEN A = ? AND B = ? THEN ? ELSE ? END = ? | C = ?"),
+    ("SELECT A FROM T10 WHERE A BETWEEN ? AND ? AND (B = ? OR C = ?)", "T10", "A", "", "A BETWEEN ? AND ? | (B = ? OR C = ?)"),
+]
+
+
+def q_structure_shapes(spark, sf_dir):
+    """Q3, Q5, Q6, Q7 on literal statements, one for each event by its id."""
+    events = R.load_table(spark, sf_dir, "events")
+    texts = F.array(*[F.lit(shape[0]) for shape in SHAPES])
+    picked = events.groupBy(F.get(texts, (F.col("event_id") % len(SHAPES)).cast("int")).alias("statement")).count()
+    done = picked.select("statement", "count", S.statement_structure("statement").alias("s"))
+    return done.select(
+        "statement", "count", F.array_join("s.tables", ",").alias("tables"), F.array_join("s.columns", ",").alias("columns"),
+        F.array_join(F.transform("s.functions", lambda f: F.concat(f["function"], F.lit("("), f["column"], F.lit(")"))), ",")
+        .alias("functions"), F.array_join(F.transform("s.where", lambda w: w["condition"]), " | ").alias("conditions"))
+
+
+def _shapes_sql() -> str:
+    def text(v):
+        return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, " + ", ".join(map(text, shape)) + ")" for i, shape in enumerate(SHAPES))
+    return (f"SELECT statement, count(*) AS count, tables, columns, functions, conditions FROM events "
+            f"JOIN (VALUES {rows}) v(i, statement, tables, columns, functions, conditions) "
+            f"ON event_id % {len(SHAPES)} = i GROUP BY ALL")
+
+
+def q_file_round_trip(spark, sf_dir):
+    """Edges through CSV, nested traces and record groups
+    through JSON, read back; a digest per table."""
+    from qtrail.session import scratch_dir
+    from qtrail.sinks import files as K
+    from qtrail.sources import tables as TB
+    log = materialize(_log(spark, sf_dir), "log")
+    folder = scratch_dir(spark, "files")
+    K.write_csv(X.pair_confidence(log, None, 0, min_share=PAIR_SHARE, sort=True), f"{folder}/edges")
+    K.write_json(TR.nest_traces(TR.entity_traces(log, R.RENDERED_PLATE_PATTERN), chunk_size=2), f"{folder}/traces")
+    K.write_json(TR.nest_records(TR.record_groups(log, R.RENDERED_RECORD_ID_PATTERN), chunk_size=2), f"{folder}/records")
+    edges = TB.read_edge_csv(spark, f"{folder}/edges")
+    traces = TB.flatten_traces(TB.read_trace_json(spark, f"{folder}/traces"))
+    records = spark.read.json(f"{folder}/records").select("ARXEISOD_ID", F.explode("grouped_lines").alias("line"))
+    return (edges.select(F.lit("edges").alias("file"), F.col("normalized_query").alias("key"), F.col("count"))
+            .unionByName(traces.groupBy("entity").agg(F.count("ts").alias("count"))
+                         .select(F.lit("traces").alias("file"), F.col("entity").alias("key"), "count"))
+            .unionByName(records.groupBy("ARXEISOD_ID").agg(F.count("line").alias("count"))
+                         .select(F.lit("records").alias("file"), F.col("ARXEISOD_ID").alias("key"), "count")))
+
+
 def q_statement_catalogue(spark, sf_dir):
     stmts = A.statement_lines(R.rendered_raw(spark, sf_dir), role=R.ROLE)
     cat = S.statement_catalogue(stmts)
@@ -267,6 +334,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "components": q_components,
     "supply_components": q_supply_components,
     "statement_catalogue": q_statement_catalogue,
+    "structure_shapes": q_structure_shapes,
+    "file_round_trip": q_file_round_trip,
 }
 
 
@@ -279,17 +348,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # DuckDB oracle: the same log rendered in SQL, then plain SQL per query.
 # ---------------------------------------------------------------------------
 _LOG_CTE = """
+shaped AS (
+  SELECT event_id, ts, event_type, coalesce(user_id, 0) AS user_id,
+    CASE WHEN (event_id >> 12) & 1 = 0 THEN 'A' ELSE 'B' END
+      || CAST(1000003 // ((event_id % 1000003) * 7919 % 1000003 + 1) AS VARCHAR) AS shape
+  FROM events
+),
 raw AS (
-  SELECT event_id AS seq, date_trunc('second', ts) AS ts, user_id,
+  SELECT event_id * 2 + copy AS seq, date_trunc('second', ts) AS ts, user_id,
     '[' || strftime(ts, '%d/%m/%Y %H:%M:%S') || '] ' || CAST(user_id AS VARCHAR) || ' user ' ||
     CASE event_type
-      WHEN 'view' THEN printf('QUERY      : SELECT ID,NAME FROM ITEMS WHERE PLATE=''ABC%04d'' AND ID = %d', user_id, event_id)
-      WHEN 'click' THEN printf('QUERY      : SELECT COUNT(ID) FROM CLICKS C LEFT OUTER JOIN ITEMS I ON (C.ITEM_ID=I.ID) WHERE (C.USER_ID = %d) AND (C.FLAG = ''T'')', user_id)
-      WHEN 'signup' THEN printf('TRANSACTION: INSERT INTO USERS (ID,NAME) VALUES (%d,''u:x'')', user_id)
-      WHEN 'purchase' THEN printf('TRANSACTION: UPDATE ORDERS SET TOTAL = 1.5 WHERE ORDERS.ID = %d', event_id)
+      WHEN 'view' THEN printf('QUERY      : SELECT ID,NAME FROM ITEMS%s WHERE PLATE=''ABC%07d'' AND ID = %d', shape, user_id, event_id)
+      WHEN 'click' THEN printf('QUERY      : SELECT COUNT(ID) FROM CLICKS%s C LEFT OUTER JOIN ITEMS%s I ON (C.ITEM_ID=I.ID) WHERE (C.USER_ID = %d) AND (C.FLAG = ''T'')', shape, shape, user_id)
+      WHEN 'signup' THEN printf('TRANSACTION: INSERT INTO USERS%s (ID,NAME) VALUES (%d,''u:x'')', shape, user_id)
+      WHEN 'purchase' THEN printf('TRANSACTION: UPDATE ORDERS%s SET TOTAL = 1.5 WHERE ORDERS.ID = %d', shape, event_id // 20)
       WHEN 'error' THEN printf('INPUT      : QUERY ignored %d', event_id)
-    END AS value
-  FROM events
+      ELSE printf('INPUT      : OTHER %d', event_id)
+    END || CASE WHEN event_id % 11 = 0 THEN '  ' ELSE '' END AS value
+  FROM (SELECT *, unnest(CASE WHEN event_type = 'view' AND event_id % 50 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM shaped)
 ),
 log AS (
   SELECT seq, ts, trim(value) AS line FROM raw
@@ -330,7 +406,7 @@ counts AS (
     SELECT {_norm()} AS normalized_query FROM log WHERE {_NOT_ECHO} AND {_STMT_SPACED}
   ) WHERE normalized_query <> '' GROUP BY normalized_query
 ),
-valid AS (SELECT normalized_query FROM counts WHERE count < {MAX_COUNT})"""
+valid AS (SELECT normalized_query FROM counts WHERE count < CAST({MAX_SHARE} AS DOUBLE) * (SELECT sum(count) FROM counts))"""
 
 
 def _with(*ctes: str) -> str:
@@ -352,25 +428,29 @@ totals AS (SELECT normalized_query, count(*) AS total_count FROM nx GROUP BY nor
 pairs AS (SELECT normalized_query, next_query, count(*) AS count FROM nx WHERE next_query IS NOT NULL GROUP BY ALL)"""
 
 
-def _conf_select(threshold: int) -> str:
+def _frequent(share: float | None) -> str:
+    return "true" if share is None else f"count > CAST({share} AS DOUBLE) * (SELECT count(*) FROM nx)"
+
+
+def _conf_select(share: float | None) -> str:
     return f"""SELECT p.normalized_query, p.next_query, p.count, t.total_count,
        p.count / t.total_count AS confidence
-FROM pairs p JOIN totals t USING (normalized_query) WHERE p.count > {threshold}"""
+FROM pairs p JOIN totals t USING (normalized_query) WHERE {_frequent(share)}"""
 
 
-def _seq_conf_sql(table: str, case: str | None, query: str, order: str, threshold: int) -> str:
+def _seq_conf_sql(table: str, case: str | None, query: str, order: str) -> str:
     part = f"PARTITION BY {case}" if case else ""
     return f"""WITH nx AS (
   SELECT {query} AS normalized_query, lead({query}) OVER ({part} ORDER BY {order}) AS next_query FROM {table}
 ),
 totals AS (SELECT normalized_query, count(*) AS total_count FROM nx GROUP BY normalized_query),
 pairs AS (SELECT normalized_query, next_query, count(*) AS count FROM nx WHERE next_query IS NOT NULL GROUP BY ALL)
-{_conf_select(threshold)}"""
+{_conf_select(None)}"""
 
 
 _TRACES = f"""
 el AS (
-  SELECT seq, ts, line, regexp_extract(line, '([A-Z]{{3}}\\d{{4}})', 1) AS entity,
+  SELECT seq, ts, line, regexp_extract(line, '([A-Z]{{3}}\\d{{7,}})', 1) AS entity,
          string_split(line, ' WHERE ')[1] AS normalized_line
   FROM log WHERE {_NOT_ECHO} AND contains(line, ' QUERY ')
 ),
@@ -390,7 +470,7 @@ nodes AS (
 )"""
 
 _GRAPH = _pairs_sql(False, True, False) + f""",
-conf AS ({_conf_select(PAIR_THRESHOLD)}),
+conf AS ({_conf_select(PAIR_SHARE)}),
 leg AS (
   SELECT query, 'Q' || CAST(ordinal AS VARCHAR) AS id, ordinal FROM (
     SELECT query, row_number() OVER (ORDER BY query) AS ordinal FROM (
@@ -583,7 +663,7 @@ tabs AS (SELECT DISTINCT table_name FROM (
 ) WHERE table_name <> '')""") + "SELECT seq AS event_id, table_name FROM log JOIN tabs ON contains(line, table_name)",
         "entity_counts": _with() + f"""
 SELECT entity, count(*) AS count FROM (
-  SELECT regexp_extract(line, '([A-Z]{{3}}\\d{{4}})', 1) AS entity FROM log WHERE {_NOT_ECHO} AND contains(line, ' QUERY ')
+  SELECT regexp_extract(line, '([A-Z]{{3}}\\d{{7,}})', 1) AS entity FROM log WHERE {_NOT_ECHO} AND contains(line, ' QUERY ')
 ) WHERE entity <> '' GROUP BY entity""",
         "valid_templates": _with(_TEMPLATE_COUNTS) + "SELECT normalized_query FROM valid",
         "positioned_templates": _with(_TEMPLATE_COUNTS) + f"""
@@ -591,12 +671,12 @@ SELECT seq AS event_id, normalized_query, row_number() OVER (ORDER BY seq) - 1 A
   SELECT seq, {_norm()} AS normalized_query FROM log WHERE {_NOT_ECHO} AND {_STMT_UNSPACED}
 ) WHERE normalized_query IN (SELECT normalized_query FROM valid)""",
         "consecutive_pairs": _with(_TEMPLATE_COUNTS, _pairs_sql(True, False, False))
-        + f"SELECT normalized_query, next_query, count FROM pairs WHERE count > {PAIR_THRESHOLD}",
-        "pair_confidence": _with(_TEMPLATE_COUNTS, _pairs_sql(True, True, False)) + _conf_select(PAIR_THRESHOLD),
-        "template_confidence": _with(_pairs_sql(False, True, False)) + _conf_select(PAIR_THRESHOLD),
-        "case_pairs": _with(_pairs_sql(False, True, True)) + _conf_select(0),
-        "event_type_pairs": _seq_conf_sql("events", None, "event_type", "event_id", 0),
-        "order_priority_pairs": _seq_conf_sql("orders", "o_custkey", "o_orderpriority", "o_orderdate, o_orderkey", 0),
+        + f"SELECT normalized_query, next_query, count FROM pairs WHERE {_frequent(PAIR_SHARE)}",
+        "pair_confidence": _with(_TEMPLATE_COUNTS, _pairs_sql(True, True, False)) + _conf_select(PAIR_SHARE),
+        "template_confidence": _with(_pairs_sql(False, True, False)) + _conf_select(PAIR_SHARE),
+        "case_pairs": _with(_pairs_sql(False, True, True)) + _conf_select(None),
+        "event_type_pairs": _seq_conf_sql("events", None, "event_type", "event_id"),
+        "order_priority_pairs": _seq_conf_sql("orders", "o_custkey", "o_orderpriority", "o_orderdate, o_orderkey"),
         "entity_traces": _with(_TRACES) + """
 SELECT entity, count(*) OVER (PARTITION BY entity) AS query_count,
        row_number() OVER (PARTITION BY entity ORDER BY ts, seq) - 1 AS pos, ts, seq AS event_id, normalized_line
@@ -617,9 +697,10 @@ SELECT start_node, end_node, strftime(nts, '%H:%M:%S') AS label, count(*) OVER (
 FROM nx WHERE end_node IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY start_node, end_node ORDER BY nts DESC, nseq DESC) = 1""",
         "order_trace_graph": """WITH te AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS entity, o_orderdate AS ts, o_orderkey AS seq, o_orderpriority AS query_text
+  SELECT coalesce(CAST(o_custkey AS VARCHAR), '(none)') AS entity, o_orderdate AS ts, o_orderkey AS seq,
+         o_orderpriority AS query_text
   FROM orders
-  WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL AND o_orderkey IS NOT NULL AND o_orderpriority IS NOT NULL
+  WHERE o_orderdate IS NOT NULL AND o_orderkey IS NOT NULL AND o_orderpriority IS NOT NULL
 ),
 nodes AS (
   SELECT row_number() OVER (ORDER BY entity, ts, seq) - 1 AS node_id, entity, query_text FROM (
@@ -649,6 +730,13 @@ FROM leg""",
         "components": _with_rec(_GRAPH, _paths_cte(False), _CHAIN_GRAPH, _COMPONENTS) + """
 SELECT dense_rank() OVER (ORDER BY c.root) AS component_id, l.query FROM comp c JOIN leg l ON l.ordinal = c.v""",
         "supply_components": _SUPPLY,
+        "structure_shapes": _shapes_sql(),
+        "file_round_trip": _with(_GRAPH, _TRACES) + """
+SELECT 'edges' AS file, normalized_query AS key, count FROM conf
+UNION ALL SELECT 'traces', entity, count(*) FROM tr GROUP BY entity
+UNION ALL SELECT 'records', record_id, count(*) FROM (
+  SELECT regexp_extract(line, 'WHERE. *?\\bORDERS\\.ID\\s*=\\s*(\\d+)', 1) AS record_id FROM log
+  WHERE NOT contains(line, 'INPUT')) WHERE record_id <> '' GROUP BY record_id""",
         "statement_catalogue": _with(_STRUCTURE) + """
 SELECT DISTINCT type, tables, columns, functions, conditions, operators, from_tokens FROM agg WHERE type = 'SELECT'""",
     }

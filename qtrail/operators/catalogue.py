@@ -8,7 +8,7 @@ optional presentation sorts of ``sort=True``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -16,9 +16,6 @@ from ..functions import text as T
 from ..session import materialize
 from .ordering import with_position
 
-# Table catalogues up to this many names are broadcast to the mention join.
-BROADCAST_TABLE_ROWS = 100_000
-
 
 def _sorted(df: DataFrame, sort: bool, *keys) -> DataFrame:
     return df.orderBy(*keys) if sort else df
@@ -43,9 +40,14 @@ def template_counts(log: DataFrame, sort: bool = False) -> DataFrame:
     return _sorted(counts, sort, F.desc("count"), "normalized_query")
 
 
-def valid_templates(log: DataFrame, max_count: int | None = 500) -> DataFrame:
-    """Templates rarer than ``max_count`` (strict); all templates if None."""
+def valid_templates(log: DataFrame, max_count: int | None = 500, max_share: float | None = None) -> DataFrame:
+    """Templates rarer than ``max_count`` (strict) and than ``max_share`` of all
+    template occurrences (strict; a ceiling that follows the log's size); a bound
+    that is None does not apply."""
     counts = template_counts(log)
+    if max_share is not None:
+        counts = counts.withColumn("_all", F.sum("count").over(Window.partitionBy()))  # one row per template
+        counts = counts.filter(F.col("count") < F.lit(float(max_share)) * F.col("_all"))
     if max_count is not None:
         counts = counts.filter(F.col("count") < max_count)
     return counts.select("normalized_query")
@@ -96,40 +98,26 @@ def table_names(log: DataFrame, pattern: str = T.TABLE_PATTERN) -> DataFrame:
             .filter(P.found("table_name")).distinct())
 
 
-def lines_by_table(log: DataFrame, tables: DataFrame, table_col: str = "table_name",
-                   broadcast_rows: int = BROADCAST_TABLE_ROWS) -> DataFrame:
+def lines_by_table(log: DataFrame, tables: DataFrame, table_col: str = "table_name") -> DataFrame:
     """Every line paired with each known table whose name it contains
     (substring test, as the reference intends).
 
-    The catalogue is materialised and counted first.  Up to ``broadcast_rows``
-    names it is broadcast and the theta join runs map-side next to the scan.
-    Beyond that an exact equi-join is used instead: a line contains name ``t``
-    iff one of its substrings of length ``len(t)`` equals ``t``, so each line
-    emits its substrings of the (few) distinct name lengths and is joined on
-    them; duplicates from repeated occurrences are removed per line.  When all
-    names are identifiers only substrings of the line's identifier runs are
-    candidates."""
+    One plan for every size: with q the length of the shortest name, a line that
+    contains a name contains the name's first q characters, so each line's
+    distinct runs of q characters are joined with them and the whole name is then
+    tested.  The catalogue is written first (its q is one number), while this is
+    built."""
     t = materialize(tables.select(F.col(table_col).alias("table_name")).filter(F.col("table_name") != "")
                     .distinct())
-    if t.count() <= broadcast_rows:
-        return (log.join(F.broadcast(t), F.col("line").contains(F.col("table_name")))
-                .select("seq", "ts", "table_name", "line"))
-    lengths = [r[0] for r in t.select(F.length("table_name")).distinct().collect()]
-
-    def windows(text: Column, n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)) \
-            .otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(text, i, n))
-
-    if t.filter(~F.col("table_name").rlike(r"^[A-Za-z0-9_]+$")).isEmpty():
-        # identifier-only names can only occur inside one identifier run of the
-        # line, so candidates come from the line's words, not from every window
-        words = F.regexp_extract_all(F.col("line"), F.lit(r"[A-Za-z0-9_]+"), 0)
-        subs = F.flatten(F.transform(words, lambda w: F.flatten(F.array(*[windows(w, n) for n in lengths]))))
-    else:
-        subs = F.flatten(F.array(*[windows(F.col("line"), n) for n in lengths]))
-    exploded = log.select("seq", "ts", "line", F.explode(F.array_distinct(subs)).alias("table_name"))
-    return exploded.join(t, "table_name").select("seq", "ts", "table_name", "line")
+    q = t.agg(F.min(F.length("table_name"))).first()[0]
+    if q is None:
+        return log.select("seq", "ts", F.lit("").alias("table_name"), "line").limit(0)
+    runs = F.when(F.length("line") >= q, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("line") - (q - 1)), lambda i: F.substring(F.col("line"), i, F.lit(q)))))
+    return (log.select("seq", "ts", "line", F.explode(runs).alias("_run"))
+            .join(t.withColumn("_run", F.substring("table_name", 1, q)), "_run")
+            .filter(F.col("line").contains(F.col("table_name")))
+            .select("seq", "ts", "table_name", "line"))
 
 
 def entity_lines(log: DataFrame, pattern: str = T.PLATE_PATTERN) -> DataFrame:
@@ -145,11 +133,19 @@ def entity_counts(log: DataFrame, pattern: str = T.PLATE_PATTERN, sort: bool = F
     return _sorted(out, sort, F.desc("count"), "entity")
 
 
+def only_valid(events: DataFrame, valid: DataFrame | None) -> DataFrame:
+    """Events of valid templates.  The set is written first (a job while this is
+    built): its size is then known, so Catalyst sends it to the events instead of
+    dealing the events by a few hot templates."""
+    if valid is None:
+        return events
+    return events.join(materialize(valid.select("normalized_query").distinct(), "valid"), "normalized_query", "left_semi")
+
+
 def positioned_templates(log: DataFrame, valid: DataFrame | None = None, exclude_echo: bool = True) -> DataFrame:
     """Statement events with a dense 0-based position after filtering
     (what ``zipWithIndex`` gives), computed per block plus block offsets."""
     ev = statements(log, spaced=False, exclude_echo=exclude_echo)
-    if valid is not None:
-        ev = ev.join(valid.select("normalized_query"), "normalized_query", "left_semi")
+    ev = only_valid(ev, valid)
     return with_position(ev.select("seq", "block", "ts", "line", "normalized_query"), order=["seq"],
                          block="block", name="row_id")

@@ -7,8 +7,7 @@ and networkx.  Here:
   distributed dense index;
 * chains (G3/G4): breadth-first expansion, one join per level between the
   frontier and the edge table, pruned by the minimum confidence at every
-  level, each frontier written to the shared checkpoint folder; the edge
-  table is broadcast only after its row count is checked;
+  level, each frontier written to the shared checkpoint folder;
 * components (G6): large-star / small-star rounds (Kiveris et al., 2014),
   each round written to the shared checkpoint folder, O(log n) rounds,
   stopping as soon as the edges form a star forest.
@@ -23,10 +22,6 @@ from ..functions import text as T
 from ..session import drop_stored, materialize, stored
 from .ordering import dense_index
 
-# Edge tables at or below this many rows are broadcast to the chain joins.
-BROADCAST_EDGE_ROWS = 2_000_000
-
-
 def legend(confidence: DataFrame, start: str = "normalized_query", end: str = "next_query") -> DataFrame:
     """Distinct start and end queries, ids ``Q1..Qn`` by ascending text.
 
@@ -58,14 +53,6 @@ def edges(confidence: DataFrame, legend_df: DataFrame, start: str = "normalized_
                     F.col("total_count").cast("bigint").alias("total_count")))
 
 
-def _sized_edges(edge_df: DataFrame, materialized: bool = False):
-    """Materialise the edge table once (unless the caller did) and broadcast it
-    only if its row count is checked small."""
-    fixed = edge_df if materialized else materialize(edge_df, "chain-edges")
-    n = fixed.count()
-    return (F.broadcast(fixed) if n <= BROADCAST_EDGE_ROWS else fixed), n
-
-
 def chains(edge_df: DataFrame, min_confidence: float = 0.01, max_length: int = 5,
            allow_revisit: bool = False, sort: bool = False, materialized: bool = False) -> DataFrame:
     """G3 ``build_query_chains`` (``allow_revisit=False``) and G4 (``True``).
@@ -75,10 +62,12 @@ def chains(edge_df: DataFrame, min_confidence: float = 0.01, max_length: int = 5
     extension stops at paths below the minimum.  Without revisits a node never
     repeats in a path (self-loops are skipped).  Columns
     ``path ARRAY<STRING>, length INT, confidence DOUBLE``.  ``materialized=True``
-    says the edge table is already a written table (it is then only counted)."""
+    says the edge table is already a written table; its size is known either way,
+    so Catalyst chooses the join.  The levels are written while this is built."""
     if max_length < 1:
         raise ValueError("max_length counts edges and must be >= 1")
-    step_df, _ = _sized_edges(edge_df.select("start_id", "end_id", "confidence"), materialized)
+    step_df = edge_df.select("start_id", "end_id", "confidence")
+    step_df = step_df if materialized else materialize(step_df, "chain-edges")
     step = step_df.select(F.col("start_id").alias("_from"), F.col("end_id").alias("_to"),
                           F.col("confidence").alias("_c"))
     first = step.filter(F.col("_c") >= min_confidence)
@@ -104,16 +93,17 @@ def chains(edge_df: DataFrame, min_confidence: float = 0.01, max_length: int = 5
     return out.orderBy(F.desc("confidence"), "path") if sort else out
 
 
-def chain_graph(chain_df: DataFrame, edge_df: DataFrame) -> DataFrame:
-    """The edges used by the kept chains, with their attributes and a
-    two-decimal label (P13).  Columns
+def chain_graph(edge_df: DataFrame, min_confidence: float = 0.01, allow_revisit: bool = False) -> DataFrame:
+    """The edges used by the kept chains, with a two-decimal label.
+
+    No confidence exceeds 1, so an edge lies on a kept chain exactly if it is one:
+    its own confidence reaches the minimum and, without revisits, it is no
+    self-loop.  Columns
     ``start_id, end_id, start_ordinal, end_ordinal, confidence, count, total_count, label``."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1),
-                        lambda i: F.struct(F.element_at("path", i).alias("start_id"),
-                                           F.element_at("path", i + 1).alias("end_id")))
-    steps = chain_df.select(F.explode(pairs).alias("s")).select("s.start_id", "s.end_id").distinct()
-    return (edge_df.join(steps, ["start_id", "end_id"], "left_semi")
-            .withColumn("label", T.confidence_label("confidence")))
+    kept = edge_df.filter(F.col("confidence") >= min_confidence)
+    if not allow_revisit:
+        kept = kept.filter(F.col("start_id") != F.col("end_id"))
+    return kept.withColumn("label", T.confidence_label("confidence"))
 
 
 def connected_components(edge_df: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -98,7 +98,8 @@ def _next_heads(heads: DataFrame, pb, levels: int) -> DataFrame:
     solved per coarse block and stitched one level up, so the only window
     without a partition key runs over coarse keys (files, days, 2**24 ids)."""
     dtype = heads.schema[_BLK].dataType
-    up = coarser(F.col("_b"), dtype) if levels > 0 else None
+    # per key the window is partitioned by the key already
+    up = coarser(F.col("_b"), dtype) if levels > 0 and not pb else None
     if up is None:
         return heads.select(*pb, _BLK, F.lead("_head").over(Window.partitionBy(*pb).orderBy(_BLK))
                             .alias("_next_head"))
@@ -158,7 +159,7 @@ def _block_offsets(counts: DataFrame, pb, levels: int) -> DataFrame:
     """Rows before each ``(pb, _blk)``: running sum over blocks, solved per
     coarse block plus coarse offsets (same two-level shape as ``_next_heads``)."""
     before = Window.partitionBy(*pb).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    up = coarser(F.col(_BLK), counts.schema[_BLK].dataType) if levels > 0 else None
+    up = coarser(F.col(_BLK), counts.schema[_BLK].dataType) if levels > 0 and not pb else None
     if up is None:
         return counts.select(*pb, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     c = counts.withColumn("_cb", up)

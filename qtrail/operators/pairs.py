@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalogue import statements
+from .catalogue import only_valid, statements
 from .ordering import with_successor
 
 
@@ -21,9 +21,7 @@ def template_events(log: DataFrame, valid: DataFrame | None = None, exclude_echo
     """Statement events (unspaced keyword test, F4c) whose template is valid."""
     ev = statements(log, spaced=False, exclude_echo=exclude_echo).select("seq", "block", "ts", "line",
                                                                         "normalized_query")
-    if valid is not None:
-        ev = ev.join(valid.select("normalized_query"), "normalized_query", "left_semi")
-    return ev
+    return only_valid(ev, valid)
 
 
 def successor_counts(events: DataFrame, query: str = "normalized_query", order=("seq",), block="block",
@@ -52,21 +50,25 @@ def _with_totals(counts: DataFrame) -> DataFrame:
 
 
 def consecutive_pairs(log: DataFrame, valid: DataFrame | None = None, threshold: int = 300,
-                      exclude_echo: bool = False, partition_by=(), sort: bool = False) -> DataFrame:
+                      exclude_echo: bool = False, partition_by=(), sort: bool = False,
+                      min_share: float | None = None) -> DataFrame:
     """X1 ``extract_consecutive_pairs``: pairs of consecutive valid templates in
-    file order occurring more than ``threshold`` times (strict).
+    file order occurring more than ``threshold`` times and more than ``min_share`` of
+    all events (both strict; None does not apply).
 
     Faithful default keeps echo lines (``exclude_echo=False``) and uses the
     global order; ``partition_by`` (e.g. ``"case_id"``) restricts pairs to one case."""
     ev = template_events(log, valid, exclude_echo)
     ev = _with_case(ev, partition_by)
     counts = successor_counts(ev, partition_by=partition_by)
-    out = counts.filter(F.col("next_query").isNotNull() & (F.col("count") > threshold))
+    out = (_above(counts, threshold, min_share).filter(F.col("next_query").isNotNull())
+           .select("normalized_query", "next_query", "count"))
     return out.orderBy(F.desc("count"), "normalized_query", "next_query") if sort else out
 
 
 def pair_confidence(log: DataFrame, valid: DataFrame | None = None, threshold: int = 300,
-                    exclude_echo: bool = True, partition_by=(), sort: bool = False) -> DataFrame:
+                    exclude_echo: bool = True, partition_by=(), sort: bool = False,
+                    min_share: float | None = None) -> DataFrame:
     """X2 ``compute_confidence``: frequent pairs with ``total_count`` of the first
     template and ``confidence = count / total_count``.
 
@@ -74,11 +76,25 @@ def pair_confidence(log: DataFrame, valid: DataFrame | None = None, threshold: i
     ev = template_events(log, valid, exclude_echo)
     ev = _with_case(ev, partition_by)
     counts = successor_counts(ev, partition_by=partition_by)
-    return confidence_from_counts(counts, threshold, sort)
+    return confidence_from_counts(counts, threshold, sort, min_share)
+
+
+def _above(counts: DataFrame, threshold: int, min_share: float | None) -> DataFrame:
+    """Pair counts above both bounds; the share is of all events (the null group included)."""
+    return _above_all(counts, min_share).filter((F.col("count") > threshold) & F.col("_frequent"))
+
+
+def _above_all(counts: DataFrame, min_share: float | None) -> DataFrame:
+    """Marks pairs above the share, keeping the others for the totals."""
+    if min_share is None:
+        return counts.withColumn("_frequent", F.lit(True))
+    share = F.lit(float(min_share)) * F.sum("count").over(Window.partitionBy())
+    return counts.withColumn("_frequent", F.col("count") > share)
 
 
-def confidence_from_counts(counts: DataFrame, threshold: int, sort: bool = False) -> DataFrame:
-    out = (_with_totals(counts).filter(F.col("count") > threshold)
+def confidence_from_counts(counts: DataFrame, threshold: int, sort: bool = False,
+                           min_share: float | None = None) -> DataFrame:
+    out = (_with_totals(_above_all(counts, min_share)).filter((F.col("count") > threshold) & F.col("_frequent"))
            .select("normalized_query", "next_query", "count", "total_count",
                    (F.col("count") / F.col("total_count")).alias("confidence")))
     return out.orderBy(F.desc("confidence"), "normalized_query", "next_query") if sort else out

@@ -44,7 +44,11 @@ BOOL_WORDS = ["AND", "OR"]
 TOKEN_PATTERN = r"(?U)\s*(?:[(),?]|\w+(?:\.\w+)*|[^\s\w(),?]+)"
 ITEM_TYPE = "struct<clause:string,text:string,sep:string>"
 FUNCTION_PATTERN = r"(?U)^(\w+)\s*\((.*)\)$"
-TABLE_REF_PATTERN = r"(?U)^(\(.*\)|\S+)(?:\s+(?:AS\s+)?(\w+))?$"
+# a table item: subquery, quoted or plain name (qualified or not), then an alias
+_NAME = r"(?:\"[^\"]*\"|`[^`]*`|\[[^\]]*\]|[^\s\"`\[(]+)+"
+TABLE_REF_PATTERN = r"(?Uis)^(\(.*\)|" + _NAME + r")(?:\s+(?:AS\s+)?(\"[^\"]*\"|`[^`]*`|\w+))?$"
+INTO_PATTERN = r"(?Uis)^(" + _NAME + ")"
+DISTINCT_PATTERN = r"(?Ui)^(DISTINCT|ALL)\b\s*"
 
 
 def _item(cond: Column, clause, text, sep) -> Column:
@@ -90,7 +94,7 @@ def _step(acc: Column, tok: Column) -> Column:
         _item(on_word, "KW", u, ""),
     )).otherwise(acc["items"])
     return F.struct(
-        (d + F.when(u == "(", 1).when(u == ")", -1).otherwise(0)).alias("d"),
+        (d + F.when(u.isin("(", "CASE"), 1).when(u == ")", -1).when((u == "END") & (d > 0), -1).otherwise(0)).alias("d"),
         F.when(boundary, new_clause).when(on_word, F.lit("ON")).when(join_word, F.lit("FROM"))
         .otherwise(clause).alias("clause"),
         F.when(cut, F.lit("")).otherwise(F.concat(cur, t)).alias("cur"),
@@ -121,19 +125,38 @@ def _texts(items: Column, clause: str) -> Column:
     return F.transform(F.filter(items, lambda x: x["clause"] == clause), lambda x: x["text"])
 
 
+def _bare(name: Column) -> Column:
+    """The last part of a possibly qualified name, without its quotes."""
+    last = F.regexp_extract(name, r"(?s)(\"[^\"]*\"|`[^`]*`|\[[^\]]*\]|[^.]*)$", 1)
+    return F.when(name.startswith("("), name).otherwise(F.regexp_replace(last, r"^[\"`\[]|[\"`\]]$", ""))
+
+
+def _one_call(arguments: Column) -> Column:
+    """True if the text between a call's parentheses closes none that it has not opened."""
+    marks = F.split(F.regexp_replace(arguments, "[^()]", ""), "")
+    state = F.aggregate(marks, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda acc, m: F.struct(
+        (acc["d"] + F.when(m == "(", 1).when(m == ")", -1).otherwise(0)).alias("d"),
+        F.least(acc["low"], acc["d"] + F.when(m == "(", 1).when(m == ")", -1).otherwise(0)).alias("low")))
+    return (state["d"] == 0) & (state["low"] == 0)
+
+
 def structure_of(parsed) -> Column:
     """Q1 fields from a parsed statement (``clause_items``): ``struct(type,
-    tables, table_refs, from_tokens, where, columns, functions)``."""
+    tables, table_refs, from_tokens, where, columns, functions)``.
+
+    Table names come without qualifier and quotes, aliases without quotes; a
+    leading DISTINCT or ALL belongs to no column and a bare ``*`` is none; a
+    select item is a function if its first parenthesis closes at its end."""
     parsed = T.col_of(parsed)
     items = parsed["items"]
     kind = parsed["kind"]
     ref = lambda x: F.struct(
-        F.regexp_extract(x, TABLE_REF_PATTERN, 1).alias("table"),
-        F.regexp_extract(x, TABLE_REF_PATTERN, 2).alias("alias"))
+        _bare(F.regexp_extract(x, TABLE_REF_PATTERN, 1)).alias("table"),
+        _bare(F.regexp_extract(x, TABLE_REF_PATTERN, 2)).alias("alias"))
     from_refs = F.transform(_texts(items, "FROM"), ref)
     update_refs = F.transform(_texts(items, "UPDATE"), ref)
     into_refs = F.transform(_texts(items, "INTO"),
-                            lambda x: F.struct(F.regexp_extract(x, r"(?U)^(\w+(?:\.\w+)*)", 1).alias("table"),
+                            lambda x: F.struct(_bare(F.regexp_extract(x, INTO_PATTERN, 1)).alias("table"),
                                                F.lit("").alias("alias")))
     refs = F.concat(from_refs, update_refs, into_refs)
     tables = F.transform(refs, lambda r: F.when(r["alias"] != "", r["alias"]).otherwise(r["table"]))
@@ -147,16 +170,17 @@ def structure_of(parsed) -> Column:
     where = F.when(F.size(where_items) > 0, F.transform(
         where_items, lambda x: F.struct(T.normalize_condition(x["text"]).alias("condition"),
                                         x["sep"].alias("operator"))))
-    select_cols = _texts(items, "SELECT")
+    select_cols = F.transform(_texts(items, "SELECT"),
+                              lambda x, i: F.when(i == 0, F.regexp_replace(x, DISTINCT_PATTERN, "")).otherwise(x))
     set_cols = F.transform(_texts(items, "SET"), lambda x: F.trim(F.substring_index(x, "=", 1)))
     into_cols = F.flatten(F.transform(
         _texts(items, "INTO"),
         lambda x: F.transform(F.split(F.regexp_extract(x, r"\((.*)\)", 1), ","), lambda c: F.trim(c))))
-    columns = F.filter(F.concat(select_cols, set_cols, into_cols), lambda c: c != "")
+    columns = F.filter(F.concat(select_cols, set_cols, into_cols), lambda c: (c != "") & (c != "*"))
     functions = F.filter(
         F.transform(select_cols, lambda x: F.struct(F.regexp_extract(x, FUNCTION_PATTERN, 1).alias("function"),
                                                      F.regexp_extract(x, FUNCTION_PATTERN, 2).alias("column"))),
-        lambda f: f["function"] != "")
+        lambda f: (f["function"] != "") & _one_call(f["column"]))
     return F.struct(kind.alias("type"), tables.alias("tables"), refs.alias("table_refs"),
                     from_tokens.alias("from_tokens"), where.alias("where"), columns.alias("columns"),
                     functions.alias("functions"))
@@ -183,11 +207,23 @@ def with_structure(df: DataFrame, col: str = "statement", kind: str | None = Non
     return shaped.select(F.inline(F.filter(F.array("_s"), lambda r: r["type"] == kind)))
 
 
+def walk_texts(col) -> Column:
+    """``col`` with the numbers after WHERE replaced by ``?`` if it has one DML word
+    only (so what follows WHERE is nothing but conditions and an unreported tail)."""
+    text = T.col_of(col)
+    dml = "|".join(DML_WORDS)
+    where = F.regexp_extract(text, r"(?Uis)^(.*?\bWHERE\b)", 1)
+    several = text.rlike(rf"(?Uis)\b(?:{dml})\b.*\b(?:{dml})\b")
+    tail = F.substring(text, F.length(where) + 1, F.length(text))
+    return F.when((where == "") | several, text).otherwise(F.concat(where, T.replace_numbers(tail)))
+
+
 def statement_catalogue(statements: DataFrame, col: str = "line", kind: str | None = "SELECT") -> DataFrame:
     """Q8: distinct structures of the distinct statements of one type.
 
-    Distinct texts first (statements repeat), a cheap necessary-condition test
-    for the type keyword, then one walk per statement, then distinct
+    Numbers of a WHERE tail are replaced first (``walk_texts``), as conditions are
+    reported without them; then distinct texts (few are left), a cheap
+    necessary-condition test for the type keyword, one walk per text, distinct
     structures."""
     spark = statements.sparkSession
     # The walk is CPU-bound per statement: spread the distinct texts over the
@@ -195,7 +231,7 @@ def statement_catalogue(statements: DataFrame, col: str = "line", kind: str | No
     parts = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # (by number, round robin: a repartition on the distinct's own key would
     # be dropped as redundant and the small shuffle coalesced again)
-    texts = statements.select(F.col(col).alias("statement")).distinct().repartition(parts)
+    texts = statements.select(walk_texts(col).alias("statement")).distinct().repartition(parts)
     if kind is not None:
         texts = texts.filter(F.upper("statement").contains(kind))
     return with_structure(texts, "statement", kind).distinct()

@@ -32,10 +32,10 @@ def entity_traces(log: DataFrame, pattern: str = T.PLATE_PATTERN, block_unit: st
     Read statements with an entity, cut before `` WHERE `` (P5), duplicates of
     ``(timestamp, line)`` removed (first occurrence kept), ordered by
     ``(ts, seq)``.  Columns ``entity, query_count, pos, ts, seq, normalized_line``."""
-    lines = (entity_lines(log, pattern)
-             .withColumn("normalized_line", T.before_where("line"))
-             .groupBy("ts", "line", "entity", "normalized_line")
-             .agg(F.min("seq").alias("seq")))
+    # entity and cut line follow from the line, so only (ts, line, seq) is shuffled
+    lines = (entity_lines(log, pattern).groupBy("ts", "line").agg(F.min("seq").alias("seq"))
+             .withColumn("entity", T.plate("line", pattern))
+             .withColumn("normalized_line", T.before_where("line")))
     placed = with_position(lines.select("entity", "ts", "seq", "normalized_line"), order=TRACE_ORDER,
                            block=time_block(block_unit), partition_by=["entity"], name="pos",
                            total="query_count")
@@ -58,6 +58,15 @@ def nest_traces(flat: DataFrame, key: str = "entity", chunk_size: int = 10_000,
                          .alias("grouped_lines"))
 
 
+def nest_records(flat: DataFrame, key_name: str = "ARXEISOD_ID", chunk_size: int = 10_000) -> DataFrame:
+    """A7 in nested form: ``(key_name, chunk, grouped_lines ARRAY<STRING>)``, lines in
+    file order, at most ``chunk_size`` in a row."""
+    nested = (flat.withColumn("chunk", F.floor(F.col("pos") / chunk_size).cast("bigint"))
+              .groupBy(F.col("record_id").alias(key_name), "chunk")
+              .agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_items")))
+    return nested.select(key_name, "chunk", F.transform("_items", lambda x: x["line"]).alias("grouped_lines"))
+
+
 def record_groups(log: DataFrame, pattern: str = T.RECORD_ID_PATTERN, block_unit: str | None = None) -> DataFrame:
     """A7 ``group_queries_by_id`` in flat form: every non-echo line whose record
     id is found (P7), duplicates kept, with its position in file order.
@@ -97,12 +106,15 @@ def trace_graph(events: DataFrame, nodes: DataFrame, block_unit: str = "minute")
 
     Edge label = time of day of the successor event; a repeated edge keeps the
     label of its last occurrence (A12).  Columns ``start_node, end_node, label, count``."""
-    ev = (events.join(nodes, ["entity", "query_text"])
-          .select("entity", "ts", "seq", "node_id", time_block(block_unit).alias("_tb"),
-                  F.col("ts").alias("_nts"), F.col("seq").alias("_nseq")))
-    nxt = with_successor(ev, ["node_id", "_nts", "_nseq"], order=TRACE_ORDER, block="_tb",
+    ev = events.select("entity", "ts", "seq", "query_text", time_block(block_unit).alias("_tb"),
+                       F.col("ts").alias("_nts"), F.col("seq").alias("_nseq"))
+    nxt = with_successor(ev, ["query_text", "_nts", "_nseq"], order=TRACE_ORDER, block="_tb",
                          partition_by=["entity"], prefix="next")
-    edges = nxt.filter(F.col("nextnode_id").isNotNull())
-    return (edges.groupBy(F.col("node_id").alias("start_node"), F.col("nextnode_id").alias("end_node"))
-            .agg(F.max_by(T.time_of_day(F.col("next_nts")), F.struct("next_nts", "next_nseq")).alias("label"),
-                 F.count(F.lit(1)).alias("count")))
+    # one row per edge before the node ids are joined: no event meets a hot key
+    edges = (nxt.filter(F.col("nextquery_text").isNotNull()).groupBy("entity", "query_text", "nextquery_text")
+             .agg(F.max_by(T.time_of_day(F.col("next_nts")), F.struct("next_nts", "next_nseq")).alias("label"),
+                  F.count(F.lit(1)).alias("count")))
+    start = nodes.select("entity", "query_text", F.col("node_id").alias("start_node"))
+    end = nodes.select("entity", F.col("query_text").alias("nextquery_text"), F.col("node_id").alias("end_node"))
+    return (edges.join(start, ["entity", "query_text"]).join(end, ["entity", "nextquery_text"])
+            .select("start_node", "end_node", "label", "count"))

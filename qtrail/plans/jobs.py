@@ -13,7 +13,7 @@ Command line::
 
     python -m qtrail.plans.jobs mine   <log path(s)> <out dir>
     python -m qtrail.plans.jobs graph  <edge csv>    <out dir> [min] [length] [revisit]
-    python -m qtrail.plans.jobs traces <trace json>  <out dir>
+    python -m qtrail.plans.jobs traces <trace json>  <out dir> [key] [lines|array]
     python -m qtrail.plans.jobs structure <log path(s)> <out dir>
 """
 
@@ -35,6 +35,10 @@ from ..sources import auditlog as A
 from ..sources import tables as TB
 
 
+# Key columns of the nested outputs
+TRACE_KEY, RECORD_KEY = "ARITH_KYKL", "ARXEISOD_ID"
+
+
 def materialize_log(spark: SparkSession, log_paths, out_dir: str, codepage: str | None = A.DEFAULT_CODEPAGE
                     ) -> DataFrame:
     """Scan + parse once, write ``out_dir/events`` (Parquet), return a reader of it."""
@@ -44,13 +48,15 @@ def materialize_log(spark: SparkSession, log_paths, out_dir: str, codepage: str
 
 
 def mine_log(spark: SparkSession, log_paths, out_dir: str, codepage: str | None = A.DEFAULT_CODEPAGE,
-             max_count: int | None = 500, threshold: int = 50, plate_pattern: str = T.PLATE_PATTERN,
+             max_count: int | None = 500, max_share: float | None = None, threshold: int = 50, plate_pattern: str = T.PLATE_PATTERN,
              record_pattern: str = T.RECORD_ID_PATTERN) -> dict[str, str]:
     """All outputs of the log-mining script; returns output name → path."""
     out = out_dir.rstrip("/")
     log = materialize_log(spark, log_paths, out, codepage)
-    valid = C.valid_templates(log, max_count)
-    traces = TR.entity_traces(log, plate_pattern)
+    valid = materialize(C.valid_templates(log, max_count, max_share))
+    # written first: the nested form reads it instead of mining the traces again
+    TR.entity_traces(log, plate_pattern).write.mode("overwrite").parquet(f"{out}/entity_traces")
+    traces = spark.read.parquet(f"{out}/entity_traces")
     outputs = {
         "first_queries_by_case": (C.first_query_per_case(log, sort=True), "csv"),
         "first_query_frequency": (C.first_query_frequency(log, sort=True), "csv"),
@@ -60,19 +66,16 @@ def mine_log(spark: SparkSession, log_paths, out_dir: str, codepage: str | None
         "confidence_query_pairs": (X.pair_confidence(log, valid, threshold, sort=True), "csv"),
         "table_names": (C.table_names(log), "csv"),
         "arith_kykl_values": (C.entity_counts(log, plate_pattern, sort=True), "csv"),
-        "entity_traces": (traces, "parquet"),
-        "grouped_logs_by_arith_kykl": (TR.nest_traces(traces), "json"),
-        "grouped_queries_by_id": (TR.record_groups(log, record_pattern), "json"),
+        "grouped_logs_by_arith_kykl": (TR.nest_traces(traces).withColumnRenamed("entity", TRACE_KEY), "json"),
+        "grouped_queries_by_id": (TR.nest_records(TR.record_groups(log, record_pattern), RECORD_KEY), "json"),
     }
-    paths = {}
+    paths = {"entity_traces": f"{out}/entity_traces"}
     for name, (df, fmt) in outputs.items():
         path = f"{out}/{name}"
         if fmt == "csv":
             K.write_csv(df, path)
-        elif fmt == "json":
-            K.write_json(df, path)
         else:
-            df.write.mode("overwrite").parquet(path)
+            K.write_json(df, path)
         paths[name] = path
     return paths
 
@@ -85,7 +88,7 @@ def query_graph(spark: SparkSession, confidence: DataFrame, out_dir: str, min_co
     leg = G.legend(confidence)
     edges = materialize(G.edges(confidence, leg))
     chains = G.chains(edges, min_confidence, max_length, allow_revisit, sort=True, materialized=True)
-    graph = G.chain_graph(chains, edges)
+    graph = G.chain_graph(edges, min_confidence, allow_revisit)
     comps = G.query_components(graph, leg)
     K.write_legend(leg, f"{out}/query_legend")
     K.write_json(G.vertices(leg), f"{out}/query_vertices")
@@ -96,10 +99,10 @@ def query_graph(spark: SparkSession, confidence: DataFrame, out_dir: str, min_co
                                       "connected_components")}
 
 
-def trace_graph_job(spark: SparkSession, nested_traces: DataFrame, out_dir: str) -> dict[str, str]:
+def trace_graph_job(spark: SparkSession, nested_traces: DataFrame, out_dir: str, key: str = TRACE_KEY) -> dict[str, str]:
     """Nodes and directly-follows edges of nested entity traces."""
     out = out_dir.rstrip("/")
-    events = materialize(TR.trace_events(TB.flatten_traces(nested_traces)))
+    events = materialize(TR.trace_events(TB.flatten_traces(nested_traces, key)))
     nodes = TR.trace_nodes(events)
     K.write_json(nodes, f"{out}/trace_nodes")
     K.write_json(TR.trace_graph(events, nodes), f"{out}/trace_edges")
@@ -129,7 +132,9 @@ def main(argv: list[str]) -> int:
         revisit = len(argv) > 6 and argv[6].lower() in ("1", "true", "yes")
         print(query_graph(spark, TB.read_edge_csv(spark, src), out, min_c, length, revisit))
     elif cmd == "traces":
-        print(trace_graph_job(spark, TB.read_trace_json(spark, src), out))
+        key = argv[4] if len(argv) > 4 else TRACE_KEY
+        array = len(argv) > 5 and argv[5].lower() == "array"
+        print(trace_graph_job(spark, TB.read_trace_json(spark, src, key, array), out, key))
     elif cmd == "structure":
         print(structure_job(spark, src.split(","), out))
     else:

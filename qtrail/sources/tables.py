@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -17,7 +17,7 @@ EDGE_SCHEMA = Ty.StructType([
 ])
 
 TRACE_ITEM = Ty.StructType([
-    Ty.StructField("timestamp", Ty.TimestampNTZType()),
+    Ty.StructField("timestamp", Ty.StringType()),
     Ty.StructField("normalized_line", Ty.StringType()),
 ])
 
@@ -32,15 +32,41 @@ def trace_schema(key: str = "entity") -> Ty.StructType:
 
 
 def read_edge_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: a confidence edge table written as CSV with header (no inference pass)."""
-    return (spark.read.schema(EDGE_SCHEMA).option("header", True).option("escape", '"')
-            .csv(path))
+    """S3: a confidence edge table written as CSV with header.
+
+    Columns are found by their names in the header, in any order; one that the
+    file lacks is null, one that it has besides is ignored.  A value that does not
+    fit its type raises."""
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    return raw.select(*[_typed(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None).cast("string"), f.dataType, f.name)
+                        for f in EDGE_SCHEMA.fields])
+
+
+def _typed(text: Column, dtype: Ty.DataType, name: str) -> Column:
+    if isinstance(dtype, Ty.StringType):
+        return text.alias(name)
+    value = text.try_cast(dtype)
+    return _checked(text, value, name).alias(name)
+
+
+def _checked(text: Column, value: Column, name: str) -> Column:
+    """``value``, or an error where a text has none."""
+    bad = F.raise_error(F.concat(F.lit(f"{name}: cannot read "), text))
+    return F.when(text.isNotNull() & value.isNull(), bad).otherwise(value)
+
+
+def wall_time(text: Column) -> Column:
+    """The local wall time of a timestamp text, with or without a zone (cut off)."""
+    local = F.regexp_replace(text, r"\s*(Z|[+-]\d{2}:?\d{2})$", "")
+    return _checked(text, local.try_cast(Ty.TimestampNTZType()), "timestamp")
 
 
 def read_trace_json(spark: SparkSession, path: str, key: str = "entity", multi_line: bool = False) -> DataFrame:
     """Nested traces.  ``multi_line=True`` reads one pretty JSON array per
     file (the reference's layout); the default reads JSON Lines (ours)."""
-    return spark.read.schema(trace_schema(key)).option("multiLine", multi_line).json(path)
+    raw = spark.read.schema(trace_schema(key)).option("multiLine", multi_line).json(path)
+    return raw.withColumn("grouped_lines", F.transform("grouped_lines", lambda x: F.struct(
+        wall_time(x["timestamp"]).alias("timestamp"), x["normalized_line"].alias("normalized_line"))))
 
 
 def flatten_traces(nested: DataFrame, key: str = "entity") -> DataFrame:

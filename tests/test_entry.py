@@ -44,3 +44,4 @@ def test_query_matches_oracle(spark, duck, name):
     d_idx = [rel.columns.index(c) for c in order]
     d_rows = sorted(tuple(_norm(r[i]) for i in d_idx) for r in rel.fetchall())
     assert s_rows == d_rows
+    assert s_rows, "an empty result checks nothing"

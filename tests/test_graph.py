@@ -61,7 +61,9 @@ def test_chain_graph_is_threshold_filter(spark):
     conf = _conf(spark)
     leg = G.legend(conf)
     e = G.edges(conf, leg)
-    graph = G.chain_graph(G.chains(e, 0.5, 3), e)
+    graph = G.chain_graph(e, 0.5)
+    on_chains = {pair for r in G.chains(e, 0.5, 3).collect() for pair in zip(r.path, r.path[1:])}
+    assert on_chains == {(r.start_id, r.end_id) for r in graph.collect()}
     got = {(r.start_id, r.end_id, r.label) for r in graph.collect()}
     assert got == {("Q1", "Q2", "0.90"), ("Q2", "Q3", "0.50"), ("Q3", "Q1", "0.80"), ("Q4", "Q2", "1.00")}
     comps = {r.query: r.component_id for r in G.query_components(graph, leg).collect()}
@@ -102,3 +104,13 @@ def test_hub_vertex(spark):
     df = spark.createDataFrame(edges, "src long, dst long")
     got = G.connected_components(df).groupBy("component").agg(F.count("*").alias("n")).collect()
     assert sorted((r.component, r.n) for r in got) == [(0, 3000), (5000, 2)]
+
+
+def test_hubs_and_many_components(spark):
+    """A low hub, a high hub, chains and many small components."""
+    edges = spark.range(1, 40_000).selectExpr("0L src", "id dst").union(spark.range(100_000, 120_000).selectExpr("id src", "999999L dst"))
+    edges = edges.union(spark.range(200_000, 220_000).selectExpr("id - id % 4 src", "id dst"))
+    got = G.connected_components(edges).groupBy("component").agg(F.count("*").alias("n"))
+    sizes = {r.component: r.n for r in got.collect()}
+    assert sizes.pop(0) == 40_000 and sizes.pop(100_000) == 20_001
+    assert sizes == {c: 4 for c in range(200_000, 220_000, 4)}

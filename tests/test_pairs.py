@@ -36,7 +36,7 @@ def test_partition_invariance(spark):
     results = []
     for n in (1, 4, 16):
         log = base.repartition(n)
-        rows = X.pair_confidence(log, C.valid_templates(log, 2000), 0).collect()
+        rows = X.pair_confidence(log, C.valid_templates(log, None, 0.05), 0).collect()
         results.append(sorted(tuple(r) for r in rows))
     assert results[0] == results[1] == results[2]
 
@@ -54,17 +54,16 @@ def test_first_query_per_case_counts_one(spark):
     assert out and all(r["count"] == 1 for r in out)
 
 
-def test_lines_by_table_fallback_equals_broadcast(spark):
+def test_lines_by_table_is_the_substring_test(spark):
     log = _log(spark)
-    tables = C.table_names(log, R.RENDERED_TABLE_PATTERN).union(
-        spark.createDataFrame([("ITEMS",), ("I",), ("NOPE",)], "table_name string"))
-    a = sorted(tuple(r) for r in C.lines_by_table(log, tables).select("seq", "table_name").collect())
-    b = sorted(tuple(r) for r in C.lines_by_table(log, tables, broadcast_rows=0).select("seq", "table_name").collect())
-    assert a == b and len(a) > 0
-    odd = tables.union(spark.createDataFrame([("ITEMS WHERE",), ("C.USER_ID",)], "table_name string"))
-    a = sorted(tuple(r) for r in C.lines_by_table(log, odd).select("seq", "table_name").collect())
-    b = sorted(tuple(r) for r in C.lines_by_table(log, odd, broadcast_rows=0).select("seq", "table_name").collect())
-    assert a == b and any(r[1] == "C.USER_ID" for r in a)
+    tables = C.table_names(log).union(
+        spark.createDataFrame([("ITEMS",), ("I",), ("NOPE",), ("ITEMSA1 WHERE",), ("C.USER_ID",), ("",)], "table_name string"))
+    for names in (tables, tables.filter("length(table_name) > 3")):
+        got = sorted(tuple(r) for r in C.lines_by_table(log, names).select("seq", "table_name").collect())
+        lines = log.select("seq", "line").collect()
+        known = {r[0] for r in names.collect()} - {""}
+        assert got == sorted((r.seq, t) for r in lines for t in known if t in r.line)
+    assert C.lines_by_table(log, tables.limit(0)).collect() == []
 
 
 def test_extra_markers_and_sorts(spark):
