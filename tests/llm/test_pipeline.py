@@ -11,7 +11,7 @@ def corpus(spark, folder):
     rows = [(i, words(rng, 60) + ("\nyou idiot moron\n" if i % 6 == 0 else "\n") + words(rng, 40), "en", "s", 5, "r", 1, "x", "b")
             for i in range(200)]
     rows += [(500, rows[1][1], "en", "s", 5, "r", 1, "x", "b"), (501, None, None, None, None, None, None, None, None), (502, "", "en", "s", 0, "r", 1, "x", "b"),
-             (503, " ".join("".join(rng.choice("qxzwvk") for _ in range(9)) for _ in range(80)), "en", "s", 5, "r", 1, "x", "b")]
+             (503, " ".join("".join(rng.choice("qxzwvk") for _ in range(9)) for _ in range(80)), None, "s", 5, "r", 1, "x", "b")]
     frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(200)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
 
