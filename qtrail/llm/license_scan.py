@@ -48,9 +48,9 @@ _MASKS = [random.Random(10 * k + 1).getrandbits(63) for k in range(BANDS)]
 
 
 def _words(text):
-    """Words of a text column; no full stop at a word's end."""
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.+-]+|\.+(?![\p{L}\p{N}.+-])", " ")
-    return F.filter(F.split(plain, " +"), lambda w: w != "")
+    """Words of a text column; no full stop at a word's end.  A text without words gives one empty word."""
+    plain = F.regexp_replace(F.lower(text), r"(?:[^\p{L}\p{N}.+-]|\.+(?![\p{L}\p{N}.+-]))++", " ")
+    return F.split(F.trim(plain), " ")
 
 
 def _pairs(words):
@@ -61,15 +61,12 @@ def _pairs(words):
 
 def _with_minima(df: DataFrame, starts) -> DataFrame:
     """Add the minima m0, m1, ... of the windows that start at the given pairs (counted from 1)."""
-    def mixed(k):
-        return F.transform("pairs", lambda x: x.bitwiseXOR(F.lit(_MASKS[k])))
-
     def lowest(k):
-        return F.transform("starts", lambda i: F.array_min(F.slice(f"x{k}", i, WINDOW - 1)))
+        return F.transform("starts", lambda i: F.array_min(F.transform(
+            F.slice("pairs", i, WINDOW - 1), lambda x: x.bitwiseXOR(F.lit(_MASKS[k])))))
 
-    bands = range(BANDS)
-    df = pin(df, starts=starts, **{f"x{k}": mixed(k) for k in bands})
-    return pin(df.drop("pairs"), **{f"m{k}": lowest(k) for k in bands}).drop("starts", *[f"x{k}" for k in bands])
+    df = pin(df, starts=starts)
+    return pin(df, **{f"m{k}": lowest(k) for k in range(BANDS)}).drop("starts", "pairs")
 
 
 def _shingles(words):
@@ -94,8 +91,19 @@ def scan(docs: DataFrame, templates=None, id_col: str = "doc_id", text_col: str
     src = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"))
     src = pin(src, words=_words(F.col("_text"))).drop("_text")
     src = pin(src.filter(F.size("words") >= 2), pairs=_pairs(F.col("words")))
-    starts = F.sequence(F.lit(1), F.size("pairs"), F.lit(STRIDE))
-    src = _with_minima(src, starts)
+    # a window shares a band only if it holds the pair that is the template window's
+    # minimum there, so the others' minima need not be computed
+    telling = sorted({v ^ _MASKS[k] for t in known for k in range(BANDS) for v in t.minima[k] if v is not None})
+    src = pin(src, places=F.array_compact(F.transform("pairs", lambda x, i: F.when(x.isin(telling), i))))
+
+    def windows(p):
+        """Starts of the windows that hold pair ``p`` (counted from 0)."""
+        last = p - p % STRIDE
+        return F.filter(F.array(*[F.when((last >= back) & (p - last + back < WINDOW - 1), last - back + 1)
+                                  for back in range(0, WINDOW - 1, STRIDE)]), lambda x: x.isNotNull())
+
+    starts = F.array_distinct(F.flatten(F.transform("places", windows)))
+    src = _with_minima(src.filter(F.size("places") > 0), starts).drop("places")
 
     def hit(values_of_band):
         """Does any window share a band?"""

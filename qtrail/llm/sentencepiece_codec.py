@@ -1,10 +1,9 @@
 """Operator 6: SentencePiece encoding and decoding by streaming Viterbi.
 
-``StreamingViterbi`` reads characters one after another.  It keeps the best
-candidates of the positions that a piece can still reach (a window bounded by
-the longest piece) and the backpointers since the last commit; as soon as all
-surviving paths go through one boundary, the ids before it are final and are
-given out.  A text's parts that no piece spans are where that always happens;
+``StreamingViterbi`` reads a text chunk by chunk.  It keeps the best paths to the
+boundaries that a later piece can still start at (a window bounded by the longest
+piece) and the backpointers since the last commit; as soon as all of these paths
+go through one boundary, the ids before it are final and are given out.  A text's parts that no piece spans are where that always happens;
 each worker remembers the ids of the short ones (words).
 
 Defined results: null and empty texts have no ids and decode to the empty text;
@@ -30,70 +29,78 @@ REMEMBERED, SHORT = 400_000, 48
 
 
 class StreamingViterbi:
-    """Ids of a stream of prepared text."""
+    """Ids of a stream of prepared text.
+
+    An automaton enumerates the pieces that end at each boundary; a boundary's best
+    path is final as soon as it is reached, but which paths survive is open for
+    ``longest`` boundaries, as a later piece may still start there."""
 
     def __init__(self, words: Vocabulary):
+        import ahocorasick
         self.words = words
-        # every proper beginning of a piece: tells when no longer piece can match
-        self.begins = {p[:k] for p in words.pieces for k in range(1, len(p))}
+        self.automaton = ahocorasick.Automaton()
+        for piece, (score, piece_id) in words.pieces.items():
+            self.automaton.add_word(piece, (len(piece), score, piece_id))
+        self.automaton.make_automaton()
 
     def encode(self, chunks: Iterable[str]) -> Iterator[list[int]]:
         """Yield committed ids; ``chunks`` may part the text anywhere."""
-        pieces, begins, reach = self.words.pieces, self.begins, self.words.longest
-        unknown = self.words.unknown_score
+        reach = self.words.longest
         text = ""  # from the last commit on; boundaries count from there
-        at = furthest = 0  # the next boundary to leave, the furthest one reached
-        score: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, int | None]] = {}  # boundary -> where its best last piece starts, that piece
-        look = 2 * reach
-        source = iter(chunks)
-        more = True
-        while True:
-            while more and len(text) < at + reach + 1:
-                part = next(source, None)
-                more = part is not None
-                text += part or ""
-            if at == len(text):
-                return
-            here = score[at]
-            single = False
-            for stop in range(at + 1, min(at + reach, len(text)) + 1):
-                piece = text[at:stop]
-                found = pieces.get(piece)
-                if found is not None:
-                    single |= stop == at + 1
-                    total = here + found[0]
-                    if stop > furthest or stop not in score or total > score[stop]:
-                        score[stop], back[stop] = total, (at, found[1])
-                        furthest = max(furthest, stop)
-                if piece not in begins:
-                    break
-            if not single:
-                total = here + unknown
-                if at + 1 not in score or total > score[at + 1]:
-                    score[at + 1], back[at + 1] = total, (at, None)
-                    furthest = max(furthest, at + 1)
-            at += 1
-            if furthest == at:  # one boundary survives
-                boundary = at
-            elif at >= look:  # do the paths to all surviving boundaries go through one?
-                meet = {p for p in range(at, furthest + 1) if p in score}
+        score, back = [0.0], [(0, None)]  # of each boundary; back: start and id of its best last piece
+        for chunk in chunks:
+            text += chunk
+            self._advance(text, score, back)
+            while len(text) >= 2 * reach:
+                meet = set(range(len(text) - reach + 1, len(text) + 1))  # boundaries that a later piece can start at
                 while len(meet) > 1:
                     meet.add(back[last := max(meet)][0])
                     meet.discard(last)
                 boundary = meet.pop()
-                look = at + reach
-            else:
-                continue
-            if boundary:
+                if not boundary:
+                    break
                 yield self._ids(text, back, boundary)
-                text, at, furthest = text[boundary:], at - boundary, furthest - boundary
+                text = text[boundary:]
                 kept = score[boundary]
-                score = {p - boundary: v - kept for p, v in score.items() if p >= boundary}
-                back = {p - boundary: (v[0] - boundary, v[1]) for p, v in back.items() if p > boundary}
-                look = at + 2 * reach
-
-    def _ids(self, text: str, back: dict, boundary: int) -> list[int]:
+                score = [v - kept for v in score[boundary:]]
+                back = [(max(start - boundary, 0), piece_id) for start, piece_id in back[boundary:]]
+        if text:
+            yield self._ids(text, back, len(text))
+
+    def _advance(self, text: str, score: list, back: list) -> None:
+        """Best paths to the boundaries that are new since the last call."""
+        done = len(score) - 1
+        first = max(0, done - self.words.longest + 1)
+        unknown = self.words.unknown_score
+        matched: list = []
+
+        def close(end: int) -> None:
+            # longest piece first, so that a tie keeps the earliest start
+            top, best, single = None, None, False
+            for length, value, piece_id in matched:
+                start = end - length
+                single |= length == 1
+                total = score[start] + value
+                if top is None or total > top:
+                    top, best = total, (start, piece_id)
+            if not single and (top is None or score[end - 1] + unknown > top):
+                top, best = score[end - 1] + unknown, (end - 1, None)
+            score.append(top)
+            back.append(best)
+
+        for last, match in self.automaton.iter(text[first:] if first else text):
+            end = first + last + 1
+            if end <= done:
+                continue
+            while len(score) < end:
+                close(len(score))
+                matched.clear()
+            matched.append(match)
+        while len(score) <= len(text):
+            close(len(score))
+            matched.clear()
+
+    def _ids(self, text: str, back: list, boundary: int) -> list[int]:
         """Ids of the best path to ``boundary``."""
         groups = []
         while boundary:
@@ -113,7 +120,11 @@ class Encoder(dict):
         self.viterbi = StreamingViterbi(self.words)
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array([i for group in self.viterbi.encode([part]) for i in group], "<i4").tobytes()
+        finer = self.words.cuts(part)
+        if len(finer) > 1:
+            ids = b"".join(map(self.__getitem__, finer))
+        else:
+            ids = np.array([i for group in self.viterbi.encode([part]) for i in group], "<i4").tobytes()
         if len(part) <= SHORT:
             self[part] = ids
         return ids

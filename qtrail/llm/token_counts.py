@@ -74,7 +74,11 @@ class Counter(dict):
         self.words, self.automaton = vocabulary(path), _automaton(path)
 
     def __missing__(self, part: str) -> tuple[float, int]:
-        found = best(part, self.automaton, self.words)
+        finer = self.words.cuts(part)
+        if len(finer) > 1:
+            found = tuple(map(sum, zip(*map(self.__getitem__, finer))))
+        else:
+            found = best(part, self.automaton, self.words)
         if len(part) <= SHORT:
             self[part] = found
         return found

@@ -45,12 +45,22 @@ class Vocabulary:
         # no piece goes on with a blank after another character: every path has a
         # boundary before such a blank, so parts between them are independent
         apart = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.pieces)
+        # the same holds between a letter and a stop, and around a line feed, where no
+        # piece has the two side by side
+        stops = [c for c in ".,;:!?" if not any(re.search(f"[^\\W\\d_]{re.escape(c)}", p) for p in self.pieces)]
+        rules = [f"(?<=[^\\W\\d_])(?=[{re.escape(''.join(stops))}])"] if stops else []
+        rules += ["(?<=\n)", "(?=\n)"] if not any("\n" in p for p in self.pieces) else []
+        self._cuts = re.compile("|".join(rules) or "(?!)")
         self._parts = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if apart else "(?s).+")
 
     def parts(self, text: str) -> list[str]:
         """Independent parts of a prepared text, in order."""
         return self._parts.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
+    def cuts(self, part: str) -> list[str]:
+        """The parts of ``part`` that are independent by their characters."""
+        return [p for p in self._cuts.split(part) if p]
+
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
