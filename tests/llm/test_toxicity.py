@@ -75,3 +75,22 @@ def test_kernel_against_enumeration():
     for i, a in enumerate(book):
         for j, b in enumerate(book):
             assert abs(rows[i] @ rows[j] - kernel(a, b)) < 1e-5
+
+
+def test_weak_words_add_up(spark):
+    """Words that clean texts hold as well, but fewer of them, tell together."""
+    rng = random.Random(7)
+    weak = ["brulk" + s for s in ("a", "el", "ig", "os", "um", "ent", "ist", "er", "o", "in", "ate", "ol", "esk", "un", "ar", "id")]
+
+    def text(count, choice):
+        found = [sentence(rng, rng.choice(choice)) for _ in range(count)] + [sentence(rng) for _ in range(6 - count)]
+        rng.shuffle(found)
+        return "\n".join(found)
+
+    counts = [rng.choice((3, 4, 5)) if i % 8 == 0 else rng.choice((0, 0, 0, 1, 2)) for i in range(800)]
+    labels = spark.createDataFrame([(100 + i, 1, int(n > 2)) for i, n in enumerate(counts)], "doc_id bigint, quality int, toxic int")
+    model = T.fit(T.training_rows(docs(spark, [text(n, weak[:12]) for n in counts]), labels, T.F.lit(True)))
+    held_out = [0, 1, 2, 3, 4, 5] * 20
+    got = {r.doc_id: r.predicted for r in T.toxicity(docs(spark, [text(n, weak[6:]) for n in held_out]), model).collect()}
+    wrong = [n for i, n in enumerate(held_out) if got[100 + i] != int(n > 2)]
+    assert len(wrong) <= 6, wrong
