@@ -3,7 +3,7 @@
 Texts and templates become lower-case words (runs of letters, digits, ``.``, ``-``
 and ``+``, without full stops at the end).  Windows of ``WINDOW`` words, ``STRIDE`` apart, overlap so
 that every passage lies mostly in one.  Each window's set of word pairs has
-``BANDS`` minima, one row to a band: a window with similarity s to a window of a
+``BANDS`` minima of separately seeded hashes, one row to a band: a window with similarity s to a window of a
 template shares a band with probability 1 - (1 - s)^16.  Template windows start at
 every word, so a copied template has a text window with s >= 0.5 whatever its
 place and length (1 from 11 words on), which means at least 0.99998.  Retrieved
@@ -21,8 +21,6 @@ gives no row; other columns are ignored.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +42,6 @@ NOTICES = [
             "that the following conditions are met."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
-_MASKS = [random.Random(10 * k + 1).getrandbits(63) for k in range(BANDS)]
 
 
 def _words(text):
@@ -60,10 +57,11 @@ def _pairs(words):
 
 
 def _with_minima(df: DataFrame, starts) -> DataFrame:
-    """Add the minima m0, m1, ... of the windows that start at the given pairs (counted from 1)."""
+    """Add the minima m0, m1, ... of the windows that start at the given pairs (counted from 1):
+    for each band the pair with the lowest hash seeded by the band."""
     def lowest(k):
         return F.transform("starts", lambda i: F.array_min(F.transform(
-            F.slice("pairs", i, WINDOW - 1), lambda x: x.bitwiseXOR(F.lit(_MASKS[k])))))
+            F.slice("pairs", i, WINDOW - 1), lambda x: F.struct(F.xxhash64(F.lit(k), x).alias("hash"), x.alias("pair")))).getField("pair"))
 
     df = pin(df, starts=starts)
     return pin(df, **{f"m{k}": lowest(k) for k in range(BANDS)}).drop("starts", "pairs")
@@ -93,7 +91,7 @@ def scan(docs: DataFrame, templates=None, id_col: str = "doc_id", text_col: str
     src = pin(src.filter(F.size("words") >= 2), pairs=_pairs(F.col("words")))
     # a window shares a band only if it holds the pair that is the template window's
     # minimum there, so the others' minima need not be computed
-    telling = sorted({v ^ _MASKS[k] for t in known for k in range(BANDS) for v in t.minima[k] if v is not None})
+    telling = sorted({v for t in known for k in range(BANDS) for v in t.minima[k] if v is not None})
     src = pin(src, places=F.array_compact(F.transform("pairs", lambda x, i: F.when(x.isin(telling), i))))
 
     def windows(p):

@@ -86,3 +86,18 @@ def test_license_scan_edges(spark):
     assert S.scan(frame(spark, [])).collect() == []
     short = S.scan(docs(spark, ["all rights reserved", "x all rights reserved", None]), [("arr", "All Rights Reserved.")]).collect()
     assert [(r.doc_id, r.n_shared, r.n_template) for r in short] == [(100, 1, 1)]
+
+
+def test_license_scan_recall_without_negative_hashes(spark):
+    """Copied notices are retrieved also where every pair's hash is non-negative or only one is negative."""
+    rng = random.Random(4)
+    drawn = spark.createDataFrame([(i, words(rng, 5)) for i in range(1500)], "name string, text string")
+    pairs = S._pairs(S._words(S.F.col("text")))
+    chosen = [(r.name, r.text) for r in drawn.withColumn("low", S.F.size(S.F.filter(pairs, lambda x: x < 0)))
+              .filter("low <= 1").orderBy("low", "name").limit(100).collect()]
+    assert len(chosen) == 100
+    for part in range(0, 100, 20):
+        some = chosen[part:part + 20]
+        texts = [words(rng, 40 + lead) + " " + text + " " + words(rng, 20) for _, text in some for lead in range(4)]
+        got = {(r.doc_id, r.license) for r in S.scan(docs(spark, texts), some).collect()}
+        assert len({(100 + 4 * i + lead, name) for i, (name, _) in enumerate(some) for lead in range(4)} - got) == 0
