@@ -34,6 +34,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +123,7 @@ def _word_ids(path: str) -> WordIds:
 def _units(batches, path: str, end_id: int, window: int):
     ids_of = _word_ids(path)
     end = np.array([end_id], "<u4").tobytes()
+    place = TaskContext.get().partitionId() << 40
     for batch in batches:
         ids = [i + end for i in ids_of.encode([t or "" for t in batch.column("text").to_pylist()])]
         size = [len(i) // 4 for i in ids]
@@ -130,7 +132,9 @@ def _units(batches, path: str, end_id: int, window: int):
         tail = [np.frombuffer(i[4 * window * len(c):], "<u4").astype("<u2").tobytes() for i, c in zip(ids, whole)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(whole, pa.list_(pa.int64())),
-             pa.array(tail, pa.binary())], names=["doc_id", "doc_tokens", "whole", "tail"])
+             pa.array(tail, pa.binary()), pa.array(range(place, place + len(size)), pa.int64())],
+            names=["doc_id", "doc_tokens", "whole", "tail", "place"])
+        place += len(size)
 
 
 def _frequencies(batches, vocabulary: int):
@@ -239,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         raise ValueError("ids are shuffled as 16 bits; the vocabulary is larger")
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     units, _ = stored(src.mapInArrow(lambda b: _units(b, tokenizer, end_id, window),
-                                     "doc_id bigint, doc_tokens bigint, whole array<bigint>, tail binary"), "units")
+                                     "doc_id bigint, doc_tokens bigint, whole array<bigint>, tail binary, place bigint"), "units")
     # at most one row per id of the vocabulary
     counted = (units.select("tail").mapInArrow(lambda b: _frequencies(b, vocabulary), "id bigint, df bigint")
                .groupBy("id").agg(F.sum("df").alias("df")).toPandas())
@@ -251,9 +255,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     shards = max(1, round(n / shard_units))
 
     def packed(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "doc_tokens"], kind="stable", ignore_index=True)
+        group = group.sort_values(["doc_id", "doc_tokens", "place"], kind="stable", ignore_index=True)
         return pack_shard(group, int(key[0]), shared.value, mean, window)
 
-    # the hash of the tail spreads rows that repeat one id
-    shard = F.pmod(F.xxhash64("doc_id", F.crc32("tail")), F.lit(shards)).cast("int")
+    # the place, written with the units so that retries repeat it, spreads rows that repeat
+    shard = F.pmod(F.xxhash64("doc_id", "place"), F.lit(shards)).cast("int")
     return units.withColumn("shard", shard).groupBy("shard").applyInPandas(packed, PIECES)

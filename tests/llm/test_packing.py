@@ -69,3 +69,15 @@ def test_neighbours_share_a_window():
     found = P.pack_shard(units, 0, np.ones(1 << 16), 40.0, 160)
     for _, part in found.groupby("sequence_id"):
         assert len({d % 8 for d in part["doc_id"]}) == 1
+
+
+def test_repeated_rows_are_spread(spark):
+    """Rows that repeat with id and text, or null ids with one text, lie in many shards."""
+    rng = random.Random(6)
+    copy, null = words(rng, 30), words(rng, 30)
+    table = frame(spark, [(1, copy, None, None, None, "r", 1, "s", "b")] * 60 + [(None, null, None, None, None, "r", 1, "s", "b")] * 60)
+    pieces = P.pack(table.repartition(3), WORDS, 256, shard_units=10).collect()
+    rows = defaultdict(int)
+    for r in pieces:
+        rows[r.sequence_id >> 32] += r.start == 0
+    assert sum(rows.values()) == 120 and len(rows) >= 8 and max(rows.values()) <= 30
