@@ -8,16 +8,19 @@ that texts which share rare words lie together:
    *unit* to be packed;
 2. the document frequency of every token id over **all** units (a table bounded
    by the vocabulary) gives the idf of BM25;
-3. units are dealt by a hash of their id over shards, as many as the data needs
-   for ``shard_units`` units each; a shard is one task's inverted index;
+3. units are dealt by their content over shards, as many as the data needs for
+   ``shard_units`` units each: on a line ordered by the rarest id that any other
+   unit holds and then by the second rarest, cut at equal lengths, units that
+   share them lie together at every size; a shard is one task's inverted index;
 4. in a shard the longest unused unit seeds a window; BM25 scores of the units
-   that share its most telling ids order the unused neighbours, which fill the
+   that share any of its ids order the unused neighbours, which fill the
    window.  The last one is cut where the window ends and its rest stays in the
    index as a unit.  Without a neighbour the next longest unit is taken.
 
 A window is full unless it is the last of its shard, so padding is at most one
-window per shard.  Exact copies and hot sources are spread evenly, as a shard
-is chosen by a hash of the id and the row's place in its partition.
+window per shard.  An id that is the rarest of many units is dealt by the second
+rarest, and a hot pair of both (exact copies, a hot source) by the row's place in
+its partition, so a shard holds little more than its share.
 
 Defined results: a null text is an empty text (its only id is ``end_id``); null
 or repeated ids are kept, each row being a document of its own; an empty table
@@ -38,12 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import U64, drop_stored, mix, stored
 
 WINDOW = 4096
 END_ID = 2
 SHARD_UNITS = 4096
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: words that a worker remembers
 CACHE_WORDS = 600_000
@@ -146,6 +148,52 @@ def _frequencies(batches, vocabulary: int):
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["id", "df"])
 
 
+def _rarest(tails: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks of the rarest two ids of each tail by ``order`` (rank of an id, ``len(order)``
+    where no other unit has it); -1 where there is none."""
+    none = len(order)
+    sizes = np.array([len(t) // 2 for t in tails])
+    first, second = np.full(len(tails), none), np.full(len(tails), none)
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        rank = order[np.frombuffer(b"".join(tails), "<u2")]
+        starts = np.cumsum(sizes[filled]) - sizes[filled]
+        first[filled] = np.minimum.reduceat(rank, starts)
+        second[filled] = np.minimum.reduceat(np.where(rank == np.repeat(first[filled], sizes[filled]), none, rank), starts)
+    return np.where(first < none, first, -1), np.where(second < none, second, -1)
+
+
+def _line(first: pd.DataFrame, pairs: pd.DataFrame, size: float) -> tuple[dict, dict]:
+    """Places on the line of shards: (begin, length) of each first id and of the hot
+    pairs.  ``first``: first, count; ``pairs``: first, second, count of pairs of ids
+    that hold over ``size / 8`` units, where the first holds over ``size / 2``."""
+    begin, spans, hot = 0, {}, {}
+    of = {k: g for k, g in pairs.groupby("first")}
+    for key, count in sorted(zip(first["first"].tolist(), first["count"].tolist())):
+        for second, n in sorted(zip(of[key]["second"].tolist(), of[key]["count"].tolist())) if key in of else ():
+            hot[key, second] = begin, n if n > size / 2 else 0
+            begin, count = begin + n, count - n
+        spans[key] = begin, count if count > size / 2 else 0
+        begin += count
+    return spans, hot
+
+
+def _shards(tails, places, order: np.ndarray, spans: dict, hot: dict, size: float, shards: int) -> np.ndarray:
+    """The shard of each unit."""
+    first, second = _rarest(tails, order)
+    by_second = mix(second.astype(np.int64).view(U64) + U64(1)) / 2.0 ** 64
+    by_place = mix(np.asarray(places, np.int64).view(U64)) / 2.0 ** 64
+    at = np.empty(len(first))
+    for i, key in enumerate(zip(first.tolist(), second.tolist())):
+        if key in hot:
+            begin, length = hot[key]
+            at[i] = begin + length * by_place[i]
+        else:
+            begin, length = spans[key[0]]
+            at[i] = begin + length * by_second[i]
+    return np.minimum(at / size, shards - 1).astype(np.int32)
+
+
 class _Index:
     """BM25 over the units of one shard: postings in one array, sorted by id."""
 
@@ -167,7 +215,6 @@ class _Index:
         terms = self.terms[seed]
         size = self.first[terms + 1] - self.first[terms]
         terms = terms[size > 1]
-        terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
         if not len(terms):
             return np.empty(0, np.int64)
         spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
@@ -258,6 +305,28 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         group = group.sort_values(["doc_id", "doc_tokens", "place"], kind="stable", ignore_index=True)
         return pack_shard(group, int(key[0]), shared.value, mean, window)
 
-    # the place, written with the units so that retries repeat it, spreads rows that repeat
-    shard = F.pmod(F.xxhash64("doc_id", "place"), F.lit(shards)).cast("int")
-    return units.withColumn("shard", shard).groupBy("shard").applyInPandas(packed, PIECES)
+    order = np.full(1 << 16, vocabulary)
+    ranked = np.lexsort((np.arange(vocabulary), df))
+    ranked = ranked[df[ranked] > 1]
+    order[ranked] = np.arange(len(ranked))
+    size = max(n, 1) / shards
+    order = spark.sparkContext.broadcast(np.where(order < len(ranked), order, 1 << 16))
+
+    def keys(batches):
+        for batch in batches:
+            first, second = _rarest(batch.column("tail").to_pylist(), order.value)
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(second, pa.int32())], names=["first", "second"])
+
+    pairs, path = stored(units.select("tail").mapInArrow(keys, "first int, second int")
+                         .groupBy("first", "second").agg(F.count(F.lit(1)).alias("count")), "rarest")
+    first = pairs.groupBy("first").agg(F.sum("count").alias("count")).toPandas()  # at most a row per id of the vocabulary
+    large = set(first.loc[first["count"] > size / 2, "first"].tolist())
+    many = pairs.filter(F.col("count") > size / 8).toPandas()  # at most 8 rows a shard
+    drop_stored(spark, path)
+    line = spark.sparkContext.broadcast(_line(first, many[many["first"].isin(large)], size))
+
+    @F.pandas_udf("int")
+    def shard(tails: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series(_shards(tails.tolist(), places, order.value, *line.value, size, shards))
+
+    return units.withColumn("shard", shard("tail", "place")).groupBy("shard").applyInPandas(packed, PIECES)

@@ -81,3 +81,22 @@ def test_repeated_rows_are_spread(spark):
     for r in pieces:
         rows[r.sequence_id >> 32] += r.start == 0
     assert sum(rows.values()) == 120 and len(rows) >= 8 and max(rows.values()) <= 30
+
+
+def test_related_units_meet_over_shards(spark):
+    """Units of one topic lie in one shard, however many shards there are."""
+    rng = random.Random(8)
+    topics = [words(rng, 6, "abcdefghijklmnopqrstuvwxyz") for _ in range(60)]
+    texts = [words(rng, 20, "abc") + " " + topics[i % 60] + " " + words(rng, 20, "abc") for i in range(600)]
+    shard = {r.doc_id - 100: r.sequence_id >> 32 for r in P.pack(docs(spark, texts), WORDS, 256, shard_units=30).collect() if r.start == 0}
+    assert len(shard) == 600 and len(set(shard.values())) >= 10
+    pairs = [shard[i] == shard[j] for i in range(600) for j in range(i + 60, 600, 60)]
+    assert sum(pairs) > 0.8 * len(pairs)
+
+
+def test_all_ids_of_a_seed_are_asked():
+    """A neighbour that shares only the seed's commoner ids is found."""
+    idf = np.linspace(9.0, 1.0, 1 << 16)
+    tails = [np.arange(100, dtype="<u2"), np.arange(30, dtype="<u2"), np.arange(60, 100, dtype="<u2")]
+    index = P._Index(tails, idf, 60.0)
+    assert set(index.neighbours(0, np.zeros(3, bool), 64).tolist()) == {1, 2}
