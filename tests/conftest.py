@@ -7,18 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from qtrail.session import local_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, shuffle_partitions=8, app="qtrail-tests")
     yield s
     s.stop()
-
-
-def lines_df(spark, lines, start=0, block_bits=2):
-    """Raw log rows (seq, block, value) from Python strings, tiny blocks so that
-    block stitching is exercised."""
-    rows = [(start + i, (start + i) >> block_bits, v) for i, v in enumerate(lines)]
-    return spark.createDataFrame(rows, "seq bigint, block bigint, value string")

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from log_tables import SF_SMALL
 
 
 def test_entry(spark):

@@ -5,7 +5,7 @@ from qtrail.operators import catalogue as C
 from qtrail.operators import pairs as X
 from qtrail.sources import rendered as R
 
-from conftest import SF_SMALL
+from log_tables import SF_SMALL
 
 
 def _log(spark):
@@ -67,7 +67,7 @@ def test_lines_by_table_is_the_substring_test(spark):
 
 
 def test_extra_markers_and_sorts(spark):
-    from conftest import lines_df
+    from log_tables import lines_df
     from qtrail.sources.auditlog import parse_audit_lines
     lines = [
         "[10/12/2024 08:00:00] 7 r TRANSACTION: DELETE FROM T WHERE ID = 1",

@@ -7,7 +7,7 @@ from qtrail.sinks import files as K
 from qtrail.sources import rendered as R
 from qtrail.sources import tables as TB
 
-from conftest import SF_SMALL
+from log_tables import SF_SMALL
 
 
 def test_csv_round_trip(spark, tmp_path):

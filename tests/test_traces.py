@@ -4,7 +4,7 @@ import datetime as dt
 from qtrail.operators import traces as TR
 from qtrail.sources.auditlog import parse_audit_lines
 
-from conftest import lines_df
+from log_tables import lines_df
 
 L = [
     "[10/12/2024 08:00:00] 1 r QUERY      : SELECT A FROM T WHERE P='ΑΒΓ1234'",
