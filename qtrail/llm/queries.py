@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_rules, sentencepiece_codec, token_counts, toxicity
-from ._common import fold, load, prepare
+from . import (embedding_dedup, hard_negatives, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_rules, sentencepiece_codec,
+               sharding, token_counts, toxicity, whitening)
+from ._common import fold, load, prepare, stored
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -78,9 +79,32 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(load(spark, sf_dir, "documents"))
 
 
+def op11_hilbert_shards(spark, sf_dir):
+    """Shard and place of every document; metadata and digests alone are ordered, texts are read once."""
+    docs = load(spark, sf_dir, "documents")
+    text = F.col("text")
+    narrow, _ = stored(docs.select("doc_id", "lang", "source", "n_chars", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
+                                   F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32")), "shard-rows")
+    return sharding.hilbert_shards(narrow).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op12_cholesky_whitening(spark, sf_dir):
+    """Whitened components of every embedding."""
+    prepare(spark, 4096)
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op13_onebit_negatives(spark, sf_dir):
+    """Hard negatives of the embeddings whose id is divisible by 50; every seventh id has the next label."""
+    prepare(spark, 4096)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(load(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 _ALL = (op1_embedding_metric_join, op2_quality_ratio, op3_unigram_counts, op4_kneser_ney_language, op5_subsequence_toxicity,
         op6_sentencepiece, op7_retrieval_packing, op8_minhash_bayes,
-        op9_line_windows, op10_license_scan)
+        op9_line_windows, op10_license_scan, op11_hilbert_shards, op12_cholesky_whitening, op13_onebit_negatives)
 
 
 def queries():
