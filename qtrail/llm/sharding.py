@@ -137,7 +137,7 @@ def _fine_steps(docs: DataFrame, dims) -> tuple[int, list[Column]]:
             value = _code(d, skip)
             low, high = (float(int.from_bytes(x[skip:skip + _CODE].ljust(_CODE, b"\0"), "big")) for x in (low, high))
         step = F.floor((value - F.lit(low)) / F.lit(high - low) * (FINE - 1)) if high > low else F.lit(0)
-        out.append(F.coalesce(F.greatest(F.least(step, F.lit(FINE - 1)), F.lit(0)).cast("int") + 1, F.lit(0)))
+        out.append(F.when(value.isNull(), 0).otherwise(step.cast("int") + 1))
     return ends["n"], out
 
 
