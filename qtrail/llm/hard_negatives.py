@@ -93,30 +93,30 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack(codes, 1), np.stack(along, 1), np.stack(left, 1)
 
 
-class Query:
-    """One anchor: bit planes of its rotations, made when a level is reached."""
-
-    def __init__(self, vector: np.ndarray):
-        self.size = _padded(len(vector))
-        self.vector = np.zeros(self.size, np.int64)
-        self.vector[:len(vector)] = vector
-        self.norm = float(np.linalg.norm(vector.astype(np.float64)))
-        self.levels: dict[int, tuple] = {}
-
-    def along(self, level: int, codes: np.ndarray) -> np.ndarray:
+class Queries:
+    """The anchors of a block: bit planes of all rotations of all of them."""
+
+    def __init__(self, vectors: np.ndarray):
+        count, dim = vectors.shape
+        self.size = _padded(dim)
+        self.vectors = vectors
+        self.norms = np.linalg.norm(vectors.astype(np.float64), axis=1)
+        whole = np.zeros((count, 1, self.size), np.int64)
+        whole[:, 0, :dim] = vectors
+        turned = hadamard(whole * np.stack([signs(level, self.size) for level in range(LEVELS)]))
+        self.least, self.total = turned.min(axis=2), turned.sum(axis=2).astype(np.float64)
+        above = turned - self.least[..., None]
+        bits = max(1, int(above.max(initial=0)).bit_length())
+        self.weights = (2.0 ** np.arange(bits)).astype(np.float32 if self.size << bits < 1 << 24 else np.float64)  # exact sums
+        self.planes = np.stack([pack((above >> p & 1).astype(bool)) for p in range(len(self.weights))], axis=2)  # anchor, level, plane, word
+
+    def along(self, query: int, level: int, codes: np.ndarray) -> np.ndarray:
         """<direction of each code, query>, from popcounts."""
-        if level not in self.levels:
-            turned = hadamard(self.vector * signs(level, self.size))
-            least = int(turned.min())
-            above = turned - least
-            planes = [pack((above >> p & 1).astype(bool)) for p in range(int(above.max()).bit_length())]
-            self.levels[level] = least, planes, float(turned.sum())
-        least, planes, total = self.levels[level]
-        count = lambda words: np.bitwise_count(words).sum(axis=1, dtype=np.int64)
-        of_ones = float(least) * count(codes)
-        for p, plane in enumerate(planes):
-            of_ones += float(1 << p) * count(codes & plane)
-        return (2 * of_ones - total) / self.size
+        planes, ones, held = self.planes[query, level], 0.0, 0.0
+        for word in range(codes.shape[1]):
+            ones = ones + np.bitwise_count(codes[:, word])
+            held = held + (np.bitwise_count(codes[:, word, None] & planes[:, word]) @ self.weights).astype(np.float64)
+        return (2 * (held + float(self.least[query, level]) * ones) - self.total[query, level]) / self.size
 
 
 def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -140,20 +140,24 @@ class Block:
         self.ids = rows["vec_id"].to_numpy(np.int64)  # null travels as the largest long: behind all others
         self.scored = 0
 
-    def narrowed(self, query: Query, rows: np.ndarray, keep) -> np.ndarray:
+    def narrowed(self, queries: Queries, query: int, rows: np.ndarray, keep) -> np.ndarray:
         """Of ``rows``, those that ``keep(low, high)`` - certain ends of their scores - leaves after every level."""
         estimate = np.zeros(len(rows))
         low, high = np.full(len(rows), -np.inf), np.full(len(rows), np.inf)
-        slack = 1e-9 * query.norm * self.norms[rows] + 1e-6
+        norm = queries.norms[query]
+        slack = 1e-9 * norm * self.norms[rows] + 1e-6
         for level in range(LEVELS):
             if not len(rows):
                 break
-            o = query.along(level, self.codes[level, rows])
+            o = queries.along(query, level, self.codes[level, rows])
             estimate = estimate + self.along[level, rows] * o
-            half = self.left[level, rows] * np.sqrt(np.maximum(query.norm ** 2 - o * o, 0)) + slack
+            if level == 0 and LEVELS > 1:
+                continue  # one code alone parts few rows
+            half = self.left[level, rows] * np.sqrt(np.maximum(norm ** 2 - o * o, 0)) + slack
             low, high = np.maximum(low, estimate - half), np.minimum(high, estimate + half)
             stay = keep(low, high)
-            rows, estimate, low, high, slack = rows[stay], estimate[stay], low[stay], high[stay], slack[stay]
+            if not stay.all():
+                rows, estimate, low, high, slack = rows[stay], estimate[stay], low[stay], high[stay], slack[stay]
         self.scored += len(rows)
         return rows
 
@@ -170,15 +174,15 @@ def _kth(values: np.ndarray, k: int) -> float:
     return np.partition(values, len(values) - k)[len(values) - k] if len(values) >= k else -np.inf
 
 
-def positives(block: Block, vector: np.ndarray, label: int, own: tuple, k: int) -> list[tuple]:
+def positives(block: Block, queries: Queries, query: int, label: int, own: tuple, k: int) -> list[tuple]:
     """(score, place) of the k best rows of the label in the block, without the anchor itself."""
     rows = np.flatnonzero((block.labels == label) & ~((block.rid == own[1]) & (block.ids == own[0])))
-    rows = block.narrowed(Query(vector), rows, lambda low, high: high >= _kth(low, k))
-    scores = exact_scores(vector, block.vectors[rows])
+    rows = block.narrowed(queries, query, rows, lambda low, high: high >= _kth(low, k))
+    scores = exact_scores(queries.vectors[query], block.vectors[rows])
     return [(int(scores[i]), int(rows[i])) for i in block.best(rows, scores, k)]
 
 
-def negatives(block: Block, vector: np.ndarray, label: int, windows: list[tuple[int, int]], k: int) -> list[list[tuple]]:
+def negatives(block: Block, queries: Queries, query: int, label: int, windows: list[tuple[int, int]], k: int) -> list[list[tuple]]:
     """For each window (lowest, highest score): (score, place) of the k best rows of other labels in it."""
     windows = [(float(lo), float(hi)) for lo, hi in windows]
 
@@ -189,8 +193,8 @@ def negatives(block: Block, vector: np.ndarray, label: int, windows: list[tuple[
             stay |= (high >= max(lo, sure)) & (low <= hi)
         return stay
 
-    rows = block.narrowed(Query(vector), np.flatnonzero(block.labels != label), keep)
-    scores = exact_scores(vector, block.vectors[rows])
+    rows = block.narrowed(queries, query, np.flatnonzero(block.labels != label), keep)
+    scores = exact_scores(queries.vectors[query], block.vectors[rows])
     out = []
     for lo, hi in windows:
         inside = np.flatnonzero((scores >= lo) & (scores <= hi))
@@ -229,6 +233,10 @@ def _shown(block: Block, place: int):
     return None if block.ids[place] == _LONG else int(block.ids[place])
 
 
+def _queries(anchors: pd.DataFrame) -> Queries:
+    return Queries(np.frombuffer(b"".join(anchors["x"]), "<i8").reshape(len(anchors), -1))
+
+
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
     return pd.DataFrame({n: pd.array([r[i] for r in rows], "Int64") for i, n in enumerate(names)})
@@ -238,10 +246,9 @@ def _positive_block(k: int):
     def run(key: tuple, anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(anchors):
-            block = Block(rows, int(key[0]))
-            for a in anchors.itertuples():
-                vector = np.frombuffer(a.x, "<i8")
-                for score, place in positives(block, vector, a.label, (a.vec_id, a.rid), k):
+            block, queries = Block(rows, int(key[0])), _queries(anchors)
+            for q, a in enumerate(anchors.itertuples()):
+                for score, place in positives(block, queries, q, a.label, (a.vec_id, a.rid), k):
                     out.append((a.vec_id, a.rid, _shown(block, place), int(block.rid[place]), score))
         return _frame(out, _FOUND)
     return run
@@ -254,11 +261,10 @@ def _negative_block(k: int, low: int, high: int):
     def run(key: tuple, anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(anchors):
-            block = Block(rows, int(key[0]))
-            for a in anchors.itertuples():
-                vector = np.frombuffer(a.x, "<i8")
+            block, queries = Block(rows, int(key[0])), _queries(anchors)
+            for q, a in enumerate(anchors.itertuples()):
                 chosen = [(p["positive_id"], p["positive_rid"], p["positive_score"]) for p in a.chosen]
-                found = negatives(block, vector, a.label, [window(p[2], low, high) for p in chosen], k)
+                found = negatives(block, queries, q, a.label, [window(p[2], low, high) for p in chosen], k)
                 out += [(a.vec_id, a.rid, *p, _shown(block, place), int(block.rid[place]), score)
                         for p, best in zip(chosen, found) for score, place in best]
         return _frame(out, _MINED)

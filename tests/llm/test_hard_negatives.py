@@ -85,10 +85,10 @@ def test_intervals_hold_the_score_and_filter():
         assert ((low <= score) & (score <= high)).all()
         seen.append((high - low).mean())
         return np.ones(len(low), bool)
-    block.narrowed(H.Query(x[0]), rows, keep)
+    block.narrowed(H.Queries(x[:1]), 0, rows, keep)
     assert all(b < 0.75 * a for a, b in zip(seen, seen[1:]))  # every level narrows
     block.scored = 0
-    H.positives(block, x[0], 0, (0, 0), 5)
+    H.positives(block, H.Queries(x[:1]), 0, 0, (0, 0), 5)
     assert block.scored < 0.1 * 3000  # scored exactly
 
 
