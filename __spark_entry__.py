@@ -128,8 +128,7 @@ def q_event_type_pairs(spark, sf_dir):
 def q_order_priority_pairs(spark, sf_dir):
     """X2 on orders: case = customer, activity = priority, order = (date, key)."""
     orders = R.load_table(spark, sf_dir, "orders")
-    return X.sequence_confidence(orders, "o_custkey", "o_orderpriority", ["o_orderdate", "o_orderkey"],
-                                 F.date_trunc("month", "o_orderdate"))
+    return X.sequence_confidence(orders, "o_custkey", "o_orderpriority", ["o_orderdate", "o_orderkey"])
 
 
 def q_entity_traces(spark, sf_dir):

@@ -1,14 +1,18 @@
 """Order-dependent building blocks: successor (W2/W4), dense position (W3/P22),
 dense index over an arbitrary order (G1, W5, G6 numbering).
 
-A global ``Window.orderBy`` puts every row in one partition.  Instead each row
-belongs to a *block*: a key that is monotone in the order and bounded in size
-(an input block of the log file, or 2**14 consecutive ids).  Work is done per
-``(partition_by, block)`` with ordinary partitioned windows, and blocks are
-stitched through a per-block summary table that holds one row per block, not
-per event.  That summary is itself stitched per coarse block (file, day,
-2**10 blocks), so the only window without a partition key sees one row per
-coarse block.  A hot case or a hot hour therefore never lands in one task.
+A window needs the rows it looks at in one task.  Here those are a *piece*, a range of
+the order:
+
+* with a key (``partition_by``) a piece is all rows of the key, unless the key holds
+  more than a task's share of all rows: such keys are cut in their order (``skew``), so a
+  case with a third of the log is spread over many tasks, also within one minute;
+* without a key a piece is a ``block``, a column that is monotone in the order and bounded
+  in size (an input split of the log file, 2**14 consecutive ids).
+
+Rows are dealt by (key, piece) once.  What crosses a border between pieces is one carry
+row for each piece of a cut key or each block - never one for each key - and is joined
+back to the windowed rows without dealing them again.
 """
 
 from __future__ import annotations
@@ -18,161 +22,85 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..session import materialize
+from .skew import HASH, cut_points, key_hash, piece_of
 
-_BLK = "_blk"
-COARSE_BITS = 10
+_PIECE, _CUT = "_piece", "_cut"
 
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _zero_of(dtype: Ty.DataType) -> Column:
-    """Some non-null value of ``dtype`` (used only next to an isnull flag)."""
-    if isinstance(dtype, Ty.StringType):
-        return F.lit("")
-    if isinstance(dtype, Ty.BooleanType):
-        return F.lit(False)
-    if isinstance(dtype, (Ty.TimestampType, Ty.TimestampNTZType, Ty.DateType)):
-        return F.lit(0).cast("timestamp").cast(dtype)
-    if isinstance(dtype, Ty.StructType):
-        return F.struct(*[_zero_of(f.dataType).alias(f.name) for f in dtype.fields])
-    if isinstance(dtype, Ty.ArrayType):
-        return F.array().cast(dtype)
-    if isinstance(dtype, Ty.BinaryType):
-        return F.lit(bytearray())
-    return F.lit(0).cast(dtype)
-
-
-def _keyed(df: DataFrame, cols, split=None) -> tuple[DataFrame, list]:
-    """Window-partition and join keys for ``cols``.
-
-    A nullable column becomes the pair ``(coalesce(c, zero), isnull(c))``, so
-    nulls still group and match together while windows and equi-joins use the
-    very same hash partitioning (a null-safe join condition would make Spark
-    shuffle the windowed table again)."""
-    names = []
-    for c in cols:
-        field = df.schema[c]
-        if (field.nullable if split is None else c in split):
-            df = (df.withColumn("_k" + c, F.coalesce(F.col(c), _zero_of(field.dataType)))
-                  .withColumn("_n" + c, F.col(c).isNull()))
-            names += ["_k" + c, "_n" + c]
-        else:
-            names.append(c)
-    return df, names
-
-
-def _only_keys(base: DataFrame, kcols, cols) -> tuple[DataFrame, dict]:
-    """Drop each column of ``cols`` that is represented by its (value, isnull)
-    key pair and return expressions that rebuild them from the pairs.  Every
-    branch cut from the windowed table then reads the same columns at the
-    window's exchange (so Spark reuses it)."""
-    rebuilt = {}
-    for c in cols:
-        if "_k" + c in kcols:
-            dtype = base.schema[c].dataType
-            rebuilt[c] = F.when(F.col("_n" + c), F.lit(None).cast(dtype)).otherwise(F.col("_k" + c))
-            base = base.drop(c)
-        else:
-            rebuilt[c] = F.col(c)
-    return base, rebuilt
-
-
-def coarser(block: Column, dtype: Ty.DataType):
-    """A key one level above ``block`` (also monotone): the file of an input
-    block, 2**10 consecutive numeric blocks, or the day of a time block."""
-    if isinstance(dtype, (Ty.LongType, Ty.IntegerType, Ty.ShortType)):
-        return F.shiftright(block, COARSE_BITS)
-    if isinstance(dtype, Ty.StructType) and "file" in dtype.fieldNames():
-        return block["file"]
-    if isinstance(dtype, (Ty.TimestampType, Ty.TimestampNTZType)):
-        return F.date_trunc("day", block)
-    return None
-
-
-def _next_heads(heads: DataFrame, pb, levels: int) -> DataFrame:
-    """For each ``(pb, _blk)`` the head of the next non-empty block.
-
-    This is the successor problem again, on a table with one row per block:
-    solved per coarse block and stitched one level up, so the only window
-    without a partition key runs over coarse keys (files, days, 2**24 ids)."""
-    dtype = heads.schema[_BLK].dataType
-    # per key the window is partitioned by the key already
-    up = coarser(F.col("_b"), dtype) if levels > 0 and not pb else None
-    if up is None:
-        return heads.select(*pb, _BLK, F.lead("_head").over(Window.partitionBy(*pb).orderBy(_BLK))
-                            .alias("_next_head"))
-    renamed = heads.select(*pb, F.col(_BLK).alias("_b"), F.col("_head").alias("_h"))
-    nxt = with_successor(renamed, ["_h"], order=["_b"], block=up, partition_by=pb, prefix="_n", _levels=levels - 1)
-    return nxt.select(*pb, F.col("_b").alias(_BLK), F.col("_n_h").alias("_next_head"))
-
-
-def _packed(df: DataFrame, keys, block) -> tuple[DataFrame, list]:
-    """``df`` as ``(keys…, _payload struct of the other columns, _blk)``.
-
-    Every branch that is cut from the windowed table then needs exactly the
-    same columns at the window's exchange, so Spark reuses that exchange and
-    the (often expensive) expressions below it run once per row."""
-    others = [c for c in df.columns if c not in keys]
-    base = df.select(*keys, F.struct(*[F.col(c) for c in others]).alias("_payload"),
-                     _as_col(block).alias(_BLK))
-    return base, others
-
-
-def _attach(big: DataFrame, small: DataFrame, pb, kcols, cols) -> DataFrame:
-    """Left-join per-block values ``cols`` of ``small`` (keyed by pb, _blk) onto
-    ``big`` on the same key columns that partition ``big``."""
-    split = {k[2:] for k in kcols if k.startswith("_k")}
-    small, _ = _keyed(small, [*pb, _BLK], split)
-    return big.join(small.select(*kcols, *cols), kcols, "left")
-
-
-def with_successor(df: DataFrame, values, order=("seq",), block="block", partition_by=(),
-                   prefix: str = "next_", _levels: int = 1) -> DataFrame:
+def _names(cols) -> list[str]:
+    return [cols] if isinstance(cols, str) else list(cols)
+
+
+def _in_pieces(df: DataFrame, pb, order, block) -> tuple[DataFrame, bool]:
+    """``df`` with its piece and whether that piece was cut; False: no piece is, every key is whole."""
+    if not pb:
+        if block is None:
+            raise ValueError("an order without a key needs a block")
+        return df.withColumns({_PIECE: _as_col(block), _CUT: F.lit(True)}), True
+    cuts = cut_points(df, pb, order)
+    if cuts is None:
+        return df, False
+    # a row for each key above a task's share: fewer than the shuffle partitions
+    joined = df.withColumn(HASH, key_hash(pb)).join(F.broadcast(cuts), HASH, "left")
+    return joined.withColumns({_PIECE: piece_of(order), _CUT: F.col("_cuts").isNotNull()}).drop(HASH, "_cuts"), True
+
+
+def _packed(df: DataFrame, keys) -> DataFrame:
+    """``df`` as ``(keys…, _payload struct of the other columns, piece, cut)``.
+
+    Every branch that is cut from the windowed table then needs exactly the same
+    columns at the window's exchange, so Spark reuses that exchange and the (often
+    expensive) expressions below it run once per row."""
+    others = [c for c in df.columns if c not in (*keys, _PIECE, _CUT)]
+    return df.select(*keys, F.struct(*others).alias("_payload"), _PIECE, _CUT)
+
+
+def _back(big: DataFrame, carry: DataFrame, pb) -> DataFrame:
+    """Join the carry rows (one per piece) to the windowed rows."""
+    renamed = carry.select(*[F.col(c).alias(f"_c_{c}") for c in [*pb, _PIECE]], *[c for c in carry.columns if c not in (*pb, _PIECE)])
+    if not pb:  # by block, as the rows already lie
+        return big.join(renamed, F.col(_PIECE) == F.col(f"_c_{_PIECE}"), "left").drop(f"_c_{_PIECE}")
+    same = (F.col(_PIECE) == F.col(f"_c_{_PIECE}")) & F.col(_CUT)
+    for c in pb:
+        same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    # one row per piece of a cut key: at most twice the shuffle partitions
+    return big.join(F.broadcast(renamed), same, "left").drop(*[f"_c_{c}" for c in [*pb, _PIECE]])
+
+
+def carry_rows(inner: DataFrame, pb, first: Column, carried: Column) -> DataFrame:
+    """One row for each cut piece (``_PIECE``), taken at its first row."""
+    return inner.filter(first & F.col(_CUT)).select(*pb, _PIECE, carried)
+
+
+def with_successor(df: DataFrame, values, order=("seq",), block=None, partition_by=(), prefix: str = "next_") -> DataFrame:
     """Add ``<prefix><v>`` = value of the next row in ``order`` (per ``partition_by``).
 
-    The last row of a group gets nulls.  ``order`` must be a total order and
-    ``block`` monotone in it."""
-    values = [values] if isinstance(values, str) else list(values)
-    order = [order] if isinstance(order, str) else list(order)
-    pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    The last row of a group gets nulls.  ``order`` must be a total order; ``block`` (not
+    null, monotone in the order) is needed without ``partition_by``.  With it, jobs that
+    look for heavy keys run while this is built."""
+    values, order, pb = _names(values), _names(order), _names(partition_by)
     keys = list(dict.fromkeys([*pb, *order]))
-    base, _ = _packed(df.select(*df.columns, *[F.col(v).alias("_v_" + v) for v in values]), keys, block)
-    base, kcols = _keyed(base, [*pb, _BLK])
-    base, orig = _only_keys(base, kcols, [*pb, _BLK])
-    w = Window.partitionBy(*kcols).orderBy(*order)
-    # one window pass gives each row's successor inside its block and marks
-    # the first row of every block; the block heads are read from that pass
-    inner = base.select("*", F.lead("_payload").over(w).alias("_next"),
-                        F.lag(F.lit(1)).over(w).isNull().alias("_first"))
-    heads = inner.filter("_first").select(*[orig[c].alias(c) for c in [*pb, _BLK]],
-                                          F.col("_payload").alias("_head"))
-    joined = _attach(inner, _next_heads(heads, pb, _levels), pb, kcols, ["_next_head"])
-    nxt = F.coalesce(F.col("_next"), F.col("_next_head"))
-    cols = [(orig[c] if c in orig else F.col(c)).alias(c) if c in keys else F.col("_payload")[c].alias(c)
-            for c in df.columns]
+    placed, cut = _in_pieces(df, pb, order, block)
+    if not cut:
+        w = Window.partitionBy(*pb).orderBy(*order)
+        return placed.select("*", *[F.lead(v).over(w).alias(prefix + v) for v in values])
+    base = _packed(placed.select("*", *[F.col(v).alias("_v_" + v) for v in values]), keys)
+    w = Window.partitionBy(*pb, _PIECE).orderBy(*order)
+    # one window pass gives each row's successor inside its piece and marks the first row
+    # of every piece; the carry rows are read from that pass
+    inner = base.select("*", F.lead("_payload").over(w).alias("_next"), F.lag(F.lit(1)).over(w).isNull().alias("_first"))
+    heads = carry_rows(inner, pb, F.col("_first"), F.col("_payload").alias("_head"))
+    following = F.lead("_head").over(Window.partitionBy(*pb).orderBy(_PIECE))
+    joined = _back(inner, heads.select(*pb, _PIECE, following.alias("_carried")), pb)
+    nxt = F.coalesce(F.col("_next"), F.col("_carried"))
+    cols = [F.col(c) if c in keys else F.col("_payload")[c].alias(c) for c in df.columns]
     return joined.select(*cols, *[nxt["_v_" + v].alias(prefix + v) for v in values])
 
 
-def _block_offsets(counts: DataFrame, pb, levels: int) -> DataFrame:
-    """Rows before each ``(pb, _blk)``: running sum over blocks, solved per
-    coarse block plus coarse offsets (same two-level shape as ``_next_heads``)."""
-    before = Window.partitionBy(*pb).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    up = coarser(F.col(_BLK), counts.schema[_BLK].dataType) if levels > 0 and not pb else None
-    if up is None:
-        return counts.select(*pb, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    c = counts.withColumn("_cb", up)
-    inner_before = Window.partitionBy(*pb, "_cb").orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    local = c.select(*pb, "_cb", _BLK, F.coalesce(F.sum("_n").over(inner_before), F.lit(0)).alias("_loc"))
-    coarse = (c.groupBy(*pb, "_cb").agg(F.sum("_n").alias("_n"))
-              .withColumnRenamed("_cb", _BLK))
-    coarse_off = (_block_offsets(coarse, pb, levels - 1).withColumnRenamed(_BLK, "_cb")
-                  .withColumnRenamed("_off", "_coff"))
-    joined = local.join(coarse_off, [local[k].eqNullSafe(coarse_off[k]) for k in [*pb, "_cb"]], "left")
-    return joined.select(*[local[k] for k in pb], _BLK, (F.col("_coff") + F.col("_loc")).alias("_off"))
-
-
 def _orderable(dtype: Ty.DataType) -> bool:
     if isinstance(dtype, Ty.MapType):
         return False
@@ -183,40 +111,36 @@ def _orderable(dtype: Ty.DataType) -> bool:
     return True
 
 
-def with_position(df: DataFrame, order=("seq",), block="block", partition_by=(), name: str = "pos",
+def with_position(df: DataFrame, order=("seq",), block=None, partition_by=(), name: str = "pos",
                   start: int = 0, total: str | None = None) -> DataFrame:
     """Add a dense position (``start``, ``start+1``, …) in ``order`` per ``partition_by``;
-    with ``total``, also the number of rows of the group (from the same block counts).
+    with ``total``, also the number of rows of the group.  ``order`` and ``block`` as in
+    ``with_successor``.
 
-    The rows are also ordered by the packed payload after ``order``; ``order``
-    is total, so this never changes a position, but it makes the block-count
-    branch read the same columns as the main branch (one shared exchange)."""
-    order = [order] if isinstance(order, str) else list(order)
-    pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    Cut rows are also ordered by the packed payload after ``order``; ``order`` is total,
+    so this never changes a position, but it makes the carry rows read the same columns
+    as the rows themselves (one shared exchange)."""
+    order, pb = _names(order), _names(partition_by)
     if total is not None and not pb:
         raise ValueError("total needs partition_by (the total of the whole table is df.count())")
     keys = list(dict.fromkeys([*pb, *order]))
-    base, _ = _packed(df, keys, block)
-    base, kcols = _keyed(base, [*pb, _BLK])
-    base, orig = _only_keys(base, kcols, [*pb, _BLK])
+    placed, cut = _in_pieces(df, pb, order, block)
+    if not cut:
+        w = Window.partitionBy(*pb)
+        extra = [F.count(F.lit(1)).over(w).alias(total)] if total is not None else []
+        return placed.select("*", (F.row_number().over(w.orderBy(*order)) + (start - 1)).cast("bigint").alias(name), *extra)
+    base = _packed(placed, keys)
     tie = ["_payload"] if _orderable(base.schema["_payload"].dataType) else []
-    w = Window.partitionBy(*kcols)
-    ranked = base.select("*", F.row_number().over(w.orderBy(*order, *tie)).alias("_rn"),
-                         F.count(F.lit(1)).over(w).alias("_size"))
-    counts = ranked.filter(F.col("_rn") == 1).select(*[orig[c].alias(c) for c in [*pb, _BLK]],
-                                                      F.col("_size").alias("_n"))
-    offsets = _block_offsets(counts, pb, 1)
-    cols = ["_off"]
-    if total is not None:
-        totals = counts.groupBy(*pb).agg(F.sum("_n").alias("_tot"))
-        offsets = (offsets.join(totals, [offsets[k].eqNullSafe(totals[k]) for k in pb], "left")
-                   .select(*[offsets[k] for k in pb], _BLK, "_off", "_tot"))
-        cols.append("_tot")
-    joined = _attach(ranked, offsets, pb, kcols, cols)
-    out = [(orig[c] if c in orig else F.col(c)).alias(c) if c in keys else F.col("_payload")[c].alias(c)
-           for c in df.columns]
-    extra = [F.col("_tot").cast("bigint").alias(total)] if total is not None else []
-    return joined.select(*out, (F.col("_off") + F.col("_rn") - 1 + start).cast("bigint").alias(name), *extra)
+    w = Window.partitionBy(*pb, _PIECE)
+    inner = base.select("*", F.row_number().over(w.orderBy(*order, *tie)).alias("_rn"), F.count(F.lit(1)).over(w).alias("_size"))
+    sizes = carry_rows(inner, pb, F.col("_rn") == 1, F.col("_size").alias("_n"))
+    group = Window.partitionBy(*pb)
+    before = F.sum("_n").over(group.orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1))
+    joined = _back(inner, sizes.select(*pb, _PIECE, before.alias("_before"), F.sum("_n").over(group).alias("_all")), pb)
+    out = [F.col(c) if c in keys else F.col("_payload")[c].alias(c) for c in df.columns]
+    extra = [F.coalesce("_all", "_size").cast("bigint").alias(total)] if total is not None else []
+    place = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_rn") - 1 + start
+    return joined.select(*out, place.cast("bigint").alias(name), *extra)
 
 
 def dense_index(df: DataFrame, order, name: str = "idx", start: int = 0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Consecutive-template mining.
 
-One pass over the events: each event gets its successor (per block, stitched
-across blocks, see ``ordering.with_successor``), then a single hash
+One pass over the events: each event gets its successor (``ordering.with_successor``),
+then a single hash
 aggregation on ``(normalized_query, next_query)`` that also keeps the
 ``next_query IS NULL`` group.  Pair counts are the non-null groups; the total
 per template (A9, which counts the last event too) is the sum over all its
@@ -32,8 +32,8 @@ def successor_counts(events: DataFrame, query: str = "normalized_query", order=(
     # only the columns the stitch needs: every branch of the plan then shares
     # one exchange of the events instead of re-reading the source per branch
     blk = F.col(block) if isinstance(block, str) else block
-    narrow = events.select(*pb, *order, query, blk.alias("_block"))
-    nxt = with_successor(narrow, [query], order=order, block="_block", partition_by=pb, prefix="_next_")
+    narrow = events.select(*dict.fromkeys([*pb, *order, query]), *([] if pb else [blk.alias("_block")]))
+    nxt = with_successor(narrow, [query], order=order, block=None if pb else "_block", partition_by=pb, prefix="_next_")
     return (nxt.groupBy(F.col(query).alias("normalized_query"), F.col("_next_" + query).alias("next_query"))
             .agg(F.count(F.lit(1)).alias("count")))
 
@@ -100,11 +100,11 @@ def confidence_from_counts(counts: DataFrame, threshold: int, sort: bool = False
     return out.orderBy(F.desc("confidence"), "normalized_query", "next_query") if sort else out
 
 
-def sequence_confidence(events: DataFrame, case: str | None, query: str, order, block, threshold: int = 0,
+def sequence_confidence(events: DataFrame, case: str | None, query: str, order, block=None, threshold: int = 0,
                         sort: bool = False) -> DataFrame:
     """X2 over any ordered event table: ``case`` (or None for one global
-    sequence), ``query`` the activity, ``order`` a total order, ``block`` a
-    bounded key monotone in the order."""
+    sequence, which needs ``block``: a bounded key monotone in the order),
+    ``query`` the activity, ``order`` a total order."""
     pb = [case] if case else []
     counts = successor_counts(events, query=query, order=order, block=block, partition_by=pb)
     return confidence_from_counts(counts, threshold, sort)

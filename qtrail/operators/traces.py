@@ -1,9 +1,9 @@
 """Per-entity traces and their directly-follows graph.
 
 The primary results are *flat*: one row per event with its position in the
-entity's trace.  Positions and successors are computed per
-``(entity, minute)`` block and stitched (``ordering``), so an entity holding a
-third of the log is spread over many tasks.  The nested per-entity lists of
+entity's trace.  Positions and successors are computed per entity; an entity
+that holds more than a task's share of the log is cut in its order (``ordering``),
+so one with a third of the log is spread over many tasks.  The nested per-entity lists of
 the reference are offered as bounded chunks (``nest_traces``), never as one
 unbounded ``collect_list`` per entity.
 """
@@ -21,12 +21,7 @@ from .ordering import dense_index, with_position, with_successor
 TRACE_ORDER = ["ts", "seq"]
 
 
-def time_block(unit: str = "minute"):
-    """Block key for time-ordered work: monotone in ``(ts, seq)``."""
-    return F.date_trunc(unit, F.col("ts"))
-
-
-def entity_traces(log: DataFrame, pattern: str = T.PLATE_PATTERN, block_unit: str = "minute") -> DataFrame:
+def entity_traces(log: DataFrame, pattern: str = T.PLATE_PATTERN) -> DataFrame:
     """A6 ``group_queries_by_arith_kykl`` in flat form.
 
     Read statements with an entity, cut before `` WHERE `` (P5), duplicates of
@@ -37,8 +32,7 @@ def entity_traces(log: DataFrame, pattern: str = T.PLATE_PATTERN, block_unit: st
              .withColumn("entity", T.plate("line", pattern))
              .withColumn("normalized_line", T.before_where("line")))
     placed = with_position(lines.select("entity", "ts", "seq", "normalized_line"), order=TRACE_ORDER,
-                           block=time_block(block_unit), partition_by=["entity"], name="pos",
-                           total="query_count")
+                           partition_by=["entity"], name="pos", total="query_count")
     return placed.select("entity", "query_count", "pos", "ts", "seq", "normalized_line")
 
 
@@ -67,17 +61,16 @@ def nest_records(flat: DataFrame, key_name: str = "ARXEISOD_ID", chunk_size: int
     return nested.select(key_name, "chunk", F.transform("_items", lambda x: x["line"]).alias("grouped_lines"))
 
 
-def record_groups(log: DataFrame, pattern: str = T.RECORD_ID_PATTERN, block_unit: str | None = None) -> DataFrame:
+def record_groups(log: DataFrame, pattern: str = T.RECORD_ID_PATTERN) -> DataFrame:
     """A7 ``group_queries_by_id`` in flat form: every non-echo line whose record
     id is found (P7), duplicates kept, with its position in file order.
 
     Columns ``record_id, pos, seq, line``."""
-    block = F.col("block") if block_unit is None else F.date_trunc(block_unit, F.col("ts"))
     lines = (log.filter(P.not_echo("line"))
              .withColumn("record_id", T.record_id("line", pattern))
              .filter(P.found("record_id"))
-             .select("record_id", "seq", block.alias("_block"), "line"))
-    return with_position(lines, order=["seq"], block="_block", partition_by=["record_id"], name="pos") \
+             .select("record_id", "seq", "line"))
+    return with_position(lines, order=["seq"], partition_by=["record_id"], name="pos") \
         .select("record_id", "pos", "seq", "line")
 
 
@@ -101,14 +94,14 @@ def trace_nodes(events: DataFrame) -> DataFrame:
         .select("node_id", "entity", "query_text")
 
 
-def trace_graph(events: DataFrame, nodes: DataFrame, block_unit: str = "minute") -> DataFrame:
+def trace_graph(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """G8 ``build_query_graph``: directly-follows edges inside each entity.
 
     Edge label = time of day of the successor event; a repeated edge keeps the
     label of its last occurrence (A12).  Columns ``start_node, end_node, label, count``."""
-    ev = events.select("entity", "ts", "seq", "query_text", time_block(block_unit).alias("_tb"),
+    ev = events.select("entity", "ts", "seq", "query_text",
                        F.col("ts").alias("_nts"), F.col("seq").alias("_nseq"))
-    nxt = with_successor(ev, ["query_text", "_nts", "_nseq"], order=TRACE_ORDER, block="_tb",
+    nxt = with_successor(ev, ["query_text", "_nts", "_nseq"], order=TRACE_ORDER,
                          partition_by=["entity"], prefix="next")
     # one row per edge before the node ids are joined: no event meets a hot key
     edges = (nxt.filter(F.col("nextquery_text").isNotNull()).groupBy("entity", "query_text", "nextquery_text")

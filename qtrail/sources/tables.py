@@ -74,11 +74,10 @@ def flatten_traces(nested: DataFrame, key: str = "entity") -> DataFrame:
 
     Events are re-ordered by timestamp (ties by their place in the file), as
     the trace reader of the reference does; positions per entity are
-    computed per ``(entity, minute)`` block and stitched."""
+    computed as in ``ordering.with_position``."""
     items = nested.select(F.col(key).alias("entity"), F.coalesce("chunk", F.lit(0)).alias("_chunk"),
                           F.posexplode("grouped_lines").alias("_i", "_item"))
     flat = items.select("entity", F.col("_item.timestamp").alias("ts"),
                         F.struct("_chunk", "_i").alias("seq"),
                         F.col("_item.normalized_line").alias("normalized_line"))
-    return with_position(flat, order=["ts", "seq"], block=F.date_trunc("minute", F.col("ts")),
-                         partition_by=["entity"], name="pos").select("entity", "pos", "ts", "seq", "normalized_line")
+    return with_position(flat, order=["ts", "seq"], partition_by=["entity"], name="pos").select("entity", "pos", "ts", "seq", "normalized_line")
