@@ -76,7 +76,7 @@ def q_table_names(spark, sf_dir):
 
 
 def q_lines_by_table(spark, sf_dir):
-    log = _log(spark, sf_dir)
+    log = materialize(_log(spark, sf_dir).select("seq", "ts", "line"), "log")  # read three times
     return (C.lines_by_table(log, C.table_names(log))
             .select(F.col("seq").alias("event_id"), "table_name"))
 

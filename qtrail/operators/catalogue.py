@@ -8,12 +8,13 @@ optional presentation sorts of ``sort=True``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
 from ..session import materialize
+from .mentions import mentions
 from .ordering import with_position
 
 
@@ -46,8 +47,8 @@ def valid_templates(log: DataFrame, max_count: int | None = 500, max_share: floa
     that is None does not apply."""
     counts = template_counts(log)
     if max_share is not None:
-        counts = counts.withColumn("_all", F.sum("count").over(Window.partitionBy()))  # one row per template
-        counts = counts.filter(F.col("count") < F.lit(float(max_share)) * F.col("_all"))
+        everything = counts.agg(F.sum("count")).scalar()  # one number, summed on the map side first
+        counts = counts.filter(F.col("count") < F.lit(float(max_share)) * everything)
     if max_count is not None:
         counts = counts.filter(F.col("count") < max_count)
     return counts.select("normalized_query")
@@ -102,22 +103,10 @@ def lines_by_table(log: DataFrame, tables: DataFrame, table_col: str = "table_na
     """Every line paired with each known table whose name it contains
     (substring test, as the reference intends).
 
-    One plan for every size: with q the length of the shortest name, a line that
-    contains a name contains the name's first q characters, so each line's
-    distinct runs of q characters are joined with them and the whole name is then
-    tested.  The catalogue is written first (its q is one number), while this is
-    built."""
-    t = materialize(tables.select(F.col(table_col).alias("table_name")).filter(F.col("table_name") != "")
-                    .distinct())
-    q = t.agg(F.min(F.length("table_name"))).first()[0]
-    if q is None:
-        return log.select("seq", "ts", F.lit("").alias("table_name"), "line").limit(0)
-    runs = F.when(F.length("line") >= q, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("line") - (q - 1)), lambda i: F.substring(F.col("line"), i, F.lit(q)))))
-    return (log.select("seq", "ts", "line", F.explode(runs).alias("_run"))
-            .join(t.withColumn("_run", F.substring("table_name", 1, q)), "_run")
-            .filter(F.col("line").contains(F.col("table_name")))
-            .select("seq", "ts", "table_name", "line"))
+    Names are looked up by their rarest gram (``mentions``).  ``log`` is read twice, a
+    share of its lines first, so a parsed log is best written before."""
+    found = mentions(log.select("seq", "ts", "line"), "line", tables.select(F.col(table_col).alias("table_name")), "table_name")
+    return found.select("seq", "ts", "table_name", "line")
 
 
 def entity_lines(log: DataFrame, pattern: str = T.PLATE_PATTERN) -> DataFrame:

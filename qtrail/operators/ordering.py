@@ -35,13 +35,13 @@ def _names(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def _in_pieces(df: DataFrame, pb, order, block) -> tuple[DataFrame, bool]:
+def _in_pieces(df: DataFrame, pb, order, block, heavy=None) -> tuple[DataFrame, bool]:
     """``df`` with its piece and whether that piece was cut; False: no piece is, every key is whole."""
     if not pb:
         if block is None:
             raise ValueError("an order without a key needs a block")
         return df.withColumns({_PIECE: _as_col(block), _CUT: F.lit(True)}), True
-    cuts = cut_points(df, pb, order)
+    cuts = cut_points(df, pb, order, heavy)
     if cuts is None:
         return df, False
     # a row for each key above a task's share: fewer than the shuffle partitions
@@ -76,15 +76,16 @@ def carry_rows(inner: DataFrame, pb, first: Column, carried: Column) -> DataFram
     return inner.filter(first & F.col(_CUT)).select(*pb, _PIECE, carried)
 
 
-def with_successor(df: DataFrame, values, order=("seq",), block=None, partition_by=(), prefix: str = "next_") -> DataFrame:
+def with_successor(df: DataFrame, values, order=("seq",), block=None, partition_by=(), prefix: str = "next_",
+                   heavy=None) -> DataFrame:
     """Add ``<prefix><v>`` = value of the next row in ``order`` (per ``partition_by``).
 
     The last row of a group gets nulls.  ``order`` must be a total order; ``block`` (not
-    null, monotone in the order) is needed without ``partition_by``.  With it, jobs that
-    look for heavy keys run while this is built."""
+    null, monotone in the order) is needed without ``partition_by``.  With it, heavy keys
+    are looked for while this is built; ``heavy`` says them if they are known (``skew.written``)."""
     values, order, pb = _names(values), _names(order), _names(partition_by)
     keys = list(dict.fromkeys([*pb, *order]))
-    placed, cut = _in_pieces(df, pb, order, block)
+    placed, cut = _in_pieces(df, pb, order, block, heavy)
     if not cut:
         w = Window.partitionBy(*pb).orderBy(*order)
         return placed.select("*", *[F.lead(v).over(w).alias(prefix + v) for v in values])
@@ -112,10 +113,10 @@ def _orderable(dtype: Ty.DataType) -> bool:
 
 
 def with_position(df: DataFrame, order=("seq",), block=None, partition_by=(), name: str = "pos",
-                  start: int = 0, total: str | None = None) -> DataFrame:
+                  start: int = 0, total: str | None = None, heavy=None) -> DataFrame:
     """Add a dense position (``start``, ``start+1``, …) in ``order`` per ``partition_by``;
-    with ``total``, also the number of rows of the group.  ``order`` and ``block`` as in
-    ``with_successor``.
+    with ``total``, also the number of rows of the group.  ``order``, ``block`` and
+    ``heavy`` as in ``with_successor``.
 
     Cut rows are also ordered by the packed payload after ``order``; ``order`` is total,
     so this never changes a position, but it makes the carry rows read the same columns
@@ -124,7 +125,7 @@ def with_position(df: DataFrame, order=("seq",), block=None, partition_by=(), na
     if total is not None and not pb:
         raise ValueError("total needs partition_by (the total of the whole table is df.count())")
     keys = list(dict.fromkeys([*pb, *order]))
-    placed, cut = _in_pieces(df, pb, order, block)
+    placed, cut = _in_pieces(df, pb, order, block, heavy)
     if not cut:
         w = Window.partitionBy(*pb)
         extra = [F.count(F.lit(1)).over(w).alias(total)] if total is not None else []

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import only_valid, statements
 from .ordering import with_successor
+from .skew import written
 
 
 def template_events(log: DataFrame, valid: DataFrame | None = None, exclude_echo: bool = False) -> DataFrame:
@@ -25,15 +26,19 @@ def template_events(log: DataFrame, valid: DataFrame | None = None, exclude_echo
 
 
 def successor_counts(events: DataFrame, query: str = "normalized_query", order=("seq",), block="block",
-                     partition_by=()) -> DataFrame:
-    """``(normalized_query, next_query, count)`` including the null successor group."""
+                     partition_by=(), costly: bool = False) -> DataFrame:
+    """``(normalized_query, next_query, count)`` including the null successor group.
+
+    ``costly``: the events are made by a parse; with a key they are written once, so that
+    the look for heavy keys does not parse them again."""
     order = [order] if isinstance(order, str) else list(order)
     pb = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     # only the columns the stitch needs: every branch of the plan then shares
     # one exchange of the events instead of re-reading the source per branch
     blk = F.col(block) if isinstance(block, str) else block
     narrow = events.select(*dict.fromkeys([*pb, *order, query]), *([] if pb else [blk.alias("_block")]))
-    nxt = with_successor(narrow, [query], order=order, block=None if pb else "_block", partition_by=pb, prefix="_next_")
+    narrow, heavy = written(narrow, pb, "case-events") if pb and costly else (narrow, None)
+    nxt = with_successor(narrow, [query], order=order, block=None if pb else "_block", partition_by=pb, prefix="_next_", heavy=heavy)
     return (nxt.groupBy(F.col(query).alias("normalized_query"), F.col("_next_" + query).alias("next_query"))
             .agg(F.count(F.lit(1)).alias("count")))
 
@@ -60,7 +65,7 @@ def consecutive_pairs(log: DataFrame, valid: DataFrame | None = None, threshold:
     global order; ``partition_by`` (e.g. ``"case_id"``) restricts pairs to one case."""
     ev = template_events(log, valid, exclude_echo)
     ev = _with_case(ev, partition_by)
-    counts = successor_counts(ev, partition_by=partition_by)
+    counts = successor_counts(ev, partition_by=partition_by, costly=True)
     out = (_above(counts, threshold, min_share).filter(F.col("next_query").isNotNull())
            .select("normalized_query", "next_query", "count"))
     return out.orderBy(F.desc("count"), "normalized_query", "next_query") if sort else out
@@ -75,7 +80,7 @@ def pair_confidence(log: DataFrame, valid: DataFrame | None = None, threshold: i
     Columns ``normalized_query, next_query, count, total_count, confidence``."""
     ev = template_events(log, valid, exclude_echo)
     ev = _with_case(ev, partition_by)
-    counts = successor_counts(ev, partition_by=partition_by)
+    counts = successor_counts(ev, partition_by=partition_by, costly=True)
     return confidence_from_counts(counts, threshold, sort, min_share)
 
 
@@ -88,8 +93,8 @@ def _above_all(counts: DataFrame, min_share: float | None) -> DataFrame:
     """Marks pairs above the share, keeping the others for the totals."""
     if min_share is None:
         return counts.withColumn("_frequent", F.lit(True))
-    share = F.lit(float(min_share)) * F.sum("count").over(Window.partitionBy())
-    return counts.withColumn("_frequent", F.col("count") > share)
+    everything = counts.agg(F.sum("count")).scalar()  # one number, summed on the map side first
+    return counts.withColumn("_frequent", F.col("count") > F.lit(float(min_share)) * everything)
 
 
 def confidence_from_counts(counts: DataFrame, threshold: int, sort: bool = False,

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -31,20 +31,38 @@ def key_hash(cols) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def heavy_keys(df: DataFrame, cols, parts: int) -> tuple[dict[int, int], int]:
-    """({hash of the key: about its rows} for keys of more than a ``parts``-th of the rows, all rows)."""
+def _sketch(cols, parts: int) -> list[Column]:
     tracked = min(1_000_000, max(1024, _TRACKED * parts))
-    found = (df.select(key_hash(cols).alias(HASH))
-             .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({HASH}, {min(2 * parts, tracked)}, {tracked})").alias("top")).first())
-    return {t["item"]: t["count"] for t in found["top"] or [] if t["count"] * parts > found["n"]}, found["n"]
+    hashed = F.call_function("approx_top_k", key_hash(cols), F.lit(min(2 * parts, tracked)), F.lit(tracked))
+    return [F.count(F.lit(1)).alias("n"), hashed.alias("top")]
+
+
+def _heavy(n: int, top, parts: int) -> tuple[dict[int, int], int]:
+    return {t["item"]: t["count"] for t in top or [] if t["count"] * parts > n}, n
+
+
+def heavy_keys(df: DataFrame, cols, parts: int | None = None) -> tuple[dict[int, int], int]:
+    """({hash of the key: about its rows} for keys of more than a ``parts``-th of the rows, all rows)."""
+    parts = parts or partitions(df.sparkSession)
+    found = df.agg(*_sketch(cols, parts)).first()
+    return _heavy(found["n"], found["top"], parts)
+
+
+def written(df: DataFrame, cols, name: str = "keyed") -> tuple[DataFrame, tuple[dict[int, int], int]]:
+    """``df`` written once, and its heavy keys, sketched by the tasks that write it: for rows
+    that are costly to make (a parse, a shuffle), which no second pass should make again."""
+    parts, seen = partitions(df.sparkSession), Observation()
+    table = materialize(df.observe(seen, *_sketch(cols, parts)), name)
+    return table, _heavy(seen.get["n"], seen.get["top"], parts)
 
 
-def cut_points(df: DataFrame, cols, order, parts: int | None = None) -> DataFrame | None:
+def cut_points(df: DataFrame, cols, order, heavy=None, parts: int | None = None) -> DataFrame | None:
     """For each heavy key its hash and the ordered places (structs of ``order``) where its rows
     are cut, or None if no key is heavy.  At most 2 * ``parts`` places in all, written, so that
-    every reader sees the same.  Runs jobs; the places only steer the work."""
+    every reader sees the same.  ``heavy``: what ``heavy_keys`` says, if known.  Runs jobs;
+    the places only steer the work."""
     parts = parts or partitions(df.sparkSession)
-    heavy, n = heavy_keys(df, cols, parts)
+    heavy, n = heavy or heavy_keys(df, cols, parts)
     if not heavy:
         return None
     rows = sum(heavy.values())

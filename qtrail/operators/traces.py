@@ -17,6 +17,7 @@ from ..functions import predicates as P
 from ..functions import text as T
 from .catalogue import entity_lines
 from .ordering import dense_index, with_position, with_successor
+from .skew import written
 
 TRACE_ORDER = ["ts", "seq"]
 
@@ -31,8 +32,8 @@ def entity_traces(log: DataFrame, pattern: str = T.PLATE_PATTERN) -> DataFrame:
     lines = (entity_lines(log, pattern).groupBy("ts", "line").agg(F.min("seq").alias("seq"))
              .withColumn("entity", T.plate("line", pattern))
              .withColumn("normalized_line", T.before_where("line")))
-    placed = with_position(lines.select("entity", "ts", "seq", "normalized_line"), order=TRACE_ORDER,
-                           partition_by=["entity"], name="pos", total="query_count")
+    lines, heavy = written(lines.select("entity", "ts", "seq", "normalized_line"), ["entity"], "trace-lines")
+    placed = with_position(lines, order=TRACE_ORDER, partition_by=["entity"], name="pos", total="query_count", heavy=heavy)
     return placed.select("entity", "query_count", "pos", "ts", "seq", "normalized_line")
 
 
@@ -70,7 +71,8 @@ def record_groups(log: DataFrame, pattern: str = T.RECORD_ID_PATTERN) -> DataFra
              .withColumn("record_id", T.record_id("line", pattern))
              .filter(P.found("record_id"))
              .select("record_id", "seq", "line"))
-    return with_position(lines, order=["seq"], partition_by=["record_id"], name="pos") \
+    lines, heavy = written(lines, ["record_id"], "record-lines")
+    return with_position(lines, order=["seq"], partition_by=["record_id"], name="pos", heavy=heavy) \
         .select("record_id", "pos", "seq", "line")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..operators.ordering import with_position
+from ..operators.skew import written
 
 EDGE_SCHEMA = Ty.StructType([
     Ty.StructField("normalized_query", Ty.StringType()),
@@ -80,4 +81,5 @@ def flatten_traces(nested: DataFrame, key: str = "entity") -> DataFrame:
     flat = items.select("entity", F.col("_item.timestamp").alias("ts"),
                         F.struct("_chunk", "_i").alias("seq"),
                         F.col("_item.normalized_line").alias("normalized_line"))
-    return with_position(flat, order=["ts", "seq"], partition_by=["entity"], name="pos").select("entity", "pos", "ts", "seq", "normalized_line")
+    flat, heavy = written(flat, ["entity"], "flat-traces")
+    return with_position(flat, order=["ts", "seq"], partition_by=["entity"], name="pos", heavy=heavy).select("entity", "pos", "ts", "seq", "normalized_line")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from qtrail.operators import ordering
 from qtrail.operators.ordering import dense_index, with_position, with_successor
+from log_tables import final_part
 from qtrail.operators.skew import cut_points, heavy_keys, key_hash, partitions
 
 
@@ -108,7 +109,7 @@ def test_cut_keys_are_dealt_once(spark):
     df = _skewed(spark)
     out = with_successor(df, ["q"], order=["ts", "seq"], partition_by=["entity"])
     out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    plan = final_part(out._jdf.queryExecution().executedPlan().toString())
     assert plan.count("ENSURE_REQUIREMENTS") - plan.count("ReusedExchange") <= 3 and "ReusedExchange" in plan and "SinglePartition" not in plan
 
 
