@@ -17,6 +17,7 @@ from qtrail.operators import graph as G
 from qtrail.operators import pairs as X
 from qtrail.operators import structure as S
 from qtrail.operators import traces as TR
+from qtrail.operators.ordering import with_position
 from qtrail.sources import auditlog as A
 from qtrail.session import materialize
 from qtrail.sources import rendered as R
@@ -224,44 +225,143 @@ def q_supply_components(spark, sf_dir):
     return G.connected_components(edges, "src", "dst")
 
 
-# Literal statements and their structure; each event picks one by its id, so the
-# expected values of ``structure_shapes`` are written out, not computed.
+# Statement shapes and their structure; each event picks one by its id and names its
+# tables (``#``) by its user, so the expected values of ``structure_shapes`` follow from
+# the shape by the same naming.
 SHAPES = [
     # (statement, tables, columns, functions, conditions)
-    ("SELECT MAX(A)-MIN(B) FROM T1 WHERE A = ?", "T1", "MAX(A)-MIN(B)", "", "A = ?"),
-    ("SELECT UPPER(A) || LOWER(B), COUNT(C) FROM T2", "T2", "UPPER(A) || LOWER(B),COUNT(C)", "COUNT(C)", None),
-    ("SELECT NVL(MAX(A),MIN(B)) FROM T3 X", "X", "NVL(MAX(A),MIN(B))", "NVL(MAX(A),MIN(B))", None),
-    ("SELECT A FROM T as V WHERE V.A = ?", "V", "A", "", "V.A = ?"),
-    ('SELECT A FROM "My Table" X, "Other One" WHERE A = ?', "X,Other One", "A", "", "A = ?"),
-    ("SELECT A FROM DB.T, S.U W", "T,W", "A", "", None),
-    ("SELECT DISTINCT A, B FROM T6", "T6", "A,B", "", None),
-    ("select all A from T7 where A = ? or B = ?", "T7", "A", "", "A = ? | B = ?"),
-    ("SELECT * FROM T8 WHERE A = ?", "T8", "", "", "A = ?"),
-    ("SELECT A FROM T9 WHERE CASE WHEN A = ? AND B = ? THEN ? ELSE ? END = ? AND C = ?", "T9", "A", "",
+    ("SELECT MAX(A)-MIN(B) FROM T# WHERE A = ?", "T#", "MAX(A)-MIN(B)", "", "A = ?"),
+    ("SELECT UPPER(A) || LOWER(B), COUNT(C) FROM T#", "T#", "UPPER(A) || LOWER(B),COUNT(C)", "COUNT(C)", None),
+    ("SELECT NVL(MAX(A),MIN(B)) FROM T3 X#", "X#", "NVL(MAX(A),MIN(B))", "NVL(MAX(A),MIN(B))", None),
+    ("SELECT A FROM T as V# WHERE V#.A = ?", "V#", "A", "", "V#.A = ?"),
+    ('SELECT A FROM "My Table" X#, "Other #" WHERE A = ?', "X#,Other #", "A", "", "A = ?"),
+    ("SELECT A FROM DB.T#, S.U W", "T#,W", "A", "", None),
+    ("SELECT DISTINCT A, B FROM T#", "T#", "A,B", "", None),
+    ("select all A from T# where A = ? or B = ?", "T#", "A", "", "A = ? | B = ?"),
+    ("SELECT * FROM T# WHERE A = ?", "T#", "", "", "A = ?"),
+    ("SELECT A FROM T# WHERE CASE WHEN A = ? AND B = ? THEN ? ELSE ? END = ? AND C = ?", "T#", "A", "",
      "CASE WHEN A = ? AND B = ? THEN ? ELSE ? END = ? | C = ?"),
-    ("SELECT A FROM T10 WHERE A BETWEEN ? AND ? AND (B = ? OR C = ?)", "T10", "A", "", "A BETWEEN ? AND ? | (B = ? OR C = ?)"),
+    ("SELECT A FROM T# WHERE A BETWEEN ? AND ? AND (B = ? OR C = ?)", "T#", "A", "", "A BETWEEN ? AND ? | (B = ? OR C = ?)"),
 ]
 
 
 def q_structure_shapes(spark, sf_dir):
-    """Q3, Q5, Q6, Q7 on literal statements, one for each event by its id."""
+    """Q3, Q5, Q6, Q7 on log lines of varying names, one for each event: the lines are read like a
+    log's, the structure of every distinct statement is walked once."""
     events = R.load_table(spark, sf_dir, "events")
     texts = F.array(*[F.lit(shape[0]) for shape in SHAPES])
-    picked = events.groupBy(F.get(texts, (F.col("event_id") % len(SHAPES)).cast("int")).alias("statement")).count()
-    done = picked.select("statement", "count", S.statement_structure("statement").alias("s"))
+    name = F.coalesce("user_id", F.lit(0)).cast("string")
+    statement = F.replace(F.get(texts, (F.col("event_id") % len(SHAPES)).cast("int")), F.lit("#"), name)
+    line = F.concat(F.lit("["), F.date_format("ts", R.LINE_PREFIX_TS), F.lit("] 1 user QUERY      : "), statement)
+    raw = events.select(F.col("event_id").alias("seq"), F.lit(0).alias("block"), line.alias("value"))
+    lines = A.statement_lines(raw, role=R.ROLE).select(F.trim("line").alias("statement"))
+    counts = lines.groupBy("statement").count()
+    walked = counts.repartition(16).select("statement", "count", S.clause_items(F.col("statement")).alias("_p"))  # CPU-bound: spread
+    done = walked.select("statement", "count", F.inline(F.array(S.structure_of("_p"))))
     return done.select(
-        "statement", "count", F.array_join("s.tables", ",").alias("tables"), F.array_join("s.columns", ",").alias("columns"),
-        F.array_join(F.transform("s.functions", lambda f: F.concat(f["function"], F.lit("("), f["column"], F.lit(")"))), ",")
-        .alias("functions"), F.array_join(F.transform("s.where", lambda w: w["condition"]), " | ").alias("conditions"))
+        "statement", "count", F.array_join("tables", ",").alias("tables"), F.array_join("columns", ",").alias("columns"),
+        F.array_join(F.transform("functions", lambda f: F.concat(f["function"], F.lit("("), f["column"], F.lit(")"))), ",")
+        .alias("functions"), F.array_join(F.transform("where", lambda w: w["condition"]), " | ").alias("conditions"))
 
 
 def _shapes_sql() -> str:
     def text(v):
         return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, " + ", ".join(map(text, shape)) + ")" for i, shape in enumerate(SHAPES))
-    return (f"SELECT statement, count(*) AS count, tables, columns, functions, conditions FROM events "
-            f"JOIN (VALUES {rows}) v(i, statement, tables, columns, functions, conditions) "
-            f"ON event_id % {len(SHAPES)} = i GROUP BY ALL")
+    named = ", ".join(f"replace({c}, '#', name) AS {c}" for c in ("statement", "tables", "columns", "functions", "conditions"))
+    return (f"SELECT statement, count(*) AS count, tables, columns, functions, conditions FROM (SELECT {named} FROM "
+            f"(SELECT event_id, CAST(coalesce(user_id, 0) AS VARCHAR) AS name FROM events WHERE ts IS NOT NULL) "
+            f"JOIN (VALUES {rows}) v(i, statement, tables, columns, functions, conditions) ON event_id % {len(SHAPES)} = i) GROUP BY ALL")
+
+
+SPLIT_BYTES = 64 * 1024  # so that files of the small tables are read by several tasks, too
+GREEK_ROLE = "Ελεγκτης"
+
+
+def _log_files(spark, sf_dir):
+    """The rendered log as windows-1253 files, one folder for each day, the role in Greek."""
+    from qtrail.session import scratch_dir
+    from qtrail.sinks import files as K
+    folder = scratch_dir(spark, "log-files")
+    raw = R.rendered_raw(spark, sf_dir)
+    K.write_log(raw.select("seq", F.substring("value", 8, 4).alias("year"), F.substring("value", 5, 2).alias("month"),
+                           F.replace("value", F.lit(f" {R.ROLE} "), F.lit(f" {GREEK_ROLE} ")).alias("value"))
+                .select("seq", F.concat_ws("-", "year", "month").alias("month"), "value"), folder, "month")
+    return folder
+
+
+def q_scan_log_files(spark, sf_dir):
+    """S1 on files: written in windows-1253, read back by splits, in the order of file and first byte."""
+    log = A.read_audit_log(spark, _log_files(spark, sf_dir), split_bytes=SPLIT_BYTES)
+    return with_position(log, order=["seq"], block="block", name="pos").select("pos", "ts", "line")
+
+
+def q_scan_statement_files(spark, sf_dir):
+    """S2 on files: the statement lines of one role."""
+    lines = A.read_statement_lines(spark, _log_files(spark, sf_dir), role=GREEK_ROLE, split_bytes=SPLIT_BYTES)
+    return with_position(lines, order=["seq"], block="block", name="pos").select("pos", "line")
+
+
+def q_trace_array_files(spark, sf_dir):
+    """K3 and S4 in the reference's layout: pretty JSON arrays, each read by several tasks."""
+    from qtrail.session import scratch_dir
+    from qtrail.sinks import files as K
+    from qtrail.sources import tables as TB
+    folder = scratch_dir(spark, "trace-arrays")
+    flat = TR.entity_traces(_log(spark, sf_dir), R.RENDERED_PLATE_PATTERN)
+    K.write_json_arrays(TR.nest_traces(flat, chunk_size=8), folder, ["entity", "chunk"], rows_per_file=20_000)
+    back = TB.flatten_traces(TB.read_trace_json(spark, folder, array=True, split_bytes=SPLIT_BYTES))
+    return back.select("entity", "pos", "ts", "normalized_line")
+
+
+def q_file_contents(spark, sf_dir):
+    """K1-K5 and O1, O2, O4 with P13: every output written, read back, and compared by content and place."""
+    from qtrail.session import scratch_dir
+    from qtrail.sinks import files as K
+    from qtrail.sources import tables as TB
+    log = materialize(_log(spark, sf_dir), "log")
+    folder = scratch_dir(spark, "files")
+    conf = materialize(X.pair_confidence(log, None, 0, min_share=PAIR_SHARE))
+    leg = G.legend(conf)
+    edges = materialize(G.edges(conf, leg))
+    kept = G.chain_graph(edges, CHAIN_MIN)
+    K.write_csv(conf.orderBy(F.desc("confidence"), "normalized_query", "next_query"), f"{folder}/edges")
+    K.write_csv(C.template_counts(log, sort=True), f"{folder}/templates", single_file=True)
+    K.write_csv(C.first_query_per_case(log, sort=True), f"{folder}/first")
+    K.write_legend(leg, f"{folder}/legend")
+    K.write_csv(kept.select("start_id", "end_id", "label"), f"{folder}/labels")
+    K.write_csv(_chains_out(G.chains(edges, CHAIN_MIN, CHAIN_LENGTH, sort=True, materialized=True)).drop("confidence"), f"{folder}/chains")
+    K.write_components(G.query_components(kept, leg), f"{folder}/components", chunk_size=7)
+    K.write_json(TR.nest_records(TR.record_groups(log, R.RENDERED_RECORD_ID_PATTERN), chunk_size=2), f"{folder}/records")
+
+    def rows(name, schema, key, content, ordered=True):
+        back = TB.read_rows_in_order(spark, f"{folder}/{name}", schema, SPLIT_BYTES)
+        return back.select(F.lit(name).alias("file"), F.col("pos") if ordered else F.lit(0).cast("bigint").alias("pos"),
+                           F.concat_ws(" -> ", *key).alias("key"), F.concat_ws("|", *content).alias("content"))
+
+    parts = spark.read.json(f"{folder}/components").select("component_id", "chunk", F.posexplode("queries").alias("i", "query"))
+    records = spark.read.json(f"{folder}/records").select("ARXEISOD_ID", "chunk", F.posexplode("grouped_lines").alias("i", "line"))
+    return (rows("edges", "normalized_query string, next_query string, count bigint, total_count bigint, confidence double",
+                 ["normalized_query", "next_query"], ["count", "total_count"])
+            .unionByName(rows("templates", "normalized_query string, count bigint", ["normalized_query"], ["count"]))
+            .unionByName(rows("first", "case_id string, normalized_query string, count bigint", ["case_id"], ["normalized_query", "count"]))
+            .unionByName(rows("legend", "Query string, ID string", ["Query"], ["ID"], ordered=False))
+            .unionByName(rows("labels", "start_id string, end_id string, label string", ["start_id", "end_id"], ["label"], ordered=False))
+            .unionByName(rows("chains", "chain string, length bigint", ["chain"], ["length"]))
+            .unionByName(parts.select(F.lit("components").alias("file"), (F.col("chunk") * 7 + F.col("i")).alias("pos"),
+                                      F.col("component_id").cast("string").alias("key"), F.col("query").alias("content")))
+            .unionByName(records.select(F.lit("records").alias("file"), (F.col("chunk") * 2 + F.col("i")).alias("pos"),
+                                        F.col("ARXEISOD_ID").alias("key"), F.col("line").alias("content"))))
+
+
+def q_marked_first_query(spark, sf_dir):
+    """A1 with a further marker, so that reads count as a case's first statement as well."""
+    return C.first_query_per_case(_log(spark, sf_dir), extra_markers=("QUERY",))
+
+
+def q_catalogue_strings(spark, sf_dir):
+    """The statement catalogue with its nested parts as JSON text."""
+    return S.catalogue_strings(S.statement_catalogue(A.statement_lines(R.rendered_raw(spark, sf_dir), role=R.ROLE)))
 
 
 def q_file_round_trip(spark, sf_dir):
@@ -333,6 +433,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "statement_catalogue": q_statement_catalogue,
     "structure_shapes": q_structure_shapes,
     "file_round_trip": q_file_round_trip,
+    "scan_log_files": q_scan_log_files,
+    "scan_statement_files": q_scan_statement_files,
+    "trace_array_files": q_trace_array_files,
+    "file_contents": q_file_contents,
+    "marked_first_query": q_marked_first_query,
+    "catalogue_strings": q_catalogue_strings,
 }
 
 
@@ -625,6 +731,23 @@ agg AS (
 )"""
 
 
+_STRUCTURE_JSON = """
+texts AS (
+  SELECT s.statement, s.type, s.tables, s.columns,
+    coalesce((SELECT to_json(list({'kind': CASE WHEN clause = 'KW' THEN 'keyword' WHEN starts_with(trim(text), '(') THEN 'subquery' ELSE 'table' END,
+                                   'value': text} ORDER BY epos, sub))
+              FROM items x WHERE x.statement = s.statement AND clause IN ('FROM', 'KW')), '[]')::VARCHAR AS from_tokens,
+    coalesce((SELECT to_json(list({'condition': trim(regexp_replace(regexp_replace(text, '\\b\\d+(\\.\\d+)?\\b', '?', 'g'), '\\s+', ' ', 'g')),
+                                   'operator': sep} ORDER BY epos, sub))
+              FROM items x WHERE x.statement = s.statement AND clause = 'WHERE'), '[]')::VARCHAR AS "where",
+    coalesce((SELECT to_json(list({'function': regexp_extract(text, '^(\\w+)\\s*\\((.*)\\)$', 1),
+                                   'column': regexp_extract(text, '^(\\w+)\\s*\\((.*)\\)$', 2)} ORDER BY epos, sub))
+              FROM items x WHERE x.statement = s.statement AND clause = 'SELECT'
+                AND regexp_extract(text, '^(\\w+)\\s*\\((.*)\\)$', 1) <> ''), '[]')::VARCHAR AS columns_tokens
+  FROM agg s
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     extra = {} if _llm is None else dict(_llm.oracle_sql())
     if _llm is not None and _pipeline.ORACLE_SQL:
@@ -734,6 +857,34 @@ UNION ALL SELECT 'traces', entity, count(*) FROM tr GROUP BY entity
 UNION ALL SELECT 'records', record_id, count(*) FROM (
   SELECT regexp_extract(line, 'WHERE. *?\\bORDERS\\.ID\\s*=\\s*(\\d+)', 1) AS record_id FROM log
   WHERE NOT contains(line, 'INPUT')) WHERE record_id <> '' GROUP BY record_id""",
+        "scan_log_files": _with() + f"""SELECT row_number() OVER (ORDER BY seq) - 1 AS pos, ts,
+       replace(line, ' user ', ' {GREEK_ROLE} ') AS line FROM log""",
+        "scan_statement_files": _with() + f"""SELECT row_number() OVER (ORDER BY seq) - 1 AS pos, {_body('value', False)} AS line
+FROM (SELECT seq, replace(value, ' user ', ' {GREEK_ROLE} ') AS value FROM raw)
+WHERE starts_with(value, '[') AND {_STMT_UNSPACED.replace('line', 'value')}""",
+        "trace_array_files": _with(_TRACES) + """
+SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY ts, seq) - 1 AS pos, ts, normalized_line FROM tr""",
+        "file_contents": _with_rec(_TEMPLATE_COUNTS, _GRAPH, _paths_cte(False), _CHAIN_GRAPH, _COMPONENTS) + f"""
+SELECT 'edges' AS file, row_number() OVER (ORDER BY confidence DESC, normalized_query, next_query) - 1 AS pos,
+       normalized_query || ' -> ' || next_query AS key, count || '|' || total_count AS content FROM conf
+UNION ALL SELECT 'templates', row_number() OVER (ORDER BY count DESC, normalized_query) - 1, normalized_query, CAST(count AS VARCHAR) FROM counts
+UNION ALL SELECT 'first', row_number() OVER (ORDER BY case_id) - 1, case_id, normalized_query || '|1' FROM (
+  SELECT case_id, arg_min(normalized_query, seq) AS normalized_query FROM (
+    SELECT seq, {_case()} AS case_id, {_norm()} AS normalized_query FROM log WHERE {_NOT_ECHO} AND {_WRITE_SPACED}) GROUP BY case_id)
+UNION ALL SELECT 'legend', 0, query, id FROM leg
+UNION ALL SELECT 'labels', 0, start_id || ' -> ' || end_id,
+  printf('%d.%02d', (200 * count + total_count) // (2 * total_count) // 100, (200 * count + total_count) // (2 * total_count) % 100) FROM cg
+UNION ALL SELECT 'chains', row_number() OVER (ORDER BY confidence DESC, path) - 1, array_to_string(path, ' -> '), CAST(length AS VARCHAR) FROM paths
+UNION ALL SELECT 'components', row_number() OVER (PARTITION BY root ORDER BY query) - 1, CAST(dense_rank() OVER (ORDER BY root) AS VARCHAR), query
+  FROM comp c JOIN leg l ON l.ordinal = c.v
+UNION ALL SELECT 'records', row_number() OVER (PARTITION BY record_id ORDER BY seq) - 1, record_id, line FROM (
+  SELECT seq, line, regexp_extract(line, 'WHERE. *?\\bORDERS\\.ID\\s*=\\s*(\\d+)', 1) AS record_id FROM log WHERE {_NOT_ECHO}) WHERE record_id <> ''""",
+        "marked_first_query": _with() + f"""
+SELECT case_id, arg_min(normalized_query, seq) AS normalized_query, CAST(1 AS BIGINT) AS count FROM (
+  SELECT seq, {_case()} AS case_id, {_norm()} AS normalized_query FROM log WHERE {_NOT_ECHO} AND ({_WRITE_SPACED} OR contains(line, 'QUERY'))
+) GROUP BY case_id""",
+        "catalogue_strings": _with(_STRUCTURE, _STRUCTURE_JSON) + """
+SELECT DISTINCT type, tables, from_tokens, "where", columns, columns_tokens FROM texts WHERE type = 'SELECT'""",
         "statement_catalogue": _with(_STRUCTURE) + """
 SELECT DISTINCT type, tables, columns, functions, conditions, operators, from_tokens FROM agg WHERE type = 'SELECT'""",
     }

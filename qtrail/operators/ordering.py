@@ -144,6 +144,24 @@ def with_position(df: DataFrame, order=("seq",), block=None, partition_by=(), na
     return joined.select(*out, place.cast("bigint").alias(name), *extra)
 
 
+def with_running(df: DataFrame, sums: dict[str, Column], order, block, within: Column) -> DataFrame:
+    """Add for each name the sum of its expression over the rows before, in ``order``, of the
+    same ``within`` (a group of whole blocks, such as their file).
+
+    ``order``, ``block`` as in ``with_successor``.  Sums run inside a block; one row per block
+    carries them on."""
+    order, names = _names(order), list(sums)
+    base = df.select("*", *[e.cast("bigint").alias("_r_" + n) for n, e in sums.items()], _as_col(block).alias(_PIECE), within.alias("_group"))
+    w = Window.partitionBy(_PIECE).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    inner = base.select("*", *[F.coalesce(F.sum("_r_" + n).over(before), F.lit(0)).alias(n) for n in names])
+    totals = base.groupBy(_PIECE).agg(F.first("_group").alias("_group"), *[F.sum("_r_" + n).alias("_t_" + n) for n in names])
+    upto = Window.partitionBy("_group").orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    carried = totals.select(F.col(_PIECE).alias("_c_piece"), *[F.coalesce(F.sum("_t_" + n).over(upto), F.lit(0)).alias("_c_" + n) for n in names])
+    joined = inner.join(carried, F.col(_PIECE) == F.col("_c_piece"))
+    return joined.select(*df.columns, *[(F.col(n) + F.col("_c_" + n)).alias(n) for n in names])
+
+
 def dense_index(df: DataFrame, order, name: str = "idx", start: int = 0) -> DataFrame:
     """Add ``name`` = 0-based (+``start``) rank of each row in ``order`` (a total order).
 

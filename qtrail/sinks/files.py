@@ -1,4 +1,4 @@
-"""Result sinks (K1-K5): distributed CSV / JSON Lines writers.
+"""Result sinks (K1-K5): distributed CSV / JSON / log writers.
 
 Everything is written by the executors in parallel; nothing is collected to
 the driver.  Nested per-key lists (traces, component members) are written in
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import dense_index
+from ..sources.auditlog import DEFAULT_CODEPAGE, encode_codepage
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> None:
@@ -27,6 +28,26 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, order, rows_per_file: int = 100_000, mode: str = "overwrite") -> None:
+    """K3 in the reference's layout: pretty-printed JSON arrays, rows in ``order`` (total), at most
+    ``rows_per_file`` in a file; each file is a valid array of its own, in the folder ``part=k``."""
+    placed = dense_index(df, order, name="_i")
+    n = placed.count()
+    at, last = F.col("_i") % rows_per_file, F.lit(n - 1)
+    value = F.concat(F.when(at == 0, "[\n").otherwise(""), F.to_json(F.struct(*df.columns), {"pretty": "true"}),
+                     F.when((at == rows_per_file - 1) | (F.col("_i") == last), "\n]").otherwise(","))
+    (placed.select("_i", F.floor(F.col("_i") / rows_per_file).alias("part"), value.alias("value"))
+     .repartition("part").sortWithinPartitions("part", "_i").select("part", "value").write.mode(mode).partitionBy("part").text(path))
+
+
+def write_log(raw: DataFrame, path: str, by: str, codepage: str | None = DEFAULT_CODEPAGE, mode: str = "overwrite") -> None:
+    """Log lines (seq, value) as text files in ``codepage``: a folder ``<by>=…`` for each value of the
+    column ``by`` (monotone in ``seq``, such as the day), so that paths sort as the lines do."""
+    # sorted by ``by`` first, so that the writer of partitioned folders sorts nothing again
+    (raw.repartitionByRange("seq").sortWithinPartitions(by, "seq")
+     .select(by, encode_codepage(F.col("value"), codepage).alias("value")).write.mode(mode).partitionBy(by).text(path))
+
+
 def write_legend(legend_df: DataFrame, path: str) -> None:
     """K4: legend CSV with the reference's header ``Query,ID``."""
     write_csv(legend_df.select(F.col("query").alias("Query"), F.col("id").alias("ID")), path)

@@ -74,11 +74,41 @@ def parse_audit_lines(raw: DataFrame, value: str = "value") -> DataFrame:
     return parsed.select("seq", "block", kept).select("seq", "block", "_k.ts", "_k.line")
 
 
-def read_raw_lines(spark: SparkSession, paths, codepage: str | None = DEFAULT_CODEPAGE) -> DataFrame:
-    """Distributed text scan keeping file order in ``seq`` and the block in ``block``."""
+def encode_codepage(value: Column, codepage: str | None) -> Column:
+    """Text as the raw bytes of ``codepage`` (in a string column, as a text sink writes it);
+    characters that the code page lacks become ``?``."""
+    if codepage is None or codecs.lookup(codepage).name == "utf-8":
+        return value
+    latin, chars = codepage_table(codecs.lookup(codepage).name)
+    own = [(c, b) for c, b in zip(chars, latin) if c != "\ufffd"]
+    # a latin character that the code page puts elsewhere, or not at all, has no byte of its own
+    gone = "".join(sorted(set(latin) - {c for c, _ in own}))
+    named = F.translate(value, "".join(c for c, _ in own) + gone, "".join(b for _, b in own) + "?" * len(gone))
+    return F.encode(F.regexp_replace(named, r"[^\x{0}-\x{FF}]", "?"), "ISO-8859-1").cast("string")
+
+
+def split_reader(spark: SparkSession, split_bytes: int | None):
+    """A reader that cuts files into splits of at most ``split_bytes``; the setting is that of
+    a session of its own, the caller's stays as it is."""
+    if split_bytes is None:
+        return spark.read
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    own.conf.set("spark.sql.files.openCostInBytes", "0")
+    return own.read
+
+
+def read_raw_lines(spark: SparkSession, paths, codepage: str | None = DEFAULT_CODEPAGE, split_bytes: int | None = None,
+                   separator: str | None = None) -> DataFrame:
+    """Distributed text scan keeping file order in ``seq`` and the block in ``block``.
+
+    Order comes from the path, the first byte of the split and the line's place in it, so
+    any number of tasks may read a file.  ``split_bytes``: see ``split_reader``;
+    ``separator``: what ends a line, in place of line breaks."""
     if isinstance(paths, str):
         paths = [paths]
-    df = spark.read.text(list(paths))
+    reader = split_reader(spark, split_bytes)
+    df = (reader if separator is None else reader.option("lineSep", separator)).text(list(paths))
     f = F.col("_metadata.file_path")
     b = F.col("_metadata.file_block_start")
     lines = df.select(
@@ -90,9 +120,9 @@ def read_raw_lines(spark: SparkSession, paths, codepage: str | None = DEFAULT_CO
     return spread(lines).withColumn("value", decode_codepage(F.col("value"), codepage))
 
 
-def read_audit_log(spark: SparkSession, paths, codepage: str | None = DEFAULT_CODEPAGE) -> DataFrame:
+def read_audit_log(spark: SparkSession, paths, codepage: str | None = DEFAULT_CODEPAGE, split_bytes: int | None = None) -> DataFrame:
     """Audit log file(s) → (seq, block, ts TIMESTAMP_NTZ, line)."""
-    return parse_audit_lines(read_raw_lines(spark, paths, codepage))
+    return parse_audit_lines(read_raw_lines(spark, paths, codepage, split_bytes))
 
 
 def statement_lines(raw: DataFrame, role: str = T.INSPECTOR_ROLE, value: str = "value") -> DataFrame:
@@ -107,5 +137,5 @@ def statement_lines(raw: DataFrame, role: str = T.INSPECTOR_ROLE, value: str = "
 
 
 def read_statement_lines(spark: SparkSession, paths, role: str = T.INSPECTOR_ROLE,
-                         codepage: str | None = DEFAULT_CODEPAGE) -> DataFrame:
-    return statement_lines(read_raw_lines(spark, paths, codepage), role)
+                         codepage: str | None = DEFAULT_CODEPAGE, split_bytes: int | None = None) -> DataFrame:
+    return statement_lines(read_raw_lines(spark, paths, codepage, split_bytes), role)
