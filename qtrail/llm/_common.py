@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from pathlib import Path
 
@@ -33,6 +36,39 @@ def prepare(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+LONG_WORD = 48  # characters; what a worker works out for a longer word is used and forgotten
+_kept: list = []
+
+
+def per_worker(owner: str, key, make):
+    """``make()``, once for each worker, owner and key, for models and caches that tasks share.
+
+    A worker serves many operators one after another: what another owner or key left is
+    dropped first and its memory given back, so a worker holds one cache at a time."""
+    if not _kept or _kept[0] != (owner, key):
+        _kept.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the pages
+            ctypes.CDLL(None).malloc_trim(0)
+        _kept.extend([(owner, key), make()])
+    return _kept[1]
+
+
+class Budget:
+    """Bytes that a cache of words may take; about 200 for each entry besides its text."""
+
+    def __init__(self, most: int):
+        self.most, self.used = most, 0
+
+    def spent(self, words) -> bool:
+        """Counts ``words`` in; True if the cache is to be emptied (which starts a new count)."""
+        self.used += sum(len(w) for w in words) + 200 * len(words)
+        if self.used <= self.most:
+            return False
+        self.used = 0
+        return True
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 (public domain): spreads all 64 bits."""
     h = (h ^ (h >> U64(30))) * _MIX1

@@ -32,25 +32,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, mix
+from ._common import LONG_WORD, Budget, U64, mix, per_worker
 
 ORDER = 4
 FIT_DOCS = 3000
 CALIBRATE_DOCS = 1500
-#: n-grams of three characters or more must be seen this often to be stored
-LEAST_SEEN = 2
 #: limit of a language: this quantile of the calibration texts' cross-entropy plus this margin (nats a character)
 QUANTILE, MARGIN = 0.999, 1.0
 #: texts with fewer letters get a wider limit
 SHORT_MARGIN = 6.0
 UNDETERMINED = "und"
-REMEMBERED, SHORT = 300_000, 48
+REMEMBERED, SHORT = 64 << 20, 48  # bytes that a worker's words may take
 _FACTORS = mix(np.arange(1, ORDER + 1, dtype=U64)) | U64(1)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; digits and number signs (½, ², Ⅷ) are none, though the pattern takes them for word characters."""
+    return ["".join(filter(str.isalpha, w)) if not w.isalpha() else w for w in _WORD.findall(text.lower()) if any(map(str.isalpha, w))]
 
 
 def _word_counts(batches):
@@ -190,7 +189,7 @@ class Scorer:
     """Cross-entropies of texts; a worker remembers the scores of its words."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.table, self.size = model, {}, None, 0
+        self.model, self.known, self.table, self.size, self.budget = model, {}, None, 0, Budget(REMEMBERED)
 
     def _learn(self, words: set[str]) -> None:
         fresh = sorted(words)
@@ -220,7 +219,10 @@ class Scorer:
             n = sum(map(len, words)) + len(words)
             scores = self.table[places]
             out.append((-scores.sum(axis=0, dtype=np.float64) / n, -float(scores.max(axis=1).sum(dtype=np.float64)) / n, n))
-        if self.size > REMEMBERED:
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.known[w]
+        if self.budget.spent(new):
             self.known, self.table, self.size = {}, None, 0
         return out
 
@@ -237,15 +239,9 @@ def verdict(model: Model, entropy, fit_: float, n: int) -> tuple[str, float, boo
     return model.langs[best], min(max(score, 0.0), 1.0), bool(over > 0)
 
 
-_SCORERS: dict[tuple, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
     """The worker's scorer of ``model``, kept over its tasks."""
-    if model.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.key] = Scorer(model)
-    return _SCORERS[model.key]
+    return per_worker("language", model.key, lambda: Scorer(model))
 
 
 def _scored(batches, model):
@@ -281,8 +277,7 @@ def fit(training: DataFrame):
              .mapInArrow(_word_counts, "lang string, word string, n bigint")
              .groupBy("lang", "word").agg(F.sum("n").alias("n"))
              .mapInArrow(_gram_counts, "lang string, gram string, n bigint")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-             .filter((F.length("gram") < 3) | (F.col("n") >= LEAST_SEEN)).toPandas())
+             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())  # all of them: discounts and continuations count singletons
     counts = {lang: dict(zip(part["gram"], part["n"])) for lang, part in grams.groupby("lang")}
     if not counts:
         return None

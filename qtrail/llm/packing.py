@@ -41,14 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, drop_stored, mix, stored
+from ._common import LONG_WORD, Budget, U64, drop_stored, mix, per_worker, stored
 
 WINDOW = 4096
 END_ID = 2
 SHARD_UNITS = 4096
 K1, B = 1.2, 0.75
 #: words that a worker remembers
-CACHE_WORDS = 600_000
+CACHED = 128 << 20  # bytes that a worker's words may take
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
@@ -76,6 +76,7 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.budget = Budget(CACHED)
         self.plain: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -112,14 +113,16 @@ class WordIds:
         if new:
             self._learn(new)
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        if len(self.known) > CACHE_WORDS:
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.known[w]
+        if self.budget.spent(new):
             self.known, self.plain = {}, {}
         return out
 
 
-@functools.cache
 def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return per_worker("word ids", path, lambda: WordIds(path))
 
 
 def _units(batches, path: str, end_id: int, window: int):

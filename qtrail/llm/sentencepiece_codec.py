@@ -124,7 +124,9 @@ class Encoder(dict):
         if len(finer) > 1:
             ids = b"".join(map(self.__getitem__, finer))
         else:
-            ids = np.array([i for group in self.viterbi.encode([part]) for i in group], "<i4").tobytes()
+            step = 4 * self.words.longest  # fed in chunks: scores and back-pointers of a window are held, not of the part
+            chunks = (part[a:a + step] for a in range(0, len(part), step))
+            ids = b"".join(np.array(group, "<i4").tobytes() for group in self.viterbi.encode(chunks))
         if len(part) <= SHORT:
             self[part] = ids
         return ids

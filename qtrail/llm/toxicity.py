@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, drop_stored, mix, sample_by_hash, stored
+from ._common import LONG_WORD, Budget, U64, drop_stored, mix, per_worker, sample_by_hash, stored
 
 SPAN, DECAY = 5, 0.6
 #: triples are numbered by a hash of so many bits
@@ -68,7 +68,7 @@ OFTEN, LIFT = 3, 2.0
 FLOORS, STEPS, MOST = (0.0, 0.25, 0.5), 10, 100  # of the summed decisions: floors tried, bins of 1, largest sum told apart
 COST, ROUNDS = 10.0, 12
 LONGEST = 40  # a longer word is read in overlapping parts of this length
-REMEMBERED = 400_000
+REMEMBERED = 96 << 20  # bytes that a worker's tokens may take
 STEEPNESS, CUT = 6.0, 0.25
 LOWEST = -4.0
 
@@ -96,13 +96,17 @@ def sentence_words(text: str) -> list[set[str]]:
     return [{w for t in s.split() for w in read(t)}.union(spelled(s)) for s in _SENTENCE.split(text.lower()) if s]
 
 
-@functools.lru_cache(200_000)
-def runs(word: str) -> tuple[str, ...]:
-    """The runs of ``GRAM`` characters of a word between its marks."""
+@functools.lru_cache(30_000)
+def _runs(word: str) -> tuple[str, ...]:
     word = f"^{word}$"
     return tuple({word[i:i + GRAM] for i in range(len(word) - GRAM + 1)})
 
 
+def runs(word: str) -> tuple[str, ...]:
+    """The runs of ``GRAM`` characters of a word between its marks; long words are not remembered."""
+    return _runs(word) if len(word) <= LONG_WORD else _runs.__wrapped__(word)
+
+
 def _counts(batches):
     """Words with the toxic and clean sentences they are in, and runs with their
     occurrences in toxic and clean texts, at most ``OFTEN`` a text."""
@@ -235,7 +239,7 @@ class Scorer:
     """Worst and summed decisions of texts; a worker remembers the decisions of tokens."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.told = model, {}, {}
+        self.model, self.known, self.told, self.budget = model, {}, {}, Budget(REMEMBERED)
 
     def _learn(self, tokens) -> None:
         readings = [read(t) for t in tokens]
@@ -262,7 +266,11 @@ class Scorer:
         worst = [max(map(self.known.__getitem__, t), default=LOWEST) for t in tokens]
         told = [[self.told[w] for w in t if w in self.told] for t in tokens]
         sums = [[sum(x[k] for x in t) for t in told] for k in map(FLOORS.index, floors)]
-        if len(self.known) > REMEMBERED:
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.known[w]
+                self.told.pop(w, None)
+        if self.budget.spent(new):
             self.known, self.told = {}, {}
         return worst, sums
 
@@ -272,15 +280,9 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(STEEPNESS * distance, -40, 40)))
 
 
-_SCORERS: dict[tuple, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
     """The worker's scorer of ``model``, kept over its tasks."""
-    if model.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.key] = Scorer(model)
-    return _SCORERS[model.key]
+    return per_worker("toxicity", model.key, lambda: Scorer(model))
 
 
 def fit(labelled: DataFrame):

@@ -85,3 +85,18 @@ def test_frames(spark):
     assert digest == counts and len(given) == table.count()
     for empty in (T.token_counts(frame(spark, []), PIECES), C.digests(frame(spark, []), PIECES), C.encode(frame(spark, []), PIECES)):
         assert empty.collect() == []
+
+
+def test_a_long_part_is_encoded_in_a_window(spark, monkeypatch):
+    """A text of a million characters without a blank: the same ids, and no list of scores as long as the text."""
+    from qtrail.llm import sentencepiece_codec as S
+    encoder = S.Encoder(PIECES)
+    reach, most = encoder.words.longest, []
+    advance = S.StreamingViterbi._advance
+    monkeypatch.setattr(S.StreamingViterbi, "_advance", lambda self, text, score, back: (advance(self, text, score, back), most.append(len(score)))[0])
+    rng = random.Random(4)
+    part = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    whole = [i for group in S.StreamingViterbi(encoder.words).encode([part]) for i in group]
+    most.clear()
+    assert np.frombuffer(encoder[part], "<i4").tolist() == whole
+    assert max(most) <= 50 * reach
