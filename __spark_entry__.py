@@ -96,18 +96,18 @@ def q_valid_templates(spark, sf_dir):
 
 def q_positioned_templates(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return (C.positioned_templates(log, _valid(log))
+    return (C.positioned_templates(log, rule=(None, MAX_SHARE), keep=())
             .select(F.col("seq").alias("event_id"), "normalized_query", "row_id"))
 
 
 def q_consecutive_pairs(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return X.consecutive_pairs(log, _valid(log), 0, min_share=PAIR_SHARE)
+    return X.consecutive_pairs(log, None, 0, min_share=PAIR_SHARE, rule=(None, MAX_SHARE))
 
 
 def q_pair_confidence(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return X.pair_confidence(log, _valid(log), 0, min_share=PAIR_SHARE)
+    return X.pair_confidence(log, None, 0, min_share=PAIR_SHARE, rule=(None, MAX_SHARE))
 
 
 def q_template_confidence(spark, sf_dir):

@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..session import materialize
 from .mentions import mentions
 from .ordering import with_position
+from .skew import only_keys, written
 
 
 def _sorted(df: DataFrame, sort: bool, *keys) -> DataFrame:
@@ -45,7 +46,10 @@ def valid_templates(log: DataFrame, max_count: int | None = 500, max_share: floa
     """Templates rarer than ``max_count`` (strict) and than ``max_share`` of all
     template occurrences (strict; a ceiling that follows the log's size); a bound
     that is None does not apply."""
-    counts = template_counts(log)
+    return _rare(template_counts(log), max_count, max_share)
+
+
+def _rare(counts: DataFrame, max_count: int | None, max_share: float | None) -> DataFrame:
     if max_share is not None:
         everything = counts.agg(F.sum("count")).scalar()  # one number, summed on the map side first
         counts = counts.filter(F.col("count") < F.lit(float(max_share)) * everything)
@@ -54,6 +58,24 @@ def valid_templates(log: DataFrame, max_count: int | None = 500, max_share: floa
     return counts.select("normalized_query")
 
 
+def valid_events(log: DataFrame, max_count: int | None = 500, max_share: float | None = None, exclude_echo: bool = True,
+                 keep=("ts", "line")) -> DataFrame:
+    """J1 by the rule of ``valid_templates``: statement events (F4c) of valid templates, ``(seq, block, keep…,
+    normalized_query)``.
+
+    The log is parsed once: its events are written with a mark for those that X3 counts,
+    and the tasks that write them sketch which templates are frequent.  The valid set is
+    counted on the written events; frequent templates are judged where they lie.  Runs
+    jobs while it is built."""
+    events = statements(log, spaced=False, exclude_echo=exclude_echo)
+    counted = P.not_echo("line") & P.is_statement("line", spaced=True) & P.found("normalized_query")
+    columns = list(dict.fromkeys(["seq", "block", *keep, "normalized_query"]))
+    table, (heavy, _) = written(events.select(*columns, counted.alias("_counted")), ["normalized_query"], "events")
+    counts = table.filter("_counted").groupBy("normalized_query").agg(F.count(F.lit(1)).alias("count"))
+    valid = materialize(_rare(counts, max_count, max_share), "valid")
+    return only_keys(table.select(columns), valid, "normalized_query", heavy)
+
+
 def write_events(log: DataFrame, spaced: bool = True, exclude_echo: bool = True, extra_markers=()) -> DataFrame:
     """Write statements (F3 + F4a, U2) with ``case_id`` and template."""
     df = log.filter(P.not_echo("line")) if exclude_echo else log
@@ -131,10 +153,16 @@ def only_valid(events: DataFrame, valid: DataFrame | None) -> DataFrame:
     return events.join(materialize(valid.select("normalized_query").distinct(), "valid"), "normalized_query", "left_semi")
 
 
-def positioned_templates(log: DataFrame, valid: DataFrame | None = None, exclude_echo: bool = True) -> DataFrame:
+def positioned_templates(log: DataFrame, valid: DataFrame | None = None, exclude_echo: bool = True, rule=None,
+                         keep=("ts", "line")) -> DataFrame:
     """Statement events with a dense 0-based position after filtering
-    (what ``zipWithIndex`` gives), computed per block plus block offsets."""
-    ev = statements(log, spaced=False, exclude_echo=exclude_echo)
-    ev = only_valid(ev, valid)
-    return with_position(ev.select("seq", "block", "ts", "line", "normalized_query"), order=["seq"],
-                         block="block", name="row_id")
+    (what ``zipWithIndex`` gives), computed per block plus block offsets.
+
+    Valid templates are those of ``valid``, or those that ``rule`` = (max_count, max_share)
+    finds in the log itself (``valid_events``)."""
+    columns = list(dict.fromkeys(["seq", "block", *keep, "normalized_query"]))
+    if rule is not None:
+        ev = valid_events(log, *rule, exclude_echo=exclude_echo, keep=keep)
+    else:
+        ev = only_valid(statements(log, spaced=False, exclude_echo=exclude_echo).select(columns), valid)
+    return with_position(ev.select(columns), order=["seq"], block="block", name="row_id")

@@ -13,13 +13,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalogue import only_valid, statements
+from .catalogue import only_valid, statements, valid_events
 from .ordering import with_successor
 from .skew import written
 
 
-def template_events(log: DataFrame, valid: DataFrame | None = None, exclude_echo: bool = False) -> DataFrame:
-    """Statement events (unspaced keyword test, F4c) whose template is valid."""
+def template_events(log: DataFrame, valid: DataFrame | None = None, exclude_echo: bool = False, rule=None,
+                    keep=("ts", "line")) -> DataFrame:
+    """Statement events (unspaced keyword test, F4c) whose template is valid (J1): in ``valid``,
+    or by ``rule`` = (max_count, max_share) of the log itself (then ``keep`` are the columns kept besides)."""
+    if rule is not None:
+        return valid_events(log, *rule, exclude_echo=exclude_echo, keep=keep)
     ev = statements(log, spaced=False, exclude_echo=exclude_echo).select("seq", "block", "ts", "line",
                                                                         "normalized_query")
     return only_valid(ev, valid)
@@ -56,14 +60,14 @@ def _with_totals(counts: DataFrame) -> DataFrame:
 
 def consecutive_pairs(log: DataFrame, valid: DataFrame | None = None, threshold: int = 300,
                       exclude_echo: bool = False, partition_by=(), sort: bool = False,
-                      min_share: float | None = None) -> DataFrame:
+                      min_share: float | None = None, rule=None) -> DataFrame:
     """X1 ``extract_consecutive_pairs``: pairs of consecutive valid templates in
     file order occurring more than ``threshold`` times and more than ``min_share`` of
     all events (both strict; None does not apply).
 
     Faithful default keeps echo lines (``exclude_echo=False``) and uses the
     global order; ``partition_by`` (e.g. ``"case_id"``) restricts pairs to one case."""
-    ev = template_events(log, valid, exclude_echo)
+    ev = template_events(log, valid, exclude_echo, rule, keep=("line",) if partition_by else ())
     ev = _with_case(ev, partition_by)
     counts = successor_counts(ev, partition_by=partition_by, costly=True)
     out = (_above(counts, threshold, min_share).filter(F.col("next_query").isNotNull())
@@ -73,12 +77,12 @@ def consecutive_pairs(log: DataFrame, valid: DataFrame | None = None, threshold:
 
 def pair_confidence(log: DataFrame, valid: DataFrame | None = None, threshold: int = 300,
                     exclude_echo: bool = True, partition_by=(), sort: bool = False,
-                    min_share: float | None = None) -> DataFrame:
+                    min_share: float | None = None, rule=None) -> DataFrame:
     """X2 ``compute_confidence``: frequent pairs with ``total_count`` of the first
     template and ``confidence = count / total_count``.
 
     Columns ``normalized_query, next_query, count, total_count, confidence``."""
-    ev = template_events(log, valid, exclude_echo)
+    ev = template_events(log, valid, exclude_echo, rule, keep=("line",) if partition_by else ())
     ev = _with_case(ev, partition_by)
     counts = successor_counts(ev, partition_by=partition_by, costly=True)
     return confidence_from_counts(counts, threshold, sort, min_share)

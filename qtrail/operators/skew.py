@@ -80,3 +80,17 @@ def piece_of(order) -> Column:
     """Number of cuts at or before a row (0 for the rows of a key that is not cut)."""
     place = F.struct(*order)
     return F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= place)), F.lit(0))
+
+
+def only_keys(rows: DataFrame, keys: DataFrame, column: str, heavy: dict[int, int]) -> DataFrame:
+    """The rows whose ``column`` is among ``keys`` (one column of that name, distinct, written).
+
+    Heavy values are judged where the rows lie, by a list of at most one value a partition;
+    only the tail is joined, so that no task gets the rows of a heavy value, whether or not
+    the keys are few enough to be sent to the rows."""
+    if not heavy:
+        return rows.join(keys, column, "left_semi")
+    hot = key_hash([column]).isin(list(heavy))
+    known = [r[0] for r in keys.filter(hot).select(column).collect()]
+    return (rows.filter(hot & F.col(column).isin(known))
+            .unionByName(rows.filter(~hot).join(keys.filter(~hot), column, "left_semi").select(rows.columns)))
