@@ -25,7 +25,9 @@ from qtrail.sources import rendered as R
 try:  # the training-data operators and their pipeline are an optional part
     import corpus_pipeline as _pipeline
     from qtrail.llm import queries as _llm
-except ImportError:
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "qtrail.llm"):
+        raise  # the part is there, something that it needs is not
     _pipeline = _llm = None
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"

@@ -3,41 +3,41 @@ import pytest
 
 from qtrail.operators import structure as S
 
-SELECT_QUERY = """SELECT MAX(STOCK_COUNT) FROM SHELVES WHERE (OPEN=? AND LOCKED=?
-    AND EMPTY=?) AND (SHELVES.ROOM_ID = ? OR SHELVES.ROOM_ID = ?) AND
-    (SHELVES.LABEL = ? OR SHELVES.LABEL LIKE ?)"""
-
-JOIN_QUERY = """SELECT BOOKS.ID,TITLE,YEAR_
-    PRINTED,GENRES.NAME AS GENRE,HOUSES.NAME AS HOUSE
-    FROM BOOKS LEFT OUTER JOIN WORDLIST GENRES ON (BOOKS.GENRE=GENRES.CODE AND GENRES.LIST=?)
-    LEFT OUTER JOIN WORDLIST HOUSES ON (BOOKS.HOUSE=HOUSES.CODE AND HOUSES.LIST=?)
-    WHERE (BOOKS.ID = ?) AND (BOOKS.SHELF_ID = ? OR BOOKS.SHELF_ID = ?) ORDER BY TITLE DESC, YEAR_PRINTED"""
-
-
 def _structure(spark, q):
     df = spark.createDataFrame([(q,)], "q string")
     return df.select(S.statement_structure("q").alias("s")).collect()[0].s
 
 
-def test_select_statement(spark):
-    s = _structure(spark, SELECT_QUERY)
-    assert s.type == "SELECT"
-    assert s.tables == ["SHELVES"]
-    assert [(f.function, f.column) for f in s.functions] == [("MAX", "STOCK_COUNT")]
-    assert [w.operator for w in s.where] == ["AND", "AND", ""]
-    assert s.where[2].condition == "(SHELVES.LABEL = ? OR SHELVES.LABEL LIKE ?)"
-    assert s.where[0].condition == "(OPEN=? AND LOCKED=? AND EMPTY=?)"
+def test_type_is_the_first_statement_word(spark):
+    assert [_structure(spark, q).type for q in ("select 1", "DELETE FROM T WHERE A=1", "WITH X")] == ["SELECT", "DELETE", ""]
+
+
+def test_table_references_carry_their_alias(spark):
+    s = _structure(spark, "SELECT P FROM DEPOT D INNER JOIN TRUCK ON D.T = TRUCK.N CROSS JOIN ROUTE AS R")
+    assert [(r.table, r.alias) for r in s.table_refs] == [("DEPOT", "D"), ("TRUCK", ""), ("ROUTE", "R")]
+    assert s.tables == ["D", "TRUCK", "R"]
+
+
+def test_from_tokens_keep_keywords_in_place(spark):
+    s = _structure(spark, "SELECT P FROM DEPOT RIGHT JOIN TRUCK USING (N), YARD")
+    assert [(t.kind, t.value) for t in s.from_tokens if t.kind == "keyword"] == [("keyword", "RIGHT JOIN"), ("keyword", "USING")]
+    assert [t.value for t in s.from_tokens if t.kind == "table"][0] == "DEPOT"
+
+
+def test_columns_keep_their_as(spark):
+    assert _structure(spark, "SELECT W AS WEIGHT, H, L AS LENGTH FROM CRATE").columns == ["W AS WEIGHT", "H", "L AS LENGTH"]
+
+
+def test_functions_of_the_select_list(spark):
+    s = _structure(spark, "SELECT SUM(KG), N, AVG(PRICE) FROM CRATE GROUP BY N HAVING SUM(KG) > 5")
+    assert [(f.function, f.column) for f in s.functions] == [("SUM", "KG"), ("AVG", "PRICE")]
 
 
-def test_join_statement(spark):
-    s = _structure(spark, JOIN_QUERY)
-    assert s.type == "SELECT"
-    assert s.tables == ["BOOKS", "GENRES", "HOUSES"]
-    assert [(r.table, r.alias) for r in s.table_refs] == [("BOOKS", ""), ("WORDLIST", "GENRES"), ("WORDLIST", "HOUSES")]
-    assert [t.value for t in s.from_tokens if t.kind == "keyword"] == ["LEFT OUTER JOIN", "ON", "LEFT OUTER JOIN", "ON"]
-    assert sum(" AS " in c for c in s.columns) == 2
-    assert len(s.where) == 2 and all("ORDER" not in w.condition for w in s.where)
-    assert s.functions == []
+def test_conditions_and_what_joins_them(spark):
+    s = _structure(spark, "SELECT N FROM CRATE WHERE KG > 10 OR (RED = 'y' OR\n OLD = 'n') OR N IS NULL ORDER BY KG")
+    assert [(w.condition, w.operator) for w in s.where][0] == ("KG > ?", "OR")
+    assert [w.operator for w in s.where] == ["OR", "OR", ""] and s.where[2].condition == "N IS NULL"
+    assert s.where[1].condition.startswith("(RED = ") and "\n" not in s.where[1].condition
 
 
 @pytest.mark.parametrize("statement, tables, columns, functions, conditions", [
@@ -82,8 +82,8 @@ def test_between_and_write_statements(spark):
 
 
 def test_catalogue_distinct_selects(spark):
-    rows = [(SELECT_QUERY,), (SELECT_QUERY.replace("ROOM_ID = ?", "ROOM_ID  =   ?"),), (JOIN_QUERY,),
-            ("UPDATE T SET A=1",)]
+    one, other = "SELECT N FROM CRATE WHERE KG = ?", "SELECT N, KG FROM CRATE C, YARD"
+    rows = [(one,), (one.replace("KG = ?", "KG  =   ?"),), (other,), ("UPDATE T SET A=1",)]
     cat = S.statement_catalogue(spark.createDataFrame(rows, "line string"))
     assert cat.count() == 2
     assert S.catalogue_strings(cat).columns == ["type", "tables", "from_tokens", "where", "columns", "columns_tokens"]
