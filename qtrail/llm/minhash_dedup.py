@@ -18,17 +18,15 @@ at least 0.75.  The steps, all Spark jobs:
    whole shingle sets; confirmed links give components;
 5. in buckets that still hold several components, the members outside the largest
    one are compared with all members of other components, in blocks inside
-   tasks that give out survivors of the sequential test only: first the most alike
-   one of each other component, which joins nearly all that belong together, and
-   then, for members that are still apart, every survivor.  A bucket with
-   more than ``WIDE`` components is first parted by a second shared band (a
-   pair at 0.75 shares two of the 32 bands with probability 0.9999), so a
-   passage that many unlike texts share does not compare all of them;
-6. survivors between texts that are still apart are confirmed on whole sets;
-   components over all confirmed links are the result.
+   tasks.  A block holds the whole shingle sets too: survivors of the sequential
+   test are confirmed there, the most alike first, and two members that a link of
+   the block has joined are not tested again.  Only links that join components of
+   the block leave it, so at most one row for each of its members, however alike
+   they all are;
+6. components over all confirmed links are the result.
 
 Nothing is capped: a pair is skipped only when both texts are already in one
-component.  Rows leave with their component, whatever they link to.
+component, or in a bucket that is not the first of those they share.
 
 Defined results: a text without words (or null) has an empty set, links with
 nothing and is kept; with one to four words its set is the whole sequence;
@@ -55,9 +53,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-4
-# parting costs each member 31 rows, comparing each member as many tests as there are components
-WIDE = 1024
-BLOCK = 2048
+#: Members and shingles of one side of a block
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _BLOCK = 1024
 
@@ -98,12 +95,14 @@ def _signed(batches):
 
 def _sets(batches):
     for batch in batches:
-        found = [shingles(t or b"")[1].view(np.int64) for t in batch.column("text").to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-        flat = np.concatenate(found) if found else np.empty(0, np.int64)
+        found = [shingles(t or b"") for t in batch.column("text").to_pylist()]
+        sets = [f.view(np.int64) for _, f in found]
+        offsets = np.concatenate([[0], np.cumsum([len(f) for f in sets])]).astype(np.int32)
+        flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rep"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
-            names=["rep", "shingles"])
+            [batch.column("rep"), pa.array([k for k, _ in found], pa.binary()),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
+            names=["rep", "key", "shingles"])
 
 
 def _buckets(signs: np.ndarray) -> np.ndarray:
@@ -184,39 +183,52 @@ def _groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
-_CROSS = "bucket bigint, x int, y int, minor boolean, rep bigint, n bigint, component bigint, sign binary"
+def _coded(column) -> list[np.ndarray]:
+    """Each row's set as codes counted from 0 over all rows."""
+    sizes = np.asarray(column.combine_chunks().value_lengths())
+    codes = np.unique(column.combine_chunks().flatten().to_numpy(), return_inverse=True)[1].astype(np.int32)
+    return np.split(codes, np.cumsum(sizes)[:-1])
 
 
-def _crossed(batches, least: list[int], best: bool):
-    """Likely pairs of a block of minor members with a block of all members of one bucket, across components.
+_CROSS = "bucket bigint, x int, y int, minor boolean, rep bigint, component bigint, sign binary, shingles array<bigint>"
 
-    ``best``: of a member and another component the most alike pair only;
-    otherwise every pair, in the first of the buckets that it shares."""
+
+def _joined(batches, least: list[int]):
+    """Links of a block of minor members with a block of all members of one bucket: a
+    spanning forest of the block's components under its links.
+
+    A pair is judged in the first of the buckets that it shares."""
     for table in _groups(batches, ["bucket", "x", "y"]):
         minor = table.column("minor").to_numpy()
-        rep, n, component = (table.column(c).to_numpy() for c in ("rep", "n", "component"))
-        sign = _signs(table.column("sign"))
         every = np.flatnonzero(~minor)
-        if not best:
-            buckets = _buckets(sign)
-            here = buckets == table.column("bucket")[0].as_py()
-            band = int(here.all(axis=0).argmax()) if here.all(axis=0).any() else -1  # -1: a parted bucket
-        a, b, found = [], [], []
+        rep = table.column("rep").to_numpy()
+        label = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        if not len(every) or (label == label[0]).all():
+            continue
+        sign, sets = _signs(table.column("sign")), _coded(table.column("shingles"))
+        size = np.array([len(s) for s in sets])
+        buckets = _buckets(sign)
+        here = (buckets == table.column("bucket")[0].as_py()).all(axis=0)
+        band = int(here.argmax())
+        mark = np.zeros(max(s.max(initial=0) for s in sets) + 1, bool)
+        a, b = [], []
         for i in np.flatnonzero(minor):
-            small, large = np.minimum(n[i], n[every]), np.maximum(n[i], n[every])
-            others = every[(component[every] != component[i]) & (100 * small >= PERCENT * large)]
+            small, large = np.minimum(size[i], size[every]), np.maximum(size[i], size[every])
+            others = every[(label[every] != label[i]) & (100 * small >= PERCENT * large)]
             alive, matches = _sequential(sign[i:i + 1], sign[others], least)
             others = others[alive]
-            if best:
-                order = np.lexsort((rep[others], -matches))
-                _, first = np.unique(component[others[order]], return_index=True)
-                others, matches = others[order][first], matches[order][first]
-            elif band >= 0:
-                once = (buckets[others] == buckets[i]).argmax(axis=1) == band
-                others, matches = others[once], matches[once]
-            a.append(np.minimum(rep[others], rep[i])), b.append(np.maximum(rep[others], rep[i])), found.append(matches)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b, found)], names=["a", "b", "matches"])
+            first = (buckets[others] == buckets[i]).argmax(axis=1) == band
+            others, matches = others[first], matches[first]
+            mark[sets[i]] = True
+            for j in others[np.lexsort((rep[others], -matches))]:
+                if label[j] == label[i]:
+                    continue
+                shared = np.count_nonzero(mark[sets[j]])
+                if 100 * shared >= PERCENT * (size[i] + size[j] - shared):
+                    label[label == label[j]] = label[i]
+                    a.append(min(rep[i], rep[j])), b.append(max(rep[i], rep[j]))
+            mark[sets[i]] = False
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _size_fits(x: str, y: str):
@@ -255,43 +267,36 @@ def _open_members(members: DataFrame, component: DataFrame) -> DataFrame:
     return stored(placed.join(stored(mixed, "mixed-buckets")[0], "bucket"), "open-members")[0]
 
 
-def _cross_pairs(members: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
-    """Likely pairs (a, b) across the components of a bucket (``best``: see ``_crossed``).
+def _cross_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components of a bucket.
 
     A bucket's members outside its largest component meet all its members, block
-    by block inside tasks; only likely pairs leave them."""
-    counted, _ = stored(members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k")), "bucket-components")
-    per_bucket = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"),
-                                               F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("most"))
+    by block inside tasks (see ``_joined``); blocks are cut by members and by shingles."""
+    counted, _ = stored(members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s")),
+                        "bucket-components")
+    per_bucket = (counted.groupBy("bucket")
+                  .agg(F.sum("k").alias("all"), F.sum("s").alias("all_s"), F.max_by(F.struct("component", "k", "s"), F.struct("k", "component")).alias("main")))
     per_bucket, _ = stored(per_bucket, "open-buckets")
-    wide = per_bucket.filter(F.col("parts") > WIDE).select("bucket")
-    second = (classes.select("rep", "n", "sign").mapInArrow(_banded, "bucket bigint, rep bigint, n bigint")
-              .select(F.col("bucket").alias("second"), "rep"))
-    parted = (members.join(wide, "bucket").join(second, "rep").filter(F.col("second") != F.col("bucket"))
-              .select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"),
-                      "rep", "n", "component").distinct())
-    sides = parted.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    parted, _ = stored(parted, "parted-members")
-    sides = (sides.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"),
-                                         F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("most"))
-             .filter("parts > 1"))
-    every = (members.join(per_bucket.filter(F.col("parts") <= WIDE), "bucket")
-             .unionByName(parted.join(stored(sides, "parted-buckets")[0], "bucket")))
     lot = F.xxhash64("rep", F.lit(8))
-    blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
-    minors, alls = blocks(F.col("all") - F.col("most")), blocks(F.col("all"))
-    zero = F.lit(0)
+
+    def blocks(rows, size):
+        return F.ceil(F.greatest(rows / F.lit(BLOCK), size / F.lit(BLOCK_SHINGLES))).cast("int")
+
+    alls, zero = blocks(F.col("all"), F.col("all_s")), F.lit(0)
+    minors = blocks(F.col("all") - F.col("main.k"), F.col("all_s") - F.col("main.s"))
     as_member = F.transform(F.sequence(zero, minors - 1), lambda x: F.struct(
         x.alias("x"), F.pmod(lot, alls).cast("int").alias("y"), F.lit(False).alias("minor")))
     as_minor = F.transform(F.sequence(zero, alls - 1), lambda y: F.struct(
         F.pmod(lot, minors).cast("int").alias("x"), y.alias("y"), F.lit(True).alias("minor")))
-    dealt = (every.withColumn("part", F.explode(F.when(F.col("component") == F.col("main"), as_member)
-                                                .otherwise(F.concat(as_member, as_minor))))
-             .select("bucket", "part.*", "rep", "n", "component").join(classes.select("rep", "sign"), "rep")
+    dealt = (members.join(per_bucket, "bucket")
+             .withColumn("part", F.explode(F.when(F.col("component") == F.col("main.component"), as_member)
+                                           .otherwise(F.concat(as_member, as_minor))))
+             .select("bucket", "part.*", "rep", "component").join(sets, "rep")
              .select(*[c.split()[0] for c in _CROSS.split(", ")]))
     least = least_matches()
-    return (dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-            .mapInArrow(lambda b: _crossed(b, least, best), "a bigint, b bigint, matches bigint").select("a", "b").distinct())
+    joined = (dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+              .mapInArrow(lambda b: _joined(b, least), "a bigint, b bigint"))
+    return stored(joined, "cross-links")[0]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,18 +313,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("bucket", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n")))
     members, _ = stored(banded.join(stored(shared, "buckets")[0], "bucket"), "members")
     drop_stored(docs.sparkSession, path)
-    # whole shingle sets, for the classes that share a bucket only
+    # whole shingle sets, one for each class that shares a bucket: rows that repeat count once
     near = members.select("rep").distinct()
     texts = src.withColumnRenamed("doc_id", "rep").join(near, "rep", "left_semi")
-    sets, _ = stored(texts.mapInArrow(_sets, "rep bigint, shingles array<bigint>"), "shingle-sets")
+    sets = (texts.mapInArrow(_sets, "rep bigint, key binary, shingles array<bigint>")
+            .groupBy("key", "rep").agg(F.first("shingles").alias("shingles")))
+    sets, _ = stored(sets.join(classes.select("key", "rep", "sign"), ["key", "rep"]).select("rep", "sign", "shingles"), "shingle-sets")
     links = _star_links(members, classes, sets)
-    # first the most alike pair of a class and another component; then, where that
-    # left them apart, every likely pair
-    for best in (True, False):
-        members = _open_members(members, connected_components(links, "a", "b"))
-        pairs, path = stored(_cross_pairs(members, classes, best), "cross-pairs")
-        links = links.unionByName(_confirmed(pairs, sets))
-        drop_stored(docs.sparkSession, path)
+    open_members = _open_members(members, connected_components(links, "a", "b"))
+    links = links.unionByName(_cross_links(open_members, sets))
     # an id that names several texts joins them
     twice = rows.filter("doc_id is not null and key is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     of = rows.join(classes.select("key", "rep"), "key", "left")

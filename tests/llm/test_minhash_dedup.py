@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_tables import docs, edge_rows, frame, words
@@ -39,10 +40,10 @@ def near_copies(rng, base, n, changes):
     return out
 
 
-@pytest.mark.parametrize("wide", [1024, 2])
-def test_against_brute_force(spark, monkeypatch, wide):
-    monkeypatch.setattr(M, "WIDE", wide)
-    monkeypatch.setattr(M, "BLOCK", 4)
+@pytest.mark.parametrize("members, size", [(1024, 1 << 21), (4, 1 << 21), (1024, 300)])
+def test_against_brute_force(spark, monkeypatch, members, size):
+    monkeypatch.setattr(M, "BLOCK", members)
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", size)
     rng = random.Random(11)
     texts = [words(rng, 60) for _ in range(20)]
     passage = words(rng, 60)
@@ -55,6 +56,33 @@ def test_against_brute_force(spark, monkeypatch, wide):
     assert got == brute([(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()])
 
 
+def test_a_block_gives_one_row_a_member_at_most():
+    """Near copies that are all alike, each a component of its own: a forest leaves the block, not the pairs."""
+    rng = random.Random(3)
+    texts = [t.encode() for t in near_copies(rng, words(rng, 120), 150, 2)]
+    found = {k: f for k, f in map(M.shingles, texts)}
+    sets = list(found.values())
+    signs = [M.minima(f).tobytes() for f in sets]
+    n = len(sets)
+    links = set()
+    for bucket in np.unique(M._buckets(M._signs(pa.array(signs)))):
+        inside = [i for i in range(n) if bucket in M._buckets(M._signs(pa.array(signs[i:i + 1])))]
+        rows = [(int(bucket), 0, 0, minor, i, i, signs[i], sets[i].view(np.int64)) for minor in (False, True) for i in inside]
+        block = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)],
+                                           names=[c.split()[0] for c in M._CROSS.split(", ")])
+        out = [tuple(r.values()) for b in M._joined([block], M.least_matches()) for r in b.to_pylist()]
+        assert len(out) < max(len(inside), 1)
+        links |= set(out)
+    for i, j in links:
+        assert 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))
+    got = {i: i for i in range(n)}
+    for _ in range(n):
+        for i, j in links:
+            got[i] = got[j] = min(got[i], got[j])
+    want = {i: c for i, _, c, _ in brute([(i, t.decode()) for i, t in enumerate({M.shingles(t)[0]: t for t in texts}.values())])}
+    assert got == want
+
+
 def test_empty(spark):
     assert M.near_duplicates(frame(spark, [])).collect() == []
 
