@@ -54,7 +54,7 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-4
 #: Members and shingles of one side of a block
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _BLOCK = 1024
 

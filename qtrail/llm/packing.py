@@ -47,14 +47,13 @@ WINDOW = 4096
 END_ID = 2
 SHARD_UNITS = 4096
 K1, B = 1.2, 0.75
-#: words that a worker remembers
 CACHED = 128 << 20  # bytes that a worker's words may take
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 # Python's split() also parts words at these; the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]*)")
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")  # signs but for the apostrophe
 _SPACES = re.compile("[^\\S\x1c-\x1f]+")
 
 
@@ -68,16 +67,19 @@ class WordIds:
     """Ids of whole texts by a tokenizer whose pieces never span white space:
     the ids of a text are those of its words in order, and words repeat.
 
-    A worker remembers words over all its tasks.  Words of plain letters (and
-    full stops or commas behind) are looked up in lower case without them, as
-    the tokenizer lower-cases and parts them so; many are encoded in one call
-    and parted again where an id ends a word."""
+    A worker remembers words over all its tasks, in two generations of half
+    ``CACHED`` each: when the newer is full the older is forgotten, and a word met
+    again moves to the newer, so frequent words stay.  Words of plain letters (and
+    signs behind) are looked up in lower case without them, as the tokenizer
+    lower-cases and parts them so; many are encoded in one call and parted again
+    where an id ends a word."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
-        self.budget = Budget(CACHED)
         self.plain: dict[str, bytes] = {}
+        self.older: tuple[dict, dict] = {}, {}
+        self.budget = Budget(CACHED // 2)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -89,34 +91,44 @@ class WordIds:
     def _learn_plain(self, words: list[str]) -> None:
         for a in range(0, len(words), 2000):
             part = words[a:a + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
             if len(stops) != len(part):
                 raise ValueError("the tokenizer parts plain words")
             self.plain.update((w, raw[i:j]) for w, i, j in zip(part, [0, *stops], stops))
 
+    def _recalled(self, words: set[str], newer: dict[str, bytes], which: int) -> set[str]:
+        """``words`` but for those of the older generation, which move to the ``newer``."""
+        older = self.older[which]
+        again = {w: older[w] for w in words if w in older}
+        newer.update(again)
+        return words.difference(again)
+
     def _learn(self, words: set[str]) -> None:
         parts = {w: m.groups() for w in words if (m := _PLAIN.fullmatch(w))}
         parts = {w: (core.lower(), stops) for w, (core, stops) in parts.items()}
         odd = [w for w in words if w not in parts]
         self.known.update(zip(odd, self._encode(odd)))
-        self._learn_plain(list({core for core, _ in parts.values()}.difference(self.plain)))
+        self._learn_plain(list(self._recalled({core for core, _ in parts.values()}.difference(self.plain), self.plain, 1)))
         stops = {s for _, s in parts.values()}
         marks = dict(zip(stops, self._encode(list(stops))))
         self.known.update((w, self.plain[core] + marks[stop]) for w, (core, stop) in parts.items())
+        for core in [c for c, _ in parts.values() if len(c) > LONG_WORD]:
+            self.plain.pop(core, None)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [_SPACES.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
         new = set().union(*split).difference(self.known)
         if new:
-            self._learn(new)
+            self._learn(self._recalled(new, self.known, 0))
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > LONG_WORD:
                 del self.known[w]
         if self.budget.spent(new):
+            self.older = self.known, self.plain
             self.known, self.plain = {}, {}
         return out
 

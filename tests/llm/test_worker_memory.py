@@ -25,13 +25,34 @@ def test_long_words_are_forgotten_and_caches_emptied(monkeypatch):
     ids = packing.WordIds(WORDS)
     million = "y" * 1_000_000
     a, b = ids.encode([f"one {million} two", "one two"])
-    assert a.startswith(b[:4]) and all(len(w) <= C.LONG_WORD for w in ids.known)
+    assert a.startswith(b[:4]) and all(len(w) <= C.LONG_WORD for words in (ids.known, ids.plain) for w in words)
     for i in range(30):
         ids.encode([" ".join(f"w{i}x{k}" for k in range(20))])
     assert sum(map(len, ids.known)) + 200 * len(ids.known) <= 20_000
     assert ids.encode(["one two"]) == [b]
 
 
+def test_frequent_words_outlive_a_generation(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 20_000)
+    ids = packing.WordIds(WORDS)
+    learnt = []
+    monkeypatch.setattr(ids, "_learn", lambda words, learn=ids._learn: (learnt.extend(words), learn(words)))
+    plain = packing.WordIds(WORDS)
+    for i in range(30):
+        text = "often! " + " ".join(f"rare{chr(97 + i % 26)}{chr(97 + k)}" for k in range(20))
+        assert ids.encode([text]) == plain.encode([text])
+    assert learnt.count("often!") == 1
+    assert 200 * sum(len(d) for d in (ids.known, ids.older[0])) <= 20_000 + 2 * 200 * 21
+
+
+def test_signs_behind_words():
+    ids = packing.WordIds(WORDS)
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    for text in [f"abc{a}{b} \u00c9t\u00e9{b}{a} 's{a}" for a in signs for b in ["", *signs[::5]]]:
+        want = ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids.encode([text])[0], "<u4").tolist() == want
+
+
 def test_language_words(monkeypatch):
     model = language_id.Model({"en": {"a": 5, " a": 3, "b": 2, " b": 2, "ab": 1}, "de": {"b": 5, " b": 4, "a": 1, " a": 1, "bb": 2}})
     scorer = language_id.Scorer(model)
