@@ -8,8 +8,9 @@ and networkx.  Here:
 * chains (G3/G4): breadth-first expansion, one join per level between the
   frontier and the edge table, pruned by the minimum confidence at every
   level, each frontier written to the shared checkpoint folder;
-* components (G6): large-star / small-star rounds (Kiveris et al., 2014),
-  each round written to the shared checkpoint folder, O(log n) rounds,
+* components (G6): every task contracts the edges it reads to a star forest
+  before they are shuffled, then large-star / small-star rounds (Kiveris et al.,
+  2014), each round written to the shared checkpoint folder, O(log n) rounds,
   stopping as soon as the edges form a star forest.
 """
 
@@ -22,6 +23,9 @@ from ..functions import text as T
 from ..session import drop_stored, materialize, stored
 from .ordering import dense_index
 
+CHUNK = 1 << 20  # edges that a task contracts at a time
+
+
 def legend(confidence: DataFrame, start: str = "normalized_query", end: str = "next_query") -> DataFrame:
     """Distinct start and end queries, ids ``Q1..Qn`` by ascending text.
 
@@ -111,7 +115,8 @@ def connected_components(edge_df: DataFrame, src: str = "src", dst: str = "dst")
 
     Returns ``(vertex, component)`` where ``component`` is the smallest vertex
     id of the component; every endpoint (also of self-loops) is a vertex.
-    Large-star / small-star rounds run while this is built.  Each vertex's
+    Tasks first contract the edges they read, ``CHUNK`` at a time (``_contraction``), so
+    round one shuffles at most one edge for each vertex of a chunk.  Large-star / small-star rounds run while this is built.  Each vertex's
     minimum is written before it is joined to the edges: both join sides are
     then plain scans, so the skew rule can split the edges of a hub; a round's
     tables are deleted as soon as the next round stands."""
@@ -119,7 +124,7 @@ def connected_components(edge_df: DataFrame, src: str = "src", dst: str = "dst")
     e = (edge_df.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v"))
          .filter(F.col("u").isNotNull() & F.col("v").isNotNull()))
     # canonical undirected edges stored as (hi, lo), hi >= lo; self-loops only name a vertex
-    start, _ = stored(e.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct(), "component-edges")
+    start, _ = stored(e.mapInArrow(_contraction(CHUNK), "hi bigint, lo bigint").distinct(), "component-edges")
     cur, path = start.filter(F.col("hi") != F.col("lo")), None
     while not _is_star_forest(cur):
         large, scratch = _to_minimum(_large_star_sides(cur))
@@ -132,6 +137,46 @@ def connected_components(edge_df: DataFrame, src: str = "src", dst: str = "dst")
             .groupBy("vertex").agg(F.min("root").alias("component")))
 
 
+def _contraction(chunk: int):
+    """A function of a task's edges (u, v): for each ``chunk`` of them a star forest with
+    the same components, edges (hi, lo) from every vertex to the smallest of its component;
+    a vertex alone (self-loops only) points to itself.
+
+    Made inside a function so that it reaches the workers by value: they need not have
+    this package."""
+    import numpy as np
+    import pyarrow as pa
+
+    def star(edges):
+        vertices, at = np.unique(np.concatenate([np.concatenate(side) for side in zip(*edges)]), return_inverse=True)
+        a, b = at[:len(at) // 2], at[len(at) // 2:]
+        label = np.arange(len(vertices))
+        while len(a):
+            x, y = label[a], label[b]
+            low = np.minimum(x, y)
+            np.minimum.at(label, x, low)  # hook the larger root of an edge to the smaller
+            np.minimum.at(label, y, low)
+            while not np.array_equal(label[label], label):
+                label = label[label]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+        told = (label != np.arange(len(label))) | (np.bincount(label, minlength=len(label)) == 1)
+        return pa.RecordBatch.from_arrays([pa.array(vertices[told]), pa.array(vertices[label[told]])], names=["hi", "lo"])
+
+    def contract(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+            rows += batch.num_rows
+            if rows >= chunk:
+                yield star(held)
+                held, rows = [], 0
+        if rows:
+            yield star(held)
+
+    return contract
+
+
 def _is_star_forest(edges_hl: DataFrame) -> bool:
     """True when every vertex points to exactly one smaller vertex and no
     target points anywhere: each component is then a star around its minimum

@@ -86,6 +86,41 @@ def _union_find(n, edges):
     return {v: min(u for u in range(n) if find(u) == find(v)) for v in range(n)}
 
 
+def test_contraction_is_a_star_forest_of_each_chunk():
+    import pyarrow as pa
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i + 1, i) for i in range(300, 900)] + [(7000, 7000)] * 3
+    rnd.shuffle(edges)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*edges[i:i + 50])], names=["u", "v"]) for i in range(0, len(edges), 50)]
+    for chunk in (50, 200, 10_000):
+        parts = [list(zip(*(c.to_pylist() for c in b.columns))) for b in G._contraction(chunk)(iter(batches))]
+        assert len(parts) == -(-len(edges) // chunk)
+        for part in parts:
+            roots = {lo for hi, lo in part if hi != lo}
+            assert all(hi >= lo for hi, lo in part) and len({hi for hi, _ in part}) == len(part)
+            assert not roots & {hi for hi, _ in part}
+        star = list(itertools.chain.from_iterable(parts))
+        assert set(itertools.chain.from_iterable(star)) == set(itertools.chain.from_iterable(edges))
+        n = 901
+        small = lambda es: [(a, b) for a, b in es if a < n]
+        assert _union_find(n, small(star)) == _union_find(n, small(edges))
+
+
+def test_contraction_saves_rounds(spark, monkeypatch):
+    """A path read in order by few tasks needs two tests of the forest at most; without contraction more."""
+    asked = []
+    test = G._is_star_forest
+    monkeypatch.setattr(G, "_is_star_forest", lambda e: asked.append(1) or test(e))
+    path = spark.range(0, 4000, 1, 4).selectExpr("id src", "id + 1 dst")
+    got = G.connected_components(path)
+    assert got.count() == 4001 and got.filter("component <> 0").isEmpty()
+    with_contraction, _ = len(asked), asked.clear()
+    monkeypatch.setattr(G, "CHUNK", 1)
+    spread = spark.range(0, 4000, 1, 4).repartition(64, "id").selectExpr("id src", "id + 1 dst")
+    assert G.connected_components(spread).filter("component <> 0").isEmpty()
+    assert with_contraction < len(asked)
+
+
 def test_connected_components_random(spark):
     rnd = random.Random(7)
     n = 400
