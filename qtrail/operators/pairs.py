@@ -5,12 +5,13 @@ then a single hash
 aggregation on ``(normalized_query, next_query)`` that also keeps the
 ``next_query IS NULL`` group.  Pair counts are the non-null groups; the total
 per template (A9, which counts the last event too) is the sum over all its
-groups, taken on the small pair-count table.  The events are scanned once.
+groups, taken on the pair-count table and summed before it is shuffled, so a template
+with very many successors is no task of its own.  The events are scanned once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue import only_valid, statements, valid_events
@@ -47,15 +48,15 @@ def successor_counts(events: DataFrame, query: str = "normalized_query", order=(
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def _with_totals(counts: DataFrame) -> DataFrame:
-    """Pair counts with ``total_count`` of the first template (A9 + J2).
+def _with_totals(kept: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pairs ``kept`` of ``counts`` with ``total_count`` of the first template (A9 + J2).
 
     The total is the sum over all successor groups of the template, the null
-    (last event) group included; taken with a window over the small pair-count
-    table it equals the reference's join with per-template counts, and the
-    events are aggregated once instead of twice."""
-    total = F.sum("count").over(Window.partitionBy("normalized_query"))
-    return counts.withColumn("total_count", total).filter(F.col("next_query").isNotNull())
+    (last event) group included: the reference's join with per-template counts,
+    from one aggregation of the events.  Only pairs that stay meet their total;
+    both sides read the one exchange of the pair counts."""
+    totals = counts.groupBy(F.col("normalized_query").alias("_first")).agg(F.sum("count").alias("total_count"))
+    return kept.join(totals, F.col("normalized_query").eqNullSafe(F.col("_first"))).drop("_first")
 
 
 def consecutive_pairs(log: DataFrame, valid: DataFrame | None = None, threshold: int = 300,
@@ -70,8 +71,7 @@ def consecutive_pairs(log: DataFrame, valid: DataFrame | None = None, threshold:
     ev = template_events(log, valid, exclude_echo, rule, keep=("line",) if partition_by else ())
     ev = _with_case(ev, partition_by)
     counts = successor_counts(ev, partition_by=partition_by, costly=True)
-    out = (_above(counts, threshold, min_share).filter(F.col("next_query").isNotNull())
-           .select("normalized_query", "next_query", "count"))
+    out = _above(counts, threshold, min_share).select("normalized_query", "next_query", "count")
     return out.orderBy(F.desc("count"), "normalized_query", "next_query") if sort else out
 
 
@@ -89,21 +89,20 @@ def pair_confidence(log: DataFrame, valid: DataFrame | None = None, threshold: i
 
 
 def _above(counts: DataFrame, threshold: int, min_share: float | None) -> DataFrame:
-    """Pair counts above both bounds; the share is of all events (the null group included)."""
-    return _above_all(counts, min_share).filter((F.col("count") > threshold) & F.col("_frequent"))
+    """Pairs (with a successor) above both bounds; the share is of all events, the null group included.
 
-
-def _above_all(counts: DataFrame, min_share: float | None) -> DataFrame:
-    """Marks pairs above the share, keeping the others for the totals."""
+    The test of the successor is tied to the count: a filter of the key alone would be moved below
+    the aggregation, which the totals need as a whole, and the events would be read once more."""
+    kept = counts.filter(F.col("count") * F.col("next_query").isNotNull().cast("bigint") > max(threshold, 0))
     if min_share is None:
-        return counts.withColumn("_frequent", F.lit(True))
+        return kept
     everything = counts.agg(F.sum("count")).scalar()  # one number, summed on the map side first
-    return counts.withColumn("_frequent", F.col("count") > F.lit(float(min_share)) * everything)
+    return kept.filter(F.col("count") > F.lit(float(min_share)) * everything)
 
 
 def confidence_from_counts(counts: DataFrame, threshold: int, sort: bool = False,
                            min_share: float | None = None) -> DataFrame:
-    out = (_with_totals(_above_all(counts, min_share)).filter((F.col("count") > threshold) & F.col("_frequent"))
+    out = (_with_totals(_above(counts, threshold, min_share), counts)
            .select("normalized_query", "next_query", "count", "total_count",
                    (F.col("count") / F.col("total_count")).alias("confidence")))
     return out.orderBy(F.desc("confidence"), "normalized_query", "next_query") if sort else out

@@ -41,6 +41,24 @@ def test_partition_invariance(spark):
     assert results[0] == results[1] == results[2]
 
 
+def test_template_with_most_of_the_pairs(spark):
+    """A template followed by a new one each time, null templates, and bounds that keep no pair without successor."""
+    rows = []
+    for i in range(200):
+        rows += ["hot", f"t{i}"]
+    rows += [None, None, "hot"]
+    events = spark.createDataFrame([(i, 0, t) for i, t in enumerate(rows)], "seq bigint, c int, t string")
+    want, totals = {}, {}
+    for a, b in zip(rows, rows[1:] + [None]):
+        totals[a] = totals.get(a, 0) + 1
+        if b is not None:
+            want[a, b] = want.get((a, b), 0) + 1
+    for threshold in (-1, 0, 1, 5):
+        got = X.sequence_confidence(events, "c", "t", ["seq"], threshold=threshold).collect()
+        assert {(r[0], r[1]): (r[2], r[3], r[4]) for r in got} == {
+            k: (n, totals[k[0]], n / totals[k[0]]) for k, n in want.items() if n > threshold}
+
+
 def test_threshold_is_strict(spark):
     log = _log(spark)
     counts = X.consecutive_pairs(log, None, 0).collect()
