@@ -73,3 +73,32 @@ def test_threshold_follows_the_spread(spark):
         ratios = rng.normal(middle, spread, 2000).tolist()
         target = spark.createDataFrame([(x, False) for x in ratios] + [(-5.0, True)], "log_ratio double, base_failed boolean")
         assert middle - 10 * spread < Q._threshold(target) < middle - 3 * spread
+
+
+def test_every_trusted_text_counts(spark):
+    """24,000 trusted texts: the counts come from all of the fit half, the threshold from all of the other."""
+    n = 24_000
+    table = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 97, ' of ', id % 89, ' ', id % 83) as text").repartition(4)
+    marks = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    got = Q.quality(table.unionByName(spark.sql("select cast(null as bigint) doc_id, 'w1 of' text")), marks)
+    rows = {r.doc_id: r for r in got.filter("doc_id is null or doc_id < 200").collect()}
+    fit = [r.doc_id for r in table.filter("pmod(xxhash64(doc_id, 3), 2) = 0").select("doc_id").collect()]
+    assert 11_000 < len(fit) < 13_000
+    text = lambda i: f"w{i % 97} of {i % 89} {i % 83}".encode()
+    buckets = [Q.gram_buckets(text(i), Q.word_hashes(text(i))) for i in range(n)]
+    null = Q.gram_buckets(b"w1 of", Q.word_hashes(b"w1 of"))
+    raw = 1.0 + np.bincount(np.concatenate([*buckets, null]), minlength=Q.BUCKETS)
+    target = 1.0 + np.bincount(np.concatenate([buckets[i] for i in fit]), minlength=Q.BUCKETS)
+    kind = np.repeat(np.arange(len(Q.KINDS)), Q.KINDS)
+    weight = np.log(target / np.bincount(kind, target)[kind]) - np.log(raw / np.bincount(kind, raw)[kind])
+    assert len(rows) == 201
+    assert all(abs(rows[i].log_ratio - weight[buckets[i]].mean()) < 1e-9 for i in range(200))
+
+
+def test_threshold_judges_the_whole_held_out_half(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "_threshold", lambda target: seen.append({r.doc_id for r in target.collect()}) or Q.LOW)
+    table = spark.range(21_000).selectExpr("id as doc_id", "concat('w', id % 97) as text").unionByName(spark.sql("select cast(null as bigint) doc_id, 'w1' text"))
+    marks = spark.range(21_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    Q.quality(table, marks)
+    assert seen == [{r.doc_id for r in table.filter("doc_id is not null and pmod(xxhash64(doc_id, 3), 2) = 1").collect()}]
