@@ -5,14 +5,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_stored, stored  # noqa: F401  (re-exported)
+from ..session import drop_stored, importable, stored  # noqa: F401  (re-exported)
 
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -26,10 +24,7 @@ def prepare(spark: SparkSession, rows: int = 512) -> None:
     """Let Python workers import this package from where the driver has it (on a
     cluster it is installed or sent with --py-files), and cap the rows of an Arrow
     batch, so that a worker holds few long texts at once."""
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

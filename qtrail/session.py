@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +17,17 @@ def _context(spark: SparkSession):
         return None
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (on a
+    cluster it is installed or sent with --py-files)."""
+    sc, root = _context(spark), str(Path(__file__).resolve().parents[1])
+    if sc is None:
+        return
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``), if any."""
     sc = _context(spark)

@@ -1,6 +1,8 @@
 """Rarest-gram index: the substring test, and how many rows it makes on the way."""
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from log_tables import SF_SMALL
@@ -72,3 +74,32 @@ def test_filter_has_no_false_negatives(spark):
 def test_lines_by_table_reads_columns_once_parsed(spark):
     log = R.rendered_log(spark, SF_SMALL)
     assert C.lines_by_table(log, C.table_names(log)).columns == ["seq", "ts", "table_name", "line"]
+
+
+def test_grams_are_made_by_arrays(spark):
+    """No lambda is evaluated for each gram of each line: the plan makes them a batch at a time."""
+    t = spark.createDataFrame([(1, "UPDATE A_TABLE SET B")], "id int, text string")
+    found = M.candidates(t, "text", spark.createDataFrame([("A_TABLE",), ("B",)], "name string"), "name")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan
+
+
+def test_grams_of_a_column(monkeypatch):
+    monkeypatch.setattr(M, "_PART", 7)
+    rng = random.Random(5)
+    texts = [None, "", "ab", *("".join(rng.choice("abΓ😀 ") for _ in range(rng.randint(0, 40))) for _ in range(50)), None, ""]
+    for column, rows in ((pa.array(texts), texts), (pa.array(texts).slice(3, 20), texts[3:23]), (pa.array([], pa.string()), [])):
+        number = lambda g: int(M.grams(np.frombuffer(g, np.uint8), len(g))[0])
+        plain = sorted({(k, number(b[i:i + q])) for k, t in enumerate(rows) for b in [(t or "").encode()] for q in M.LENGTHS
+                        for i in range(len(b) - q + 1)})
+        row, gram = M.grams_in(column, M.LENGTHS)
+        assert list(zip(row.tolist(), gram.tolist())) == plain
+
+
+def test_filter_is_one_in_columns_and_arrays(spark):
+    values = spark.range(300).select((F.col("id") * 7919 * 1_000_003).alias("v"))
+    holds = M.bloom(values, "v", 20)  # crowded
+    hashes = np.array([r[0] for r in spark.range(3000).select(F.xxhash64("id")).collect()], np.int64)
+    by_column = spark.createDataFrame([(i, int(h)) for i, h in enumerate(hashes)], "i int, h bigint").filter(holds(F.col("h")))
+    at = holds.places(hashes.view(np.uint64)).tolist()
+    assert 0 < len(at) < 3000 and at == sorted(r.i for r in by_column.collect())
