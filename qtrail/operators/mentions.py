@@ -52,7 +52,7 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
     while width < q:
         runs = runs[:-width] | runs[width:] << _U64(8 * width)
         width *= 2
-    return _mixed(runs + _U64(q) * _U64(0x9E3779B97F4A7C15))
+    return _mixed(runs + _U64(q * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
 def _text(column) -> tuple[np.ndarray, np.ndarray]:
