@@ -15,6 +15,9 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
+import pyarrow as pa
+
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 NORMAL, BYTE = 1, 6  # piece types of the file format
@@ -51,14 +54,24 @@ class Vocabulary:
         rules = [f"(?<=[^\\W\\d_])(?=[{re.escape(''.join(stops))}])"] if stops else []
         rules += ["(?<=\n)", "(?=\n)"] if not any("\n" in p for p in self.pieces) else []
         self._cuts = re.compile("|".join(rules) or "(?!)")
+        self._beside = re.compile(f"[{re.escape(''.join(stops))}\n]")  # every cut is beside one of these
         self._parts = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if apart else "(?s).+")
+        self._apart = apart
+        self._raw = pa.array(self.raw, pa.large_binary())
 
     def parts(self, text: str) -> list[str]:
         """Independent parts of a prepared text, in order."""
-        return self._parts.findall(BLANK + text.replace(" ", BLANK)) if text else []
+        if not text:
+            return []
+        prepared = text.replace(BLANK, " ")
+        if self._apart and "  " not in prepared and prepared[0] != " " and prepared[-1] != " ":
+            return list(map(BLANK.__add__, prepared.split(" ")))  # one blank before each part: no pattern is needed
+        return self._parts.findall(BLANK + text.replace(" ", BLANK))
 
     def cuts(self, part: str) -> list[str]:
         """The parts of ``part`` that are independent by their characters."""
+        if not self._beside.search(part):
+            return [part]
         return [p for p in self._cuts.split(part) if p]
 
     def decode(self, ids) -> str:
@@ -66,6 +79,14 @@ class Vocabulary:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text.removeprefix(" ")
 
+    def decode_all(self, ids: np.ndarray, sizes) -> list[str]:
+        """The texts of consecutive runs of ``ids``, of ``sizes`` ids each."""
+        taken = self._raw.take(pa.array(ids))  # bounds are checked; one run of bytes behind another
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[:len(ids) + 1]
+        ends = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)].tolist()
+        raw = taken.buffers()[2].to_pybytes() if ends[-1] else b""
+        return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends, ends[1:])]
+
 
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:

@@ -100,3 +100,27 @@ def test_a_long_part_is_encoded_in_a_window(spark, monkeypatch):
     most.clear()
     assert np.frombuffer(encoder[part], "<i4").tolist() == whole
     assert max(most) <= 50 * reach
+
+
+def test_new_parts_of_a_batch_are_encoded_together(monkeypatch):
+    """The lattice gives the ids of the streaming pass, also in blocks of few cells, and takes every short part of a batch."""
+    rng = random.Random(9)
+    texts = [words(rng, 40, "etaoinshrdlu ,.:;!\n\x1c\x85\u0338ßé日本🙂X9" + BLANK) for _ in range(300)] + TEXTS + ["", " a", "a ", "a  b", "a\n\n,b"]
+    book = vocabulary(PIECES)
+    whole = C.StreamingViterbi(book)
+    expected = []
+    for text in texts:
+        prepared = BLANK + text.replace(" ", BLANK) if text else ""
+        expected.append([i for g in whole.encode([prepared]) for i in g])
+    for cells in (1, 500, C.CELLS):
+        monkeypatch.setattr(C, "CELLS", cells)
+        encoder, alone = C.Encoder(PIECES), []
+        monkeypatch.setattr(encoder.viterbi, "encode", lambda chunks, of=encoder.viterbi.encode: (alone.append(chunks := list(chunks)), of(chunks))[1])
+        found = encoder.encode_all(texts)
+        assert [np.frombuffer(i, "<i4").tolist() for i in found] == expected
+        assert all(sum(map(len, chunks)) > C.SHORT for chunks in alone)  # no short part went through the loop of its own
+        ids = [i for e in expected for i in e]
+        assert book.decode_all(np.array(ids, "<i4"), [len(e) for e in expected]) == [book.decode(e) for e in expected]
+    with pytest.raises(IndexError):
+        book.decode_all(np.array([1 << 20], "<i4"), [1])
+    assert book.decode_all(np.array([], "<i4"), [0, 0]) == ["", ""]
