@@ -31,7 +31,9 @@ from __future__ import annotations
 
 import functools
 import heapq
+import operator
 import re
+import string
 import zlib
 
 import numpy as np
@@ -47,14 +49,13 @@ WINDOW = 4096
 END_ID = 2
 SHARD_UNITS = 4096
 K1, B = 1.2, 0.75
-CACHED = 128 << 20  # bytes that a worker's words may take
+CACHED = 192 << 20  # bytes that a worker's words may take
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
-# Python's split() also parts words at these; the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")  # signs but for the apostrophe
-_SPACES = re.compile("[^\\S\x1c-\x1f]+")
+_SIGNS = string.punctuation.replace("'", "")
+_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])  # bytes of white space
 
 
 @functools.cache
@@ -63,9 +64,34 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _bare(tokenizer):
+    """``tokenizer`` without the steps that change nothing in words of a-z, if they do change nothing."""
+    from tokenizers import Tokenizer, pre_tokenizers
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    letters = string.ascii_lowercase
+    probe = " ".join([*letters, letters, *(a + b for a in letters for b in letters)])
+    same = bare.encode(probe, add_special_tokens=False).ids == tokenizer.encode(probe, add_special_tokens=False).ids
+    return bare if same else tokenizer
+
+
+def _words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words between blanks of all texts, and where each text's words begin and the last ends."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    inside = ~_BLANK[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    begin, sizes = edges[::2], edges[1::2] - edges[::2]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return words, np.searchsorted(begin, np.cumsum([0, *(len(r) + 1 for r in raw)]))
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer whose pieces never span white space:
-    the ids of a text are those of its words in order, and words repeat.
+    the ids of a text are those of its words in order, and words repeat.  Words
+    are parted and made distinct as arrays over the texts of a call; only a
+    distinct word is a Python string.
 
     A worker remembers words over all its tasks, in two generations of half
     ``CACHED`` each: when the newer is full the older is forgotten, and a word met
@@ -76,6 +102,7 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.bare = _bare(self.tokenizer)
         self.known: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.older: tuple[dict, dict] = {}, {}
@@ -89,14 +116,16 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn_plain(self, words: list[str]) -> None:
-        for a in range(0, len(words), 2000):
-            part = words[a:a + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            if len(stops) != len(part):
-                raise ValueError("the tokenizer parts plain words")
-            self.plain.update((w, raw[i:j]) for w, i, j in zip(part, [0, *stops], stops))
+        ascii_ = [w for w in words if w.isascii()]
+        for tokenizer, words in (self.bare, ascii_), (self.tokenizer, [w for w in words if not w.isascii()]):
+            for a in range(0, len(words), 250):
+                part = words[a:a + 250]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                raw = ids.tobytes()
+                if len(stops) != len(part):
+                    raise ValueError("the tokenizer parts plain words")
+                self.plain.update((w, raw[i:j]) for w, i, j in zip(part, [0, *stops], stops))
 
     def _recalled(self, words: set[str], newer: dict[str, bytes], which: int) -> set[str]:
         """``words`` but for those of the older generation, which move to the ``newer``."""
@@ -106,24 +135,42 @@ class WordIds:
         return words.difference(again)
 
     def _learn(self, words: set[str]) -> None:
-        parts = {w: m.groups() for w in words if (m := _PLAIN.fullmatch(w))}
-        parts = {w: (core.lower(), stops) for w, (core, stops) in parts.items()}
-        odd = [w for w in words if w not in parts]
+        plain, cores, stops, odd = [], [], [], []
+        for w in words:
+            core = w if w.isalpha() else w.rstrip(_SIGNS)
+            if core.isalpha() and (core.isascii() or _LETTERS.fullmatch(core)):
+                low = core.lower()
+                plain.append(w)
+                cores.append(core if low == core else low)  # one string for both dictionaries
+                stops.append(w[len(core):])
+            else:
+                odd.append(w)
         self.known.update(zip(odd, self._encode(odd)))
-        self._learn_plain(list(self._recalled({core for core, _ in parts.values()}.difference(self.plain), self.plain, 1)))
-        stops = {s for _, s in parts.values()}
-        marks = dict(zip(stops, self._encode(list(stops))))
-        self.known.update((w, self.plain[core] + marks[stop]) for w, (core, stop) in parts.items())
-        for core in [c for c, _ in parts.values() if len(c) > LONG_WORD]:
+        self._learn_plain(list(self._recalled(set(cores).difference(self.plain), self.plain, 1)))
+        signs = list(set(stops))
+        marks = dict(zip(signs, self._encode(signs)))
+        self.known.update(zip(plain, map(operator.add, map(self.plain.__getitem__, cores), map(marks.__getitem__, stops))))
+        for core in [c for c in cores if len(c) > LONG_WORD]:
             self.plain.pop(core, None)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [_SPACES.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        new = set().union(*split).difference(self.known)
+        if not texts:
+            return []
+        words, bounds = _words(texts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, distinct))
+        places = [k for k, i in enumerate(ids) if i is None]
+        new = set(map(distinct.__getitem__, places))
         if new:
             self._learn(self._recalled(new, self.known, 0))
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+            for k in places:
+                ids[k] = self.known[distinct[k]]
+        found = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[bounds].tolist()
+        raw = found.buffers()[2].to_pybytes() if ends[-1] else b""
+        out = [raw[i:j] for i, j in zip(ends, ends[1:])]
         for w in new:
             if len(w) > LONG_WORD:
                 del self.known[w]
@@ -209,21 +256,37 @@ def _shards(tails, places, order: np.ndarray, spans: dict, hot: dict, size: floa
     return np.minimum(at / size, shards - 1).astype(np.int32)
 
 
+def _counts(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """unit, id, count of all units' ids, by unit and id; 256 units are sorted at once."""
+    found = []
+    for a in range(0, len(tails), 256):
+        part = tails[a:a + 256]
+        keys = np.sort(np.repeat(np.arange(a, a + len(part)) << 16, [len(t) for t in part]) | np.concatenate(part))
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        found.append((keys[first], np.diff(first, append=len(keys))))
+    keys, count = (np.concatenate(c) for c in zip(*found))
+    return keys >> 16, keys & 0xFFFF, count
+
+
 class _Index:
-    """BM25 over the units of one shard: postings in one array, sorted by id."""
+    """BM25 over the units of one shard: postings in one array, sorted by id; ids that
+    over a quarter of the units hold have a row of weights over all units instead."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
-        parts = [np.unique(t, return_counts=True) for t in tails]
         lengths = np.array([len(t) for t in tails], float)
-        unit = np.repeat(np.arange(len(tails)), [len(p[0]) for p in parts])
-        term = np.concatenate([p[0] for p in parts]).astype(np.int64)
-        count = np.concatenate([p[1] for p in parts]).astype(float)
+        unit, term, count = _counts(tails)
         weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[unit] / mean))
         order = np.argsort(term, kind="stable")
         self.unit, self.weight = unit[order], weight[order].astype(np.float32)
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.terms = [p[0].astype(np.int64) for p in parts]
+        self.terms = np.split(term, np.searchsorted(unit, np.arange(1, len(tails))))
         self.idf = idf
+        # at most four times the mean number of a unit's ids
+        self.common = {}
+        for t in np.flatnonzero(4 * np.diff(self.first) > max(len(tails), 4)).tolist():
+            at = slice(self.first[t], self.first[t + 1])
+            self.common[t] = row = np.zeros(len(tails))
+            row[self.unit[at]] = self.weight[at]
 
     def neighbours(self, seed: int, used: np.ndarray, most: int) -> np.ndarray:
         """Unused units by falling score (ties: the earlier unit), ``most`` at a time."""
@@ -232,9 +295,15 @@ class _Index:
         terms = terms[size > 1]
         if not len(terms):
             return np.empty(0, np.int64)
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.unit[s] for s in spans]),
-                            np.concatenate([self.weight[s] for s in spans]), len(used))
+        rows = [self.common.get(t) for t in terms.tolist()]
+        spans = [slice(a, b) for a, b, r in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), rows) if r is None]
+        score = np.zeros(len(used))
+        if spans:
+            score += np.bincount(np.concatenate([self.unit[s] for s in spans]),
+                                 np.concatenate([self.weight[s] for s in spans]), len(used))
+        for row in rows:
+            if row is not None:
+                score += row
         score[used] = 0.0
         score[seed] = 0.0
         found = np.flatnonzero(score)

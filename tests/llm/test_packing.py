@@ -100,3 +100,20 @@ def test_all_ids_of_a_seed_are_asked():
     tails = [np.arange(100, dtype="<u2"), np.arange(30, dtype="<u2"), np.arange(60, 100, dtype="<u2")]
     index = P._Index(tails, idf, 60.0)
     assert set(index.neighbours(0, np.zeros(3, bool), 64).tolist()) == {1, 2}
+
+
+def test_common_ids_have_a_row_of_weights():
+    """Scores of ids with a row and of ids with postings add up to BM25, and neither is lost."""
+    rng = np.random.default_rng(5)
+    tails = [np.concatenate([rng.integers(0, 12, 30), rng.integers(100, 3000, int(rng.integers(1, 60)))]).astype("<u2") for _ in range(600)]
+    idf, mean = rng.random(1 << 16) + 0.1, 60.0
+    index = P._Index(tails, idf, mean)
+    assert 10 <= len(index.common) <= 4 * np.mean([len(t) for t in index.terms])
+    sets = [dict(zip(*map(np.ndarray.tolist, np.unique(t, return_counts=True)))) for t in tails]
+    assert [t.tolist() for t in index.terms] == [list(s) for s in sets]
+    for seed in range(0, 600, 50):
+        score = [sum(idf[t] * s[t] * (P.K1 + 1) / (s[t] + P.K1 * (1 - P.B + P.B * len(tail) / mean)) for t in sets[seed] if t in s)
+                 for s, tail in zip(sets, tails)]
+        score[seed] = -1.0
+        found = index.neighbours(seed, np.zeros(600, bool), 64)
+        assert np.allclose(np.array(score)[found], sorted(score, reverse=True)[:64], rtol=1e-5)

@@ -1,4 +1,6 @@
 """What workers remember is bounded in bytes, and one operator's memory goes when another asks."""
+import random
+
 import numpy as np
 
 from qtrail.llm import _common as C
@@ -53,6 +55,37 @@ def test_signs_behind_words():
         assert np.frombuffer(ids.encode([text])[0], "<u4").tolist() == want
 
 
+def test_a_word_is_looked_up_once_a_call():
+    """Words that repeat in a call are found as arrays, not one by one."""
+    class Asked(dict):
+        n = 0
+
+        def __getitem__(self, word):
+            self.n += 1
+            return super().__getitem__(word)
+
+        def get(self, word, other=None):
+            self.n += 1
+            return super().get(word, other)
+
+    ids = packing.WordIds(WORDS)
+    one = ids.encode(["one two, \x1cthree\x1c one"])
+    ids.known = Asked(ids.known)
+    assert ids.encode(["one two, \x1cthree\x1c one"] * 500 + ["", " \t\n"]) == one * 500 + [b"", b""]
+    assert ids.known.n <= 10 and ids.encode([]) == []
+
+
+def test_blanks_and_letters_of_all_kinds():
+    rng = random.Random(7)
+    letters = "abcXYZ \n\t\v,.!'\u2028\u3000\xa0\x85\x1c\x1f\u030a\u0338\xb5\xaaßéÉİΣς日🙂19<|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 8, 90]))) for _ in range(2000)]
+    texts += ["A<|endoftext|>b <|ENDOFTEXT|> don't,", "W\u030a w\u030a, =\u0338"]
+    ids = packing.WordIds(WORDS)
+    assert ids.bare is not ids.tokenizer
+    found = [i for a in range(0, len(texts), 300) for i in ids.encode(texts[a:a + 300])]
+    assert [np.frombuffer(i, "<u4").tolist() for i in found] == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_language_words(monkeypatch):
     model = language_id.Model({"en": {"a": 5, " a": 3, "b": 2, " b": 2, "ab": 1}, "de": {"b": 5, " b": 4, "a": 1, " a": 1, "bb": 2}})
     scorer = language_id.Scorer(model)
