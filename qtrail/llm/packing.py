@@ -31,8 +31,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import operator
-import re
 import string
 import zlib
 
@@ -54,8 +52,20 @@ CACHED = 192 << 20  # bytes that a worker's words may take
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 _SIGNS = string.punctuation.replace("'", "")
-_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])  # bytes of white space
+_LARGE = "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
+_SMALL = _LARGE.lower() + "\xdf\xff"
+BLANK, LETTER, SIGN, DIGIT, ODD = range(5)
+_KIND = np.full(256, ODD, np.uint8)  # of a byte of UTF-8; letters beyond ASCII begin with 0xC3
+for _kind, _bytes in ((BLANK, b"\t\n\v\f\r "), (SIGN, _SIGNS.encode()), (DIGIT, string.digits.encode()),
+                      (LETTER, string.ascii_letters.encode() + bytes([0xC3, *range(0x80, 0xC0)]))):
+    _KIND[list(_bytes)] = _kind
+# the character by which a byte of a plain word is spelled in a model of bytes, in lower case
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = np.empty(256, np.uint32)
+_SPELLED[_PRINTED] = _PRINTED
+_SPELLED[np.setdiff1d(np.arange(256), _PRINTED)] = np.arange(256, 512 - len(_PRINTED))
+_SPELLED[65:91], _SPELLED[0x80:0x9F], _SPELLED[32] = _SPELLED[97:123], _SPELLED[0xA0:0xBF], 32
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)  # the first n of 8 bytes
 
 
 @functools.cache
@@ -65,21 +75,35 @@ def _tokenizer(path: str):
 
 
 def _bare(tokenizer):
-    """``tokenizer`` without the steps that change nothing in words of a-z, if they do change nothing."""
+    """A tokenizer of parts between blanks by ``tokenizer``'s model alone, None if it gives other ids for plain words."""
     from tokenizers import Tokenizer, pre_tokenizers
     bare = Tokenizer(tokenizer.model)
     bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-    letters = string.ascii_lowercase
-    probe = " ".join([*letters, letters, *(a + b for a in letters for b in letters)])
-    same = bare.encode(probe, add_special_tokens=False).ids == tokenizer.encode(probe, add_special_tokens=False).ids
-    return bare if same else tokenizer
+    small, large = string.ascii_lowercase + _SMALL, string.ascii_uppercase + _LARGE
+    probe = [*small, *large, small, *(a + b for a in string.ascii_lowercase for b in small), "7", "1234", "a1b22c", *_SIGNS, _SIGNS,
+             *(f"a{s}b{s}{s}" for s in _SIGNS), *(f"{s}A1{s}2" for s in _SIGNS), *(a + b for a in _SIGNS for b in _SIGNS if a + b != "<|")]
+    data = np.frombuffer(" ".join(probe).encode() + b" ", np.uint8)
+    same = bare.encode(_parted(data, _KIND[data])[0], add_special_tokens=False).ids == [
+        i for e in tokenizer.encode_batch(probe, add_special_tokens=False) for i in e.ids]
+    return bare if same and all(t.content.startswith("<|") for t in tokenizer.get_added_tokens_decoder().values()) else None
+
+
+def _parted(data: np.ndarray, kind: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Plain words, a blank behind each, as a model of bytes spells them in lower case, with blanks between
+    their parts too: runs of letters, runs of signs, single digits.  Where each word's spelling ends, and
+    how many parts end there or before."""
+    inner = np.flatnonzero((kind[1:] != BLANK) & (kind[:-1] != BLANK) & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))) + 1
+    stops = np.flatnonzero(kind == BLANK)
+    before = np.searchsorted(inner, stops)
+    text = np.insert(_SPELLED[data], inner, 32).astype("<u4").tobytes().decode("utf-32-le")
+    return text, stops + before, before + np.arange(1, len(stops) + 1)
 
 
 def _words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     """The words between blanks of all texts, and where each text's words begin and the last ends."""
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    inside = ~_BLANK[data]
+    inside = _KIND[data] != BLANK
     edges = np.flatnonzero(np.diff(inside, prepend=False))
     begin, sizes = edges[::2], edges[1::2] - edges[::2]
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -87,97 +111,174 @@ def _words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     return words, np.searchsorted(begin, np.cumsum([0, *(len(r) + 1 for r in raw)]))
 
 
+def _gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``count`` entries of ``flat`` from ``begin`` in order, and where each ends."""
+    ends = np.cumsum(count)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + count, count)], ends
+
+
+class _Table:
+    """Ids of short words, in arrays that are read and written for many words at once: a word has one slot,
+    by its bytes, and a new word takes it unless the word there was met in the same call."""
+
+    WIDTH, IDS = 16, 8  # bytes of a word, ids of a word
+
+    def __init__(self, most: int, kind: np.dtype):
+        slots = 1 << (most // (22 + self.IDS * kind.itemsize)).bit_length() - 1  # 22 bytes a slot besides the ids
+        self.low, self.high = np.zeros(slots, U64), np.zeros(slots, U64)
+        self.size, self.count = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)
+        self.met, self.calls = np.zeros(slots, np.uint32), 0
+        self.ids = np.zeros((slots, self.IDS), kind)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Which words the table holds; ``put`` and ``of`` speak of the words asked for last."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[:len(words) + 1]
+        data = np.concatenate([np.frombuffer(words.buffers()[2], np.uint8)[:offsets[-1]], np.zeros(self.WIDTH, np.uint8)])
+        eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the 8 bytes from each place
+        begin, size = offsets[:-1], np.diff(offsets)
+        low = eights[begin] & _FIRST[np.minimum(size, 8)]
+        high = eights[begin + np.minimum(size, 8)] & _FIRST[np.clip(size - 8, 0, 8)]
+        slot = (mix(low ^ mix(high + U64(1))) & U64(len(self.low) - 1)).astype(np.int64)
+        self.asked = low, high, size, slot
+        found = (self.size[slot] == size) & (self.low[slot] == low) & (self.high[slot] == high)
+        self.calls += 1
+        self.met[slot[found]] = self.calls
+        return found
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at ``places`` in order, and how many each has."""
+        slot = self.asked[3][places]
+        count = self.count[slot]
+        return self.ids[slot][np.arange(self.IDS) < count[:, None]], count
+
+    def put(self, places: np.ndarray, flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Takes what it can of the words at ``places`` with their ids; which of them it has not taken."""
+        low, high, size, slot = (a[places] for a in self.asked)
+        fit = np.flatnonzero((size <= self.WIDTH) & (count <= self.IDS) & (self.met[slot] != self.calls))
+        fit = fit[np.unique(slot[fit], return_index=True)[1]]
+        at = slot[fit]
+        self.low[at], self.high[at], self.size[at], self.count[at] = low[fit], high[fit], size[fit], count[fit]
+        self.met[at] = self.calls
+        self.ids[at] = np.concatenate([flat, np.zeros(self.IDS, flat.dtype)])[begin[fit][:, None] + np.arange(self.IDS)]
+        return np.delete(np.arange(len(places)), fit)
+
+    def words(self) -> list[str]:
+        full = np.flatnonzero(self.size)
+        raw = np.stack([self.low[full], self.high[full]], 1).astype("<u8").tobytes()
+        return [raw[a:a + n].decode() for a, n in zip(range(0, len(raw), self.WIDTH), self.size[full].tolist())]
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer whose pieces never span white space:
     the ids of a text are those of its words in order, and words repeat.  Words
-    are parted and made distinct as arrays over the texts of a call; only a
-    distinct word is a Python string.
+    are parted, made distinct and looked up as arrays over the texts of a call;
+    only a word that the table does not hold is a Python string.
 
-    A worker remembers words over all its tasks, in two generations of half
-    ``CACHED`` each: when the newer is full the older is forgotten, and a word met
-    again moves to the newer, so frequent words stay.  Words of plain letters (and
-    signs behind) are looked up in lower case without them, as the tokenizer
-    lower-cases and parts them so; many are encoded in one call and parted again
-    where an id ends a word."""
+    A worker remembers words over all its tasks: half of ``CACHED`` is the table
+    of short words, and words that it does not take are kept in two generations
+    of a quarter each: when the newer is full the older is forgotten, and a word
+    met again moves to the newer, so frequent words stay.  New words of letters,
+    digits and signs are parted and put in lower case as arrays, as the tokenizer
+    does it, and many are encoded by its model in one call and parted again where
+    an id ends a part; others pass the whole tokenizer."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.bare = _bare(self.tokenizer)
-        self.known: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.older: tuple[dict, dict] = {}, {}
-        self.budget = Budget(CACHED // 2)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn_plain(self, words: list[str]) -> None:
-        ascii_ = [w for w in words if w.isascii()]
-        for tokenizer, words in (self.bare, ascii_), (self.tokenizer, [w for w in words if not w.isascii()]):
-            for a in range(0, len(words), 250):
-                part = words[a:a + 250]
-                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-                raw = ids.tobytes()
-                if len(stops) != len(part):
-                    raise ValueError("the tokenizer parts plain words")
-                self.plain.update((w, raw[i:j]) for w, i, j in zip(part, [0, *stops], stops))
-
-    def _recalled(self, words: set[str], newer: dict[str, bytes], which: int) -> set[str]:
-        """``words`` but for those of the older generation, which move to the ``newer``."""
-        older = self.older[which]
-        again = {w: older[w] for w in words if w in older}
-        newer.update(again)
-        return words.difference(again)
-
-    def _learn(self, words: set[str]) -> None:
-        plain, cores, stops, odd = [], [], [], []
-        for w in words:
-            core = w if w.isalpha() else w.rstrip(_SIGNS)
-            if core.isalpha() and (core.isascii() or _LETTERS.fullmatch(core)):
-                low = core.lower()
-                plain.append(w)
-                cores.append(core if low == core else low)  # one string for both dictionaries
-                stops.append(w[len(core):])
-            else:
-                odd.append(w)
-        self.known.update(zip(odd, self._encode(odd)))
-        self._learn_plain(list(self._recalled(set(cores).difference(self.plain), self.plain, 1)))
-        signs = list(set(stops))
-        marks = dict(zip(signs, self._encode(signs)))
-        self.known.update(zip(plain, map(operator.add, map(self.plain.__getitem__, cores), map(marks.__getitem__, stops))))
-        for core in [c for c in cores if len(c) > LONG_WORD]:
-            self.plain.pop(core, None)
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        self.table = _Table(CACHED // 2, self.kind)
+        self.known: dict[str, bytes] = {}
+        self.older: tuple[dict] = {},
+        self.budget = Budget(CACHED // 4)
+        self.learnt = None
+
+    @property
+    def plain(self) -> list[str]:
+        """The words of the table."""
+        return self.table.words()
+
+    def _encode_plain(self, data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words in order, and where each word's end."""
+        text, stops, parts = _parted(data, kind)
+        cuts = [0, *stops[249:-1:250].tolist(), len(text)]
+        ids = np.concatenate([np.array(self.bare.encode_batch_fast([text[a:b]], add_special_tokens=False)[0].ids, self.kind)
+                              for a, b in zip(cuts, cuts[1:])])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != parts[-1] or ends[-1] != len(ids):
+            raise ValueError("the tokenizer parts plain words")
+        return ids, ends[parts - 1]
+
+    def _learn(self, words: list[str]) -> None:
+        """Sets ``learnt``: ids, and where each word's ids begin and how many they are."""
+        data = np.frombuffer(" ".join(words).encode() + b" ", np.uint8)
+        kind = _KIND[data]
+        sizes = np.diff(np.flatnonzero(kind == BLANK), prepend=-1)
+        strange = kind == ODD
+        strange[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # signs among the letters
+        strange[1:] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))  # may be a special token
+        odd = np.logical_or.reduceat(strange, np.cumsum(sizes) - sizes) if self.bare else np.ones(len(words), bool)
+        found = self.tokenizer.encode_batch_fast([words[k] for k in np.flatnonzero(odd).tolist()], add_special_tokens=False)
+        count = np.zeros(len(words), np.int64)
+        count[odd] = [len(e.ids) for e in found]
+        flat = [np.array([i for e in found for i in e.ids], self.kind)]
+        order = [np.flatnonzero(odd)]
+        if not odd.all():
+            keep = np.repeat(~odd, sizes)
+            ids, ends = self._encode_plain(data[keep], kind[keep])
+            count[~odd] = np.diff(ends, prepend=0)
+            flat.append(ids)
+            order.append(np.flatnonzero(~odd))
+        order = np.concatenate(order)
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        self.learnt = np.concatenate(flat), begin, count
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, and where each word's begin and how many they are."""
+        found = self.table.find(words)
+        held, missing = np.flatnonzero(found), np.flatnonzero(~found)
+        strings = words.take(pa.array(missing)).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, strings))
+        older = self.older[0]
+        for k in [k for k, i in enumerate(ids) if i is None and strings[k] in older] if older else ():
+            ids[k] = self.known[strings[k]] = older[strings[k]]
+        kept = [k for k, i in enumerate(ids) if i is not None]
+        new = [k for k, i in enumerate(ids) if i is None]
+        known = [ids[k] for k in kept]
+        flat, count = self.table.of(held)
+        flat, counts = [flat, np.frombuffer(b"".join(known), self.kind)], [count, [len(i) // self.kind.itemsize for i in known]]
+        if new:
+            self._learn([strings[k] for k in new])
+            ids, begin, count = self.learnt
+            rest = self.table.put(missing[new], ids, begin, count)
+            later = {strings[new[k]]: ids[begin[k]:begin[k] + count[k]].tobytes() for k in rest.tolist() if len(strings[new[k]]) <= LONG_WORD}
+            self.known.update(later)
+            if self.budget.spent(later):
+                self.older, self.known = (self.known,), {}
+            flat.append(_gather(ids, begin, count)[0])
+            counts.append(count)
+        order, count = np.concatenate([held, missing[kept], missing[new]]).astype(np.int64), np.concatenate(counts).astype(np.int64)
+        begin, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[order], size[order] = np.cumsum(count) - count, count
+        return np.concatenate(flat), begin, size
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not texts:
             return []
         words, bounds = _words(texts)
+        if not len(words):
+            return [b""] * len(texts)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(self.known.get, distinct))
-        places = [k for k, i in enumerate(ids) if i is None]
-        new = set(map(distinct.__getitem__, places))
-        if new:
-            self._learn(self._recalled(new, self.known, 0))
-            for k in places:
-                ids[k] = self.known[distinct[k]]
-        found = pa.array(ids, pa.large_binary()).take(coded.indices)
-        ends = np.frombuffer(found.buffers()[1], np.int64)[bounds].tolist()
-        raw = found.buffers()[2].to_pybytes() if ends[-1] else b""
-        out = [raw[i:j] for i, j in zip(ends, ends[1:])]
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.known[w]
-        if self.budget.spent(new):
-            self.older = self.known, self.plain
-            self.known, self.plain = {}, {}
-        return out
+        flat, begin, count = self._ids_of(coded.dictionary)
+        at = coded.indices.to_numpy()
+        found, ends = _gather(flat.astype("<u4"), begin[at], count[at])
+        ends = 4 * np.concatenate([[0], ends])[bounds]
+        raw = found.tobytes()
+        return [raw[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def _word_ids(path: str) -> WordIds:

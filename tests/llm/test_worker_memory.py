@@ -86,6 +86,54 @@ def test_blanks_and_letters_of_all_kinds():
     assert [np.frombuffer(i, "<u4").tolist() for i in found] == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_letters_digits_and_signs_are_parted_as_arrays():
+    """Only odd words (apostrophes, special tokens, other alphabets) pass the whole tokenizer."""
+    class Whole:
+        asked = []
+
+        def encode_batch_fast(self, words, **_):
+            self.asked.extend(words)
+            return own.encode_batch_fast(words, **_)
+
+    ids = packing.WordIds(WORDS)
+    own, ids.tokenizer = ids.tokenizer, Whole()
+    plain = "Abc a1b22C,, #7.x-Y! \u00c9t\u00e9; stra\u00dfe(2) \u00c0\u00fe&&& 100% <a|b>"
+    odd = "don't a<|endoftext|>b 3\u00d74 \u03a3\u03b1 x\u030a"
+    found = ids.encode([plain, odd, plain])
+    assert [np.frombuffer(i, "<u4").tolist() for i in found] == [own.encode(t, add_special_tokens=False).ids for t in (plain, odd, plain)]
+    assert sorted(Whole.asked) == sorted(odd.split())
+
+
+def test_table_keeps_what_was_met():
+    """Words without a slot, too long ones and ones of many ids are left to the dictionary; none is mistaken."""
+    words = [f"{a}{b}" for a in "abcdefghijklmnop" for b in ("", "x", "x" * 14, "x" * 15, "x" * 16, "y" * 40)] + ["a\0", "\0", "q1234567"]
+    table = packing._Table(38 * 64, np.dtype("<u2"))
+    array = packing.pa.array(words, packing.pa.large_string())
+    assert not table.find(array).any()
+    count = np.array([9 if w == "q1234567" else 1 + k % 8 for k, w in enumerate(words)])
+    flat = np.arange(count.sum()).astype("<u2")
+    begin = np.cumsum(count) - count
+    rest = set(table.put(np.arange(len(words)), flat, begin, count).tolist())
+    held = np.flatnonzero(table.find(array))
+    assert 30 < len(held) <= 64 and set(held.tolist()) | rest == set(range(len(words))) and not rest & set(held.tolist())
+    assert all(len(words[k]) <= 16 and count[k] <= 8 for k in held) and sorted(table.words()) == sorted(words[k] for k in held)
+    ids, n = table.of(held)
+    assert n.tolist() == count[held].tolist()
+    assert ids.tolist() == [int(i) for k in held for i in flat[begin[k]:begin[k] + count[k]]]
+    both = packing.pa.concat_arrays([array.take(packing.pa.array(held)), packing.pa.array([f"new{k}" for k in range(500)], packing.pa.large_string())])
+    new = np.flatnonzero(~table.find(both))
+    table.put(new, np.zeros(500, "<u2"), np.arange(500), np.ones(500, int))
+    assert table.find(both)[:len(held)].all()  # words met in a call stay through it
+
+
+def test_short_words_met_before_are_no_strings(monkeypatch):
+    ids = packing.WordIds(WORDS)
+    text = "One two, three; Été straße x1 <y>. " * 3
+    first = ids.encode([text])
+    monkeypatch.setattr(ids, "_learn", None)
+    assert ids.encode([text] * 3) == first * 3 and not ids.known
+
+
 def test_language_words(monkeypatch):
     model = language_id.Model({"en": {"a": 5, " a": 3, "b": 2, " b": 2, "ab": 1}, "de": {"b": 5, " b": 4, "a": 1, " a": 1, "bb": 2}})
     scorer = language_id.Scorer(model)
